@@ -8,26 +8,26 @@ aggregations (combined before the shuffle) and joins.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.shared import settle, unsettle
 
 
-def local_components(n: int, left, right):  # noqa: ANN001, ANN201 - arrays of int
-    """Label of each of n nodes: the smallest node of its component, by union-find over the pairs."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for a, b in zip(left, right, strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [root(x) for x in range(n)]
+def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Label of each of n nodes: the smallest node of its component; pairs are few enough for memory."""
+    label = np.arange(n)
+    while len(left):
+        least = np.minimum(label[left], label[right])
+        old = label.copy()
+        np.minimum.at(label, left, least)
+        np.minimum.at(label, right, least)
+        np.minimum.at(label, old, label.copy())  # what a label's own node has learnt
+        label = label[label]
+        if (label == old).all():
+            break
+    return label
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def _verify(threshold: float):  # noqa: ANN202
             a, b = here[x], there[y]
             copies = group["copies"].to_numpy(np.int64)
             links += np.bincount(a, copies[b], len(group)).astype(np.int64) + np.bincount(b, copies[a], len(group)).astype(np.int64)
-        label = local_components(len(group), a.tolist(), b.tolist())
+        label = local_components(len(group), a, b)
         reps = group["rep"].to_numpy(np.int64)
         return pd.DataFrame({"rep": reps, "links": links, "head": reps[label], "alone": group["n_blocks"].to_numpy() == 1})
 

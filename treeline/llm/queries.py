@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, ngram_join, secrets, sharding
+from treeline.llm import decontaminate, ngram_join, secrets, sharding, vector_neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neardup.vector_neardup(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_ngram_join, op8_sharding)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_ngram_join, op8_sharding, op9_vector_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
