@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, ngram_join, secrets, sharding, vector_neardup
+from treeline.llm import decontaminate, ngram_join, secrets, sharding, vector_neardup, warc_bundle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundle.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -34,8 +38,23 @@ def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_ngram_join, op8_sharding, op9_vector_neardup)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_ngram_join, op6_warc_bundle, op8_sharding, op9_vector_neardup)}
+
+
+_OP6 = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, url, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, coalesce(url, 'urn:none') AS url
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_bundle": _OP6}
