@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, ngram_join, secrets, sharding, vector_neardup, warc_bundle
+from treeline.llm import decontaminate, ngram_join, secrets, sharding, toxicity_gru, vector_neardup, warc_bundle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundle.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gru.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -38,7 +42,7 @@ def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_ngram_join, op6_warc_bundle, op8_sharding, op9_vector_neardup)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup)}
 
 
 _OP6 = """
