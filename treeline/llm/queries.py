@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, ngram_join, quality_rank, secrets, sharding, toxicity_gru, vector_neardup, warc_bundle
+from treeline.llm import decontaminate, html_wrapper, ngram_join, quality_rank, secrets, sharding, toxicity_gru, vector_neardup, warc_bundle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup)}
+    return {f.__name__: f for f in (op1_html_wrapper, op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup)}
 
 
 _OP6 = """
