@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, html_wrapper, ngram_join, quality_rank, secrets, sharding, toxicity_gru, vector_neardup, warc_bundle
+from treeline.llm import decontaminate, html_wrapper, ngram_join, piece_sampling, quality_rank, secrets, sharding, toxicity_gru, vector_neardup, warc_bundle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,16 @@ def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neardup.vector_neardup(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode_rows(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_wrapper, op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup)}
+    return {
+        f.__name__: f for f in (
+            op1_html_wrapper, op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup, op10_piece_sampling,
+        )
+    }
 
 
 _OP6 = """
