@@ -221,14 +221,21 @@ def judge(hits: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * COVERAGE >= F.col("n_words")))
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with its text as `text` and all other columns numbered, so that no name can clash."""
+    return docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents whose hit words pass the coverage limit; all others stay as they are."""
-    return judge(find_hits(docs, items)).filter(~F.col("contaminated")).select(*(docs[c] for c in docs.columns))
+    plain = _plain(docs)
+    return judge(find_hits(plain, items)).filter(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
 
 
 def cut_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with the text of hit runs taken out of contaminated documents (text between their first and last word)."""
-    judged = judge(find_hits(docs, items))
+    """docs with the runs of hit words taken out of the texts of contaminated documents."""
+    plain = _plain(docs)
+    names = list(plain.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -241,11 +248,10 @@ def cut_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
                         raw = raw[: at[run["start"]][0]] + raw[at[run["end"] - 1][1] :]
                     text = raw.decode("utf-8", "surrogatepass")
                 texts.append(text)
-            columns = [batch.column(n) if n != "text" else pa.array(texts, pa.string()) for n in docs_columns]
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+            columns = [batch.column(n) if n != "text" else pa.array(texts, pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_columns = list(docs.columns)
-    return judged.mapInArrow(cut, docs.schema)
+    return judge(find_hits(plain, items)).mapInArrow(cut, plain.schema).toDF(*docs.columns)
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
