@@ -23,6 +23,7 @@ SPAN = "start int, end int"
 FACTS = {
     "symbols": SYMBOL, "tokens": TOKEN, "imports": IMPORT, "calls": CALL, "lexical": LEXICAL,
     "highlights": SPAN + ", kind string", "signatures": SPAN + ", name_start int", "modules": SPAN + ", name string, modifier string", "uncertain": SPAN + ", name string",
+    "named_imports": "local string, imported string, module string, name_start int, name_end int, reexport boolean, type_only boolean",
 }
 
 
@@ -39,6 +40,7 @@ class Facts:
     signatures: list[dict] = field(default_factory=list)
     modules: list[dict] = field(default_factory=list)
     uncertain: list[dict] = field(default_factory=list)
+    named_imports: list[dict] = field(default_factory=list)
 
 
 @dataclass(frozen=True)

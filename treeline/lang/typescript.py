@@ -258,7 +258,7 @@ class Parser:
         if self.text(stop) == ":":
             stop = self.upto(stop + 1, ("{", ";"), end) if self.text(stop + 1) != "{" else self.pair[stop + 1] + 1
         body = self.text(stop) == "{"
-        last = self.pair[stop] if body and self.pair[stop] > 0 else min(stop, len(self.t) - 1) if self.text(stop) == ";" else close
+        last = self.pair[stop] if body and self.pair[stop] > 0 else min(stop, len(self.t) - 1) if self.text(stop) == ";" else max(close, stop - 1)
         if has:
             self.symbol(kind, name, start, last, first, modifier, depth, container)
             self.out.signatures.append({"start": self.t[start].start, "end": self.t[(stop if body else last + 1) - 1].end, "name_start": self.t[name].start})
@@ -377,13 +377,36 @@ class Parser:
         if at is not None:
             span = (self.t[i].start, self.t[last].end)
             self.add(at, span, False, top, False, None, None)
+            self.names(i + 1, at, at, False)
         return last + 1
 
+    def names(self, i: int, end: int, source: int, reexport: bool) -> None:
+        """Rows of the local names that a clause takes from a module: default, namespace and named ones."""
+        only, k = self.text(i) == "type", i
+        module = named(self.t[source].text[1:-1])
+        while k < end:
+            x = self.text(k)
+            taken = None
+            if x == "*":
+                taken = (self.text(k + 2) if self.text(k + 1) == "as" else None, "*", k + 2)
+                k += 2 * (self.text(k + 1) == "as")
+            elif self.is_word(k) and x not in ("type", "from", "as"):
+                inside = any(self.text(b) == "{" and b < k < self.pair[b] for b in range(i, k))
+                renamed = self.text(k + 1) == "as"
+                at = k + 2 if renamed else k
+                taken = (self.text(at), x if inside else "default", at)
+                k = at
+            if taken and taken[0]:
+                n = self.t[taken[2]]
+                self.out.named_imports.append({"local": named(taken[0]), "imported": named(taken[1]), "module": module, "name_start": n.start, "name_end": n.end, "reexport": reexport, "type_only": only})
+            k += 1
+
     def reexport(self, i: int, end: int, top: bool) -> int:
         last = self.statement_end(i, end)
         at = next((k for k in range(i + 1, last + 1) if self.t[k].kind == "string"), None)
         if at is not None:
             self.add(at, (self.t[i].start, self.t[last].end), True, top, self.text(i + 1) == "*", None, None)
+            self.names(i + 1, at, at, True)
         return last + 1
 
     def dynamic_imports(self) -> None:
