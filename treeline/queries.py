@@ -89,7 +89,7 @@ def a3_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS path FROM orders WHERE o_orderkey % 5 = 0")
 def a4_unread(spark: SparkSession, d: str) -> DataFrame:
-    now = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.unix_millis("o_orderdate").alias("stamp_ms"), F.col("o_custkey").alias("n_bytes"), "o_orderkey")
+    now = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("stamp_ms"), F.col("o_custkey").alias("n_bytes"), "o_orderkey")
     known = now.withColumn("stamp_ms", F.when(F.col("o_orderkey") % 5 == 0, F.col("stamp_ms") - 1).otherwise(F.col("stamp_ms")))
     return workspace.unread(now, known).select("path")
 
@@ -297,7 +297,7 @@ def _urls(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", F.element_at(parts, 1).alias("package"), F.slice(parts, 2, F.size(parts)).alias("apath"), F.array_join(parts, "/").alias("path"))
 
 
-_URLS = "urls AS (SELECT page_id, a[1] AS package, a[2:] AS apath, array_to_string(a, '/') AS path FROM (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), x -> x <> '') AS a FROM pages))"
+_URLS = "urls AS (SELECT page_id, a[1] AS package, a[2:] AS apath, array_to_string(a, '/') AS path FROM (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS a FROM pages))"
 
 
 @query(f"WITH {_URLS}, roots AS (SELECT package AS root, package AS name FROM urls GROUP BY 1 UNION ALL SELECT package || '/' || apath[1], package || '_' || apath[1] FROM urls WHERE apath[1] = 'en' GROUP BY 1, 2) SELECT page_id, CASE WHEN apath[1] = 'en' AND len(apath) > 1 THEN package || '_en' ELSE package END AS name FROM urls WHERE len(apath) > 0")
@@ -402,9 +402,9 @@ def d1_search_summary(spark: SparkSession, d: str) -> DataFrame:
     return search.summary(_judged(spark, d))
 
 
-@query(f"WITH {_BOTH}, {_HITS} SELECT path, count(*) AS n, list(start ORDER BY start) AS starts FROM judged GROUP BY path")
+@query(f"WITH {_BOTH}, {_HITS} SELECT path, count(*) AS n, string_agg(CAST(start AS VARCHAR), ' ' ORDER BY start) AS starts FROM judged GROUP BY path")
 def d2_group_by_file(spark: SparkSession, d: str) -> DataFrame:
-    return search.by_file(_judged(spark, d))
+    return search.by_file(_judged(spark, d)).withColumn("starts", F.array_join(F.col("starts").cast("array<string>"), " "))
 
 
 @query("SELECT l_suppkey % 50 AS file, l_returnflag AS confidence, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -463,11 +463,11 @@ def d17_names_in_extent(spark: SparkSession, d: str) -> DataFrame:
     return search.identifiers(_files(spark, d)).filter("start < 200").groupBy("path").agg(F.countDistinct("name").alias("names"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS path, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) AS b FROM lineitem)
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) AS b FROM lineitem)
 SELECT x.path, x.a AS start, x.b AS "end", count(y.a) AS depth FROM s x LEFT JOIN s y ON y.path = x.path AND y.a <= x.a AND x.b <= y.b AND NOT (y.a = x.a AND y.b = x.b) GROUP BY 1, 2, 3""")
 def d18_depth(spark: SparkSession, d: str) -> DataFrame:
     s = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("end"))
-    return search.depths(s).select("path", "start", "end", "depth")
+    return search.depths(s.distinct()).select("path", "start", "end", "depth")
 
 
 # Order, pages, ranks
@@ -699,4 +699,4 @@ def k2_stale(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS since, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def k3_windowed_events(spark: SparkSession, d: str) -> DataFrame:
-    return refresh.windowed_events(_t(spark, d, "events")).select(F.unix_micros("window.start").alias("since"), "event_type", "n")
+    return refresh.windowed_events(_t(spark, d, "events")).select(F.unix_micros(F.col("window.start").cast("timestamp")).alias("since"), "event_type", "n")
