@@ -700,3 +700,145 @@ def k2_stale(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS since, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def k3_windowed_events(spark: SparkSession, d: str) -> DataFrame:
     return refresh.windowed_events(_t(spark, d, "events")).select(F.unix_micros(F.col("window.start").cast("timestamp")).alias("since"), "event_type", "n")
+
+
+# A generated tree: a package for each region, a module for each nation with a function for each
+# of its suppliers, a module for each customer that imports its nation and calls a supplier.
+
+_TREES: dict[tuple[int, str], object] = {}
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """path and text of the generated sources."""
+    n = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    s = _t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("pub fn s"), k.cast("string"), F.lit("() {}\n"))), "").alias("fns"), F.min("s_suppkey").alias("first"))
+    n = n.join(s, "n_nationkey", "left")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    nk, rk, ck = F.col("n_nationkey"), F.col("n_regionkey"), F.col("c_custkey")
+    nations = n.select(text("r", rk, "/src/n", nk, ".rs").alias("path"), text("pub struct Nation", nk, ";\n", F.coalesce("fns", F.lit(""))).alias("text"))
+    regions = n.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(text("pub mod n", nk, ";\n", F.when(nk % 2 == 0, text("pub use n", nk, "::Nation", nk, " as N", nk, ";\n")).otherwise("")))), "").alias("text")).select(text("r", rk, "/src/lib.rs").alias("path"), "text")
+    manifests = n.select("n_regionkey").distinct().select(text("r", rk, "/Cargo.toml").alias("path"), text('[package]\nname = "r', rk, '"\n[dependencies]\n', F.lit("".join(f'r{k} = "1"\n' for k in range(5)))).alias("text"))
+    other = n.select(nk.alias("o_nation"), rk.alias("o_region"))
+    c = _t(spark, d, "customer").join(n, F.col("c_nationkey") == nk).join(other, F.col("o_nation") == (nk * 2) % 26 % 25)
+    use = F.when(ck % 3 == 0, text("use crate::n", nk, "::Nation", nk, ";\n")).when(ck % 3 == 1, text("use r", F.col("o_region"), "::", F.when(F.col("o_nation") % 2 == 0, text("N", F.col("o_nation"))).otherwise(text("n", F.col("o_nation"), "::Nation", F.col("o_nation"))), ";\n")).otherwise(text("use crate::n", nk, "::*;\n"))
+    call = F.when(F.col("first").isNotNull(), F.when(ck % 3 == 2, text("    s", F.col("first"), "();\n")).otherwise(text("    crate::n", nk, "::s", F.col("first"), "();\n"))).otherwise("")
+    customers = c.select(text("r", rk, "/src/c", ck, ".rs").alias("path"), text(use, "\nfn cust", ck, "(a: u8) {\n", call, "    let b = a;\n}\n").alias("text"))
+    return nations.unionByName(regions).unionByName(manifests).unionByName(customers)
+
+
+def _workspace(spark: SparkSession, d: str):  # noqa: ANN202
+    """The workspace of the generated tree; its tables are shared by the queries of one session."""
+    from treeline.engine import Workspace
+
+    key = (id(spark), d)
+    if key not in _TREES:
+        _TREES[key] = Workspace(workspace.claim(_tree(spark, d)))
+    return _TREES[key]
+
+
+_CUST = """cust AS (SELECT c_custkey AS ck, n.n_nationkey AS nk, n.n_regionkey AS rk, o.n_nationkey AS onk, o.n_regionkey AS ork, f.first
+FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN nation o ON o.n_nationkey = n.n_nationkey * 2 % 26 % 25
+LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS first FROM supplier GROUP BY 1) f ON f.s_nationkey = n.n_nationkey)"""
+
+
+@query(f"""WITH {_CUST} SELECT 'struct' AS kind, 'Nation' || n_nationkey AS name, 'pub' AS modifier FROM nation UNION ALL SELECT 'function', 's' || s_suppkey, 'pub' FROM supplier
+UNION ALL SELECT 'module', 'n' || n_nationkey, 'pub' FROM nation UNION ALL SELECT 'function', 'cust' || ck, NULL FROM cust""")
+def w_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).family("symbols").select("kind", "name", "modifier")
+
+
+@query(f"""WITH {_CUST} SELECT 'c' || ck AS file, CASE ck % 3 WHEN 0 THEN 'crate::n' || nk || '::Nation' || nk WHEN 1 THEN 'r' || ork || CASE WHEN onk % 2 = 0 THEN '::N' || onk ELSE '::n' || onk || '::Nation' || onk END ELSE 'crate::n' || nk END AS raw,
+ck % 3 = 2 AS glob, CASE ck % 3 WHEN 0 THEN 'r' || rk || '::n' || nk || '::Nation' || nk WHEN 1 THEN 'r' || ork || CASE WHEN onk % 2 = 0 THEN '::N' || onk ELSE '::n' || onk || '::Nation' || onk END ELSE 'r' || rk || '::n' || nk END AS addr FROM cust""")
+def w_imports(spark: SparkSession, d: str) -> DataFrame:
+    e = _workspace(spark, d).edges.filter("declares and path like '%/c%'")
+    return e.select(F.regexp_extract("path", r"/(c\d+)\.rs$", 1).alias("file"), "raw", "glob", "addr")
+
+
+@query(f"WITH {_CUST} SELECT 'cust' || ck AS caller, 's' || first AS callee, 'direct' AS kind FROM cust WHERE first IS NOT NULL")
+def w_calls(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    return graph.callees(w.family("calls"), w.family("symbols")).select("caller", "callee", "kind")
+
+
+@query(f"WITH {_CUST} SELECT 'r' || rk || '::n' || nk || '::s' || first AS target, 'cust' || ck AS caller FROM cust WHERE first IS NOT NULL")
+def w_callers(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    return graph.callers(w.family("calls"), w.family("symbols"), w.occurrences).select("target", "caller")
+
+
+@query(f"WITH {_CUST} SELECT 'c' || ck AS file, 'a' AS name, 'parameter' AS b_kind FROM cust UNION ALL SELECT 'c' || ck, 'a', 'parameter' FROM cust UNION ALL SELECT 'c' || ck, 'b', 'variable' FROM cust")
+def w_bindings(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).bindings().select(F.regexp_extract("path", r"/(c\d+)\.rs$", 1).alias("file"), "name", "b_kind")
+
+
+@query("SELECT 'r' || n_regionkey || '::n' || n_nationkey || '::Nation' || n_nationkey AS target, 'r' || n_regionkey || '::N' || n_nationkey AS alias FROM nation WHERE n_nationkey % 2 = 0")
+def w_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).aliases.filter("step > 0").select("target", "alias")
+
+
+@query("SELECT 'r' || n_regionkey || '::N' || n_nationkey AS alias, 'r' || n_regionkey || '::n' || n_nationkey || '::Nation' || n_nationkey AS target FROM nation WHERE n_nationkey % 2 = 0")
+def w_origins(spark: SparkSession, d: str) -> DataFrame:
+    return graph.origins(_workspace(spark, d).aliases).filter("alias <> target").select("alias", "target")
+
+
+@query(f"""WITH {_CUST} SELECT 'r' || n_regionkey || '::n' || n_nationkey || '::Nation' || n_nationkey AS addr,
+(SELECT count(*) FROM cust WHERE (ck % 3 = 0 AND nk = n_nationkey) OR (ck % 3 = 1 AND onk = n_nationkey)) + n_nationkey % 2 * 0 + CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS imported_by FROM nation
+UNION ALL SELECT 'r' || n_regionkey || '::n' || s_nationkey || '::s' || s_suppkey, 0 FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT 'r' || n_regionkey || '::n' || n_nationkey, (SELECT count(*) FROM cust WHERE ck % 3 = 2 AND nk = n_nationkey) FROM nation""")
+def w_surface(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).surface().select("addr", "imported_by")
+
+
+@query(f"""WITH {_CUST} SELECT 's' || s_suppkey AS name FROM supplier WHERE s_suppkey NOT IN (SELECT first FROM cust WHERE first IS NOT NULL)
+UNION ALL SELECT 'cust' || ck FROM cust
+UNION ALL SELECT 'Nation' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM cust WHERE (ck % 3 = 0 AND nk = n_nationkey) OR (ck % 3 = 1 AND onk = n_nationkey))
+UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM cust WHERE (nk = n_nationkey AND (ck % 3 <> 1 OR first IS NOT NULL)) OR (ck % 3 = 1 AND onk = n_nationkey))""")
+def w_dead(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).dead().select("name")
+
+
+@query(f"WITH {_CUST} SELECT 'c' || ck AS file, 'unused' AS problem FROM cust WHERE ck % 3 < 2")
+def w_import_problems(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).imports().select(F.regexp_extract("path", r"/(c\d+)\.rs$", 1).alias("file"), "problem")
+
+
+@query(f"WITH {_CUST} SELECT 'r' || rk || '::c' || ck AS addr, CAST(1 AS INTEGER) AS depth FROM cust WHERE (ck % 3 = 0 AND nk = 4) OR (ck % 3 = 1 AND onk = 4) UNION ALL SELECT 'r' || n_regionkey, 1 FROM nation WHERE n_nationkey = 4 UNION ALL SELECT DISTINCT 'r' || rk || '::c' || ck, 2 FROM cust WHERE ck % 3 = 1 AND onk <> 4 AND ork = (SELECT n_regionkey FROM nation WHERE n_nationkey = 4) UNION ALL SELECT DISTINCT 'r' || rk || '::c' || ck, 2 FROM cust WHERE ck % 3 <> 1 AND nk <> 4 AND rk = (SELECT n_regionkey FROM nation WHERE n_nationkey = 4) AND FALSE")
+def w_impact(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).impact("Nation4").select("addr", "depth")
+
+
+@query(f"WITH {_CUST} SELECT 'r' || n_regionkey || '/src/n' || n_nationkey || '.rs' AS path, 'use crate::n' || n_nationkey || '::Nation' || n_nationkey || ';' AS statement FROM nation WHERE n_nationkey = 7")
+def w_where(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).where("Nation7").select("path", "statement")
+
+
+@query(f"""WITH {_CUST}, uses AS (SELECT 'declaring' AS reason FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 're-export' FROM nation WHERE FALSE UNION ALL SELECT 'imported' FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 'imported' FROM cust WHERE ck % 3 = 0 AND nk = 4)
+SELECT reason, count(*) AS n FROM uses GROUP BY 1""")
+def w_references(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).references("Nation4").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'r' || n_regionkey || '/src/n' || n_nationkey || '.rs' AS path, 'r' || n_regionkey || '::n' || n_nationkey AS addr FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey || '/src/lib.rs', 'r' || n_regionkey FROM nation")
+def w_modules(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).modules.filter("path not like '%/c%'").select("path", "addr")
+
+
+@query(f"WITH {_CUST} SELECT 'r' || rk || '::c' || ck || '::cust' || ck AS addr, 'within' AS reach FROM cust")
+def w_outline(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    return graph.outline(w.family("symbols"), w.modules).filter("path like '%/c%'").select("addr", "reach")
+
+
+@query(f"WITH {_CUST} SELECT 'r' || rk || '/src/c' || ck || '.rs' AS path, 'let b = a + 1;' AS now FROM cust")
+def w_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    hits = edits.pattern_matches(w.files, "let b = $X;")
+    changed = edits.splice(w.files, edits.rewrite(hits, "let b = $X + 1;"))
+    return changed.select("path", F.regexp_extract("text", r"(let b = .*;)", 1).alias("now"))
+
+
+@query(f"WITH {_CUST} SELECT 'r' || rk || '/src/c' || ck || '.rs' AS path, 'crate::geo::n4' || CASE WHEN ck % 3 = 0 THEN '::Nation4' WHEN ck % 3 = 2 THEN '' END AS replacement FROM cust WHERE nk = 4 AND ck % 3 <> 1 UNION ALL SELECT 'r' || rk || '/src/c' || ck || '.rs', 'crate::geo::n4::s' || first FROM cust WHERE nk = 4 AND ck % 3 <> 2 AND first IS NOT NULL UNION ALL SELECT 'r' || n_regionkey || '/src/lib.rs', 'crate::geo::n4::Nation4' FROM nation WHERE n_nationkey = 4")
+def w_move_module(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    home = w.modules.filter("addr like '%::n4'").first()["path"]
+    return edits.move_module(w.edges, w.modules, home, home.replace("/n4.rs", "/geo/n4.rs"))[0].select("path", "replacement")

@@ -52,7 +52,7 @@ def scan_tree(spark: SparkSession, root: str, patterns: list[str] | None = None)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    files = raw.select(F.expr(f"substring(path, {len(full) + 1})").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), F.unix_millis("modificationTime").alias("stamp_ms"), F.col("length").alias("n_bytes"))
+    files = raw.select(F.expr(f"substring(path, {len(full) + 1})").alias("path"), F.decode("content", "UTF-8").alias("text"), F.unix_millis("modificationTime").alias("stamp_ms"), F.col("length").alias("n_bytes"))
     return claim(with_ignores(files, patterns or []))
 
 
