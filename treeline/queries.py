@@ -802,7 +802,9 @@ def w_import_problems(spark: SparkSession, d: str) -> DataFrame:
     return _workspace(spark, d).imports().select(F.regexp_extract("path", r"/(c\d+)\.rs$", 1).alias("file"), "problem")
 
 
-@query(f"WITH {_CUST} SELECT 'r' || rk || '::c' || ck AS addr, CAST(1 AS INTEGER) AS depth FROM cust WHERE (ck % 3 = 0 AND nk = 4) OR (ck % 3 = 1 AND onk = 4) UNION ALL SELECT 'r' || n_regionkey, 1 FROM nation WHERE n_nationkey = 4 UNION ALL SELECT DISTINCT 'r' || rk || '::c' || ck, 2 FROM cust WHERE ck % 3 = 1 AND onk <> 4 AND ork = (SELECT n_regionkey FROM nation WHERE n_nationkey = 4) UNION ALL SELECT DISTINCT 'r' || rk || '::c' || ck, 2 FROM cust WHERE ck % 3 <> 1 AND nk <> 4 AND rk = (SELECT n_regionkey FROM nation WHERE n_nationkey = 4) AND FALSE")
+@query(f"""WITH {_CUST}, home AS (SELECT n_regionkey AS r FROM nation WHERE n_nationkey = 4),
+hits AS (SELECT 'r' || rk || '::c' || ck AS addr, CASE WHEN (ck % 3 = 0 AND nk = 4) OR (ck % 3 = 1 AND onk = 4) THEN 1 ELSE 2 END AS depth FROM cust, home WHERE (ck % 3 = 1 AND ork = r) OR (ck % 3 <> 1 AND rk = r))
+SELECT addr, CAST(depth AS INTEGER) AS depth FROM hits UNION ALL SELECT 'r' || r, 1 FROM home""")
 def w_impact(spark: SparkSession, d: str) -> DataFrame:
     return _workspace(spark, d).impact("Nation4").select("addr", "depth")
 
