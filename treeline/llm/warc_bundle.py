@@ -37,6 +37,8 @@ MIN_REVISIT = 100
 #: Plain bytes after which a frame, and a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 LEVEL = 3
+#: Plain bytes of records that one reading task gets.
+READ_BYTES = 32 << 20
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -205,7 +207,10 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     for at in range(0, len(ordered), 256):
                         yield pd.DataFrame([_row(reader, x, payloads) for x in ordered.iloc[at : at + 256].itertuples()], columns=_READ)
 
-    return index.repartition("bundle", "frame").mapInPandas(read, _READ_DDL)
+    # The index is small against what it points to, so tasks are counted by the bytes to be read, not left to be merged.
+    held = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-held // READ_BYTES))
+    return index.repartition(tasks, "bundle", "frame").mapInPandas(read, _READ_DDL)
 
 
 _READ = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
