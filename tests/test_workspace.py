@@ -147,3 +147,38 @@ def test_stream_refresh(spark, tmp_path):
         refresh.stream_facts(spark, source, f"{tmp_path}/out", f"{tmp_path}/ck", extract).awaitTermination()
     facts = refresh.newest_only(spark.read.parquet(f"{tmp_path}/out"))
     assert {(r["path"], r["n"]) for r in facts.collect()} == {("a", 5), ("b", 3)}
+
+
+def test_symbol_move(ws):
+    from treeline.plans import symbols
+
+    changes, notices = symbols.move_symbol(ws, "helper", "kit/src/tools.rs", "kit/src/inner.rs")
+    assert edits.conflicts(changes).count() == 0 and notices.count() == 0
+    after = dict(rows(edits.after(ws.files, changes)))
+    assert "pub(crate) fn helper()" in after["kit/src/inner.rs"] and "use crate::tools::size;" in after["kit/src/inner.rs"]
+    assert after["kit/src/tools.rs"].startswith("use crate::inner::helper;\n") and "fn helper" not in after["kit/src/tools.rs"]
+    dot, _ = symbols.move_symbol(ws, "Dot", "kit/src/shapes/dot.rs", "kit/src/inner.rs")
+    moved = dict(rows(edits.after(ws.files, dot)))
+    assert "impl Dot" in moved["kit/src/inner.rs"] and "pub use crate::inner::Dot;" in moved["kit/src/shapes/mod.rs"] and moved["kit/src/shapes/dot.rs"].strip() == ""
+    assert symbols.candidates(ws.family("symbols"), "kit/src/shapes/dot.rs", "new").first()["refusal"] == "not movable"
+
+
+def test_context(ws):
+    from treeline.operators import context
+
+    found = [(r["relation"], r["name"]) for r in context.assemble(ws, "helper").collect()]
+    assert found[0] == ("definition", "helper") and ("outgoing", "size") in found and ("incoming", "never_called") in found
+    assert context.assemble(ws, "helper", max_items=1).count() == 1
+    assert context.definition_at(ws.occurrences, "kit/src/tools.rs", KIT["kit/src/tools.rs"].index("helper")).first()["outcome"] == "resolved"
+    bound = {(r["local"], r["target"]) for r in context.named_bindings(ws.family("named_imports"), ws.edges, ws.declared).collect()}
+    assert ("Shape", "web/shape.ts::Shape") in bound
+
+
+def test_excerpts_end_between_characters(spark):
+    from treeline.operators import context
+
+    text = "aé日😀b"
+    df = spark.createDataFrame([(text,)], "t string")
+    for n in range(1, 12):
+        got = df.select(context.excerpt(F.col("t"), F.lit(0), F.lit(len(text.encode())), n)).first()[0]
+        assert text.startswith(got) and len(got.encode()) <= n and len(got.encode()) > n - 4

@@ -844,3 +844,49 @@ def w_move_module(spark: SparkSession, d: str) -> DataFrame:
     w = _workspace(spark, d)
     home = w.modules.filter("addr like '%::n4'").first()["path"]
     return edits.move_module(w.edges, w.modules, home, home.replace("/n4.rs", "/geo/n4.rs"))[0].select("path", "replacement")
+
+
+@query("SELECT 'source' AS file, 'cut' AS kind UNION ALL SELECT 'target', 'paste'")
+def w_move_symbol(spark: SparkSession, d: str) -> DataFrame:
+    from treeline.plans import symbols
+
+    w = _workspace(spark, d)
+    homes = {r["addr"].rpartition("::")[2]: r["path"] for r in w.modules.filter("addr like '%::n%'").collect()}
+    region = homes["n4"].split("/")[0]
+    target = sorted(p for p in homes.values() if p.startswith(region + "/") and p != homes["n4"])[0]
+    changes, _ = symbols.move_symbol(w, "Nation4", homes["n4"], target)
+    cut, paste = (F.col("replacement") == "") & (F.col("path") == homes["n4"]), (F.col("path") == target) & F.col("replacement").contains("Nation4;")
+    return changes.filter(cut | paste).select(F.when(cut, "source").otherwise("target").alias("file"), F.when(cut, "cut").otherwise("paste").alias("kind"))
+
+
+@query("SELECT 'definition' AS relation, 'Nation4' AS name")
+def w_context(spark: SparkSession, d: str) -> DataFrame:
+    from treeline.operators import context
+
+    return context.assemble(_workspace(spark, d), "Nation4", max_items=1).select("relation", "name")
+
+
+@query(f"WITH {_CUST} SELECT 'crate::n' || nk || '::Nation' || nk AS raw, count(*) AS files FROM cust WHERE ck % 3 = 0 GROUP BY nk")
+def w_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    return graph.outgoing(w.edges, w.aliases).filter("raw like 'crate::%Nation%'").groupBy("raw").agg(F.countDistinct("path").alias("files"))
+
+
+@query(f"WITH {_CUST} SELECT 'a' AS name, 'identifier' AS kind, 2 * count(*) AS n FROM cust UNION ALL SELECT 'b', 'identifier', count(*) FROM cust UNION ALL SELECT 'u8', 'identifier', count(*) FROM cust")
+def w_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).family("tokens").filter("name in ('a', 'b', 'u8')").groupBy("name", F.col("node_kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT word, count(*) AS n FROM customer, (VALUES ('use'), ('fn'), ('let')) AS v(word) GROUP BY word")
+def w_highlights(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    h = w.family("highlights").filter("path like '%/c%' and kind = 'keyword'").join(w.files.select("path", "text"), "path")
+    word = T.byte_slice(F.col("text"), F.col("start"), F.col("end") - F.col("start"))
+    return h.withColumn("word", word).filter("word in ('use', 'fn', 'let')").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CUST} SELECT 'fn cust' || ck || '(a: u8)' AS header FROM cust")
+def w_signatures(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    s = w.family("signatures").filter("path like '%/c%'").join(w.files.select("path", "text"), "path")
+    return s.select(T.byte_slice(F.col("text"), F.col("start"), F.col("end") - F.col("start")).alias("header"))
