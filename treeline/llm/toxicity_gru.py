@@ -36,7 +36,7 @@ WINDOW, STRIDE = 32, 16
 TRAIN_PER_CLASS, WINDOWS_PER_TEXT, VOCABULARY = 1500, 48, 20_000
 WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS = 8, 8, 8, 8192
 #: Words whose gate inputs a worker keeps at hand; the table is emptied when full.
-CACHE = 150_000
+CACHE = 60_000
 #: Texts of the sample in which a word must occur to get an embedding of its own; how often training hides it; weight decay.
 LEAST_TEXTS, HIDE, DECAY = 6, 0.15, 0.002
 _CHUNK = 2048
