@@ -890,3 +890,66 @@ def w_signatures(spark: SparkSession, d: str) -> DataFrame:
     w = _workspace(spark, d)
     s = w.family("signatures").filter("path like '%/c%'").join(w.files.select("path", "text"), "path")
     return s.select(T.byte_slice(F.col("text"), F.col("start"), F.col("end") - F.col("start")).alias("header"))
+
+
+# More of order, plans and scalars
+
+
+@query("SELECT reason, CASE reason WHEN 'declaring' THEN 0 WHEN 'imported' THEN 1 WHEN 'unresolved' THEN 6 ELSE 8 END AS reason_ord, count(*) AS n FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'declaring' WHEN 1 THEN 'imported' WHEN 2 THEN 'unresolved' ELSE 'other-declaration' END AS reason FROM lineitem) GROUP BY 1, 2")
+def e5_reason_order(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    reason = F.when(k == 0, "declaring").when(k == 1, "imported").when(k == 2, "unresolved").otherwise("other-declaration")
+    rank = F.create_map(*[F.lit(x) for name, (place, _) in graph.REASONS.items() for x in (name, place)])
+    return _t(spark, d, "lineitem").groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).withColumn("reason_ord", rank[F.col("reason")]).orderBy("reason_ord")
+
+
+@query("SELECT ordinal, name FROM (SELECT row_number() OVER (ORDER BY s_suppkey) AS ordinal, s_name AS name FROM supplier) WHERE ordinal > 5 AND ordinal <= 9")
+def e7_continue(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "supplier").select(F.lit("use").alias("role"), F.lit("p").alias("path"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("start"), F.lit(0).alias("end"))
+    return search.page(search.numbered(rows).select("ordinal", "name"), after=5, max_items=4).select("ordinal", "name")
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'pub(crate)' WHEN 1 THEN 'pub(in crate::n' || s_nationkey || ')' WHEN 2 THEN 'pub(crate)' END AS modifier FROM supplier")
+def h11_widen(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    kind = F.when(k == 0, "package").when(k == 3, "everyone").otherwise("within")
+    path = F.when(k == 1, F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))).otherwise(F.expr("cast(array() as array<string>)"))
+    return _t(spark, d, "supplier").select("s_suppkey", edits.widened(kind, path).alias("modifier"))
+
+
+@query(f"WITH {_DOCS} SELECT path, sha256(regexp_replace(text, '(^|[^A-Za-z0-9_])scum($|[^A-Za-z0-9_])', '\\1folk\\2', 'g')) AS content FROM docs WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])scum($|[^A-Za-z0-9_])')")
+def h15_batch(spark: SparkSession, d: str) -> DataFrame:
+    from treeline.plans.ledger import batch
+
+    def swap(old: str, new: str):  # noqa: ANN202
+        def step(files: DataFrame) -> DataFrame:
+            found = search.named(search.identifiers(files), old).select("path", "start", "end", F.lit(new).alias("replacement"), F.lit(0).alias("seq"))
+            return edits.splice(files, found)
+
+        return step
+
+    out = batch(_files(spark, d).select("path", "text"), [swap("scum", "crowd"), swap("crowd", "folk")])
+    return out.select("path", F.sha2("text", 256).alias("content"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS meta FROM part")
+def i10_metavariables(spark: SparkSession, d: str) -> DataFrame:
+    word = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('$$$ARG_', p_size) WHEN 1 THEN concat('$arg', p_size) ELSE 'PLAIN' END")
+    return _t(spark, d, "part").select("p_partkey", T.is_metavariable(word).alias("meta"))
+
+
+@query("SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"status\":\"ok\",\"schema\":1,\"result\":\"' || o_orderstatus || '\"}' AS value FROM orders")
+def i15_replies(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("result"))
+    out = requests.replies(o)
+    return out.select(F.get_json_object("value", "$.id").cast("long").alias("o_orderkey"), "value")
+
+
+@query("SELECT 's' || s_suppkey AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'ambiguous' ELSE 'same-scope' END AS standing FROM supplier, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR s_suppkey % 2 = 0")
+def b10_companions(spark: SparkSession, d: str) -> DataFrame:
+    from treeline.plans import symbols
+
+    s = _t(spark, d, "supplier").select(F.lit("f").alias("path"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("ext_start"), F.lit(1).alias("ext_end"), "s_suppkey")
+    types = s.withColumn("kind", F.lit("struct")).unionByName(s.filter("s_suppkey % 5 = 0").withColumn("kind", F.lit("enum")))
+    blocks = s.withColumn("kind", F.lit("impl")).unionByName(s.filter("s_suppkey % 2 = 0").withColumn("kind", F.lit("impl")))
+    return symbols.companions(types.unionByName(blocks)).select("name", "standing")
