@@ -39,7 +39,7 @@ from treeline.llm.shared import text_slices
 from treeline.llm.text import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RANK_SHIFT, SLICE = 20.0, 1 << 19
+RANK_SHIFT, SLICE = 20.0, 1 << 20
 #: Units of more characters are filtered one by one, others in groups of one length.
 SHORT = 48
 #: Each piece's weight is multiplied by this to the power of its length; a path's share is unchanged, and products stay in range.

@@ -362,6 +362,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
 def _scorer(shared):  # noqa: ANN001, ANN202 - a broadcast network or none
     def score(texts: list[str | None]) -> np.ndarray:
         network = shared.value
+        if network and not texts:
+            network._reset()
+            return np.zeros(0)
         return network.scores([words(t) for t in texts]) if network else np.zeros(len(texts))
 
     return score
@@ -374,6 +377,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(run(batch.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
+        run([])  # lets go of the task's word table
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     out = slim.mapInArrow(scan, "doc_id long, score double")
@@ -387,5 +391,6 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             yield batch.filter(pa.array(run(batch.column("text").to_pylist()) < 0.5, pa.bool_()))
+        run([])  # lets go of the task's word table
 
     return docs.mapInArrow(scan, docs.schema)
