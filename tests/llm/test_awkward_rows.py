@@ -75,6 +75,16 @@ def test_join(docs):
     assert kept.columns == docs.columns and kept.filter("doc_id in (7, 9)").count() == 0 and kept.filter("doc_id = 4").count() == 1
 
 
+def test_one_row_of_each_group_with_shared_and_null_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (2, text("c")), (3, text("d")), (3, near), (4, near), (7, None), (7, ""), (7, ""), (None, text("e")), (None, text("f")), (None, None), (None, text("a"))]
+    docs = spark.createDataFrame([(*r, "r") for r in rows], "doc_id long, text string, row string").repartition(3)
+    kept = ngram_join.keep_one(docs)
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (3, text("d")), (7, None), (7, ""), *rows[10:]]
+    assert kept.columns == docs.columns and sorted(map(repr, ((r[0], r[1]) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_sharding(docs):
     out = sharding.shard_by_bytes(docs, 4)
     assert out.count() == docs.count()

@@ -185,10 +185,19 @@ def _classes(known: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of linked documents: the one with the smallest doc_id."""
-    result = settle(ngram_join(docs, threshold).select("doc_id", "kept"), "join-result")
-    gone = small_side(result.filter("not kept").select("doc_id").distinct(), 16)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = not result.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
-
+    """docs with one row of each group of linked texts: the one with the smallest doc_id. Rows with a null doc_id all stay.
+
+    Where rows share a doc_id each is judged by its own text; equal rows of one doc_id become one.
+    """
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        result = settle(ngram_join(docs, threshold).select("doc_id", "kept"), "join-result")
+        gone = small_side(result.filter("not kept").select("doc_id"), 16)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Row numbers in the order of doc_ids take the place of ids, so the smallest doc_id still wins. One field holds the row: no name can clash.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = known.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select(F.monotonically_increasing_id().alias("doc_id"), "text", row.alias("row"))
+    once = settle(once, "join-rows")
+    kept = settle(ngram_join(once.select("doc_id", "text"), threshold).filter("kept").select("doc_id"), "join-result")
+    left = once.join(small_side(kept, 16), "doc_id", "left_semi").select("row.*")
+    return left.unionByName(docs.filter("doc_id is null"))
