@@ -237,6 +237,13 @@ def test_wrapper_without_article():
     assert "great" not in html_wrapper.extract(page(9), wrapper) and "side" not in html_wrapper.extract(page(9), wrapper)
 
 
+def test_class_words_do_not_drop_what_holds_the_text():
+    for outer, words in (("main", "content with-sidebar"), ("article", "entry no-sidebar"), ("section", "page share-enabled")):
+        page = lambda i: f'<body><div class="sidebar"><p>Side {i}</p></div><{outer}><div class="{words}"><h2 class="section-header">Title {i}</h2><p>Words of page {i} {"and more " * 20}</p><p class="share">Tell {i}</p></div></{outer}></body>'  # noqa: B023, E731
+        want = f"Title 9\nWords of page 9 {'and more ' * 20}".strip()
+        assert html_wrapper.extract(page(9), html_wrapper.induce([page(i) for i in range(6)])) == want == html_wrapper.extract(page(9), None)
+
+
 def test_segmentations_follow_their_weights():
     pieces = piece_sampling.load()
     text, found = " thing", Counter()

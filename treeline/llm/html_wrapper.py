@@ -4,26 +4,35 @@ Pages of one host are made by one template. A bounded number of pages a host is
 trees of block elements, in which runs of equal leaf siblings count as one repeated node. The
 trees are aligned one after another by simple tree matching: nodes with equal keys (element,
 class and id words) match, children match in order, and the matching with the most nodes
-wins. Aligned nodes whose text is equal on all pages are template; nodes whose text varies
-are slots. The wrapper is the merged tree with one node marked: the smallest one that holds
-most of the text of the slots outside menus, footers, adverts and the like. Every page is then
-aligned with its host's wrapper and the blocks under the marked node are its text.
+wins. Nodes of at
+least half of the sampled pages (two or more) whose text is equal there are template, all
+others are slots.
+
+The wrapper is the merged tree with a state for each node. Menus, footers, asides and scripts
+go by their element; nodes whose class or id words name such parts go unless they hold most of
+the text of the slots and no article or main element is beside them; headings never go by their
+words. The smallest nodes with prose among their own blocks, articles and main elements are
+marked: all their lines are text. Outside them lines count that are not links
+alone. Parts of a page that do not align with the
+wrapper are judged in the same way by that page alone.
 
 A host may hold any share of the pages: the pages of the sample are picked by two
 rounds of salted ranking, and extraction needs no grouping by host.
 
 Defined cases: null and empty pages give the empty text; a null or hostless url belongs to
-the host ""; a page that does not align with the wrapper is taken as its own sample; with one
+the host ""; a page that does not align with the wrapper is judged alone; with one
 page a host all text counts as slots; cut-off pages are parsed as far as they go;
 repeated rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -34,8 +43,9 @@ from treeline.llm.shared import settle, small_side, text_slices
 
 #: Pages of a host that shape its wrapper, and the salts that rank them.
 SAMPLE, SALTS = 12, 32
-#: The mark goes down from a node to its child while the child holds at least this part of the text of the slots.
-MASS = 0.85
+#: Kinds of nodes, and states of a wrapper's nodes: only lines with text outside links count, all lines count, nothing counts.
+FIT, SOFT, HARD = range(3)
+OPEN, MARKED, DROPPED = range(3)
 
 # HTML elements by what they do.
 BLOCKS = frozenset(
@@ -47,6 +57,10 @@ NOT_TEXT = frozenset("script style noscript template iframe noembed noframes svg
 NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus replies respond share sharing social related recommended widget pager pagination".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption address".split())
+MAINS = frozenset(("article", "main"))
+OUTER = frozenset("# html body".split())
 CLOSES_P = BLOCKS - {"dd", "dt", "li", "body", "html", "head", "title", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: An element of the key ends an open element of the set, up to the nearest element of SCOPES.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -118,46 +132,75 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_text(node: Node) -> bool:
-    """Whether an element may hold article text at all."""
-    return node.tag not in NOT_TEXT and not NOT_TEXT_WORDS.intersection(node.words)
+def kind_of(node: Node) -> int:
+    """FIT for article text; SOFT where class words, or a form, speak against it and the text decides; HARD where the tag rules it out."""
+    if node.tag in NOT_TEXT and node.tag != "form":
+        return HARD
+    return SOFT if node.tag == "form" or (node.tag not in HEADINGS and NOT_TEXT_WORDS.intersection(node.words)) else FIT
 
 
 class Shape:
-    """A node of the tree of blocks: key, children, own text, and what pages showed there."""
+    """A node of the tree of blocks: key, children, own lines in their order among the children, and what pages showed there."""
 
-    __slots__ = ("key", "kids", "text", "linked", "fit", "node", "runs", "seen", "texts", "mass", "marked")
+    __slots__ = ("key", "kind", "kids", "parts", "no", "seen", "same", "mass", "slot", "constant", "state")
 
-    def __init__(self, key: str, node: Node | None, fit: bool) -> None:
-        self.key, self.node, self.fit = key, node, fit
+    def __init__(self, key: str, kind: int) -> None:
+        self.key, self.kind, self.no = key, kind, 0
         self.kids: list[Shape] = []
-        self.text, self.linked, self.runs = [], 0, 1
-        self.seen, self.texts, self.mass, self.marked = 1, set(), 0.0, False
+        self.parts: list[Shape | tuple[str, bool]] = []  # children and (line, whether text outside links is in it)
+        self.seen, self.same, self.mass, self.slot = 1, None, 0, 0  # same: hash of the own text while it is equal on all pages
+        self.constant, self.state = False, OPEN
+
+    @property
+    def tag(self) -> str:
+        return self.key.split(" ", 1)[0]
+
+
+def _holds_block(node: Node) -> bool:
+    return any(not isinstance(x, str) and (x.tag in BLOCKS or _holds_block(x)) for x in node.items)
 
 
 def shape(node: Node) -> Shape:
     """The blocks under a node, inline elements dissolved, runs of equal leaves merged."""
-    out = Shape(f"{node.tag} {' '.join(node.words)}".strip(), node, is_text(node))
+    out = Shape(f"{node.tag} {' '.join(node.words)}".strip(), kind_of(node))
+    if out.kind == HARD:
+        return out
+    held: list[str] = []
+    free = 0
+
+    def end() -> None:
+        nonlocal free
+        if text := _SPACE.sub(" ", entities.unescape("".join(held))).strip():
+            out.parts.append((text, free > 0))
+            out.mass += free
+        held.clear()
+        free = 0
+
+    def add(kid: Shape) -> None:
+        last = out.parts[-1] if out.parts else None
+        if isinstance(last, Shape) and last.key == kid.key and not last.kids and not kid.kids:
+            last.parts += kid.parts
+            last.mass += kid.mass
+        else:
+            out.kids.append(kid)
+            out.parts.append(kid)
 
     def fill(inner: Node, linked: bool) -> None:
+        nonlocal free
         for x in inner.items:
             if isinstance(x, str):
-                if t := x.strip():
-                    out.text.append(t)
-                    out.linked += linked * len(t)
-            elif x.tag in BLOCKS or x.tag in RAW:
-                kid = shape(x)
-                last = out.kids[-1] if out.kids else None
-                if last is not None and last.key == kid.key and not last.kids and not kid.kids:
-                    last.text += kid.text
-                    last.linked += kid.linked
-                    last.runs += 1
-                else:
-                    out.kids.append(kid)
-            else:
+                held.append(x)
+                free += 0 if linked else len(x.strip())
+            elif x.tag in BLOCKS or ((kind := kind_of(x)) == SOFT and _holds_block(x)):
+                end()
+                add(shape(x))
+            elif x.tag == "br":
+                held.append("\n")
+            elif x.tag not in VOID and kind == FIT:
                 fill(x, linked or x.tag == "a")
 
     fill(node, False)
+    end()
     return out
 
 
@@ -195,13 +238,14 @@ def aligned(x: list[Shape], y: list[Shape], memo: dict) -> list[tuple[int, int]]
     return out[::-1]
 
 
-def _own(s: Shape) -> str:
-    return "\n".join(s.text)
+def _own(s: Shape) -> int | None:
+    """A hash of the own text, None if there is none."""
+    lines = [x[0] for x in s.parts if not isinstance(x, Shape)]
+    return int.from_bytes(hashlib.blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big") if lines else None
 
 
 def _start(s: Shape) -> None:
-    s.texts.add(hash(_own(s)))
-    s.mass = max(0, len(_own(s)) - s.linked)
+    s.same = _own(s)
     for k in s.kids:
         _start(k)
 
@@ -209,8 +253,9 @@ def _start(s: Shape) -> None:
 def merge(template: Shape, page: Shape, memo: dict) -> None:
     """Align a page with the template and take in what it shows; unmatched nodes become optional ones."""
     template.seen += 1
-    template.texts.add(hash(_own(page)))
-    template.mass += max(0, len(_own(page)) - page.linked)
+    template.mass += page.mass
+    if template.same != _own(page):
+        template.same = None
     pairs = aligned(template.kids, page.kids, memo)
     for i, j in pairs:
         merge(template.kids[i], page.kids[j], memo)
@@ -226,123 +271,103 @@ def merge(template: Shape, page: Shape, memo: dict) -> None:
     template.kids = out + template.kids[done:]
 
 
-def _slot_mass(s: Shape, pages: int, dropped: dict[int, float]) -> float:
-    """Text of varying slots under a node, boilerplate left out; a constant node counts nothing once pages can tell."""
-    own = 0.0 if pages > 1 and s.seen > 1 and len(s.texts) == 1 else s.mass
-    total = own + sum(_slot_mass(k, pages, dropped) for k in s.kids)
-    dropped[id(s)] = total
-    return total
+def _slots(s: Shape, told: bool) -> int:
+    """Finds the constant nodes, and the text of slots under each node."""
+    s.constant = told and s.same is not None
+    s.slot = (0 if s.constant else s.mass) + sum(_slots(k, told) for k in s.kids)
+    return s.slot
 
 
-def induce(pages: list[str]) -> Shape:
-    """The wrapper of the pages: a template with one marked node."""
+def _holds_main(s: Shape) -> bool:
+    return bool(s.slot) and (s.tag in MAINS or any(_holds_main(k) for k in s.kids))
+
+
+def judge(template: Shape) -> Shape:
+    """Gives every node its state, from the text that the pages showed."""
+    if not _slots(template, True):  # all pages are alike: nothing tells slots from template
+        _slots(template, False)
+    half, mains = template.slot / 2, _holds_main(template)
+
+    def walk(s: Shape, marked: bool, inside: bool) -> None:
+        # Class words of a node that holds most text are taken to name a layout, but not beside an article.
+        if s.kind == HARD or (s.kind == SOFT and (s.slot <= half or (mains and not inside and not _holds_main(s)))):
+            s.state = DROPPED
+            return
+        inside = inside or s.tag in MAINS
+        if not marked and s.slot and s.tag not in OUTER:
+            own = s.mass and not s.constant
+            marked = bool(inside or not s.kids or own or any(k.slot and k.kind == FIT and not k.kids and k.tag in PROSE for k in s.kids))
+        s.state = MARKED if marked else OPEN
+        for k in s.kids:
+            walk(k, marked, inside)
+
+    walk(template, False, False)
+    return template
+
+
+def merged(pages: list[str]) -> Shape:
+    """The template of distinct pages. Own texts stay at nodes that show them on half of the pages, two at least."""
     shapes = [shape(parse(p)) for p in pages]
     template = shapes[0]
     _start(template)
     for s in shapes[1:]:
         merge(template, s, {})
-    return mark(template, len(shapes))
 
+    def thin(s: Shape) -> None:
+        if s.seen < 2 or 2 * s.seen < len(shapes):
+            s.same = None
+        for k in s.kids:
+            thin(k)
 
-def mark(template: Shape, n: int) -> Shape:
-    masses: dict[int, float] = {}
-    _slot_mass(template, n, masses)
-    if not masses[id(template)]:  # all pages are alike: nothing tells slots from template
-        _slot_mass(template, 1, masses)
+    thin(template)
+    return template
 
-    def useful(s: Shape) -> float:
-        """Mass without menus and the like; class words of a node that holds half the page are taken to name a layout."""
-        if not s.fit and not (s.node is not None and s.node.tag not in NOT_TEXT and masses[id(s)] > masses[id(template)] / 2):
-            return 0.0
-        return masses[id(s)] - sum(masses[id(k)] for k in s.kids) + sum(useful(k) for k in s.kids)
 
-    at, total = template, useful(template)
-    while at.kids and at.key.split()[0] not in ("article", "main"):
-        best = max(at.kids, key=useful)
-        if not total or useful(best) < MASS * total or best.runs > 1 or not best.kids:
-            break
-        at = best
-    at.marked = True
-    return template
+def induce(pages: list[str]) -> Shape:
+    """The wrapper of the pages, its nodes judged by these pages alone."""
+    return judge(merged(pages))
 
 
 def to_json(s: Shape) -> str:
     def flat(x: Shape) -> list:
-        return [x.key, int(x.marked), [flat(k) for k in x.kids]]
+        return [x.key, x.kind, x.same, x.constant, x.state, [flat(k) for k in x.kids]]
 
     return json.dumps(flat(s), separators=(",", ":"))
 
 
 def from_json(text: str) -> Shape:
+    numbers = count()
+
     def grown(x: list) -> Shape:
-        s = Shape(x[0], None, True)
-        s.marked, s.kids = bool(x[1]), [grown(k) for k in x[2]]
+        s = Shape(x[0], x[1])
+        s.no, s.same, s.constant, s.state = next(numbers), x[2], x[3], x[4]
+        s.kids = [grown(k) for k in x[5]]
         return s
 
     return grown(json.loads(text))
 
 
-def find_marked(wrapper: Shape, page: Shape, memo: dict) -> Shape | None:
-    """The page's node that is aligned with the wrapper's marked node."""
-    if wrapper.key != page.key:
-        return None
-    if wrapper.marked:
-        return page
-    way = next((k for k, kid in enumerate(wrapper.kids) if _holds_mark(kid)), None)
-    if way is None:
-        return None
-    for i, j in aligned(wrapper.kids, page.kids, memo):
-        if i == way:
-            return find_marked(wrapper.kids[i], page.kids[j], memo)
-    return None
-
-
-def _holds_mark(s: Shape) -> bool:
-    return s.marked or any(_holds_mark(k) for k in s.kids)
-
-
-def blocks(node: Node) -> list[str]:
-    """The blocks of text under a node, without menus, adverts, scripts and the like."""
-    out: list[str] = []
-    held: list[str] = []
-
-    def end() -> None:
-        if text := _SPACE.sub(" ", entities.unescape("".join(held))).strip():
-            out.append(text)
-        held.clear()
-
-    def walk(inner: Node) -> None:
-        for x in inner.items:
-            if isinstance(x, str):
-                held.append(x)
-            elif not is_text(x):
-                if x.tag in BLOCKS:
-                    end()
-            elif x.tag in BLOCKS:
-                end()
-                walk(x)
-                end()
-            elif x.tag == "br":
-                held.append("\n")
-            elif x.tag not in VOID:
-                walk(x)
-
-    walk(node)
-    end()
-    return out
+def _emit(s: Shape, w: Shape | None, marked: bool, memo: dict, out: list[str]) -> None:
+    by = w or s  # a node that does not align is judged by its own page
+    if by.state == DROPPED:
+        return
+    marked = marked or by.state == MARKED
+    of = {id(s.kids[j]): w.kids[i] for i, j in aligned(w.kids, s.kids, memo)} if w is not None and w.kids and s.kids else {}
+    for x in s.parts:
+        if isinstance(x, Shape):
+            _emit(x, of.get(id(x)), marked, memo, out)
+        elif marked or x[1]:
+            out.append(x[0])
 
 
 def extract(page: str | None, wrapper: Shape | None) -> str:
-    """The main text of a page, by its host's wrapper or, where that does not align, by its own."""
+    """The main text of a page, by its host's wrapper or, where a part does not align, by its own."""
     if not page:
         return ""
-    tree = shape(parse(page))
-    found = find_marked(wrapper, tree, {}) if wrapper is not None else None
-    if found is None:
-        own = shape(tree.node)
-        _start(own)
-        found = find_marked(mark(own, 1), own, {})
-    return "\n".join(blocks(found.node)) if found is not None else ""
+    tree = judge(shape(parse(page)))
+    out: list[str] = []
+    _emit(tree, wrapper, False, {}, out)
+    return "\n".join(out)
 
 
 def _host(url: str) -> F.Column:
@@ -350,14 +375,23 @@ def _host(url: str) -> F.Column:
 
 
 def _sampled(pages: DataFrame) -> DataFrame:
-    """page_id and host of the pages that shape wrappers: of each host those with the smallest hashes."""
-    slim = pages.select("page_id", _host("url").alias("host")).filter("page_id is not null").withColumn("dice", F.xxhash64("page_id", F.lit(1)))
+    """page_id and host of the pages that shape wrappers: of each host those with the smallest hashes, equal pages once."""
+    slim = pages.filter("page_id is not null and html <> ''").select("page_id", _host("url").alias("host"), F.xxhash64("html").alias("dice")).groupBy("host", "dice").agg(F.min("page_id").alias("page_id"))
     salted = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(2)), F.lit(SALTS)))
     for keys in (("host", "salt"), ("host",)):  # the first round leaves at most SALTS * SAMPLE rows a host
         salted = salted.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("dice", "page_id"))).filter(F.col("place") <= SAMPLE)
     return salted.select("page_id", "host").distinct()
 
 
+def _held(texts: Iterator[str | None], held: dict[str, Shape]) -> Iterator[Shape | None]:
+    for text in texts:
+        if text is not None and text not in held:
+            if len(held) >= 1000:
+                held.clear()
+            held[text] = from_json(text)
+        yield held.get(text)
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """host and its wrapper as text."""
     picked = settle(_sampled(pages), "wrapper-sample")
@@ -378,13 +412,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shape] = {}
         for batch in text_slices(batches, "html"):
-            texts = []
-            for page, text in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                if text is not None and text not in held:
-                    if len(held) >= 1000:
-                        held.clear()
-                    held[text] = from_json(text)
-                texts.append(extract(page, held.get(text)))
+            texts = [extract(page, wrapper) for page, wrapper in zip(batch.column("html").to_pylist(), _held(batch.column("wrapper").to_pylist(), held), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = rows.join(small_side(known, 4096), "host", "left").select("page_id", "url", "html", "wrapper")
