@@ -244,6 +244,14 @@ def test_class_words_do_not_drop_what_holds_the_text():
         assert html_wrapper.extract(page(9), html_wrapper.induce([page(i) for i in range(6)])) == want == html_wrapper.extract(page(9), None)
 
 
+def test_constant_nodes_are_template():
+    plain = lambda i: f"<body><div id=top>Site name</div><p>First {i} words</p><p>Second {i} words</p><div id=bottom>Copyright</div></body>"
+    assert html_wrapper.extract(plain(9), html_wrapper.induce([plain(i) for i in range(6)])) == "First 9 words\nSecond 9 words"
+    inside = lambda i: f"<body><article><div class=tag>Our daily page</div><p>First {i} words</p><div>Same here</div><p>Second {i} words</p></article></body>"
+    assert html_wrapper.extract(inside(9), html_wrapper.induce([inside(i) for i in range(6)])) == "First 9 words\nSecond 9 words"
+    assert html_wrapper.extract(plain(1), html_wrapper.induce([plain(1)])) == "Site name\nFirst 1 words\nSecond 1 words\nCopyright"
+
+
 def test_segmentations_follow_their_weights():
     pieces = piece_sampling.load()
     text, found = " thing", Counter()

@@ -12,7 +12,7 @@ The wrapper is the merged tree with a state for each node. Menus, footers, aside
 go by their element; nodes whose class or id words name such parts go unless they hold most of
 the text of the slots and no article or main element is beside them; headings never go by their
 words. The smallest nodes with prose among their own blocks, articles and main elements are
-marked: all their lines are text. Outside them lines count that are not links
+marked: all their lines but template are text. Outside them lines count that are not links
 alone. Parts of a page that do not align with the
 wrapper are judged in the same way by that page alone.
 
@@ -352,11 +352,12 @@ def _emit(s: Shape, w: Shape | None, marked: bool, memo: dict, out: list[str]) -
     if by.state == DROPPED:
         return
     marked = marked or by.state == MARKED
+    template = w is not None and w.constant and _own(s) == w.same
     of = {id(s.kids[j]): w.kids[i] for i, j in aligned(w.kids, s.kids, memo)} if w is not None and w.kids and s.kids else {}
     for x in s.parts:
         if isinstance(x, Shape):
             _emit(x, of.get(id(x)), marked, memo, out)
-        elif marked or x[1]:
+        elif not template and (marked or x[1]):
             out.append(x[0])
 
 
