@@ -252,6 +252,21 @@ def test_constant_nodes_are_template():
     assert html_wrapper.extract(plain(1), html_wrapper.induce([plain(1)])) == "Site name\nFirst 1 words\nSecond 1 words\nCopyright"
 
 
+def test_text_beside_the_largest_node_stays(spark):
+    extra = lambda i: f"<div class=update><p>Update {i} to the story</p></div>" if i == 77 else ""
+    note = lambda i: "Rare note" if i % 10 == 7 else "Usual note"
+    page = lambda i: f"<body><ul><li><a>Link {i}</a></li></ul><h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=story><p>Words of {i} {'and more ' * 90}</p></div><div class=note>{note(i)}</div><div class=end>The end</div>{extra(i)}</body>"
+    body = lambda i: f"Title {i}\nLead {i}\nWords of {i} {('and more ' * 90).strip()}"
+    wrapper = html_wrapper.induce([page(i) for i in range(6)])
+    assert html_wrapper.extract(page(77), wrapper) == f"{body(77)}\nRare note\nUpdate 77 to the story"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(120)], "page_id long, url string, html string")
+    usual = [r["page_id"] for r in html_wrapper._sampled(pages).collect()]
+    # A node that is equal on the sample but not on all pages is a slot.
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page(i).replace("Rare note", "Usual note") if i in usual else page(i)) for i in range(120)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(pages).collect()}
+    assert all(out[i] == f"{body(i)}\n{'Usual note' if i in usual else note(i)}" + (f"\nUpdate {i} to the story" if i == 77 else "") for i in range(120))
+
+
 def test_segmentations_follow_their_weights():
     pieces = piece_sampling.load()
     text, found = " thing", Counter()

@@ -4,9 +4,9 @@ Pages of one host are made by one template. A bounded number of pages a host is
 trees of block elements, in which runs of equal leaf siblings count as one repeated node. The
 trees are aligned one after another by simple tree matching: nodes with equal keys (element,
 class and id words) match, children match in order, and the matching with the most nodes
-wins. Nodes of at
-least half of the sampled pages (two or more) whose text is equal there are template, all
-others are slots.
+wins. Then every page of the host is aligned with the merged tree and counted at its nodes:
+nodes of at least half of the sampled pages (two or more) are template if their text is equal on
+all pages of the host that show them; all others are slots.
 
 The wrapper is the merged tree with a state for each node. Menus, footers, asides and scripts
 go by their element; nodes whose class or id words name such parts go unless they hold most of
@@ -31,7 +31,7 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import pandas as pd
@@ -347,6 +347,27 @@ def from_json(text: str) -> Shape:
     return grown(json.loads(text))
 
 
+def tally(wrapper: Shape, page: Shape, memo: dict, into: Callable[[int, bool, int], None]) -> None:
+    """Counts a page at every wrapper node it aligns with: number, whether the text is the node's, size of the text."""
+    into(wrapper.no, wrapper.same is not None and wrapper.same == _own(page), page.mass)
+    for i, j in aligned(wrapper.kids, page.kids, memo):
+        tally(wrapper.kids[i], page.kids[j], memo, into)
+
+
+def settled(wrapper: Shape, stats: dict[int, tuple[int, int, int]]) -> Shape:
+    """The wrapper judged by (seen, same, mass) of its nodes over all pages."""
+
+    def take(s: Shape) -> None:
+        s.seen, same, s.mass = stats.get(s.no, (0, 0, 0))
+        if same < s.seen:
+            s.same = None
+        for k in s.kids:
+            take(k)
+
+    take(wrapper)
+    return judge(wrapper)
+
+
 def _emit(s: Shape, w: Shape | None, marked: bool, memo: dict, out: list[str]) -> None:
     by = w or s  # a node that does not align is judged by its own page
     if by.state == DROPPED:
@@ -393,16 +414,59 @@ def _held(texts: Iterator[str | None], held: dict[str, Shape]) -> Iterator[Shape
         yield held.get(text)
 
 
+def _tallied(rows: DataFrame) -> DataFrame:
+    """host, stats: of each wrapper node the sums over all pages, added up within tasks before the shuffle."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Shape] = {}
+        sums: dict[tuple[str, int], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(h, n, *v) for (h, n), v in sums.items()]
+            sums.clear()
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "no", "seen", "same", "mass"])
+
+        for batch in text_slices(batches, "html"):
+            hosts, pages = batch.column("host").to_pylist(), batch.column("html").to_pylist()
+            for host, page, wrapper in zip(hosts, pages, _held(batch.column("wrapper").to_pylist(), held), strict=True):
+                if not page or wrapper is None:
+                    continue
+
+                def into(no: int, same: bool, mass: int, host: str = host) -> None:
+                    at = sums.setdefault((host, no), [0, 0, 0])
+                    at[0] += 1
+                    at[1] += same
+                    at[2] += mass
+
+                tally(wrapper, shape(parse(page)), {}, into)
+            if len(sums) > 100_000:
+                yield out()
+        yield out()
+
+    parts = rows.select("host", "html", "wrapper").mapInArrow(scan, "host string, no long, seen long, same long, mass long")
+    nodes = parts.groupBy("host", "no").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"), F.sum("mass").alias("mass"))
+    return nodes.groupBy("host").agg(F.collect_list(F.struct("no", "seen", "same", "mass")).alias("stats"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and its wrapper as text."""
+    """host and its wrapper as text: nodes from a sample, judged by all pages."""
     picked = settle(_sampled(pages), "wrapper-sample")
     shown = pages.select("page_id", "html").filter("html is not null and html <> ''").join(small_side(picked, 64), "page_id")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         some = group.sort_values(["page_id", "html"])["html"].drop_duplicates().head(2 * SAMPLE).tolist()
-        return pd.DataFrame({"host": [key[0]], "wrapper": [to_json(induce(some))]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [to_json(merged(some))]})
+
+    drafts = settle(shown.groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrapper-drafts")
+    rows = pages.select(_host("url").alias("host"), "html").join(small_side(drafts, 4096), "host")
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            done = [to_json(settled(from_json(w), {r["no"]: (r["seen"], r["same"], r["mass"]) for r in stats})) for w, stats in zip(f["wrapper"], f["stats"], strict=True)]
+            yield pd.DataFrame({"host": f["host"], "wrapper": done})
 
-    return shown.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return drafts.join(_tallied(rows), "host").mapInPandas(finish, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
