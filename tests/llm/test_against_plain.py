@@ -91,6 +91,16 @@ def test_guess_costs_are_ordered():
     assert cost("20240131") < cost("83920174") and cost("") == 0
 
 
+def test_guess_spans_need_no_digit():
+    for value in ("xKqZ-vwPl_mTrHs!", "correct horse battery staple", "hunter$kLmqWzvPq"):
+        for word in ("pwd", "passphrase", "password"):
+            text = f'{word}: "{value}"'
+            assert (len(word) + 3, len(text) - 1, "guess") in [s[:3] for s in secrets.find_spans(text)]
+            assert value not in secrets.redact(text)
+    for value in ("required", "internationalization", "Authentication", "elephant", "enabled", "credentials"):
+        assert secrets.guess_cost(value) < secrets.LEAST_COST and not secrets.find_spans(f"auth: {value}")
+
+
 def test_join_links(spark):
     sets, inverse = {}, {}
     for r in table("documents", LARGER):

@@ -4,7 +4,8 @@ A value that follows a credential word may be a real secret or a plain word. Its
 log10 of the guesses an attacker needs, by dynamic programming over all segmentations into
 words, dates, repeats, keyboard walks and brute-force spans: best[j] is the least, over i, of
 best[i] + cost of the segment i..j, plus log10 of the factorial of the number of segments.
-Values of at least `LEAST_COST` become spans of kind "guess".
+Values of at least `LEAST_COST` become spans of kind "guess", whatever their characters: a word
+of the ranked list stays below by its cost, several words in a row may not.
 
 Offsets are code points, end exclusive, of the whole match (assignment word to value for
 "assign"). Base spans always stay; a guess span inside a base span is not added again.
@@ -24,6 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treeline.llm.ranked_words import WORDS
 from treeline.llm.shared import text_slices
 
 # The base patterns of the contract.
@@ -38,7 +40,7 @@ CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|pwd|secre
 #: log10 of guesses from which a value counts as a secret.
 LEAST_COST = 8.0
 
-# Rows of a keyboard, common words of passwords by rank.
+# Rows of a keyboard, common words of passwords by rank; the ranked words of English follow them.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 COMMON = (
     "password", "the", "and", "you", "that", "love", "dragon", "monkey", "letmein", "admin", "welcome", "login", "master", "sunshine", "princess",
@@ -47,7 +49,7 @@ COMMON = (
     "autumn", "super", "star", "baby", "angel", "michael", "charlie", "computer", "internet", "server", "service", "house", "orange", "purple",
     "green", "black", "white", "silver", "golden", "tiger", "lion", "eagle", "cookie", "coffee", "pepper", "ginger", "flower", "freedom", "whatever",
 )
-RANK = {w: r for r, w in enumerate(COMMON, 1)}
+RANK = {w: r for r, w in enumerate(dict.fromkeys((*COMMON, *WORDS)), 1)}
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _NEXT = {a: b for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)}
 _LOG2 = math.log10(2)
@@ -147,7 +149,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
             k = next(g for g in (1, 2, 3) if m[g] is not None)
             a, b = m.span(k)
             inside = any(x <= a and b <= y for x, y, _, _ in base)
-            if not inside and (cost := guess_cost(m[k])) >= LEAST_COST and any(c.isdigit() for c in m[k]):
+            if not inside and (cost := guess_cost(m[k])) >= LEAST_COST:
                 out.append((a, b, "guess", cost))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
