@@ -510,6 +510,16 @@ def e14_expand(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", "ord", T.byte_slice(F.col("text"), F.col("start"), F.least(F.col("end") - F.col("start"), F.col("name_end") - F.col("name_start") + 1)).alias("head"))
 
 
+@query()
+def e14_excerpt(spark: SparkSession, d: str) -> DataFrame:
+    """Excerpts of all declaration lines, cut at the end of the name and one byte more, back to a whole character."""
+    from treeline.operators import context
+
+    files = _files(spark, d)
+    s = _symbols(files).join(files.select("path", "text"), "path")
+    return s.select("path", "ord", context.excerpt(F.col("text"), F.col("start"), F.col("end"), F.col("name_end") - F.col("name_start") + 1).alias("head"))
+
+
 # Fixed points over a graph made from the embeddings' ids
 
 
@@ -892,6 +902,41 @@ def w_signatures(spark: SparkSession, d: str) -> DataFrame:
     return s.select(T.byte_slice(F.col("text"), F.col("start"), F.col("end") - F.col("start")).alias("header"))
 
 
+# Whole outputs of operators of which queries above show the part that SQL can tell
+
+
+@query()
+def w_context_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first supplier's function, which functions of customers call."""
+    from treeline.operators import context
+
+    first = _t(spark, d, "supplier").agg(F.min("s_suppkey")).first()[0]
+    return context.assemble(_workspace(spark, d), f"s{first}").select("rank", "relation", "path", "name", "text")
+
+
+@query()
+def w_imports_all(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).edges.select("path", "ord", "raw", "glob", "declares", "reexport", "addr")
+
+
+@query()
+def w_modules_all(spark: SparkSession, d: str) -> DataFrame:
+    return _workspace(spark, d).modules.select("path", "addr")
+
+
+@query()
+def w_outline_all(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    return graph.outline(w.family("symbols"), w.modules).select("path", "addr", "reach")
+
+
+@query()
+def w_signatures_all(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    s = w.family("signatures").join(w.files.select("path", "text"), "path")
+    return s.select("path", T.byte_slice(F.col("text"), F.col("start"), F.col("end") - F.col("start")).alias("header"))
+
+
 # More of order, plans and scalars
 
 
