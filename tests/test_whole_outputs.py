@@ -5,7 +5,10 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from treeline import queries
+from treeline.operators import graph
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
@@ -39,3 +42,11 @@ def test_whole_outputs_of_the_tree(spark):
     assert {r["path"] for r in rows(spark, "w_modules_all")} == set(sources)
     assert len(rows(spark, "w_outline_all")) == len(headers)
     assert sum(r["declares"] for r in rows(spark, "w_imports_all")) == sum(len(re.findall(r"^(?:pub )?use ", t, re.MULTILINE)) for t in sources.values())
+
+
+def test_long_chains_of_re_exports_are_followed_to_the_end(spark):
+    n = 40
+    chain = spark.createDataFrame([(f"g::m{k}", False, "X", f"g::m{k - 1}::X", True, False) for k in range(1, n + 1)], "from_addr string, glob boolean, binding string, addr string, reexport boolean, is_prefix boolean")
+    everyone = graph.reach(F.lit("pub"), F.lit("g"), F.expr("cast(array() as array<string>)"), F.lit("rust"))
+    targets = spark.createDataFrame([("g::m0::X",)], "addr string").withColumn("reach", everyone)
+    assert {(r["alias"], r["step"]) for r in graph.alias_closure(targets, chain).collect()} == {(f"g::m{k}::X", k) for k in range(n + 1)}

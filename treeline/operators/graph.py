@@ -7,6 +7,8 @@ Prefix tests are equi-joins on exploded prefixes, ranges are joined by path firs
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,16 +130,17 @@ def edges(imports: DataFrame, mods: DataFrame, packages: DataFrame, dependencies
     return rust.unionByName(ts).unionByName(fake).join(members, "package", "left").withColumn("external", F.col("inside").isNull() & (F.col("package") != "") & (F.col("package") != "fake")).drop("inside")
 
 
-def alias_closure(targets: DataFrame, edge: DataFrame, rounds: int = 32) -> DataFrame:
+def alias_closure(targets: DataFrame, edge: DataFrame) -> DataFrame:
     """(target, alias, step): all addresses under which re-exports offer each target(addr, package, apath, reach).
 
     A named re-export of an alias offers its binding; a glob re-export of an alias's parent offers the
-    alias's last name, the target itself only where its reach admits the re-exporting module.
+    alias's last name, the target itself only where its reach admits the re-exporting module. Rounds go on until one finds nothing
+    new; aliases are made of the modules and names that there are, so one does.
     """
     out = edge.filter("reexport and addr is not null and from_addr is not null and not is_prefix").select("from_addr", "glob", "binding", F.col("addr").alias("r"))
     seen = settle(targets.select(F.col("addr").alias("target"), F.col("addr").alias("alias"), "reach", F.lit(0).alias("step")).distinct())
     front = seen
-    for k in range(1, rounds):
+    for k in count(1):
         named = front.join(out.filter("not glob").select(F.col("r").alias("alias"), "from_addr", "binding"), "alias").select("target", F.concat_ws("::", "from_addr", "binding").alias("next"), "reach")
         name = F.element_at(F.split("alias", "::"), -1)
         above = front.withColumns({"up": F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)"), "name": name})

@@ -551,7 +551,18 @@ def f1_alias_closure(spark: SparkSession, d: str) -> DataFrame:
     out = _arcs(spark, d).filter("v % 3 = 0").select(F.concat(F.lit("g::m"), F.col("v").cast("string")).alias("from_addr"), F.lit(False).alias("glob"), F.concat(F.lit("X"), F.col("v").cast("string")).alias("binding"), full("w").alias("addr"), F.lit(True).alias("reexport"), F.lit(False).alias("is_prefix"))
     everyone = graph.reach(F.lit("pub"), F.lit("g"), F.expr("cast(array() as array<string>)"), F.lit("rust"))
     targets = _t(spark, d, "embeddings").filter("vec_id % 50 = 0").select(full("vec_id").alias("addr"), everyone.alias("reach"))
-    return graph.alias_closure(targets, out, 4096).select("target", "alias")
+    return graph.alias_closure(targets, out).select("target", "alias")
+
+
+@query("""WITH RECURSIVE r(t, a) AS (SELECT vec_id, vec_id FROM embeddings UNION ALL SELECT r.t, e.vec_id FROM r JOIN embeddings e ON e.vec_id // 2 = r.a WHERE e.vec_id > 0)
+SELECT 'g::m' || t || '::X' || t AS target, 'g::m' || a || '::X' || a AS alias FROM r""")
+def f1_alias_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The closure of all targets over all arcs of a tree of re-exports: each module offers the name of the one at half its number."""
+    full = lambda c: F.concat(F.lit("g::m"), c.cast("string"), F.lit("::X"), c.cast("string"))
+    v = F.col("vec_id")
+    out = _t(spark, d, "embeddings").filter("vec_id > 0").select(F.concat(F.lit("g::m"), v.cast("string")).alias("from_addr"), F.lit(False).alias("glob"), F.concat(F.lit("X"), v.cast("string")).alias("binding"), full(F.floor(v / 2)).alias("addr"), F.lit(True).alias("reexport"), F.lit(False).alias("is_prefix"))
+    everyone = graph.reach(F.lit("pub"), F.lit("g"), F.expr("cast(array() as array<string>)"), F.lit("rust"))
+    return graph.alias_closure(_t(spark, d, "embeddings").select(full(v).alias("addr"), everyone.alias("reach")), out).select("target", "alias")
 
 
 # Sets
