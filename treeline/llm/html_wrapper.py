@@ -21,8 +21,12 @@ rounds of salted ranking, and extraction needs no grouping by host.
 
 Defined cases: null and empty pages give the empty text; a null or hostless url belongs to
 the host ""; a page that does not align with the wrapper is judged alone; with one
-page a host all text counts as slots; cut-off pages are parsed as far as they go;
-repeated rows each give a row; extra columns are ignored.
+page a host all text counts as slots; cut-off pages are parsed as far as they go: a tag or
+comment without its end is dropped with what follows; elements nested deeper than DEPTH
+lie flat in the node at that depth, their text and the breaks between their blocks stay; lists of siblings
+with more than MOST_PAIRS pairs are aligned by key and order of occurrence; pages of any length
+are parsed whole, in linear time; repeated rows each give a row; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import settle, small_side, text_slices
+from treeline.llm.shared import BROADCAST_BYTES, settle, small_side, text_slices
 
 #: Pages of a host that shape its wrapper, and the salts that rank them.
 SAMPLE, SALTS = 12, 32
@@ -57,6 +62,9 @@ NOT_TEXT = frozenset("script style noscript template iframe noembed noframes svg
 NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus replies respond share sharing social related recommended widget pager pagination".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "area aside bar block bottom box buttons col column container content foot form group inner item items js left links list main message middle module outer page panel placeholder post primary right secondary section site small social text thread top unit wrap wrapper".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption address".split())
 MAINS = frozenset(("article", "main"))
@@ -66,72 +74,160 @@ CLOSES_P = BLOCKS - {"dd", "dt", "li", "body", "html", "head", "title", "option"
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table article section div body html main nav aside footer header form blockquote td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+#: Nodes stand at most so deep, as browsers hold it; what is nested deeper goes, in its order, into the node above.
+DEPTH = 160
+#: Two lists of siblings with more pairs than this are aligned by their keys in order of occurrence.
+MOST_PAIRS = 250_000
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TO_VALUE, _BLANKS, _BARE = re.compile(r"[^>=]*"), re.compile(r"\s*"), re.compile(r"[^\s>]*")
 _NAME = re.compile(r"""(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_CLOSED = re.compile(r"""(?:["'\s]|^)/$""")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "items")
+    __slots__ = ("tag", "words", "items", "block")
 
     def __init__(self, tag: str, words: tuple[str, ...] = ()) -> None:
-        self.tag, self.words, self.items = tag, words, []  # items: nodes and strings
+        self.tag, self.words, self.items, self.block = tag, words, [], False  # items: nodes and strings; block: a block is below
+
+
+class _Finder:
+    """str.find over a page read from left to right: what was not found once is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.none = page, set()
+
+    def __call__(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        if (k := self.page.find(what, at)) < 0:
+            self.none.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin here, -1 if none does. Quotes count after an = only."""
+        page = self.page
+        while True:
+            at = _TO_VALUE.match(page, at).end()
+            if at >= len(page):
+                return -1
+            if page[at] == ">":
+                return at
+            at = _BLANKS.match(page, at + 1).end()
+            if page[at : at + 1] in ("'", '"') and (k := self(page[at], at + 1)) >= 0:
+                at = k + 1
+            elif page[at : at + 1] not in ("'", '"'):
+                at = _BARE.match(page, at).end()
+            else:  # a quote that is never closed
+                at += 1
+
+
+class _Stack:
+    """Open elements: tag, node, depth of the node, place of the nearest block other than p, place of the nearest scope."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, Node, int, int, int]] = [("#", Node("#"), 0, 0, 0)]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: Node, depth: int) -> None:
+        k, above = len(self.rows), self.rows[-1]
+        self.rows.append((tag, node, depth, k if tag in BLOCKS and tag != "p" else above[3], k if tag in SCOPES else above[4]))
+        self.at.setdefault(tag, []).append(k)
+
+    def nearest(self, tags) -> int:  # noqa: ANN001
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, k: int) -> None:
+        """Close the element at k and all inside it."""
+        broken = False
+        while len(self.rows) > k:
+            tag, node, _, _, _ = self.rows.pop()
+            self.at[tag].pop()
+            broken |= tag in BLOCKS and node is self.rows[-1][1]
+        if broken:
+            self.part()
+
+    def part(self) -> None:
+        """Let what follows begin a new block."""
+        if not ((items := self.rows[-1][1].items) and not isinstance(items[-1], str) and items[-1].tag == "hr"):
+            self.add(Node("hr"))
+
+    def add(self, node: Node) -> None:
+        """Put a node into the innermost element."""
+        self.rows[-1][1].items.append(node)
+        if node.tag in BLOCKS:
+            for row in reversed(self.rows):
+                if row[1].block:
+                    break
+                row[1].block = True
 
 
 def parse(page: str) -> Node:
-    """A forgiving tree of the page; text is still with character references."""
-    root = Node("#")
-    stack, at = [root], 0
-
-    def close(tags: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in SCOPES:
-                return
-
+    """A forgiving tree of the page, in time linear in its length; text is still with character references. A tag that no > ends is dropped with what follows."""
+    stack, find, at = _Stack(), _Finder(page), 0
+    root = stack.rows[0][1]
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].items.append(page[at:])
+        k = find("<", at)
+        if k < 0:
+            stack.rows[-1][1].items.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if k > at:
+            stack.rows[-1][1].items.append(page[at:k])
+        m = _OPEN.match(page, k)
+        if m is None:
+            mark = "-->" if page.startswith("<!--", k) else ">"
+            if page[k + 1 : k + 2] not in ("!", "?"):
+                stack.rows[-1][1].items.append("<")
+                at = k + 1
+            elif (end := find(mark, k)) < 0:
+                break
+            else:
+                at = end + len(mark)
             continue
-        tag = m[2].lower()
+        end = find.tag_end(m.end())
+        if end < 0:
+            break
+        at, tag = end + 1, m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):  # p may hold inline elements that were never closed
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if tag in ENDS:
-            close(ENDS[tag])
-        names = _NAME.findall(m[3]) if m[3] else ()
-        node = Node(tag, tuple(_WORD.findall(" ".join(a or b or c for a, b, c in names).lower())))
-        stack[-1].items.append(node)
-        if tag in VOID or m[3].endswith("/"):
+            if stack.at.get(tag):
+                stack.cut(stack.at[tag][-1])
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
-            node.items.append(page[at : end.start() if end else len(page)])
-            at = len(page) if end is None else (page.find(">", end.start()) + 1 or len(page))
-            continue
-        stack.append(node)
+        if tag in CLOSES_P and (k := stack.nearest("p")) > stack.rows[-1][3]:  # p may hold inline elements that were never closed
+            stack.cut(k)
+        if tag in ENDS and (k := stack.nearest(ENDS[tag])) and k >= stack.rows[-1][4]:
+            stack.cut(k)
+        given = page[m.end() : end]
+        node = Node(tag, tuple(_telling(_NAME.findall(given))) if "=" in given else ())
+        depth = stack.rows[-1][2]
+        if tag in VOID or tag in RAW:
+            stack.add(node)
+            if tag in RAW:
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                node.items.append(page[at : close.start() if close else len(page)])
+                at = len(page) if close is None else (find(">", close.start()) + 1 or len(page))
+        elif tag not in BLOCKS and _CLOSED.search(given):
+            stack.add(node)  # an inline element written as empty
+        elif depth < DEPTH or kind_of(node) == HARD and depth < DEPTH + 1:
+            stack.add(node)
+            stack.push(tag, node, depth + 1)
+        else:
+            if tag in BLOCKS:
+                stack.part()
+            stack.push(tag, stack.rows[-1][1], depth)
     return root
 
 
+def _telling(names: list[tuple[str, str, str]]) -> Iterator[str]:
+    """The words of class and id; a listed word counts only in a name made of listed and neutral words alone."""
+    for name in " ".join(a or b or c for a, b, c in names).lower().split():
+        found = _WORD.findall(name)
+        plain = all(w in NOT_TEXT_WORDS or w in NEUTRAL_WORDS for w in found)
+        yield from (w if plain or w not in NOT_TEXT_WORDS else f"+{w}" for w in found)
+
+
 def kind_of(node: Node) -> int:
     """FIT for article text; SOFT where class words, or a form, speak against it and the text decides; HARD where the tag rules it out."""
     if node.tag in NOT_TEXT and node.tag != "form":
@@ -142,7 +238,7 @@ def kind_of(node: Node) -> int:
 class Shape:
     """A node of the tree of blocks: key, children, own lines in their order among the children, and what pages showed there."""
 
-    __slots__ = ("key", "kind", "kids", "parts", "no", "seen", "same", "mass", "slot", "constant", "state")
+    __slots__ = ("key", "kind", "kids", "parts", "no", "seen", "same", "mass", "slot", "constant", "state", "form", "size")
 
     def __init__(self, key: str, kind: int) -> None:
         self.key, self.kind, self.no = key, kind, 0
@@ -150,16 +246,13 @@ class Shape:
         self.parts: list[Shape | tuple[str, bool]] = []  # children and (line, whether text outside links is in it)
         self.seen, self.same, self.mass, self.slot = 1, None, 0, 0  # same: hash of the own text while it is equal on all pages
         self.constant, self.state = False, OPEN
+        self.form, self.size = 0, 1  # of the tree below: equal for equal trees of keys; its nodes
 
     @property
     def tag(self) -> str:
         return self.key.split(" ", 1)[0]
 
 
-def _holds_block(node: Node) -> bool:
-    return any(not isinstance(x, str) and (x.tag in BLOCKS or _holds_block(x)) for x in node.items)
-
-
 def shape(node: Node) -> Shape:
     """The blocks under a node, inline elements dissolved, runs of equal leaves merged."""
     out = Shape(f"{node.tag} {' '.join(node.words)}".strip(), kind_of(node))
@@ -191,7 +284,7 @@ def shape(node: Node) -> Shape:
             if isinstance(x, str):
                 held.append(x)
                 free += 0 if linked else len(x.strip())
-            elif x.tag in BLOCKS or ((kind := kind_of(x)) == SOFT and _holds_block(x)):
+            elif x.tag in BLOCKS or ((kind := kind_of(x)) == SOFT and x.block):
                 end()
                 add(shape(x))
             elif x.tag == "br":
@@ -204,16 +297,32 @@ def shape(node: Node) -> Shape:
     return out
 
 
+def signed(s: Shape) -> Shape:
+    """Sets form and size of all nodes."""
+    s.form, s.size = hash((s.key, *[signed(k).form for k in s.kids])), 1 + sum(k.size for k in s.kids)
+    return s
+
+
 def match(a: Shape, b: Shape, memo: dict) -> int:
-    """Simple tree matching: the most nodes that an order-keeping matching pairs."""
+    """Simple tree matching: the most nodes that an order-keeping matching pairs. Trees are told by their forms."""
     if a.key != b.key:
         return 0
-    at = (id(a), id(b))
+    if a.form == b.form:
+        return a.size
+    at = (a.form, b.form)
     if at not in memo:
-        memo[at] = 1 + (_table(a.kids, b.kids, memo)[-1][-1] if a.kids and b.kids else 0)
+        memo[at] = 1 + _total(a.kids, b.kids, memo)
     return memo[at]
 
 
+def _total(x: list[Shape], y: list[Shape], memo: dict) -> int:
+    if not x or not y:
+        return 0
+    if len(x) * len(y) > MOST_PAIRS:
+        return sum(match(x[i], y[j], memo) for i, j in _by_occurrence(x, y))
+    return _table(x, y, memo)[-1][-1]
+
+
 def _table(x: list[Shape], y: list[Shape], memo: dict) -> list[list[int]]:
     rows = [[0] * (len(y) + 1)]
     for p in x:
@@ -224,8 +333,37 @@ def _table(x: list[Shape], y: list[Shape], memo: dict) -> list[list[int]]:
     return rows
 
 
+def _by_occurrence(x: list[Shape], y: list[Shape]) -> list[tuple[int, int]]:
+    """For very long lists: the n-th of a key goes with the n-th of that key, and of these pairs the longest run in order of both is kept."""
+    places: dict[tuple[str, int], int] = {}
+    seen: dict[str, int] = {}
+    for j, q in enumerate(y):
+        seen[q.key] = seen.get(q.key, 0) + 1
+        places[q.key, seen[q.key]] = j
+    seen.clear()
+    ends: list[int] = []
+    tops: list[int] = []
+    pairs: list[tuple[int, int, int]] = []  # (i, j, pair before)
+    for i, p in enumerate(x):
+        seen[p.key] = seen.get(p.key, 0) + 1
+        if (j := places.get((p.key, seen[p.key]))) is None:
+            continue
+        at = bisect_left(ends, j)
+        pairs.append((i, j, tops[at - 1] if at else -1))
+        ends[at : at + 1], tops[at : at + 1] = [j], [len(pairs) - 1]
+    out, k = [], tops[-1] if tops else -1
+    while k >= 0:
+        i, j, k = pairs[k]
+        out.append((i, j))
+    return out[::-1]
+
+
 def aligned(x: list[Shape], y: list[Shape], memo: dict) -> list[tuple[int, int]]:
     """Indexes of the pairs of the best matching of two lists of siblings."""
+    if len(x) == len(y) and all(p.form == q.form for p, q in zip(x, y, strict=True)):
+        return [(i, i) for i in range(len(x))]
+    if len(x) * len(y) > MOST_PAIRS:
+        return _by_occurrence(x, y)
     rows, i, j, out = _table(x, y, memo), len(x), len(y), []
     while i and j:
         if (w := match(x[i - 1], y[j - 1], memo)) and rows[i][j] == rows[i - 1][j - 1] + w:
@@ -311,7 +449,7 @@ def merged(pages: list[str]) -> Shape:
     template = shapes[0]
     _start(template)
     for s in shapes[1:]:
-        merge(template, s, {})
+        merge(signed(template), signed(s), {})
 
     def thin(s: Shape) -> None:
         if s.seen < 2 or 2 * s.seen < len(shapes):
@@ -325,7 +463,7 @@ def merged(pages: list[str]) -> Shape:
 
 def induce(pages: list[str]) -> Shape:
     """The wrapper of the pages, its nodes judged by these pages alone."""
-    return judge(merged(pages))
+    return judge(signed(merged(pages)))
 
 
 def to_json(s: Shape) -> str:
@@ -344,7 +482,7 @@ def from_json(text: str) -> Shape:
         s.kids = [grown(k) for k in x[5]]
         return s
 
-    return grown(json.loads(text))
+    return signed(grown(json.loads(text)))
 
 
 def tally(wrapper: Shape, page: Shape, memo: dict, into: Callable[[int, bool, int], None]) -> None:
@@ -386,7 +524,7 @@ def extract(page: str | None, wrapper: Shape | None) -> str:
     """The main text of a page, by its host's wrapper or, where a part does not align, by its own."""
     if not page:
         return ""
-    tree = judge(shape(parse(page)))
+    tree = judge(signed(shape(parse(page))))
     out: list[str] = []
     _emit(tree, wrapper, False, {}, out)
     return "\n".join(out)
@@ -397,12 +535,12 @@ def _host(url: str) -> F.Column:
 
 
 def _sampled(pages: DataFrame) -> DataFrame:
-    """page_id and host of the pages that shape wrappers: of each host those with the smallest hashes, equal pages once."""
+    """page_id, host and dice, a hash of the page, of the pages that shape wrappers: of each host those with the smallest hashes, equal pages once."""
     slim = pages.filter("page_id is not null and html <> ''").select("page_id", _host("url").alias("host"), F.xxhash64("html").alias("dice")).groupBy("host", "dice").agg(F.min("page_id").alias("page_id"))
     salted = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(2)), F.lit(SALTS)))
     for keys in (("host", "salt"), ("host",)):  # the first round leaves at most SALTS * SAMPLE rows a host
         salted = salted.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("dice", "page_id"))).filter(F.col("place") <= SAMPLE)
-    return salted.select("page_id", "host").distinct()
+    return salted.select("page_id", "host", "dice")
 
 
 def _held(texts: Iterator[str | None], held: dict[str, Shape]) -> Iterator[Shape | None]:
@@ -439,7 +577,7 @@ def _tallied(rows: DataFrame) -> DataFrame:
                     at[1] += same
                     at[2] += mass
 
-                tally(wrapper, shape(parse(page)), {}, into)
+                tally(wrapper, signed(shape(parse(page))), {}, into)
             if len(sums) > 100_000:
                 yield out()
         yield out()
@@ -449,17 +587,27 @@ def _tallied(rows: DataFrame) -> DataFrame:
     return nodes.groupBy("host").agg(F.collect_list(F.struct("no", "seen", "same", "mass")).alias("stats"))
 
 
+def _beside(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """rows(host, html) with their host's wrapper, broadcast if the measured size allows it, else joined with the rows of each host dealt out by SALTS."""
+    held = known.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64), F.lit(0))).first()[0]
+    if held <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(known), "host", how)
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], how).drop("salt")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """host and its wrapper as text: nodes from a sample, judged by all pages."""
     picked = settle(_sampled(pages), "wrapper-sample")
-    shown = pages.select("page_id", "html").filter("html is not null and html <> ''").join(small_side(picked, 64), "page_id")
+    rows = pages.select("page_id", _host("url").alias("host"), F.xxhash64("html").alias("dice"), "html").filter("html <> ''")
+    # Rows that repeat a page are equal here, so a host has at most SAMPLE rows.
+    shown = rows.join(small_side(picked, 64), ["page_id", "host", "dice"]).dropDuplicates(["host", "dice"])
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        some = group.sort_values(["page_id", "html"])["html"].drop_duplicates().head(2 * SAMPLE).tolist()
-        return pd.DataFrame({"host": [key[0]], "wrapper": [to_json(merged(some))]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [to_json(merged(group.sort_values("dice", kind="stable")["html"].tolist()))]})
 
     drafts = settle(shown.groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrapper-drafts")
-    rows = pages.select(_host("url").alias("host"), "html").join(small_side(drafts, 4096), "host")
+    rows = _beside(pages.select(_host("url").alias("host"), "html"), drafts, "inner")
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -480,5 +628,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(page, wrapper) for page, wrapper in zip(batch.column("html").to_pylist(), _held(batch.column("wrapper").to_pylist(), held), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(small_side(known, 4096), "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = _beside(rows, known, "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(scan, "page_id long, url string, text string, n_chars long")
