@@ -5,12 +5,16 @@ it; at each word it knows the longest run of words, ending there, that occurs in
 A window is `WINDOW` consecutive words of an item, or a whole item that is shorter. Every
 word inside an occurrence of a window is a hit.
 
-Items are dealt into blocks of bounded size, one automaton a block, each sent to all tasks;
-all documents pass each block in turn and carry their hits along, so nothing is shuffled.
-
-Defined cases: null and empty texts have no words and no hits; an item without words has no
-window; repeated items each count with their own item_id; an empty items table leaves
-every document clean; repeated rows of documents each give a row.
+Items are dealt into blocks of bounded size, one automaton a block, each sent to all tasks. With
+one block nothing is shuffled. With more, the documents are numbered and written once, each
+block reads them and leaves rows for documents that it hits alone, and those few are united
+and joined back; a block's table is dropped when its hits are written.
+
+Defined cases: null and empty texts have no words and no hits; texts of any length are read
+whole; an item without words has no window; repeated items each count with their own
+item_id, equal item_ids as one item; items with a null item_id count together as one item that
+the digest and the list leave out; an empty items table leaves every document clean; an empty
+documents table gives an empty result; repeated rows of documents each give a row.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import settle, text_slices
+from treeline.llm.shared import settle, small_side, text_slices
 from treeline.llm.text import word_spans, words
 
 WINDOW = 13
@@ -39,13 +43,11 @@ class SuffixAutomaton:
         self.step: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.longest = [0]
-        self.ends: list[set[int]] = [set()]  # items whose whole text ends in the state's class
 
     def _state(self, longest: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.longest.append(longest)
-        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
@@ -79,7 +81,7 @@ class SuffixAutomaton:
 class Matcher:
     """A suffix automaton with, for every state, the items and windows that a match there completes."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         coded = [(i, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]) for i, ws in items if ws]
@@ -88,14 +90,21 @@ class Matcher:
             sam.add(ws)
         self.step, self.link, self.longest = sam.step, sam.link, sam.longest
         n = len(self.link)
-        full: list[set[int]] = [set() for _ in range(n)]  # items that contain a window of the state's class
-        short: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (length, item) of whole short items
+        full: list[set[int | None]] = [set() for _ in range(n)]  # items that contain a window of the state's class
+        short: list[list[tuple[int, int | None]]] = [[] for _ in range(n)]  # (length, item) of whole short items
+        # The state of the last `window` words of a match in each state, shortest states first: suffix links are followed once.
+        order = sorted(range(n), key=self.longest.__getitem__)
+        self.anchors = [0] * n
+        for s in order:
+            if self.longest[s] >= window:
+                up = self.link[s]
+                self.anchors[s] = s if self.longest[up] < window else self.anchors[up]
         for item, ws in coded:
             state, length = 0, 0
             for c in ws:  # every prefix of an item is in the automaton
                 state, length = self.step[state][c], length + 1
                 if length >= window:
-                    full[self.anchor(state)].add(item)
+                    full[self.anchors[state]].add(item)
             if length < window:
                 at = state
                 while at > 0 and self.longest[self.link[at]] >= length:
@@ -103,24 +112,17 @@ class Matcher:
                 short[at].append((length, item))
         self.full = [tuple(x) for x in full]
         self.short: list[tuple[tuple[int, int], ...]] = [()] * n
-        for s in sorted(range(n), key=self.longest.__getitem__):
+        for s in order:
             self.short[s] = tuple(short[s]) + (self.short[self.link[s]] if s else ())
-        self.anchors = [self.anchor(s) if self.longest[s] >= window else 0 for s in range(n)]
         self.least = min([window, *(len(ws) for _, ws in coded)]) if coded else window
         # Pairs of words that follow one another in an item: a cheap test of where a match may run.
         self.pairs = np.unique(np.array([a * len(self.vocabulary) + b for _, ws in coded for a, b in zip(ws, ws[1:], strict=False)], np.int64))
 
-    def anchor(self, state: int) -> int:
-        """The state of the last `window` words of a match in `state`."""
-        while self.longest[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
-    def find(self, ws: list[bytes]) -> tuple[np.ndarray, set[int]]:
+    def find(self, ws: list[bytes]) -> tuple[np.ndarray, set[int | None]]:
         """Which words are hit, and the items that occur."""
         n = len(ws)
         hit = np.zeros(n + 1, np.int32)
-        items: set[int] = set()
+        items: set[int | None] = set()
         if n < self.least or not self.vocabulary:
             return hit[:n] > 0, items
         get, v = self.vocabulary.get, len(self.vocabulary)
@@ -163,17 +165,22 @@ class Matcher:
                 hit[i + 1] -= 1
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Blocks of items; each block is fetched by a filter on item_id's hash, so the driver holds one block."""
+def _block_count(items: DataFrame, block_words: int) -> int:
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // (block_words * 6)))
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r["item_id"], words(r["text"])) for r in part.select("item_id", "text").toLocalIterator()]
+    return max(1, -(-total // (block_words * 6)))
+
+
+def _block(items: DataFrame, k: int, n: int) -> list[tuple[int | None, list[bytes]]]:
+    """Block k of n, fetched by a filter on the hash of the item's id and text, so the driver holds one block."""
+    part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return [(r["item_id"], words(r["text"])) for r in part.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator()]
 
 
 _RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_HITS, _ITEMS, _WORDS = "__hits", "__items", "__n_words"
+_HITS, _ITEMS, _WORDS, _ROW = "__hits", "__items", "__n_words", "__row"
+
+
+_NONE_FOUND = {_WORDS: "cast(0 as bigint)", _HITS: "cast(array() as array<struct<start:int,end:int>>)", _ITEMS: "cast(array() as array<bigint>)"}
 
 
 def _runs(hit: np.ndarray) -> list[dict[str, int]]:
@@ -181,36 +188,68 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
 
 
-def _pass_block(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001 - a broadcast Matcher
-    """Unite the hits that rows carry with those of one automaton."""
+def _listed(items: set[int | None]) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is None, i or 0))
+
+
+def _pass_block(rows: DataFrame, shared, hits_alone: bool) -> DataFrame:  # noqa: ANN001 - a broadcast Matcher
+    """rows with their words counted and the hits of one automaton; only rows with hits, without their text, if asked so."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value
         for batch in text_slices(batches, "text"):
             hits, found, counts = [], [], []
-            for text, old, ids in zip(batch.column("text").to_pylist(), batch.column(_HITS).to_pylist(), batch.column(_ITEMS).to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 ws = words(text)
-                hit, new = matcher.find(ws)
+                hit, items = matcher.find(ws)
                 counts.append(len(ws))
-                for run in old:
-                    hit[run["start"] : run["end"]] = True
-                hits.append(_runs(hit) if new or old else [])
-                found.append(sorted({*ids, *new}))
-            kept = [batch.column(i) for i in range(batch.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_RUN)), pa.array(found, pa.list_(pa.int64()))], batch.schema.names)
+                hits.append(_runs(hit) if items else [])
+                found.append(_listed(items))
+            kept = [batch.column(n) for n in names]
+            out = pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_RUN)), pa.array(found, pa.list_(pa.int64()))], [*names, *_NONE_FOUND])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_())) if hits_alone else out
+
+    names = [_ROW] if hits_alone else rows.columns
+    return rows.mapInArrow(scan, rows.select(*names).withColumns({k: F.expr(v) for k, v in _NONE_FOUND.items()}).schema)
+
+
+def _united(parts: DataFrame) -> DataFrame:
+    """The hits of all blocks of each document: a row a document, runs that overlap joined."""
+
+    def unite(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            hits, items = [], []
+            for runs, ids in zip(batch.column(_HITS).to_pylist(), batch.column(_ITEMS).to_pylist(), strict=True):
+                joined: list[dict[str, int]] = []
+                for run in sorted((r for part in runs for r in part), key=lambda r: r["start"]):
+                    if joined and run["start"] <= joined[-1]["end"]:
+                        joined[-1]["end"] = max(joined[-1]["end"], run["end"])
+                    else:
+                        joined.append(dict(run))
+                hits.append(joined)
+                items.append(_listed({i for part in ids for i in part}))
+            yield pa.RecordBatch.from_arrays([batch.column(_ROW), pa.array(hits, pa.list_(_RUN)), pa.array(items, pa.list_(pa.int64()))], [_ROW, _HITS, _ITEMS])
 
-    return rows.mapInArrow(scan, rows.schema)
+    together = parts.groupBy(_ROW).agg(F.collect_list(_HITS).alias(_HITS), F.collect_list(_ITEMS).alias(_ITEMS))  # a row a block at most
+    return together.mapInArrow(unite, parts.select(_ROW, _HITS, _ITEMS).schema)
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with __n_words, __hits (runs of hit words, end exclusive) and __items (ids of the items that occur)."""
     context = docs.sparkSession.sparkContext
-    rows = docs.withColumns({_WORDS: F.lit(0).cast("long"), _HITS: F.expr("cast(array() as array<struct<start:int,end:int>>)"), _ITEMS: F.expr("cast(array() as array<bigint>)")})
-    for k, block in enumerate(_blocks(items, block_words)):
-        if k:  # one automaton at a time in memory
-            rows = settle(rows, "hits")
-        rows = _pass_block(rows, context.broadcast(Matcher(block, window)))
-    return rows
+    n = _block_count(items, block_words)
+    if n == 1:
+        return _pass_block(docs, context.broadcast(Matcher(_block(items, 0, 1), window)), False)
+    rows = settle(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    parts = None
+    for k in range(n):  # one automaton at a time in memory
+        shared = context.broadcast(Matcher(_block(items, k, n), window))
+        hit = settle(_pass_block(rows.select(_ROW, "text"), shared, True), "hits")
+        shared.unpersist()
+        parts = hit if parts is None else parts.unionByName(hit)
+    counted = _pass_block(rows, context.broadcast(Matcher([], window)), False).drop(_HITS, _ITEMS)
+    out = counted.join(small_side(settle(_united(parts), "united"), 256), _ROW, "left")
+    return out.select(*docs.columns, _WORDS, *[F.coalesce(k, F.expr(v)).alias(k) for k, v in _NONE_FOUND.items() if k != _WORDS])
 
 
 def judge(hits: DataFrame) -> DataFrame:
