@@ -1,17 +1,21 @@
 """Secret scans: three fixed patterns, and a guess-cost estimate for values in credential contexts.
 
 A value that follows a credential word may be a real secret or a plain word. Its cost is
-log10 of the guesses an attacker needs, by dynamic programming over all segmentations into
-words, dates, repeats, keyboard walks and brute-force spans: best[j] is the least, over i, of
-best[i] + cost of the segment i..j, plus log10 of the factorial of the number of segments.
-Values of at least `LEAST_COST` become spans of kind "guess", whatever their characters: a word
-of the ranked list stays below by its cost, several words in a row may not.
+log10 of the guesses an attacker needs: the least sum, over all segmentations into words, dates,
+repeats, keyboard walks and brute-force spans, of the costs of the segments, with JOIN for each
+segment after the first. best[j] is the least, over the segments that end at j, of best[start] +
+cost; brute-force spans of every length are covered by one running minimum. A repeat is a
+whole run of two or more equal parts (as many as there are), a walk a whole run along a row of keys or of code points, of three characters at
+least, so their number grows with the length of the value and not with its square. Values
+of at least `LEAST_COST` become spans of kind "guess", whatever their characters: a word of the
+ranked list stays below by its cost, several words in a row may not.
 
 Offsets are code points, end exclusive, of the whole match (assignment word to value for
 "assign"). Base spans always stay; a guess span inside a base span is not added again.
 
-Defined cases: null and empty texts have no spans; texts of any length are scanned whole;
-repeated rows each give a row; other columns are ignored.
+Defined cases: null and empty texts have no spans; texts and values of any length are judged whole, no
+segment is bounded but by its kind; repeated rows each give a row; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,72 +60,118 @@ _NEXT = {a: b for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)}
 _LOG2 = math.log10(2)
 
 
-def _alphabet(c: str) -> int:
-    return 10 if c.isdigit() else 26 if c.isalpha() else 33
+#: log10 of the choices that each segment after the first adds.
+JOIN = math.log10(3)
+_LONGEST = max(map(len, RANK))
+_STARTS = {w[:k] for w in RANK for k in range(1, len(w) + 1)}
 
 
-def _word_cost(part: str) -> float | None:
-    low = part.lower()
-    rank, extra = RANK.get(low), 0.0
-    if rank is None and (plain := low.translate(_LEET)) != low:
-        rank, extra = RANK.get(plain), _LOG2 * sum(a != b for a, b in zip(low, plain, strict=True))
-    if rank is None:
-        return None
-    upper = sum(c.isupper() for c in part)
-    return math.log10(rank) + extra + (0 if not upper else _LOG2 if upper in (1, len(part)) else _LOG2 * upper)
+def _brute(value: str) -> list[float]:
+    """Running cost of guessing each character of its kind."""
+    return list(accumulate((1.0 if c.isdigit() else _LOG26 if c.isalpha() else _LOG33 for c in value), initial=0.0))
 
 
-_DATE = re.compile(r"(?:(19|20)\d\d)(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
+_LOG26, _LOG33 = math.log10(26), math.log10(33)
 
 
-def _walk_cost(part: str) -> float | None:
-    """A run along one row of keys, or up or down the code points."""
-    low = part.lower()
-    along = all(_NEXT.get(a) == b for a, b in zip(low, low[1:], strict=False)) or all(_NEXT.get(b) == a for a, b in zip(low, low[1:], strict=False))
-    steps = {ord(b) - ord(a) for a, b in zip(low, low[1:], strict=False)}
-    if not (along or steps in ({1}, {-1})):
-        return None
-    return math.log10(47 * 2 * len(part))
+def _words(value: str, low: str, plain: str) -> Iterator[tuple[int, int, float]]:
+    """Ranked words, with the cost of look-alike digits and of capitals. Words are letters alone, so look-alikes are always read as letters."""
+    swaps = list(accumulate((a != b for a, b in zip(low, plain, strict=True)), initial=0))
+    capitals = list(accumulate((c.isupper() for c in value), initial=0))
+    for i in range(len(value) - 2):
+        for j in range(i + 1, min(len(value), i + _LONGEST) + 1):
+            part = plain[i:j]
+            if part not in _STARTS:
+                break
+            if j - i >= 3 and part in RANK:
+                upper = capitals[j] - capitals[i]
+                yield i, j, math.log10(RANK[part]) + _LOG2 * (swaps[j] - swaps[i]) + (0 if not upper else _LOG2 if upper in (1, j - i) else _LOG2 * upper)
 
 
-#: Segments are at most so long; a value beyond PIECE is judged by its costliest piece, which it costs at least.
-SEGMENT, PIECE = 40, 256
+_DATE = re.compile(r"(?:(19|20)\d\d)(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.ASCII)
+_DATE_SIZES = {4: math.log10(120), **dict.fromkeys((6, 7, 8, 10), math.log10(365 * 120))}
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation; 0 for the empty string."""
-    return max((_piece_cost(value[i : i + PIECE]) for i in range(0, len(value), PIECE)), default=0.0)
+def _dates(value: str) -> Iterator[tuple[int, int, float]]:
+    for i in range(len(value) - 3):
+        if value[i] in "0123456789":
+            for size, cost in _DATE_SIZES.items():
+                if i + size <= len(value) and _DATE.fullmatch(value, i, i + size):
+                    yield i, i + size, cost
 
 
-@lru_cache(maxsize=4096)
-def _piece_cost(value: str) -> float:
+def _walks(low: str) -> Iterator[tuple[int, int, float]]:
+    """Whole runs along one row of keys, either way, or up or down the code points."""
+    steps = (lambda a, b: _NEXT.get(a) == b, lambda a, b: _NEXT.get(b) == a, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1)
+    for follows in steps:
+        i = 0
+        for j in range(1, len(low) + 1):
+            if j == len(low) or not follows(low[j - 1], low[j]):
+                if j - i >= 3:
+                    yield i, j, math.log10(47 * 2 * (j - i))
+                i = j
+
+
+def runs(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, period) of all maximal runs: stretches of two or more periods, the least period of each.
+
+    A run of period p covers two neighbours among the places 0, p, 2p, ...; equal neighbours are
+    grown both ways, and a place inside a run whose period divides p is passed over, so the
+    work is near n log n.
+    """
     n = len(value)
-    # best[m][j]: least cost of the first j characters in m segments, m up to 8; beyond, the order term is dropped.
-    most = 8
-    best = [[math.inf] * (n + 1) for _ in range(most + 1)]
-    best[0][0] = 0.0
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + math.log10(_alphabet(c)))
+    reach: list[tuple[int, int]] = [(0, 0)] * n  # the farthest end of a run over a place, and its period
+    for p in range(1, n // 2 + 1):
+        x = 0
+        while x + p < n:
+            end, known = reach[x]
+            if known and p % known == 0 and end >= x + p:
+                x = max(x + p, (end - p) // p * p + p)
+                continue
+            if value[x] != value[x + p]:
+                x += p
+                continue
+            j = x + p
+            while j < n and value[j] == value[j - p]:
+                j += 1
+            i = x
+            while i > 0 and value[i - 1] == value[i - 1 + p]:
+                i -= 1
+            if j - i >= 2 * p:
+                yield i, j, p
+                for k in range(i, j):
+                    if reach[k][0] < j:
+                        reach[k] = (j, p)
+            x = max(x + p, (j - p) // p * p + p)
+
+
+def _repeats(value: str, brute: list[float]) -> Iterator[tuple[int, int, float]]:
+    for start, end, p in runs(value):
+        for i in range(start, min(start + p, end - 2 * p + 1)):
+            times = (end - i) // p
+            if times * p >= 3:
+                yield i, i + times * p, brute[i + p] - brute[i] + math.log10(times)
+
+
+def segments(value: str) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of all segments but brute-force spans."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    return [*_words(value, low, low.translate(_LEET)), *_dates(value), *_walks(low), *_repeats(value, _brute(value))]
+
+
+@lru_cache(maxsize=4096)
+def guess_cost(value: str) -> float:
+    """log10 of the guesses for the cheapest segmentation; 0 for the empty string."""
+    n, brute = len(value), _brute(value)
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i, j, cost in segments(value):
+        into[j].append((i, cost))
+    best = [-JOIN]  # so that the first segment joins nothing
+    open_ = math.inf  # least of best[i] - brute[i] over the starts of a brute-force span
     for j in range(1, n + 1):
-        for i in range(max(0, j - SEGMENT), j):
-            part = value[i:j]
-            options = [brute[j] - brute[i] + math.log10(2)]
-            if len(part) >= 3:
-                options += [c for c in (_word_cost(part), _walk_cost(part)) if c is not None]
-                if len(part) in (4, 6, 7, 8, 10) and _DATE.fullmatch(part):
-                    options.append(math.log10(365 * 120) if len(part) > 4 else math.log10(120))
-                for period in range(1, len(part) // 2 + 1):
-                    if len(part) % period == 0 and part[:period] * (len(part) // period) == part:
-                        options.append(brute[i + period] - brute[i] + math.log10(len(part) // period))
-                        break
-            cost = min(options)
-            for m in range(most):
-                if best[m][i] + cost < best[min(m + 1, most)][j]:
-                    best[min(m + 1, most)][j] = best[m][i] + cost
-        if j > SEGMENT:  # brute force over all that came before
-            best[1][j] = min(best[1][j], brute[j])
-    return max(0.0, min(best[m][n] + math.log10(math.factorial(m)) for m in range(most + 1))) if n else 0.0
+        open_ = min(open_, best[j - 1] - brute[j - 1])
+        best.append(min([open_ + brute[j] + _LOG2, *(best[i] + cost for i, cost in into[j])]) + JOIN)
+    return max(0.0, best[n]) if n else 0.0
 
 
 _HEX_CLASS = bytes(0x68 if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x66 else 0x20 for c in range(256))
