@@ -72,6 +72,26 @@ def small_side(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out, per_class: int, seed: int, payload: str) -> DataFrame:  # noqa: ANN001 - held_out: a function of a column's name
+    """doc_id, mark and payload of at most per_class rows of docs of each label 0 and 1, none of them held out.
+
+    Only ids that docs holds are drawn, those with the smallest hashes. An id whose labels differ has
+    none; rows that repeat an id and its payload count once.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("mark")).filter("doc_id is not null and mark in (0, 1)").filter(~held_out("doc_id"))
+    known = known.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.max("mark").alias("other")).filter("mark = other").drop("other")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[payload].alias(payload))
+    there = rows.select("doc_id").join(small_side(known, 16), "doc_id").distinct()
+
+    def drawn(of: DataFrame, *ties: str) -> DataFrame:
+        one = [of.filter(F.col("mark") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", *ties).limit(per_class) for k in (0, 1)]
+        return one[0].unionByName(one[1])
+
+    ids = settle(drawn(there), "sample-ids")  # 2 * per_class rows at most
+    found = rows.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64(payload)).dropDuplicates(["doc_id", "h"])
+    return drawn(found, "h").select("doc_id", "mark", payload)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column's text is about `most` bytes a slice (one row at least)."""
     for batch in batches:

@@ -7,16 +7,22 @@ states, their sum gives a logit. A text is cut into windows that overlap by half
 scored, and the text's score is that of its worst window, calibrated so that 0.5 parts the
 training classes best.
 
-Training: windows of labelled rows first carry their text's label; then, in rounds, each text is
-represented by its highest window (multiple-instance learning). Rows used: at most
-TRAIN_PER_CLASS of each label, the ones with the smallest hash of doc_id, and of each at most
-WINDOWS_PER_TEXT windows spread over the whole text, so what reaches the driver is bounded.
-Scoring reads every word of every text.
+Training: at most TRAIN_PER_CLASS labelled rows of each label, the ones with the smallest hash of
+doc_id, are settled as a table and stay on the executors. First the network takes stochastic
+steps on windows drawn at random from the whole length of each row, FIRST_DRAWS a row, which carry
+their row's label. Then, in ROUNDS rounds, executors score all windows of all these rows, and the
+network takes steps on the highest window of each (multiple-instance learning). The place of
+0.5 is set by the highest of all windows of each row. The driver gets FIRST_DRAWS windows, then one
+window a row, and the words that occur in LEAST_TEXTS rows, VOCABULARY at most. Besides, the
+network learns that repetition is no abuse: windows made of one to three words of harmless rows (JUNK, or half
+as many as there are rows) are trained as harmless; they stand for junk in the documents
+and use no labels but those of the sample. Scoring reads every word of every text.
 
 Defined cases: null, empty and wordless texts have one window without words, scored by the
-bias alone; texts of any length are scored whole; labels that are null or stand for no
-document are not used; with no usable labels of both classes every score is 0; repeated rows
-each give a row.
+bias alone; texts of any length are learnt from and scored whole; labels that are null, stand for no
+document or differ for one doc_id are not used; with no usable labels of both classes every score is 0; repeated rows
+each give a row; an empty documents table gives an empty result; other columns are ignored, and
+kept by remove_toxic.
 """
 
 from __future__ import annotations
@@ -29,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import text_slices
+from treeline.llm.shared import labelled_sample, settle, text_slices
 from treeline.llm.text import words
 
 WINDOW, STRIDE = 32, 16
-TRAIN_PER_CLASS, WINDOWS_PER_TEXT, VOCABULARY = 1500, 48, 20_000
+TRAIN_PER_CLASS, FIRST_DRAWS, ROUNDS, VOCABULARY, JUNK = 1500, 16, 5, 20_000, 500
 WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS = 8, 8, 8, 8192
 #: Words whose gate inputs a worker keeps at hand; the table is emptied when full.
 CACHE = 60_000
@@ -178,6 +184,19 @@ class Network:
                 np.maximum.at(out, owner[a : a + _CHUNK], self.window_logits(self._gates, index))
         return out
 
+    def tops(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest window logit of each text, and the first word of that window (the first of equal ones)."""
+        best, first = self.worst(texts), np.zeros(len(texts), np.int64)
+        rows = self._lookup(list(chain.from_iterable(texts)))
+        at = 0
+        for i, ws in enumerate(texts):
+            if len(ws) > WINDOW:
+                begin = np.array(starts(len(ws)), np.int64)
+                logits = np.concatenate([self.window_logits(self._gates, rows[at + begin[None, a : a + _CHUNK] + np.arange(WINDOW)[:, None]]) for a in range(0, len(begin), _CHUNK)])
+                first[i] = begin[int(logits.argmax())]
+            at += len(ws)
+        return best, first
+
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((self.worst(texts) - self.shift) * self.slope, -30, 30)))
 
@@ -248,55 +267,6 @@ class Network:
             char[:, c] = np.bincount(grams, spread[:, c], BUCKETS)
         return g | {"word": word, "char": char}
 
-    def fit(self, texts: list[list[list[bytes]]], labels: np.ndarray, seed: int = 11, batch: int = 256, rate: float = 0.01) -> None:
-        """texts: the sampled windows of each text."""
-        rng = np.random.default_rng(seed)
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step = 0
-
-        def train(windows: list[list[bytes]], marks: np.ndarray, least: int, speed: float) -> None:
-            nonlocal step
-            full = np.array([i for i, w in enumerate(windows) if len(w) == WINDOW])
-            rest = [i for i, w in enumerate(windows) if 0 < len(w) < WINDOW]
-            share = np.clip(marks.mean(), 1e-3, 1 - 1e-3)
-            done = 0
-            while done < least:
-                groups = [x for x in np.array_split(rng.permutation(full), max(1, len(full) // batch)) if len(x)] if len(full) else []
-                lengths: dict[int, list[int]] = {}
-                for i in rest:
-                    lengths.setdefault(len(windows[i]), []).append(i)
-                groups += [np.array(x) for x in lengths.values()]
-                if not groups:
-                    return
-                for k in rng.permutation(len(groups)):
-                    at = groups[k]
-                    y = marks[at]
-                    g = self.gradients([windows[i] for i in at], y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) * (1.0 if len(at) >= 8 else 0.3), rng)
-                    step += 1
-                    for name, grad in g.items():
-                        m, v = moments[name]
-                        m += 0.1 * (grad - m)
-                        v += 0.01 * (grad * grad - v)
-                        self.p[name] -= (speed * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-                        if name in ("word", "char"):
-                            self.p[name] *= np.float32(1 - speed * DECAY * 10)
-                    done += 1
-                    if done >= least:
-                        return
-
-        most = max(8, 24_000 // len(texts))
-        drawn = [(w, y) for ws, y in zip(texts, labels, strict=True) for w in (ws if len(ws) <= most else [ws[i] for i in sorted(rng.choice(len(ws), most, replace=False))])]
-        train([w for w, _ in drawn], np.array([y for _, y in drawn], np.float64), 160, rate)
-        for round_ in range(5):
-            self._reset()
-            top = []
-            for ws in texts:
-                logits = self.worst(ws)
-                top.append(ws[int(np.argmax(logits))])
-            train(top, labels.astype(np.float64), 24, rate * 0.7**round_)
-        self._reset()
-        self.calibrate(np.array([self.worst(ws).max() for ws in texts]), labels)
-
     def calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
         """Puts 0.5 in the middle of the gap that parts the classes with the fewest errors."""
         order = np.argsort(logits)
@@ -313,49 +283,128 @@ def held_out(doc_id) -> F.Column:  # noqa: ANN001
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _training_windows(docs: DataFrame, labels: DataFrame) -> tuple[list[list[list[bytes]]], np.ndarray]:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("mark")).filter("doc_id is not null and mark in (0, 1)").filter(~held_out("doc_id"))
-    # A bounded number of ids: the smallest hashes of each class.
-    drawn = [known.filter(F.col("mark") == k).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(TRAIN_PER_CLASS) for k in (0, 1)]
-    ids = drawn[0].union(drawn[1]).dropDuplicates(["doc_id"])
+class Trainer:
+    """Steps of Adam on windows with marks, both classes with equal weight."""
+
+    def __init__(self, network: Network, seed: int = 11, batch: int = 256) -> None:
+        self.network, self.rng, self.batch, self.step = network, np.random.default_rng(seed), batch, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
+
+    def run(self, windows: list[list[bytes]], marks: np.ndarray, steps: int, rate: float) -> None:
+        full = np.array([i for i, w in enumerate(windows) if len(w) == WINDOW], np.int64)
+        share = np.clip(marks.mean(), 1e-3, 1 - 1e-3)
+        lengths: dict[int, list[int]] = {}
+        for i, w in enumerate(windows):
+            if 0 < len(w) < WINDOW:
+                lengths.setdefault(len(w), []).append(i)
+        done = 0
+        while done < steps and (len(full) or lengths):
+            groups = np.array_split(self.rng.permutation(full), max(1, len(full) // self.batch)) if len(full) else []
+            groups += [np.array(x) for x in lengths.values()]
+            for k in self.rng.permutation(len(groups))[: steps - done]:
+                at = groups[k]
+                y = marks[at]
+                weights = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) * (1.0 if len(at) >= 8 else 0.3)
+                self._adam(self.network.gradients([windows[i] for i in at], y, weights, self.rng), rate)
+                done += 1
+        self.network._reset()
+
+    def _adam(self, gradients: dict, rate: float) -> None:
+        self.step += 1
+        p = self.network.p
+        for name, grad in gradients.items():
+            m, v = self.moments[name]
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            p[name] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            if name in ("word", "char"):
+                p[name] *= np.float32(1 - rate * DECAY * 10)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def held_out(doc_id) -> F.Column:  # noqa: ANN001
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def _often(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """The words of at least LEAST_TEXTS rows, commonest first, and words of harmless rows, as many, drawn by hash."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            out = []
-            for text in batch.column("text").to_pylist():
-                ws = words(text)
-                at = list(starts(len(ws)))
-                if len(at) > WINDOWS_PER_TEXT:
-                    at = [at[i] for i in np.linspace(0, len(at) - 1, WINDOWS_PER_TEXT).astype(int)]
-                out.append([b" ".join(ws[s : s + WINDOW]) for s in at])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "mark", "windows"])
+            for text, mark in zip(batch.column("text").to_pylist(), batch.column("mark").to_pylist(), strict=True):
+                if found := sorted(set(words(text))):
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([mark == 0] * len(found))], ["word", "mild"])
 
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    rows = slim.join(F.broadcast(ids), "doc_id").select("doc_id", "mark", "text").mapInArrow(cut, "doc_id long, mark int, windows array<binary>").toLocalIterator()
-    found = sorted(((r["doc_id"], r["mark"], [bytes(w) for w in r["windows"]]) for r in rows), key=lambda r: (r[0], r[2]))
-    return [[w.split() for w in r[2]] for r in found], np.array([r[1] for r in found], np.int64)
+    counts = settle(sample.mapInArrow(spell, "word binary, mild boolean").groupBy("word").agg(F.count("*").alias("n"), F.bool_or("mild").alias("mild")), "sample-words")
+    often = counts.filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    mild = counts.filter("mild").orderBy(F.xxhash64("word"), "word").limit(VOCABULARY).collect()
+    return [bytes(r["word"]) for r in often], sorted(bytes(r["word"]) for r in mild)
+
+
+def _windows(sample: DataFrame, of) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:  # noqa: ANN001 - of: texts and row numbers to (text, first word, logit)
+    """Windows that executors choose from the rows with words, their marks and logits, in the order of the rows' numbers."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            texts = [words(t) for t in batch.column("text").to_pylist()]
+            numbers, marks = batch.column("number").to_pylist(), batch.column("mark").to_pylist()
+            some = [i for i, ws in enumerate(texts) if ws]
+            chosen = [(some[k], first, logit) for k, first, logit in of([texts[i] for i in some], [numbers[i] for i in some])]
+            columns = [[numbers[i] for i, _, _ in chosen], [marks[i] for i, _, _ in chosen], [b" ".join(texts[i][a : a + WINDOW]) for i, a, _ in chosen], [float(x) for _, _, x in chosen]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.float64()), strict=True)], ["number", "mark", "window", "logit"])
+
+    rows = sample.mapInArrow(choose, "number long, mark int, window binary, logit double").collect()
+    rows.sort(key=lambda r: (r["number"], bytes(r["window"])))
+    return [bytes(r["window"]).split() for r in rows], np.array([r["mark"] for r in rows], np.int64), np.array([r["logit"] for r in rows])
+
+
+def _draw(texts: list[list[bytes]], numbers: list[int]) -> Iterator[tuple[int, int, float]]:
+    """FIRST_DRAWS windows of each text, all of them if there are no more."""
+    for k, (ws, number) in enumerate(zip(texts, numbers, strict=True)):
+        begin = list(starts(len(ws)))
+        picks = range(len(begin)) if len(begin) <= FIRST_DRAWS else np.random.default_rng(number).choice(len(begin), FIRST_DRAWS, replace=False)
+        yield from ((k, begin[i], 0.0) for i in picks)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     """A network fitted on the bounded sample of labelled rows; none if a class is missing."""
-    texts, marks = _training_windows(docs, labels)
-    usable = [i for i, ws in enumerate(texts) if ws[0]]
-    texts, marks = [texts[i] for i in usable], marks[usable]
+    context = docs.sparkSession.sparkContext
+    found = labelled_sample(docs, labels, "toxic", held_out, TRAIN_PER_CLASS, 5, "text").withColumn("number", F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1))
+    sample = settle(found.repartition(max(8, context.defaultParallelism), "number"), "toxic-sample")
+    first, marks, _ = _windows(sample, _draw)
     if len(set(marks.tolist())) < 2:
         return None
-    counts: dict[bytes, int] = {}
-    for ws in texts:
-        for w in set(chain.from_iterable(ws)):
-            counts[w] = counts.get(w, 0) + 1
-    often = sorted((w for w, c in counts.items() if c >= LEAST_TEXTS), key=lambda w: (-counts[w], w))[:VOCABULARY]
+    often, mild = _often(sample)
     network = Network(often)
-    # Runs of one to three harmless words, as in junk: the network shall not take repetition for abuse.
     rng = np.random.default_rng(3)
-    clean = sorted(set(chain.from_iterable(chain.from_iterable(ws for ws, y in zip(texts, marks, strict=True) if y == 0))))
-    for _ in range(max(500, len(texts) // 2)):
-        few = [clean[i] for i in rng.integers(0, len(clean), rng.integers(1, 4))]
-        texts.append([list(chain.from_iterable([w] * -(-WINDOW // len(few)) for w in few))[:WINDOW]])
-    network.fit(texts, np.concatenate([marks, np.zeros(len(texts) - len(marks), np.int64)]))
+    junk = []
+    for _ in range(max(JUNK, sample.count() // 2)):
+        few = [mild[i] for i in rng.integers(0, len(mild), rng.integers(1, 4))]
+        junk.append(list(chain.from_iterable([w] * -(-WINDOW // len(few)) for w in few))[:WINDOW])
+    none = np.zeros(len(junk), np.int64)
+    trainer = Trainer(network)
+    trainer.run(first + junk, np.concatenate([marks, none]).astype(np.float64), 160, 0.01)
+
+    def tops() -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+        shared = context.broadcast(network)
+
+        def highest(texts: list[list[bytes]], numbers: list[int]) -> list[tuple[int, int, float]]:
+            if not texts:
+                return []
+            logits, at = shared.value.tops(texts)
+            shared.value._reset()
+            return list(zip(range(len(texts)), at.tolist(), logits.tolist(), strict=True))
+
+        try:
+            return _windows(sample, highest)
+        finally:
+            shared.unpersist()
+
+    for round_ in range(ROUNDS):
+        top, marks, _ = tops()
+        trainer.run(top + junk, np.concatenate([marks, none]).astype(np.float64), 24, 0.01 * 0.7**round_)
+    _, marks, logits = tops()
+    network.calibrate(np.concatenate([logits, network.worst(junk)]), np.concatenate([marks, none]))
+    network._reset()
     return network
 
 
