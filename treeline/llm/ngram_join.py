@@ -16,8 +16,9 @@ component_id (smallest doc_id reachable by links), n_links (other documents at t
 threshold or above, copies included), kept (doc_id = component_id).
 
 Defined cases: null, empty and wordless texts link with nothing; a text of one to four
-words is one run; a null doc_id links with nothing and is kept; rows that repeat a doc_id
-count as texts of one document; the empty table gives an empty result.
+words is one run; texts of any length are read whole; a null doc_id links with nothing and is
+kept; rows that repeat a doc_id count as texts of one document; extra columns are ignored, and kept by keep_one; the
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,7 +171,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
 
     # Only classes with copies or candidates need a join; all other rows stand alone.
     busy = classes.join(linked, "rep", "left").filter("copies > 1 or links > 0").select("set_key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(busy, "set_key", "left")
+    # Rows without a set or an id have nothing to look up and pass the join by.
+    alone = signed.filter("set_key is null or doc_id is null").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in busy.drop("set_key").dtypes])
+    looked_up = known.select("doc_id", "set_key").join(busy, "set_key", "left").drop("set_key")
+    out = looked_up.unionByName(alone)
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), component.alias("component_id"),

@@ -13,7 +13,8 @@ a task that is run again leaves an unused file and nothing else.
 Of records with equal payloads of at least MIN_REVISIT bytes, the one with the smallest
 identifier is a response; others are revisits that name it.
 
-Defined cases: a null payload is empty; a null url is written as "urn:none"; empty and long
+Defined cases: a null payload is empty; a null url is written as "urn:none", an empty one stays
+empty, line ends in a url are written as %0D and %0A; extra columns are ignored; empty and long
 payloads are whole records (a frame holds one record at least); a null page_id is written as
 "null" and is never referred to; rows that repeat a page_id with an equal payload are responses alike; the empty table makes no bundle.
 """
@@ -54,7 +55,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     """One WARC/1.1 record with a minimal HTTP header; a revisit has the header alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if refers_to is not None else http + payload
-    uri = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+    uri = ("urn:none" if url is None else url).replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {uri}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}", f"WARC-Payload-Length: {len(payload)}",
@@ -148,9 +149,11 @@ def _files(folder: str):  # noqa: ANN202 - (filesystem, path) of a URI or plain
 def _with_kinds(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to for every row."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    hashed = slim.withColumn("digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha2("payload", 256)))
+    # Small payloads take part in nothing: their key is spread, so that they do not meet in one task of the join.
+    small = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    hashed = slim.withColumn("digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha2("payload", 256)).otherwise(small))
     # Only digests that occur twice or more: rows of one digest are combined before the shuffle.
-    shared = hashed.select("page_id", "digest").filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    shared = hashed.select("page_id", "digest").filter("digest not like '-%'").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return hashed.join(settle(shared, "digests"), "digest", "left").select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
@@ -213,6 +216,11 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     return index.repartition(tasks, "bundle", "frame").mapInPandas(read, _READ_DDL)
 
 
+def find_records(index: DataFrame, folder: str, page_ids: list[int]) -> DataFrame:
+    """The records of some identifiers, payloads included: only the frames that hold them are read."""
+    return read_bundles(index.filter(F.col("page_id").isin(*page_ids)), folder)
+
+
 _READ = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
