@@ -42,7 +42,7 @@ def test_decontamination(spark):
         for k in range(max(1, len(ws) - 12)):
             if ws:
                 windows.setdefault(tuple(ws[k : k + 13]), set()).add(i)
-    out = {r["doc_id"]: r for r in queries.op2_decontaminate(spark, str(DATA)).collect()}
+    out = {r["doc_id"]: r for r in decontaminate.contamination(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     for r in table("documents"):
         ws = WORD.findall(lowered(r["text"]))
         hit, found = set(), set()

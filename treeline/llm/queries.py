@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,48 @@ FROM f
 """
 
 
+_LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP2 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+), i AS (
+  SELECT row_number() OVER () AS k, item_id, coalesce({_WORDS}, []) AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[pos : pos + least(len(w), 13) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS pos FROM i WHERE len(w) > 0)
+), s AS (
+  SELECT DISTINCT n FROM v
+), p AS (
+  SELECT r, pos, n, array_to_string(w[pos : pos + n - 1], ' ') AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, s WHERE len(w) >= n)
+), h AS (
+  SELECT r, pos, p.n, item_id FROM p JOIN v ON v.n = p.n AND v.t = p.t
+), c AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(pos, pos + n)) FROM h) GROUP BY r
+), m AS (
+  SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+"""
+
+_OP9 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), g AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), r(x, y) AS (
+  SELECT vec_id, vec_id FROM e UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), n AS (
+  SELECT x, count(DISTINCT y) AS n_links FROM l GROUP BY x
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) ON x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_bundle": _OP6}
+    return {"op2_decontaminate": _OP2, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9}
