@@ -7,11 +7,12 @@ from functools import lru_cache
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from treeline.llm import decontaminate, html_wrapper, ngram_join, queries, secrets, sharding, shared, warc_bundle
+from treeline.llm import decontaminate, html_wrapper, ngram_join, queries, secrets, sharding, shared, vector_neardup, warc_bundle
 
 DATA = Path("/root/testdata/sf0.001")
 here = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
@@ -139,6 +140,22 @@ def test_shards_of_many_equal_rows(spark):
     assert len(found) == 8 and sum(r["n"] for r in found) == 2600 and all(r["n"] == r["d"] == r["top"] + 1 and abs(r["b"] - mean) < 0.1 * mean for r in found)
 
 
+def test_cuts_grown_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    cloud = rng.standard_normal((900, 6))
+    cloud = np.concatenate([cloud, cloud[:200] + rng.standard_normal((200, 6)) * 0.05, np.tile(cloud[:1], (150, 1))])
+    unit = cloud / np.linalg.norm(cloud, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(cloud)], "vec_id long, embedding array<double>, label int")
+    for name, value in (("LEAF", 40), ("BLOCK", 32), ("SAMPLE", 260)):
+        monkeypatch.setattr(vector_neardup, name, value)
+    rounds = []
+    grown = vector_neardup._grown
+    monkeypatch.setattr(vector_neardup, "_grown", lambda placed, full, reach, k: rounds.append(k) or grown(placed, full, reach, k))
+    out = {r["vec_id"]: r["n_links"] for r in vector_neardup.vector_neardup(vectors).collect()}
+    assert len(rounds) >= 3 and all(out[i] <= want[i] for i in out) and sum(out.values()) >= 0.99 * want.sum()
+
+
 def test_records_by_identifier(spark, tmp_path):
     pages = spark.createDataFrame([(i, "" if i == 3 else f"http://h/{i}", f"page {i} " * 40) for i in range(50)] + [(60, None, None), (61, "a\nb", "")], "page_id long, url string, html string")
     index = warc_bundle.write_bundles(pages, str(tmp_path / "w"))

@@ -10,18 +10,23 @@ the target recall are verified by cosine in double precision.
 Only vectors of equal label are compared. A label's vectors are cut into leaves of bounded
 size at quantiles of sampled projections; a vector just above a cut is also put below it, so
 every pair within the cut's window meets in exactly one leaf (copies made at the same cut do not
-count their pair again). A leaf that stays too large, such as a knot of near copies, is dealt
+count their pair again). Cuts are grown in rounds, for all leaves that are too large at once: each
+is a task that gets the projections of at most SAMPLE of its vectors, so a round makes leaves smaller by up to
+SAMPLE / 64 times and neither driver nor task holds more at any size. A leaf that no cut parts, such as a knot of near copies, is dealt
 into blocks, and each pair of blocks is a task. Only counts and a spanning forest leave a task.
 
 Defined cases: vectors that are null, zero, empty or hold a null or non-finite component,
 rows with a null label and rows with a null vec_id link with nothing; vectors of different
-lengths never link; repeated vec_ids are one vector each time they differ, and equal rows count once.
+lengths never link, vectors of any length are compared whole; repeated vec_ids are one vector each time they differ, and equal rows count once;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,14 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components, local_components
-from treeline.llm.shared import settle, small_side
+from treeline.llm.shared import BROADCAST_BYTES, settle, small_side, unsettle
 
 THRESHOLD, PROJECTIONS, TARGET_RECALL = 0.98, 24, 0.9995
 WINDOW_SIGMAS, CUT_SIGMAS = 2.0, 3.5
 #: Vectors meant for one leaf, and in one block of a leaf that holds more.
 LEAF, BLOCK = 4096, 2048
-#: Vectors sampled, over all labels, to place the cuts. The sample shapes the leaves, not the result.
-SAMPLE = 100_000
+#: Vectors of a leaf, in one round, whose projections place its cuts. The sample shapes the leaves, not the result.
+SAMPLE = 65_536
+#: Cuts above one another: each has a bit in a row's marks.
+DEEPEST = 60
 
 
 def least_count(m: int = PROJECTIONS, recall: float = TARGET_RECALL, sigmas: float = WINDOW_SIGMAS) -> int:
@@ -69,35 +76,85 @@ def usable(vectors: pd.Series) -> np.ndarray:
     return np.fromiter((fit(v) for v in vectors), bool, len(vectors))
 
 
-def grow(sample: np.ndarray, scale: float, reach: float) -> tuple:
-    """Cuts of one label: nested (projection, cut, lower, upper), or () for a leaf. scale: vectors a sampled one stands for."""
-    if len(sample) * scale <= LEAF or len(sample) < 64:
-        return ()
+def grow(sample: np.ndarray, scale: float, reach: float, most: int, room: int) -> list:
+    """Cuts of one leaf: nested [projection, cut, lower, upper], or [] for a leaf. scale: vectors a sampled one stands for; most: vectors meant for a leaf; room: cuts that may stand above one another."""
+    if len(sample) * scale <= most or len(sample) < 64 or not room:
+        return []
     line = int(np.argmax(np.quantile(sample, 0.9, axis=0) - np.quantile(sample, 0.1, axis=0)))
     at = sample[:, line]
     cut = float(np.median(at))
     low, high = at < cut + reach, at >= cut
     if max(low.mean(), high.mean()) > 0.9:  # a knot that cuts do not part
-        return ()
-    return (line, cut, grow(sample[low], scale, reach), grow(sample[high], scale, reach))
+        return []
+    return [line, cut, grow(sample[low], scale, reach, most, room - 1), grow(sample[high], scale, reach, most, room - 1)]
 
 
-def leaves(tree: tuple, places: np.ndarray, reach: float) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(leaf, rows, marks): marks has a bit for each cut at which the row was also put below."""
+def leaves(tree: list, places: np.ndarray, reach: float, above: str = "") -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(leaf, rows, marks) below the leaf `above`: marks has a bit for each cut at which the row was also put below."""
 
-    def walk(node: tuple, rows: np.ndarray, marks: np.ndarray, name: str) -> Iterator:
+    def walk(node: list, rows: np.ndarray, marks: np.ndarray, name: str) -> Iterator:
         if not node or not len(rows):
             if len(rows):
                 yield name, rows, marks
             return
         line, cut, lower, upper = node
         at = places[rows, line]
-        above, near = at >= cut, at < cut + np.float32(reach)
-        copied = marks | np.where(above, np.int64(1) << len(name), 0)
+        over, near = at >= cut, at < cut + np.float32(reach)
+        copied = marks | np.where(over, np.int64(1) << len(name), 0)
         yield from walk(lower, rows[near], copied[near], name + "0")
-        yield from walk(upper, rows[above], marks[above], name + "1")
+        yield from walk(upper, rows[over], marks[over], name + "1")
 
-    yield from walk(tree, np.arange(len(places)), np.zeros(len(places), np.int64), "")
+    yield from walk(tree, np.arange(len(places)), np.zeros(len(places), np.int64), above)
+
+
+_LEAF_KEY = ["label", "dim", "leaf"]
+_ROW_DDL = "vec_id long, label string, dim int, leaf string, marks long, embedding array<double>"
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _grown(placed: DataFrame, full: DataFrame, reach: float, round_: int) -> DataFrame:
+    """label, dim, leaf, tree (as text) of the leaves full(label, dim, leaf, n) that cuts part."""
+
+    def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, group in frame.groupby("dim"):
+                yield group[[*_LEAF_KEY, "n"]].assign(places=list(projections(_stacked(group["embedding"]))))
+
+    def cut(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        places = np.stack(group["places"].to_numpy()).astype(np.float32)
+        tree = grow(places, float(group["n"].iloc[0]) / len(group), reach, most, DEEPEST - len(key[2]))
+        return pd.DataFrame({"label": [key[0]], "dim": np.array([key[1]], np.int32), "leaf": [key[2]], "tree": [json.dumps(tree)]})
+
+    most = LEAF
+    dice = F.pmod(F.xxhash64("vec_id", F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = placed.join(small_side(full, 128), _LEAF_KEY).filter(dice * F.col("n") < SAMPLE * 0.98).select(*_LEAF_KEY, "n", "embedding")
+    laid = drawn.mapInPandas(lay, "label string, dim int, leaf string, n long, places array<float>")
+    return laid.groupBy(*_LEAF_KEY).applyInPandas(cut, "label string, dim int, leaf string, tree string").filter("tree <> '[]'")
+
+
+def _parted(placed: DataFrame, trees: DataFrame, reach: float) -> DataFrame:
+    """placed with the rows of leaves that have a tree in the leaves below it."""
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list] = {}
+        for frame in frames:
+            for (label, dim, leaf, text), group in frame.groupby([*_LEAF_KEY, "tree"], dropna=False):
+                if not isinstance(text, str):
+                    yield group.drop(columns="tree")
+                    continue
+                if text not in known:
+                    known.clear()
+                    known[text] = json.loads(text)
+                for name, at, marks in leaves(known[text], projections(_stacked(group["embedding"])), reach, leaf):
+                    out = group.iloc[at]
+                    yield pd.DataFrame({"vec_id": out["vec_id"], "label": label, "dim": np.int32(dim), "leaf": name, "marks": out["marks"] | marks, "embedding": out["embedding"]})
+
+    held = trees.agg(F.coalesce(F.sum(F.octet_length("tree") + 64), F.lit(0))).first()[0]
+    joined = placed.join(F.broadcast(trees) if held <= BROADCAST_BYTES else trees, _LEAF_KEY, "left")
+    return joined.select("vec_id", *_LEAF_KEY, "marks", "embedding", "tree").mapInPandas(part, _ROW_DDL)
 
 
 def candidate_pairs(a: np.ndarray, b: np.ndarray, window: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,39 +216,22 @@ def _verify(threshold: float):  # noqa: ANN202
 
 def vector_neardup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label)."""
-    spark = vectors.sparkSession
     reach = CUT_SIGMAS * math.sqrt(2 - 2 * threshold)
     fit = F.pandas_udf(lambda v: pd.Series(usable(v)), "boolean")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.filter("vec_id is not null and label is not null and embedding is not null").filter(fit("embedding")).withColumn("dim", F.size("embedding"))
     good = settle(good.dropDuplicates(["vec_id", "label", "embedding"]) if _repeats(rows) else good, "vectors")
 
-    # Trees only for labels that need cuts: at most rows / LEAF of them.
-    large = good.groupBy("label", "dim").count().filter(F.col("count") > LEAF)
-    counts = {(r["label"], r["dim"]): r["count"] for r in large.collect()}
-    trees: dict[tuple[str, int], tuple] = {}
-    if counts:
-        part = min(1.0, SAMPLE / sum(counts.values()))
-        drawn = good.join(F.broadcast(large.select("label", "dim")), ["label", "dim"]).filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-        held: dict[tuple[str, int], list] = {}
-        for r in drawn.select("label", "dim", "embedding").toLocalIterator():
-            held.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
-        trees = {k: grow(projections(np.array(v, np.float64)), counts[k] / len(v), reach) for k, v in held.items()}
-    shared = spark.sparkContext.broadcast(trees)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for frame in frames:
-            for (label, dim), group in frame.groupby(["label", "dim"]):
-                tree = known.get((label, dim), ())
-                places = projections(np.stack(group["embedding"].to_numpy()).astype(np.float64)) if tree else np.zeros((len(group), 1))
-                for name, at, marks in leaves(tree, places, reach):
-                    out = group.iloc[at]
-                    yield pd.DataFrame({"vec_id": out["vec_id"], "label": label, "dim": np.int32(dim), "leaf": name, "marks": marks, "embedding": out["embedding"]})
-
-    placed = good.select("vec_id", "label", "dim", "embedding").mapInPandas(place, "vec_id long, label string, dim int, leaf string, marks long, embedding array<double>")
-    sizes = placed.groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = placed.join(small_side(settle(sizes, "leaf-sizes"), 64), ["label", "dim", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int"))
+    placed = good.select("vec_id", "label", "dim", F.lit("").alias("leaf"), F.lit(0).cast("long").alias("marks"), "embedding")
+    for round_ in count():
+        counts = settle(placed.groupBy(*_LEAF_KEY).agg(F.count("*").alias("n")), "leaf-counts")
+        full = counts.filter(F.col("n") > (2 * LEAF if round_ else LEAF))
+        if full.isEmpty() or (trees := settle(_grown(placed, full, reach, round_), "leaf-trees")).isEmpty():
+            break
+        before, placed = placed, settle(_parted(placed, trees, reach), "placed")
+        unsettle(before)
+    sizes = counts.select(*_LEAF_KEY, F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = placed.join(small_side(sizes, 128), _LEAF_KEY).withColumn("block", F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
     found = settle(met.groupBy("label", "dim", "leaf", "first", "second").applyInPandas(_verify(threshold), "vec_id long, links long, head long"), "links")
     linked = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
