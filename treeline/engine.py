@@ -64,7 +64,7 @@ class Workspace:
         """The one address that a name means; several need the file."""
         found = self.declared.filter(F.col("name") == name)
         found = found.filter(F.col("path") == declared_in) if declared_in else found
-        rows = found.select("addr").distinct().limit(2).collect()
+        rows = found.select("addr").distinct().limit(2).collect()  # two are enough to call it ambiguous
         if not rows:
             raise LookupError(f"no such symbol: {name}")
         if len(rows) > 1:

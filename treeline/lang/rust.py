@@ -8,6 +8,7 @@ queries to report as such.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from treeline.lang.model import Facts, Lexeme, Lines, brackets, named
 
@@ -52,6 +53,7 @@ class Parser:
         self.raw, self.out = raw, Facts()
         everything = lex(raw)
         self.comments = [x for x in everything if x.kind == "comment"]
+        self.comment_ends = [c.end for c in self.comments]
         self.t = [x for x in everything if x.kind != "comment"]
         self.pair = brackets(self.t)
         self.lines = Lines(raw)
@@ -111,7 +113,8 @@ class Parser:
     def leading(self, first: int) -> int:
         """Start of the docs and attributes that belong to an item whose first lexeme is given; a blank line parts them."""
         at = self.t[first].start
-        for c in reversed([c for c in self.comments if c.end <= at]):
+        for k in range(bisect_right(self.comment_ends, at) - 1, -1, -1):
+            c = self.comments[k]
             between = self.raw[c.end : at]
             if between.strip() or between.count("\n") > 1 or c.text.startswith(("//!", "/*!")):
                 break
@@ -314,11 +317,13 @@ class Parser:
 
     def paths(self, i: int, end: int) -> None:
         """Qualified paths outside import statements: the outermost of each."""
-        spans = self.statements
+        spans = sorted(self.statements)
+        begins = [a for a, _ in spans]
         while i < end:
             x = self.t[i]
             if x.kind == "word" and self.text(i + 1) == "::" and self.text(i - 1) != "::" and (x.text not in KEYWORDS or x.text in _HEADS):
-                if any(a <= x.start < b for a, b in spans):
+                k = bisect_right(begins, x.start) - 1
+                if k >= 0 and x.start < spans[k][1]:
                     i += 1
                     continue
                 j, segments = i, [named(x.text)]

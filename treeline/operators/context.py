@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
+from treeline.operators.search import once
 
 
 def excerpt(text, start, end, most: int):  # noqa: ANN001, ANN201 - columns
@@ -19,6 +20,11 @@ def excerpt(text, start, end, most: int):  # noqa: ANN001, ANN201 - columns
     return F.decode(F.substring(raw, 1, F.length(raw) - cut), "UTF-8")
 
 
+def is_test_path(path):  # noqa: ANN001, ANN201 - columns
+    """Whether a folder of the path, or the file, is named as one of tests."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(F.lit("test"), F.lit("tests")))
+
+
 def assemble(ws, name: str, declared_in: str | None = None, max_items: int = 12, max_bytes: int = 16384) -> DataFrame:  # noqa: ANN001 - a Workspace
     """rank, relation, path, name, text: definition, enclosing declaration, definitions it names, places that name it.
 
@@ -36,12 +42,11 @@ def assemble(ws, name: str, declared_in: str | None = None, max_items: int = 12,
     sure = ws.occurrences.filter("confidence = 'resolved'")
     named = sure.filter((F.col("path") == home["path"]) & (F.col("start") >= home["ext_start"]) & (F.col("end") <= home["ext_end"]) & (F.col("target") != at)).select(F.col("target").alias("addr")).distinct()
     rows = rows.unionByName(decls.join(named, "addr").select(F.lit(2).alias("order"), F.lit("outgoing").alias("relation"), "path", "name", "ext_start", "ext_end"))
-    tests = F.arrays_overlap(F.split("path", "/"), F.array(F.lit("test"), F.lit("tests")))
+    tests = is_test_path(F.col("path"))
     users = sure.filter((F.col("target") == at) & ~((F.col("path") == home["path"]) & (F.col("start") >= home["ext_start"]) & (F.col("end") <= home["ext_end"])))
     held = users.select("path", "start").join(symbols.filter("depth = 0").select("path", "name", "ext_start", "ext_end"), "path").filter("ext_start <= start and start < ext_end").drop("start").distinct()
     rows = rows.unionByName(held.select(F.when(tests, 4).otherwise(3).alias("order"), F.when(tests, "reference-in-test").otherwise("incoming").alias("relation"), "path", "name", "ext_start", "ext_end"))
-    once = rows.groupBy("path", "name", "ext_start", "ext_end").agg(F.min_by(F.struct("order", "relation"), "order").alias("o")).select("o.*", "path", "name", "ext_start", "ext_end")
-    first = once.orderBy("order", "path", "ext_start").limit(max_items)  # the budget of items bounds what follows
+    first = once(rows, ["path", "name", "ext_start", "ext_end"], ["order"]).orderBy("order", "path", "ext_start").limit(max_items)  # the budget of items bounds what follows
     w = Window.orderBy("order", "path", "ext_start")
     with_text = first.join(ws.files.select("path", F.col("text").alias("full")), "path").withColumn("text", excerpt(F.col("full"), F.col("ext_start"), F.col("ext_end"), max_bytes // 2)).drop("full")
     size = F.octet_length(F.to_json(F.struct("relation", "path", "name", "text")))

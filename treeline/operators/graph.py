@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
+from treeline.functions import text as T
+from treeline.operators.search import except_known
 from treeline.session import settle
 
 # Kinds that an address can name, packages outside every workspace, the visibility words, the order of reasons.
@@ -64,10 +66,13 @@ def admits(r: Column, package: Column, apath: Column) -> Column:
 
 
 def narrowest(consumers: DataFrame) -> DataFrame:
-    """For each target the least reach that admits all consumers(target, package, apath): within an ancestor, or everyone across packages."""
-    folded = consumers.groupBy("target").agg(F.collect_set("apath").alias("all"), F.collect_set("package").alias("packages"))
-    meet = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), P.common_ancestor)
-    return folded.select("target", F.when(F.size("packages") > 1, "everyone").otherwise("within").alias("kind"), F.when(F.size("packages") == 1, meet).alias("path"))
+    """For each target the least reach that admits all consumers(target, package, apath): within an ancestor, or everyone across packages.
+
+    The common ancestor of a set of paths is that of the least and the greatest of them, so nothing is gathered.
+    """
+    folded = consumers.groupBy("target").agg(F.min("apath").alias("low"), F.max("apath").alias("high"), F.min("package").alias("a"), F.max("package").alias("b"))
+    one = F.col("a") == F.col("b")
+    return folded.select("target", F.when(one, "within").otherwise("everyone").alias("kind"), F.when(one, P.common_ancestor(F.col("low"), F.col("high"))).alias("path"))
 
 
 def declared(symbols: DataFrame, mods: DataFrame) -> DataFrame:
@@ -78,20 +83,26 @@ def declared(symbols: DataFrame, mods: DataFrame) -> DataFrame:
     return out.withColumns({"apath": apath, "addr": F.when(F.col("package") == "", F.concat_ws("::", "module_addr", "name")).otherwise(addr(F.col("package"), apath)), "reach": reach(F.col("modifier"), F.col("package"), F.col("mpath"), F.col("language"))})
 
 
-def edges(imports: DataFrame, mods: DataFrame, packages: DataFrame, dependencies: DataFrame, decls: DataFrame, files: DataFrame, rounds: int = 8) -> DataFrame:
+def package_referent(rows: DataFrame, packages: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Adds referent: the package that the first segment `first` means inside the package `own`: a dependency under the name it is used by, another member, a system package, or null."""
+    known = packages.select(F.col("name").alias("first"), F.col("name").alias("member")).distinct()
+    deps = dependencies.select(F.col("package").alias("own"), F.col("used_as").alias("first"), "dep_name").distinct()
+    meant = F.coalesce("dep_name", F.when(F.col("member") != F.col("own"), F.col("member")), F.when(F.col("first").isin(*SYSTEM_PACKAGES), F.col("first")))
+    return rows.join(deps, ["own", "first"], "left").join(known, "first", "left").withColumn("referent", meant).drop("dep_name", "member")
+
+
+def edges(imports: DataFrame, mods: DataFrame, packages: DataFrame, dependencies: DataFrame, decls: DataFrame, files: DataFrame) -> DataFrame:
     """Imports with the address they resolve to: package, apath, addr (null if unresolved or ambiguous), external, n_targets.
 
-    Heads that another import of the file binds are substituted until nothing changes, at most `rounds` times.
+    Heads that another import of the file binds are substituted until nothing changes; each round resolves an import or is the last.
     """
     base = imports.withColumn("first", F.element_at("segments", F.when(F.size("segments") > 0, 1))).join(mods.select("path", F.col("package").alias("own"), "mpath", F.col("addr").alias("from_addr")), "path", "left")
     rest = F.slice("segments", 2, F.size("segments"))
     child = mods.filter("language = 'rust'").select(F.col("addr").alias("child"))
     here = decls.filter("language = 'rust'").select("path", F.col("name").alias("first"), F.lit(True).alias("is_here")).distinct()
-    known = packages.select(F.col("name").alias("first"), F.col("name").alias("member")).distinct()
-    deps = dependencies.select(F.col("package").alias("own"), F.col("used_as").alias("first"), "dep_name").distinct()
     r = base.filter("language = 'rust'").withColumn("child", addr(F.col("own"), F.concat("mpath", F.array(F.coalesce("first", F.lit("")))))).join(child.distinct().withColumn("is_child", F.lit(True)), "child", "left")
-    r = r.join(deps, ["own", "first"], "left").join(known, "first", "left").join(here, ["path", "first"], "left")
-    outside = F.coalesce("dep_name", F.when(F.col("member") != F.col("own"), F.col("member")), F.when(F.col("first").isin(*SYSTEM_PACKAGES), F.col("first")))
+    r = package_referent(r, packages, dependencies).join(here, ["path", "first"], "left")
+    outside = F.col("referent")
     is_own = F.col("is_child") | (F.col("is_here") & ~F.col("declares"))
 
     def place(package: Column, apath: Column) -> Column:
@@ -105,9 +116,9 @@ def edges(imports: DataFrame, mods: DataFrame, packages: DataFrame, dependencies
         .when((F.col("head") == "named") & is_own, place(own, F.concat("mpath", "segments")))
         .when((F.col("head") == "named") & outside.isNotNull(), place(outside, rest))
     )
-    r = r.withColumn("target", target).drop("child", "is_child", "dep_name", "member", "is_here")
+    r = r.withColumn("target", target).drop("child", "is_child", "referent", "is_here")
     r = settle(r)
-    for _ in range(rounds):
+    while True:
         bound = r.filter("target is not null and binding is not null and declares").groupBy("path", F.col("binding").alias("first")).agg(F.collect_set("target").alias("via"))
         more = r.filter("target is null and head = 'named'").select("path", "ord", "first", "binding", "declares", "segments").join(bound, ["path", "first"]).filter(F.size("via") == 1)
         # An import that would bind its own head is no evidence for itself.
@@ -147,7 +158,8 @@ def alias_closure(targets: DataFrame, edge: DataFrame) -> DataFrame:
         globbed = above.join(out.filter("glob").select(F.col("r").alias("up"), "from_addr"), "up")
         place = F.split("from_addr", "::")
         globbed = globbed.filter((F.col("alias") != F.col("target")) | admits(F.col("reach"), F.element_at(place, 1), F.slice(place, 2, F.size(place)))).select("target", F.concat_ws("::", "from_addr", "name").alias("next"), "reach")
-        new = named.unionByName(globbed).select("target", F.col("next").alias("alias"), "reach").dropDuplicates(["target", "alias"]).join(seen.select("target", "alias"), ["target", "alias"], "left_anti")
+        new = named.unionByName(globbed).select("target", F.col("next").alias("alias"), "reach").dropDuplicates(["target", "alias"])
+        new = except_known(new, seen, ["target", "alias"])
         front = settle(new.select("target", "alias", "reach", F.lit(k).alias("step")))
         if front.isEmpty():
             break
@@ -181,7 +193,7 @@ def impact(edge: DataFrame, mods: DataFrame, starts: DataFrame, declaring: str,
         hit = arcs.join(front, "prefix").groupBy("m").agg(F.min_by(F.struct("path", "prefix"), F.struct("path", "ord", "fpath", "prefix")).alias("h"))
         new = hit.select("m", F.col("h.path").alias("path"), F.lit(depth).alias("depth"), (F.lit(declaring) if depth == 1 else F.col("h.prefix")).alias("through"))
         if seen is not None:
-            new = new.join(seen.select("m"), "m", "left_anti")
+            new = except_known(new, seen, ["m"])
         new = settle(new)
         if new.isEmpty():
             break
@@ -191,22 +203,55 @@ def impact(edge: DataFrame, mods: DataFrame, starts: DataFrame, declaring: str,
     return (empty if seen is None else seen).withColumnRenamed("m", "addr").orderBy("depth", "path")
 
 
+def imported_by(decls: DataFrame, aliases: DataFrame, edge: DataFrame) -> DataFrame:
+    """addr, imported_by: the number of other files that import a declaration under any of its aliases."""
+    uses = edge.filter("declares and addr is not null and not is_prefix").select(F.col("path").alias("user"), F.col("addr").alias("alias")).distinct()
+    homes = decls.select(F.col("addr").alias("target"), F.col("path").alias("home")).distinct()
+    return aliases.join(uses, "alias").join(homes, "target").filter("user <> home").groupBy(F.col("target").alias("addr")).agg(F.countDistinct("user").alias("imported_by"))
+
+
 def surface(decls: DataFrame, aliases: DataFrame, edge: DataFrame, package: str | None = None) -> DataFrame:
     """Public declarations with the addresses that offer them and the number of other files that import one."""
     public = decls.filter("reach.kind = 'everyone'")
     public = public.filter(F.col("package") == package) if package else public
     offered = aliases.withColumnRenamed("target", "addr").groupBy("addr").agg(F.sort_array(F.collect_set(F.when(F.col("alias") != F.col("addr"), F.col("alias")))).alias("aliases"))
-    uses = edge.filter("declares and addr is not null and not is_prefix").select(F.col("path").alias("user"), F.col("addr").alias("alias")).distinct()
-    used = aliases.join(uses, "alias").join(decls.select(F.col("addr").alias("target"), F.col("path").alias("home")).distinct(), "target").filter("user <> home").groupBy(F.col("target").alias("addr")).agg(F.countDistinct("user").alias("imported_by"))
+    used = imported_by(decls, aliases, edge)
     return public.join(offered, "addr", "left").join(used, "addr", "left").select("addr", "path", "kind", "name", "aliases", F.coalesce("imported_by", F.lit(0)).alias("imported_by")).orderBy("addr")
 
 
+def surface_summary(rows: DataFrame) -> DataFrame:
+    """One row for a surface: its items, and the imports that reach them."""
+    return rows.agg(F.count("*").alias("items"), F.coalesce(F.sum("imported_by"), F.lit(0)).alias("importers"))
+
+
+def impact_summary(rows: DataFrame) -> DataFrame:
+    """Modules and files of an impact at each depth."""
+    return rows.groupBy("depth").agg(F.countDistinct("addr").alias("modules"), F.countDistinct("path").alias("files")).orderBy("depth")
+
+
+def verdict_counts(occurrences: DataFrame) -> DataFrame:
+    """Tokens of each file by confidence: path, confidence, n."""
+    return occurrences.groupBy("path", "confidence").agg(F.count("*").alias("n"))
+
+
+def importer_statements(edge: DataFrame, files: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, path, statement: the text of each import statement at or below a target(addr)."""
+    hit = _under(edge).select(F.col("prefix").alias("addr"), "path", "stmt_start", "stmt_end").join(targets.select("addr"), "addr").filter("stmt_start is not null").distinct()
+    text = T.byte_slice(F.col("text"), F.col("stmt_start"), F.col("stmt_end") - F.col("stmt_start"))
+    return hit.join(files.select("path", "text"), "path").select(F.col("addr").alias("target"), "path", text.alias("statement"))
+
+
+def same_target(edge: DataFrame) -> DataFrame:
+    """Adds nth: the place of an import among those of its file with its address; none without address."""
+    nth = F.row_number().over(Window.partitionBy("path", "addr", "glob").orderBy("ord"))
+    return edge.withColumn("nth", F.when(F.col("addr").isNotNull(), nth))
+
+
 def import_problems(edge: DataFrame, tokens: DataFrame, mods: DataFrame) -> DataFrame:
     """path, ord, raw, problem: unresolved, redundant or unused imports; `unplaced` for files that are no module."""
     mine = edge.filter("declares and not is_prefix")
     placed = mine.join(mods.select("path"), "path", "left_semi")
-    again = F.row_number().over(Window.partitionBy("path", "addr", "glob").orderBy("ord")) > 1
-    judged = placed.withColumn("again", F.col("addr").isNotNull() & again)
+    judged = same_target(placed).withColumn("again", F.coalesce(F.col("nth") > 1, F.lit(False))).drop("nth")
     spoken = tokens.select("path", F.col("name").alias("binding"), F.col("start").alias("at"))
     used = judged.join(spoken, ["path", "binding"]).filter("at < stmt_start or at >= stmt_end").select("path", "ord").distinct().withColumn("used", F.lit(True))
     problem = F.when(F.col("addr").isNull(), "unresolved").when(F.col("again"), "redundant").when(F.col("reexport") | (F.col("language") != "rust") | F.col("binding").isNull(), None).when(F.col("used").isNull(), "unused")
@@ -227,15 +272,26 @@ def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFra
     t = tokens.withColumn("grp", group).select("path", "name", "grp", "start", "end").join(mods.select("path", F.col("addr").alias("m")), "path", "left").join(target, ["name", "grp"])
     t = settle(t)
     # Addresses of tokens inside paths: the path's address cut after the token's segment.
-    spelled = edge.filter("addr is not null and language = 'rust'").select("path", F.col("start").alias("a"), F.col("end").alias("b"), "segments", "package", "apath", "declares", "head")
+    spelled = edge.filter("addr is not null and language = 'rust'").select("path", F.col("start").alias("a"), F.col("end").alias("b"), "segments", "raw", "package", "apath", "declares", "head")
     inside = t.select("path", "name", "start", "end").distinct().join(spelled, "path").filter((F.col("a") <= F.col("start")) & (F.col("end") <= F.col("b")))
+    # The span is the tail of the path as written, so the token's place in it tells the segment, also where names repeat.
+    parts = F.split("raw", "::")
+    number = P.segment_at(parts, F.octet_length("raw") - (F.col("b") - F.col("start")))
+    after = F.when(F.try_element_at(parts, number + 1) == F.col("name"), F.size(parts) - number - 1)
     place = F.array_position("segments", F.col("name"))
-    cut = F.slice("apath", 1, F.greatest(F.size("apath") - F.size("segments") + place.cast("int"), F.lit(0)))
-    at = inside.filter(place > 0).groupBy("path", "start").agg(F.collect_set(addr(F.col("package"), cut)).alias("at"), F.max("declares").alias("in_import"))
+    after = F.coalesce(after, F.when(place > 0, F.size("segments") - place.cast("int")))  # a path written with blanks or raw names
+    cut = F.slice("apath", 1, F.greatest(F.size("apath") - after, F.lit(0)))
+    members = mods.select(F.col("package").alias("of")).distinct().withColumn("member", F.lit(True))
+
+    def known(found: DataFrame, column: str) -> DataFrame:
+        """Adds whether the first of the addresses lies in a package of the workspace."""
+        return found.withColumn("of", F.substring_index(F.col(column)[0], "::", 1)).join(members, "of", "left").withColumnRenamed("member", f"{column}_member").drop("of")
+
+    at = known(inside.filter(after.isNotNull()).groupBy("path", "start").agg(F.collect_set(addr(F.col("package"), cut)).alias("at"), F.max("declares").alias("in_import")), "at")
     loose = edge.filter("addr is null and language = 'rust' and not declares and head <> 'Self'").select("path", F.col("start").alias("a"), F.col("end").alias("b"))
     tail = t.select("path", "start", "end").distinct().join(loose, "path").filter("a < start and end <= b").select("path", "start").distinct().withColumn("tail", F.lit(True))
     names = decls.select(F.col("module_addr").alias("m"), "name").distinct().withColumn("homonym", F.lit(True))
-    bound = edge.filter("declares and addr is not null and binding is not null and not is_prefix").groupBy("path", F.col("binding").alias("name")).agg(F.collect_set("addr").alias("bound"))
+    bound = known(edge.filter("declares and addr is not null and binding is not null and not is_prefix").groupBy("path", F.col("binding").alias("name")).agg(F.collect_set("addr").alias("bound")), "bound")
     opens = edge.filter("declares and addr is not null").filter("glob or language <> 'rust'").select("path", F.col("addr").alias("opened")).distinct()
     offers = aliases.filter("alias <> target").select("target", F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)").alias("opened")).distinct()
     open_home = opens.withColumnRenamed("opened", "home").withColumn("opens_home", F.lit(True))
@@ -243,29 +299,33 @@ def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFra
     open_other = opens.join(names.select(F.col("m").alias("opened"), "name"), "opened").select("path", "name").distinct().withColumn("opens_other", F.lit(True))
     mine = aliases.groupBy("target").agg(F.collect_set("alias").alias("offered"))
     j = t.join(at, ["path", "start"], "left").join(tail, ["path", "start"], "left").join(names, ["m", "name"], "left").join(bound, ["path", "name"], "left").join(open_home, ["path", "home"], "left").join(open_offer, ["path", "target"], "left").join(open_other, ["path", "name"], "left").join(mine, "target", "left")
-    external = mods.select(F.collect_set("package").alias("packages"))
 
-    def compare(found: Column, base: str) -> Column:
-        one = found[0]
-        return F.when(F.size(found) > 1, "unresolved").when(one == F.col("target"), base).when(F.array_contains("offered", one), "re-export").when(F.array_contains("packages", F.substring_index(one, "::", 1)), "other-declaration").otherwise("external")
+    def compare(column: str, base: str) -> Column:
+        found, one = F.col(column), F.col(column)[0]
+        return F.when(F.size(found) > 1, "unresolved").when(one == F.col("target"), base).when(F.array_contains("offered", one), "re-export").when(F.col(f"{column}_member"), "other-declaration").otherwise("external")
 
     reason = (
-        F.when(F.size("at") > 0, F.when(F.col("in_import"), compare(F.col("at"), "imported")).otherwise(compare(F.col("at"), "path")))
+        F.when(F.size("at") > 0, F.when(F.col("in_import"), compare("at", "imported")).otherwise(compare("at", "path")))
         .when(F.col("tail"), "unresolved")
         .when(F.col("m") == F.col("home"), "declaring")
         .when(F.col("homonym"), "other-declaration")
-        .when(F.size("bound") > 0, compare(F.col("bound"), "imported"))
+        .when(F.size("bound") > 0, compare("bound", "imported"))
         .when(F.col("opens_home"), "opened")
         .when(F.col("opens_offer"), "re-export")
         .when(F.col("opens_other"), "other-declaration")
         .otherwise("unresolved")
     )
-    out = j.crossJoin(F.broadcast(external)).withColumn("reason", reason)  # one row: the workspace's packages
+    out = j.withColumn("reason", reason)
     rank = F.create_map(*[F.lit(x) for k, (o, _) in REASONS.items() for x in (k, o)])
     sure = F.create_map(*[F.lit(x) for k, (_, c) in REASONS.items() for x in (k, c)])
     return out.select("target", "name", "path", "start", "end", "reason", rank[F.col("reason")].alias("reason_ord"), sure[F.col("reason")].alias("confidence"))
 
 
+def targets(decls: DataFrame) -> DataFrame:
+    """name, declarations, ambiguous: how many addresses a bare name may mean."""
+    return decls.groupBy("name").agg(F.countDistinct("addr").alias("declarations")).withColumn("ambiguous", F.col("declarations") > 1)
+
+
 def by_name(tokens: DataFrame, name: str) -> DataFrame:
     """Without an addressable declaration every spelling is unresolved."""
     return tokens.filter(F.col("name") == name).select("path", "start", "end", F.lit("by-name").alias("reason"), F.lit(REASONS["by-name"][0]).alias("reason_ord"), F.lit("unresolved").alias("confidence"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
+from treeline.session import settle
 
 ROLES = ("declaration", "import", "use")
 _PIECE = np.array([1 if chr(c).isalpha() and c < 128 or c == 95 else 2 if 48 <= c < 58 else 0 for c in range(256)], np.uint8)
@@ -72,11 +73,16 @@ def attach(hits: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def roles(hits: DataFrame, statements: DataFrame) -> DataFrame:
-    """Adds role to hits with symbol_kind: declaration, else import inside a statement(path, stmt_start, stmt_end), else use."""
-    spans = statements.select("path", "stmt_start", "stmt_end").filter("stmt_start is not null").distinct()
-    inside = hits.join(spans, "path").filter((F.col("start") >= F.col("stmt_start")) & (F.col("end") <= F.col("stmt_end"))).select("path", "start", "end").distinct().withColumn("inside", F.lit(True))
-    role = F.when(F.col("symbol_kind").isNotNull(), "declaration").when(F.col("inside"), "import").otherwise("use")
-    return hits.join(inside, ["path", "start", "end"], "left").withColumn("role", role).drop("inside")
+    """Adds role to hits with symbol_kind: declaration, else import inside a statement(path, stmt_start, stmt_end), else use.
+
+    A hit is inside a statement if one that begins at or before it reaches its end: a running maximum
+    over hits and statements in order of place, so hits are computed once and no pairs are made.
+    """
+    spans = statements.select("path", F.col("stmt_start").alias("start"), F.col("stmt_end").alias("__reach")).filter("start is not null")
+    both = hits.withColumn("__reach", F.lit(None).cast("int")).withColumn("__hit", F.lit(1)).unionByName(spans.withColumn("__hit", F.lit(0)), allowMissingColumns=True)
+    so_far = F.max("__reach").over(Window.partitionBy("path").orderBy("start", "__hit").rowsBetween(Window.unboundedPreceding, 0))
+    role = F.when(F.col("symbol_kind").isNotNull(), "declaration").when(so_far >= F.col("end"), "import").otherwise("use")
+    return both.withColumn("role", role).filter("__hit = 1").drop("__reach", "__hit")
 
 
 def in_scope(paths: list[str] | None = None, packages: list[str] | None = None) -> Column:
@@ -93,24 +99,29 @@ def in_scope(paths: list[str] | None = None, packages: list[str] | None = None)
 
 
 def locate(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds line, col, line_text and id to hits(path, start, end, name)."""
-    text = F.col("text")
+    """Adds line, col, line_text and id to hits(path, start, end, name). Tokens bring line and col and need the line's text alone."""
+    text, named_so = F.col("text"), T.match_id(F.col("path"), F.col("start"), F.col("end"), F.col("name"))
+    if {"line", "col"} <= set(hits.columns):
+        rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+        return hits.join(rows, ["path", "line"]).withColumn("id", named_so)
     line = T.line_of(text, F.col("start"))
     out = hits.drop("line", "col").join(files.select("path", "text"), "path")
-    return out.withColumns({"line": line, "col": T.column_of(text, F.col("start")), "line_text": F.element_at(F.split(text, "\n"), line + 1), "id": T.match_id(F.col("path"), F.col("start"), F.col("end"), F.col("name"))}).drop("text")
+    return out.withColumns({"line": line, "col": T.column_of(text, F.col("start")), "line_text": F.element_at(F.split(text, "\n"), line + 1), "id": named_so}).drop("text")
 
 
 def numbered(hits: DataFrame) -> DataFrame:
     """Adds the 1-based ordinal of the search order: declarations, then path, then position.
 
-    Places are counted in two steps, inside a path and over the per-path counts, so no task sees all rows.
+    The hits are written once and dealt into ranges of that order; rows are counted inside a range and offset by
+    the counts of the ranges before it, so no task sees all rows, not even all rows of one path.
     """
-    rank = F.when(F.col("role") == "declaration", 0).otherwise(1)
-    keyed = hits.withColumn("rank", rank)
-    sizes = keyed.groupBy("rank", "path").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.sum("n").over(Window.orderBy("rank", "path").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("rank", "path").orderBy("start", "end"))
-    return keyed.withColumn("inside", inside).join(base.select("rank", "path", F.coalesce("base", F.lit(0)).alias("base")), ["rank", "path"]).withColumn("ordinal", (F.col("base") + F.col("inside")).cast("long")).drop("inside", "base", "rank")
+    keys = ["rank", "path", "start", "end"]
+    keyed = settle(hits.withColumn("rank", F.when(F.col("role") == "declaration", 0).otherwise(1)))
+    ranged = settle(keyed.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # a row a range: as many as shuffle partitions
+    base = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
+    return ranged.withColumn("inside", inside).join(F.broadcast(base), "range").withColumn("ordinal", (F.col("base") + F.col("inside")).cast("long")).drop("inside", "base", "rank", "range")
 
 
 def summary(hits: DataFrame) -> DataFrame:
@@ -123,28 +134,85 @@ def by_file(hits: DataFrame) -> DataFrame:
     return hits.groupBy("path").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("start")).alias("starts")).orderBy("path")
 
 
+#: Bytes of a stretch of a file: a span is listed at each stretch that it touches, a hit asks the list of its own.
+STRETCH = 1024
+
+
+def _listed(spans: DataFrame, start: str, end: str, fields: dict[str, Column]) -> DataFrame:
+    """path, stretch, held: the spans that touch each stretch of a file."""
+    touched = F.sequence(F.floor(F.col(start) / STRETCH), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / STRETCH))
+    rows = spans.select("path", F.explode(touched).alias("stretch"), F.struct(*[c.alias(k) for k, c in fields.items()]).alias("s"))
+    return rows.groupBy("path", "stretch").agg(F.collect_list("s").alias("held"))
+
+
 def enclosing(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds the innermost declaration whose extent holds the hit: kind, name and start, null at top level."""
-    s = symbols.select("path", F.col("kind").alias("in_kind"), F.col("name").alias("in_name"), F.col("ext_start").alias("in_start"), F.col("ext_end").alias("in_end"))
-    pairs = hits.select("path", "start").distinct().join(s, "path").filter((F.col("in_start") <= F.col("start")) & (F.col("start") < F.col("in_end")))
-    best = pairs.groupBy("path", "start").agg(F.min_by(F.struct("in_kind", "in_name", "in_start"), F.struct(F.col("in_end") - F.col("in_start"), -F.col("in_start"))).alias("b")).select("path", "start", "b.*")
-    return hits.join(best, ["path", "start"], "left")
+    fields = {"size": F.col("ext_end") - F.col("ext_start"), "back": -F.col("ext_start"), "kind": F.col("kind"), "name": F.col("name"), "end": F.col("ext_end")}
+    at = _listed(symbols, "ext_start", "ext_end", fields)
+    around = F.filter("held", lambda s: (-s["back"] <= F.col("start")) & (F.col("start") < s["end"]))
+    best = F.array_min(around)
+    out = hits.withColumn("stretch", F.floor(F.col("start") / STRETCH)).join(at, ["path", "stretch"], "left").withColumn("in", best)
+    return out.withColumns({"in_kind": F.col("in.kind"), "in_name": F.col("in.name"), "in_start": -F.col("in.back")}).drop("stretch", "held", "in")
 
 
 def depths(spans: DataFrame) -> DataFrame:
-    """Adds depth: how many earlier spans of the file hold the span(path, start, end)."""
-    a, b = spans.select("path", "start", "end").distinct(), spans.select("path", F.col("start").alias("s"), F.col("end").alias("e"))
-    inner = a.join(b, "path").filter((F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")) & ~((F.col("s") == F.col("start")) & (F.col("e") == F.col("end"))))
-    return spans.join(inner.groupBy("path", "start", "end").agg(F.count("*").alias("depth")), ["path", "start", "end"], "left").fillna(0, ["depth"])
+    """Adds depth: how many other spans of the file hold the span(path, start, end)."""
+    at = _listed(spans, "start", "end", {"s": F.col("start"), "e": F.col("end")})
+    around = F.filter("held", lambda x: (x["s"] <= F.col("start")) & (F.col("end") <= x["e"]) & ((x["s"] != F.col("start")) | (x["e"] != F.col("end"))))
+    out = spans.withColumn("stretch", F.floor(F.col("start") / STRETCH)).join(at, ["path", "stretch"], "left")
+    return out.withColumn("depth", F.coalesce(F.size(around), F.lit(0)).cast("long")).drop("stretch", "held")
 
 
 def find_in_file(files: DataFrame, needle: str) -> DataFrame:
-    """path and byte start of every exact occurrence, overlaps left out."""
-    parts = F.split("text", "\\Q" + needle + "\\E", -1)
-    sizes = F.transform(parts, F.octet_length)
-    step = len(needle.encode())
-    at = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda acc, n: acc + n) + (k - 1) * step)
-    return files.filter(F.col("text").contains(needle)).select("path", F.explode(at).alias("start"))
+    """path and byte start of every exact occurrence, overlaps left out. Files without it never leave the JVM."""
+    if not needle:
+        raise ValueError("an empty text is found nowhere")
+    sought = needle.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw, found = text.encode(), []
+                at = raw.find(sought)
+                while at >= 0:
+                    found.append(at)
+                    at = raw.find(sought, at + len(sought))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(found, pa.int32())], ["path", "start"])
+
+    return files.filter(F.col("text").contains(needle)).select(F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "path string, start int")
+
+
+def language_report(files: DataFrame, accepted: list[str]) -> DataFrame:
+    """Files of each language, and whether a search leaves them out: language null stands for files that none claims."""
+    taken = F.coalesce(F.col("language").isin(*accepted), F.lit(False))
+    return files.groupBy("language").agg(F.count("*").alias("files")).withColumn("skipped", ~taken)
+
+
+def across(parts: dict[str, DataFrame]) -> DataFrame:
+    """The union of what each language finds, with the language; columns are matched by name."""
+    out = None
+    for language, found in parts.items():
+        one = found.withColumn("language", F.lit(language))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def narrowed(files: DataFrame, *scopes: Column) -> DataFrame:
+    """Files that lie in every scope."""
+    for scope in scopes:
+        files = files.filter(scope)
+    return files
+
+
+def except_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those whose keys are known already, such as an own name, an own path, a module that was seen."""
+    return rows.join(known.select(*keys), keys, "left_anti")
+
+
+def once(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first in order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first")).select(*keys, *[f"first.{c}" for c in rest])
 
 
 def selected(hits: DataFrame, ids: list[str] | None = None, ordinals: list[int] | None = None) -> DataFrame:

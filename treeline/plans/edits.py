@@ -81,11 +81,16 @@ def template_names(template: str) -> list[str]:
     return sorted({m[2] for m in _NAME.finditer(template)})
 
 
+def captured(captures: Column, name: str) -> Column:
+    """What a match captured under a name, null if nothing."""
+    return F.try_element_at(captures, F.lit(name))
+
+
 def expand(template: str, captures: Column) -> Column:
     """The template with $NAME and $$$NAME replaced from a map of captures, as JVM expressions."""
     parts, at = [], 0
     for m in _NAME.finditer(template):
-        parts += [F.lit(template[at : m.start()]), F.coalesce(captures[m[2]], F.raise_error(F.lit(f"the pattern captures no {m[2]}")))]
+        parts += [F.lit(template[at : m.start()]), F.coalesce(captured(captures, m[2]), F.raise_error(F.lit(f"the pattern captures no {m[2]}")))]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
 
