@@ -1,9 +1,9 @@
-"""Commands on a small tree of two packages and a few script modules."""
+"""Commands on a small tree of three packages and a few script modules. All expected rows were worked out from the sources by hand."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.workspaces import KIT
+from tests.workspaces import TREE
 from treeline.engine import Workspace
 from treeline.plans import edits
 from treeline.plans.ledger import Ledger, Plan, Retained, Stale
@@ -12,42 +12,61 @@ from treeline.sources import requests, workspace
 
 @pytest.fixture(scope="module")
 def ws(spark):
-    return Workspace(workspace.memory_tree(spark, KIT))
+    return Workspace(workspace.memory_tree(spark, TREE))
 
 
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_impact(ws):
-    assert rows(ws.impact("Dot").select("addr", "depth", "through")) == [
-        ("kit_app", 1, "kit::shapes::dot"), ("kit", 1, "kit::shapes::dot"), ("kit::shapes::form", 1, "kit::shapes::dot"), ("kit::shapes", 1, "kit::shapes::dot"), ("kit_app::cli", 2, "kit"),
-    ]
+def test_impact_goes_through_all_names_of_a_declaration(ws):
+    found = rows(ws.impact("Level").select("addr", "depth"))
+    assert sorted(a for a, d in found if d == 1) == ["berth_plan", "desk", "desk::board", "tide", "tide::gauge"]
+    assert sorted(a for a, d in found if d == 2) == ["berth_plan::east", "berth_plan::quay", "berth_plan::west"]
 
 
 def test_dead(ws):
-    assert rows(ws.dead().filter("path like '%.rs'").select("name", "unsure")) == [("main", 0), ("never_called", 0), ("EDITION", 0)]
+    assert rows(ws.dead().select("name", "unsure")) == [("sunrise", 0), ("main", 0), ("first", 0), ("LEAP", 0)]
 
 
-def test_aliases_and_surface(ws):
-    found = {r["addr"]: (r["aliases"], r["imported_by"]) for r in ws.surface("kit").collect()}
-    assert found["kit::shapes::dot::Dot"] == (["kit::Dot", "kit::shapes::Dot"], 4)
-    assert found["kit::inner::Veil"][0] == ["kit::Cloak"] and "kit::tools::helper" not in found
+def test_aliases_follow_chains_and_end_in_cycles(ws):
+    found = set(rows(ws.aliases.filter("step > 0 and alias like '%::%' and target not like 'site%'").select("target", "alias", "step")))
+    level = "tide::gauge::level::Level"
+    chain = {(level, "tide::gauge::Level", 1), (level, "tide::Level", 2), (level, "berth_plan::Water", 3)}
+    ring = {("berth_plan::east::sunrise", "berth_plan::west::sunrise", 1), ("berth_plan::west::sunset", "berth_plan::east::sunset", 1)}
+    assert found == chain | ring
+
+
+def test_surface(ws):
+    found = {r["addr"]: (r["aliases"], r["imported_by"]) for r in ws.surface("tide").collect()}
+    assert found["tide::gauge::level::Level"] == (["berth_plan::Water", "tide::Level", "tide::gauge::Level"], 5)
+    assert found["tide::gauge::clock::turns"] == ([], 1) and "tide::gauge::clock::half" not in found
 
 
 def test_references(ws):
-    reasons = ws.references("Dot").groupBy("reason").count()
-    assert dict(rows(reasons)) == {"declaring": 2, "imported": 2, "path": 2, "re-export": 8}
-    assert ws.references("Dot").filter("confidence <> 'resolved'").count() == 0
+    found = [(r["path"], r["reason"]) for r in ws.references("Level").collect()]
+    assert sorted(found) == sorted([
+        ("tide/src/gauge/level.rs", "declaring"), ("tide/src/gauge/level.rs", "declaring"), ("tide/src/gauge/mod.rs", "imported"), ("tide/src/gauge/mod.rs", "imported"),
+        ("tide/src/gauge/mod.rs", "imported"), ("berth/src/quay/mod.rs", "path"), ("tide/src/lib.rs", "re-export"), ("berth/src/lib.rs", "re-export"),
+    ])
+    assert ws.references("Level").filter("confidence <> 'resolved'").count() == 0
+
+
+def test_segments_of_one_name_are_told_by_their_place(ws):
+    text = TREE["desk/src/board.rs"]
+    path = text.index("quay::quay::quay")
+    found = {r["start"]: r["confidence"] for r in ws.references("quay", "berth/src/quay/quay.rs").filter("path = 'desk/src/board.rs'").collect()}
+    assert found == {text.index("quay"): "other", path: "other", path + 6: "other", path + 12: "resolved", text.index("quay()"): "resolved"}
 
 
 def test_import_problems(ws):
-    assert rows(ws.imports().filter("path like '%.rs'").select("raw", "problem")) == [("std::collections::HashMap", "unused")]
+    assert rows(ws.imports().select("path", "raw", "problem")) == [("berth/src/quay/mod.rs", "std::fmt::Debug", "unused")]
 
 
 def test_search_order_and_roles(ws):
-    found = rows(ws.search("size").orderBy("ordinal").select("ordinal", "role"))
-    assert [n for n, _ in found] == list(range(1, len(found) + 1)) and [r for _, r in found[:3]] == ["declaration"] * 3
+    found = rows(ws.search("quay").orderBy("ordinal").select("ordinal", "role", "line", "col", "line_text"))
+    assert [n for n, *_ in found] == list(range(1, 10)) and [r for _, r, *_ in found] == ["declaration"] * 3 + ["import"] * 4 + ["use", "import"]
+    assert found[7][2:] == (5, 35, "    let held = Slot::Taken { ship: quay() };")
     with pytest.raises(ValueError):
         ws.search()
 
@@ -55,13 +74,15 @@ def test_search_order_and_roles(ws):
 def test_targets(ws):
     with pytest.raises(LookupError):
         ws.target("nowhere")
-    assert ws.target("Dot") == "kit::shapes::dot::Dot"
+    with pytest.raises(LookupError, match="ambiguous"):
+        ws.target("quay")
+    assert ws.target("Level") == "tide::gauge::level::Level"
 
 
 def test_callers_and_bindings(ws):
-    assert {r[2] for r in rows(ws.callers("size", "kit/src/tools.rs"))} == {"size", "helper", "main"}
+    assert {r[2] for r in rows(ws.callers("turns"))} == {"read", "deepest"}
     held = {(r["path"], r["name"], r["b_kind"]) for r in ws.bindings().collect()}
-    assert ("kit/src/tools.rs", "n", "parameter") in held and ("app/src/main.rs", "p", "variable") in held
+    assert {("tide/src/gauge/clock.rs", "at", "parameter"), ("desk/src/main.rs", "w", "variable"), ("desk/src/board.rs", "held", "variable"), ("site/chart/plot.ts", "x", "parameter")} <= held
 
 
 def test_facts_are_spans_of_their_files(ws):
@@ -69,38 +90,32 @@ def test_facts_are_spans_of_their_files(ws):
 
 
 def test_rename_preview_apply_undo(ws, tmp_path):
-    for path, text in KIT.items():
+    for path, text in TREE.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
-    plan_edits = edits.rename(ws.references("Dot"), "Spot", False)
+    plan_edits = edits.rename(ws.references("Level"), "Height", False)
     assert edits.conflicts(plan_edits).count() == 0
     after = edits.after(ws.files, plan_edits)
     diffs = edits.preview(ws.files.select("path", "text"), after)
-    assert diffs.count() == 5 and "+pub struct Spot {" in diffs.filter("path like '%dot.rs'").first()["diff"]
+    assert diffs.count() == 5 and "+pub struct Height {" in diffs.filter("path like '%level.rs'").first()["diff"]
     ledger = Ledger(str(tmp_path))
     plan = Plan.of("rename", ws.files.select("path", "text"), after)
     ledger.apply(plan)
-    assert "Spot::new" in (tmp_path / "app/src/main.rs").read_text()
+    assert "pub use tide::Height as Water;" in (tmp_path / "berth/src/lib.rs").read_text()
     with pytest.raises(Stale):
         ledger.apply(plan)
     ledger.undo()
-    assert {p: (tmp_path / p).read_text() for p in KIT} == KIT and ledger.history() == []
+    assert {p: (tmp_path / p).read_text() for p in TREE} == TREE and ledger.history() == []
 
 
 def test_rewrite(ws):
-    hits = edits.pattern_matches(ws.files, "Dot::new($A, $$$REST)")
-    changed = edits.splice(ws.files, edits.rewrite(hits, "Dot::at($A; $REST)"))
-    assert "Dot::at(1; 2)" in changed.filter("path = 'app/src/main.rs'").first()["text"]
+    hits = edits.pattern_matches(ws.files, "Slot::Taken { ship: $N($$$REST) }")
+    changed = edits.splice(ws.files, edits.rewrite(hits, "Slot::taken_by($N($REST))"))
+    assert [(r["path"], "Slot::taken_by(quay())" in r["text"]) for r in changed.collect()] == [("desk/src/board.rs", True)]
     with pytest.raises(Exception, match="captures no"):
         edits.splice(ws.files, edits.rewrite(hits, "$NONE")).collect()
 
 
-def test_move_respells_imports(ws):
-    changes, moves, notices = edits.move_module(ws.edges, ws.modules, "kit/src/tools.rs", "kit/src/shapes/tools.rs")
-    done = {(r["path"], r["replacement"]) for r in changes.collect()}
-    assert ("kit/src/shapes/form.rs", "crate::shapes::tools::size") in done and moves.count() == 1 and notices.count() == 0
-
-
 def test_scan_ignores_and_overlay(spark, tmp_path):
     for p in ("a/x.rs", "a/b/y.ts", "target/z.rs", ".git/k.rs", "keep/target/n.rs"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
@@ -113,12 +128,12 @@ def test_scan_ignores_and_overlay(spark, tmp_path):
 
 
 def test_serve(ws):
-    lines = ['{"id":7,"command":"where","name":"Form"}', "no json", '{"id":8,"command":"bogus"}', '{"id":9,"command":"impact","name":"nowhere"}']
+    lines = ['{"id":7,"command":"where","name":"Slot"}', "no json", '{"id":8,"command":"bogus"}', '{"id":9,"command":"impact","name":"nowhere"}']
     import json
 
     out = [json.loads(x) for x in requests.serve(lines, {"where": ws.where, "impact": ws.impact})]
     assert [(o["id"], o["status"]) for o in out] == [(7, "ok"), (None, "error"), (8, "error"), (9, "error")]
-    assert out[0]["result"][0]["statement"] == "use crate::shapes::form::Form;"
+    assert out[0]["result"][0]["statement"] == "use crate::quay::Slot;"
 
 
 def test_retention():
@@ -152,26 +167,26 @@ def test_stream_refresh(spark, tmp_path):
 def test_symbol_move(ws):
     from treeline.plans import symbols
 
-    changes, notices = symbols.move_symbol(ws, "helper", "kit/src/tools.rs", "kit/src/inner.rs")
+    changes, notices = symbols.move_symbol(ws, "half", "tide/src/gauge/clock.rs", "tide/src/gauge/level.rs")
     assert edits.conflicts(changes).count() == 0 and notices.count() == 0
     after = dict(rows(edits.after(ws.files, changes)))
-    assert "pub(crate) fn helper()" in after["kit/src/inner.rs"] and "use crate::tools::size;" in after["kit/src/inner.rs"]
-    assert after["kit/src/tools.rs"].startswith("use crate::inner::helper;\n") and "fn helper" not in after["kit/src/tools.rs"]
-    dot, _ = symbols.move_symbol(ws, "Dot", "kit/src/shapes/dot.rs", "kit/src/inner.rs")
-    moved = dict(rows(edits.after(ws.files, dot)))
-    assert "impl Dot" in moved["kit/src/inner.rs"] and "pub use crate::inner::Dot;" in moved["kit/src/shapes/mod.rs"] and moved["kit/src/shapes/dot.rs"].strip() == ""
-    assert symbols.candidates(ws.family("symbols"), "kit/src/shapes/dot.rs", "new").first()["refusal"] == "not movable"
+    assert after["tide/src/gauge/level.rs"].endswith("}\n\nfn half() -> u16 {\n    372\n}\n")
+    assert after["tide/src/gauge/clock.rs"] == "use crate::gauge::level::half;\n" + TREE["tide/src/gauge/clock.rs"].replace("fn half() -> u16 {\n    372\n}\n", "")
+    level, _ = symbols.move_symbol(ws, "Level", "tide/src/gauge/level.rs", "tide/src/gauge/clock.rs")
+    moved = dict(rows(edits.after(ws.files, level)))
+    assert "impl Level" in moved["tide/src/gauge/clock.rs"] and "pub use crate::gauge::clock::Level;" in moved["tide/src/gauge/mod.rs"] and moved["tide/src/gauge/level.rs"].strip() == ""
+    assert symbols.candidates(ws.family("symbols"), "tide/src/gauge/level.rs", "ebb").first()["refusal"] == "not movable"
 
 
 def test_context(ws):
     from treeline.operators import context
 
-    found = [(r["relation"], r["name"]) for r in context.assemble(ws, "helper").collect()]
-    assert found[0] == ("definition", "helper") and ("outgoing", "size") in found and ("incoming", "never_called") in found
-    assert context.assemble(ws, "helper", max_items=1).count() == 1
-    assert context.definition_at(ws.occurrences, "kit/src/tools.rs", KIT["kit/src/tools.rs"].index("helper")).first()["outcome"] == "resolved"
+    found = [(r["relation"], r["name"]) for r in context.assemble(ws, "turns").collect()]
+    assert found == [("definition", "turns"), ("outgoing", "half"), ("incoming", "deepest"), ("incoming", "read")]
+    assert context.assemble(ws, "turns", max_items=1).count() == 1
+    assert context.definition_at(ws.occurrences, "tide/src/gauge/clock.rs", TREE["tide/src/gauge/clock.rs"].index("half")).first()["targets"] == ["tide::gauge::clock::half"]
     bound = {(r["local"], r["target"]) for r in context.named_bindings(ws.family("named_imports"), ws.edges, ws.declared).collect()}
-    assert ("Shape", "web/shape.ts::Shape") in bound
+    assert bound == {("plot", "site/chart/plot.ts::plot"), ("Mark", "site/chart/plot.ts::Mark"), ("units", "site/units.ts"), ("meter", "site/units.ts::metre")}
 
 
 def test_excerpts_end_between_characters(spark):

@@ -1,19 +1,26 @@
-"""Small source trees for the tests."""
+"""A small source tree for the tests: tide tables, berths and a desk, with a few script modules for charts."""
 
-KIT = {
-    "Cargo.toml": '[workspace]\nmembers = ["app", "kit"]\n',
-    "app/Cargo.toml": '[package]\nname = "kit-app"\n[dependencies]\nkit = { path = "../kit" }\n',
-    "kit/Cargo.toml": '[package]\nname = "kit"\n',
-    "app/src/main.rs": 'mod cli;\n\nuse kit::shapes::zero;\nuse kit::{size, Dot, Form};\n\nfn main() {\n    let p = Dot::new(1, 2);\n    let s = Form::One(p);\n    println!("{} {}", s.size(), size(3));\n    zero();\n    cli::run();\n}\n',
-    "app/src/cli.rs": 'use kit::shapes::form::Form as Figure;\nuse kit::Cloak;\n\npub fn run() {\n    let c = Cloak;\n    let f = Figure::One(kit::shapes::zero());\n    println!("{}", f.size());\n}\n',
-    "kit/src/lib.rs": "pub mod shapes;\npub mod tools;\nmod inner;\n\npub use shapes::{form::Form, Dot};\npub use inner::Veil as Cloak;\npub use tools::*;\n",
-    "kit/src/shapes/mod.rs": "pub mod form;\nmod dot;\n\npub use dot::Dot;\n\npub fn zero() -> Dot {\n    Dot::new(0, 0)\n}\n",
-    "kit/src/shapes/dot.rs": "/// A place, é.\npub struct Dot {\n    pub x: i32,\n}\n\nimpl Dot {\n    pub fn new(x: i32, y: i32) -> Self {\n        Self { x }\n    }\n    pub fn shift(self) -> Self {\n        Dot::new(self.x, 0)\n    }\n}\n",
-    "kit/src/shapes/form.rs": "use super::Dot;\nuse crate::tools::size;\n\npub enum Form {\n    One(Dot),\n    Box { corner: Dot, side: u32 },\n}\n\nimpl Form {\n    pub fn size(&self) -> u32 {\n        size(1)\n    }\n    pub fn anchor(&self) -> Dot {\n        Dot::new(0, 0)\n    }\n}\n",
-    "kit/src/tools.rs": "use std::collections::HashMap;\n\npub fn size(n: u32) -> u32 {\n    n * n\n}\n\npub(crate) fn helper() -> u32 {\n    size(1)\n}\n\nfn never_called() -> u32 {\n    helper()\n}\n\npub const EDITION: u32 = 1;\n",
-    "kit/src/inner.rs": "pub struct Veil;\n\nimpl Veil {\n    pub fn show(&self) -> u32 {\n        1\n    }\n}\n",
-    "web/index.ts": 'export * from "./shape";\nexport { area } from "./area";\n',
-    "web/shape.ts": "export class Shape { size(): number { return area(this); } }\n",
-    "web/area.ts": 'import { Shape } from "./shape";\nexport function area(s: Shape): number { return 1; }\n',
-    "web/notes.md": "not a source file\n",
+TREE = {
+    "Cargo.toml": '[workspace]\nmembers = ["tide", "berth", "desk"]\n',
+    "tide/Cargo.toml": '[package]\nname = "tide"\n',
+    "berth/Cargo.toml": '[package]\nname = "berth-plan"\n[dependencies]\ntide = "1"\n',
+    "desk/Cargo.toml": '[package]\nname = "desk"\n[dependencies]\nplan = { package = "berth-plan" }\n',
+    # Level is offered under three more names, one above the other, the last in another package.
+    "tide/src/lib.rs": "pub mod gauge;\npub use gauge::Level;\n",
+    "tide/src/gauge/mod.rs": "pub mod clock;\npub mod level;\npub use level::Level;\n\npub fn read(at: u16) -> Level {\n    Level { cm: clock::turns(at) }\n}\n",
+    "tide/src/gauge/level.rs": "/// Height of the water, in µm.\npub struct Level {\n    pub cm: u16,\n}\n\nimpl Level {\n    pub fn ebb(self, by: u16) -> u16 {\n        self.cm - by\n    }\n}\n",
+    "tide/src/gauge/clock.rs": "pub fn turns(at: u16) -> u16 {\n    at / half()\n}\n\nfn half() -> u16 {\n    372\n}\n\nconst LEAP: u16 = 4;\n",
+    # Two modules that offer all of each other, and a module whose path holds one name twice.
+    "berth/src/lib.rs": "pub mod quay;\npub mod east;\npub mod west;\npub use tide::Level as Water;\n",
+    "berth/src/east.rs": "pub use crate::west::*;\n\npub fn sunrise() {}\n",
+    "berth/src/west.rs": "pub use crate::east::*;\n\npub fn sunset() {}\n",
+    "berth/src/quay/mod.rs": "use std::fmt::Debug;\nuse tide::gauge::{clock::turns, level};\n\npub mod quay;\n\npub enum Slot {\n    Free,\n    Taken { ship: u16 },\n}\n\npub fn deepest(at: u16) -> level::Level {\n    let n = turns(at);\n    tide::gauge::read(n)\n}\n",
+    "berth/src/quay/quay.rs": "pub fn quay() -> u16 {\n    9\n}\n",
+    "desk/src/main.rs": "mod board;\n\nuse plan::{quay::*, Water};\n\nfn main() {\n    let w: Water = deepest(7);\n    board::show(w);\n    plan::east::sunset();\n}\n",
+    "desk/src/board.rs": "use plan::quay::Slot;\nuse plan::quay::quay::quay;\nuse plan::Water as Sea;\n\npub fn show(s: Sea) -> u16 {\n    let held = Slot::Taken { ship: quay() };\n    drop((s, held));\n    3\n}\n",
+    "site/index.ts": 'export * from "./main";\nexport { metre as meter } from "./units";\n',
+    "site/main.ts": 'import { plot, Mark } from "./chart/plot";\nimport * as units from "./units";\nexport const first: Mark = plot(units.metre);\n',
+    "site/chart/plot.ts": "export interface Mark { x: number }\nexport function plot(x: number): Mark { return { x }; }\n",
+    "site/units.ts": "export const metre = 1;\n",
+    "notes/ships.txt": "not a source file\n",
 }

@@ -51,12 +51,35 @@ class Lexeme:
     end: int
 
 
+class Lexemes(list):
+    """The lexemes of a file; a place beyond the last is an empty one at the file's end, so cut-off sources need no care."""
+
+    def __init__(self, items: list[Lexeme], size: int) -> None:
+        super().__init__(items)
+        self.end = Lexeme("end", "", size, size)
+
+    def __getitem__(self, i):  # noqa: ANN001, ANN204
+        return self.end if isinstance(i, int) and i >= len(self) else super().__getitem__(i)
+
+
+class Partners(list):
+    """Partners of brackets; a place beyond the last has none."""
+
+    def __getitem__(self, i):  # noqa: ANN001, ANN204
+        return -1 if isinstance(i, int) and i >= len(self) else super().__getitem__(i)
+
+
 def named(raw: str) -> str:
     """A name cut from Latin-1 text as the UTF-8 it stands for."""
-    return raw if raw.isascii() else raw.encode("latin-1").decode("utf-8", "replace")
+    if raw.isascii():
+        return raw
+    try:
+        return raw.encode("latin-1").decode("utf-8", "replace")
+    except UnicodeEncodeError:  # no Latin-1: decoded before
+        return raw
 
 
-def brackets(lexemes: list[Lexeme]) -> list[int]:
+def brackets(lexemes: list[Lexeme]) -> Partners:
     """For every bracket the index of its partner, else -1; unbalanced ones pair with the end."""
     pairs, out, stack = {")": "(", "]": "[", "}": "{"}, [-1] * len(lexemes), []
     for i, x in enumerate(lexemes):
@@ -72,7 +95,7 @@ def brackets(lexemes: list[Lexeme]) -> list[int]:
                 stack.pop()
     for i in stack:
         out[i] = len(lexemes) - 1
-    return out
+    return Partners(out)
 
 
 class Lines:

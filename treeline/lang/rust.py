@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-from treeline.lang.model import Facts, Lexeme, Lines, brackets, named
+from treeline.lang.model import Facts, Lexeme, Lexemes, Lines, brackets, named
 
 _LEX = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*)|(?P<string>b?r(?P<hash>\#*)".*?"(?P=hash)|[bc]?"(?:\\.|[^"\\])*")|(?P<char>b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\])')"""
@@ -54,7 +54,7 @@ class Parser:
         everything = lex(raw)
         self.comments = [x for x in everything if x.kind == "comment"]
         self.comment_ends = [c.end for c in self.comments]
-        self.t = [x for x in everything if x.kind != "comment"]
+        self.t = Lexemes([x for x in everything if x.kind != "comment"], len(raw))
         self.pair = brackets(self.t)
         self.lines = Lines(raw)
         self.statements: list[tuple[int, int]] = []
@@ -350,10 +350,10 @@ class Parser:
             at += 1
 
     def bind(self, i: int, end: int, scope: tuple[int, int], visible: int, kind: str) -> None:
-        """Names that a pattern binds: words that begin in lower case and name no path, call, field or record."""
+        """Names that a pattern binds: words that begin in lower case and name no path, call, field or record. A colon at its end begins a type."""
         for k in range(i, end):
             x = self.t[k]
-            if x.kind == "word" and x.text not in KEYWORDS and (x.text[0].islower() or x.text[0] == "_" and len(x.text) > 1) and self.text(k + 1) not in ("::", "(", "!", "{", ":") and self.text(k - 1) not in ("::", "."):
+            if x.kind == "word" and x.text not in KEYWORDS and (x.text[0].islower() or x.text[0] == "_" and len(x.text) > 1) and self.text(k + 1) not in ("::", "(", "!", "{") and (self.text(k + 1) != ":" or k + 1 >= end) and self.text(k - 1) not in ("::", "."):
                 self.out.lexical.append({"name": named(x.text), "kind": kind, "name_start": x.start, "name_end": x.end, "scope_start": scope[0], "scope_end": scope[1], "visible_from": visible, "namespace": "value"})
 
     def parameters(self, i: int, stop: int, last: int) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from treeline.lang.model import Facts, Lexeme, Lines, brackets, named
+from treeline.lang.model import Facts, Lexeme, Lexemes, Lines, brackets, named
 
 _LEX = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<tick>`)|(?P<word>[A-Za-z_$\x80-\xff\#][\w$\x80-\xff]*)|(?P<number>[0-9][\w.]*)|(?P<mark>=>|\.\.\.|===?|!==?|&&|\|\||\?\.|\?\?|.)""",
@@ -52,8 +52,8 @@ class Parser:
         self.raw, self.out = raw, Facts()
         everything = lex(raw)
         self.comments = [x for x in everything if x.kind == "comment"]
-        self.t = [x for x in everything if x.kind != "comment"]
-        self.pair = brackets(self.t)
+        self.t = Lexemes([x for x in everything if x.kind != "comment"], len(raw))
+        self.pair = [*brackets(self.t), -1, -1, -1, -1]
         self.lines = Lines(raw)
 
     def text(self, i: int) -> str:
