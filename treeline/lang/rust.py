@@ -134,7 +134,7 @@ class Parser:
 
     def items(self, i: int, end: int, container: str, depth: int, top: bool) -> None:
         while i < end:
-            i = self.item(i, end, container, depth, top)
+            i = max(self.item(i, end, container, depth, top), i + 1)
 
     def item(self, i: int, end: int, container: str, depth: int, top: bool) -> int:
         first = i
