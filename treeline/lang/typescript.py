@@ -146,7 +146,7 @@ class Parser:
 
     def block(self, i: int, end: int, container: str, depth: int, top: bool, scope: tuple[int, int], owner: int | None) -> None:
         while i < end:
-            i = self.statement(i, end, container, depth, top, scope, owner)
+            i = max(self.statement(i, end, container, depth, top, scope, owner), i + 1)
 
     def statement(self, i: int, end: int, container: str, depth: int, top: bool, scope: tuple[int, int], owner: int | None) -> int:
         first, modifier = i, ""
