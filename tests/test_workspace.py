@@ -197,3 +197,47 @@ def test_excerpts_end_between_characters(spark):
     for n in range(1, 12):
         got = df.select(context.excerpt(F.col("t"), F.lit(0), F.lit(len(text.encode())), n)).first()[0]
         assert text.startswith(got) and len(got.encode()) <= n and len(got.encode()) > n - 4
+
+
+def _meaning(ws, path, word, nth=0):
+    at = -1
+    for _ in range(nth + 1):
+        at = TREE[path].index(word, at + 1)
+    found = ws.navigate(path, at).collect()
+    return [(r["outcome"], r["tier"], r["targets"] or r["why"]) for r in found]
+
+
+def test_navigation_by_tiers(ws):
+    board, main = "desk/src/board.rs", "desk/src/main.rs"
+    assert _meaning(ws, board, "held", 1) == [("resolved", "local", [f"{board}@{TREE[board].index('held')}"])]
+    assert _meaning(ws, board, "quay()") == [("resolved", "direct", ["berth_plan::quay::quay::quay"])]
+    assert _meaning(ws, board, "Sea", 1) == _meaning(ws, board, "Water") == [("resolved", "direct", ["tide::gauge::level::Level"])]
+    assert _meaning(ws, main, "deepest") == [("resolved", "opened", ["berth_plan::quay::deepest"])]
+    assert _meaning(ws, main, "sunset") == [("resolved", "direct", ["berth_plan::west::sunset"])]
+    assert _meaning(ws, board, "drop") == [("unavailable", None, "unknown-name")] and ws.navigate(board, TREE[board].index(";")).count() == 0
+
+
+def test_addresses_are_followed_to_their_declaration(ws):
+    walk = lambda addr, viewer: tuple(ws.normalise(addr, viewer).select("addr", F.size("trail"), "cycle").first())
+    assert walk("berth_plan::Water", "desk") == ("tide::gauge::level::Level", 4, False)
+    assert walk("desk::board::Sea::cm", "desk::board") == ("tide::gauge::level::Level::cm", 5, False)
+    assert walk("desk::board::Sea", "tide") == ("desk::board::Sea", 1, False)  # an import is for its own module
+
+
+def test_cycles_of_names_end(spark):
+    from treeline.operators import navigation
+
+    edge = spark.createDataFrame([("g::a", "X", "g::b::X", True), ("g::b", "X", "g::a::X", True)], "from_addr string, binding string, addr string, reexport boolean").withColumns({"declares": F.lit(True), "is_prefix": F.lit(False)})
+    asked = spark.createDataFrame([(1, "g::a::X", "g"), (2, "g::c", "g")], "id long, addr string, viewer string")
+    found = {r["id"]: (r["addr"], r["cycle"]) for r in navigation.normalised(asked, edge, spark.createDataFrame([("g::c",)], "addr string")).collect()}
+    assert found == {1: ("g::b::X", True), 2: ("g::c", False)}
+
+
+def test_relationships_under_all_names_within_a_budget(ws):
+    sites, coverage = ws.relationships("Level")
+    found = sorted((r["path"], r["name"]) for r in sites.collect())
+    assert found == sorted([("berth/src/lib.rs", "Level"), ("berth/src/lib.rs", "Water"), ("berth/src/quay/mod.rs", "Level"), ("desk/src/board.rs", "Sea"), ("desk/src/board.rs", "Sea"), ("desk/src/board.rs", "Water"),
+                            ("desk/src/main.rs", "Water"), ("desk/src/main.rs", "Water"), ("tide/src/gauge/level.rs", "Level"), ("tide/src/gauge/mod.rs", "Level"), ("tide/src/gauge/mod.rs", "Level"), ("tide/src/gauge/mod.rs", "Level"), ("tide/src/lib.rs", "Level")])
+    assert tuple(coverage.first()) == (7, 0, 13, 0, None)
+    assert tuple(ws.relationships("Level", max_files=2)[1].first()) == (2, 5, 3, 10, "files")
+    assert tuple(ws.relationships("Level", max_items=4)[1].first()) == (7, 0, 4, 9, "items")

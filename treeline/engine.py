@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import graph, search
+from treeline.operators import graph, navigation, search
 from treeline.session import settle
 from treeline.sources import workspace
 
@@ -128,5 +128,32 @@ class Workspace:
         at = self.edges.filter((F.col("start") <= offset) & (F.col("end") > offset)).select("path", F.col("raw").alias("import"), F.col("addr").alias("import_addr"))
         return inside.join(at, "path", "left").join(self.modules.select("path", F.col("addr").alias("module_addr")), "path", "left")
 
+    @cached_property
+    def resolutions(self) -> DataFrame:
+        """Every token with what it means."""
+        return settle(navigation.resolved(self.family("tokens"), self.bindings(), self.occurrences, self._sites(self.declared), self.family("uncertain")))
+
+    def _sites(self, of: DataFrame) -> DataFrame:
+        wanted = of.select(F.col("addr").alias("target")).distinct()
+        names = navigation.incoming_names(self.edges, self.aliases, self.declared).join(wanted, "target")
+        return navigation.reference_sites(self.family("tokens"), names, self.occurrences.join(wanted, "target"), self.bindings(), of, self.edges, self.aliases.join(wanted, "target"))
+
+    def navigate(self, path: str, offset: int) -> DataFrame:
+        """What the token at an offset means: outcome, tier, targets, why. No row where no token is."""
+        token = self.family("tokens").filter((F.col("path") == path) & (F.col("start") <= offset) & (F.col("end") > offset)).select("path", "start")
+        return self.resolutions.join(token, ["path", "start"], "left_semi")
+
+    resolve = navigate
+
+    def relationships(self, name: str, declared_in: str | None = None, max_files: int = 64, max_items: int = 64) -> tuple[DataFrame, DataFrame]:
+        """(sites, coverage): references to a declaration under its own name and under names that imports give it."""
+        at = self.target(name, declared_in)
+        return navigation.within_budget(self._sites(self.declared.filter(F.col("addr") == at)), max_files, max_items)
+
+    def normalise(self, addr: str, viewer: str) -> DataFrame:
+        """Where an address leads, seen from a module."""
+        one = self.files.sparkSession.createDataFrame([(0, addr, viewer)], "id long, addr string, viewer string")
+        return navigation.normalised(one, self.edges, self.declared)
+
     def bindings(self) -> DataFrame:
         return graph.visible_bindings(self.family("tokens"), self.family("lexical"), self.family("uncertain"))

@@ -163,6 +163,12 @@ def depths(spans: DataFrame) -> DataFrame:
     return out.withColumn("depth", F.coalesce(F.size(around), F.lit(0)).cast("long")).drop("stretch", "held")
 
 
+def names_in(tokens: DataFrame, extents: DataFrame) -> DataFrame:
+    """path, names: distinct names of the tokens inside an extent(path, start, end) of each file."""
+    at = extents.select("path", F.col("start").alias("from"), F.col("end").alias("to"))
+    return tokens.join(at, "path").filter((F.col("start") >= F.col("from")) & (F.col("end") <= F.col("to"))).groupBy("path").agg(F.countDistinct("name").alias("names"))
+
+
 def find_in_file(files: DataFrame, needle: str) -> DataFrame:
     """path and byte start of every exact occurrence, overlaps left out. Files without it never leave the JVM."""
     if not needle:

@@ -196,12 +196,17 @@ def move_module(edge: DataFrame, mods: DataFrame, source: str, target: str) -> t
     inside = re.sub(r"^.*?/?src/|\.rs$", "", target).split("/")
     new = inside[:-1] if inside[-1] == "mod" else inside
     hit = rebased(edge.filter("not is_prefix"), at["mpath"], new, at["package"]).join(mods.select("path", F.col("package").alias("own"), "mpath"), "path")
-    spelled = hit.withColumn("replacement", render(F.col("head"), F.lit(at["package"]), F.col("apath"), F.col("own"), F.col("mpath")))
-    edits = spelled.filter("not grouped and replacement <> raw").select("path", "start", "end", "replacement", F.col("ord").alias("seq"))
-    notices = spelled.filter("grouped").select("path", "start", F.lit("unrewritable import").alias("kind"), "raw")
+    edits, notices = respelled(hit, at["package"])
     return edits, edge.sparkSession.createDataFrame([(source, target)], "source string, target string"), notices
 
 
+def respelled(hit: DataFrame, package: str) -> tuple[DataFrame, DataFrame]:
+    """(edits, notices) for imports of rebased() with own and mpath of their module: entries of groups become notices."""
+    spelled = hit.withColumn("replacement", render(F.col("head"), F.lit(package), F.col("apath"), F.col("own"), F.col("mpath")))
+    edits = spelled.filter("not grouped and replacement <> raw").select("path", "start", "end", "replacement", F.col("ord").alias("seq"))
+    return edits, spelled.filter("grouped").select("path", "start", F.lit("unrewritable import").alias("kind"), "raw")
+
+
 def widened(kind: Column, path: Column) -> Column:
     """The modifier for a reach; everyone is never inferred and gives null."""
     return F.when(kind == "package", "pub(crate)").when((kind == "within") & (F.size(path) == 0), "pub(crate)").when(kind == "within", F.concat(F.lit("pub(in crate::"), F.array_join(path, "::"), F.lit(")")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 from treeline.functions import text as T
-from treeline.operators import graph, search
+from treeline.operators import context, graph, search
 from treeline.plans import edits
 from treeline.sources import requests, workspace
 from treeline.streaming import refresh
@@ -63,6 +63,10 @@ lines AS (SELECT path, package, language, line, CAST(ord AS INTEGER) AS ord, CAS
 symbols AS (SELECT path, package, language, ord, regexp_extract(line, '^([A-Z][A-Za-z0-9_]*)', 1) AS name, start, CAST(start + strlen(line) AS INTEGER) AS stop, line FROM lines WHERE regexp_matches(line, '^[A-Z]'))"""
 _BOTH = _TOKENS + _LINES[len(_DOCS):]
 
+_CUST = """cust AS (SELECT c_custkey AS ck, n.n_nationkey AS nk, n.n_regionkey AS rk, o.n_nationkey AS onk, o.n_regionkey AS ork, f.first
+FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN nation o ON o.n_nationkey = n.n_nationkey * 2 % 26 % 25
+LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS first FROM supplier GROUP BY 1) f ON f.s_nationkey = n.n_nationkey)"""
+
 # Scans and sinks
 
 
@@ -117,11 +121,12 @@ def a7_inventory(spark: SparkSession, d: str) -> DataFrame:
     return workspace.inventory(_files(spark, d))
 
 
-@query(f"WITH {_TOKENS} SELECT docs.path AS path, sha256(text) AS content_id, CAST((SELECT count(*) FROM tokens WHERE tokens.path = docs.path) AS BIGINT) AS identifiers FROM docs")
+@query("""SELECT 'r' || n_regionkey || '/src/n4.rs' AS path, sha256('pub struct Nation4;' || chr(10) || coalesce((SELECT string_agg('pub fn s' || s_suppkey || '() {}' || chr(10), '' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = 4), '')) AS content_id,
+CAST(1 + (SELECT count(*) FROM supplier WHERE s_nationkey = 4) AS INTEGER) AS declarations, 'Nation4' AS first FROM nation WHERE n_nationkey = 4""")
 def a8_preview(spark: SparkSession, d: str) -> DataFrame:
-    files = _files(spark, d)
-    counts = search.identifiers(files).groupBy("path").agg(F.count("*").alias("identifiers"))
-    return files.join(counts, "path", "left").select("path", T.content_id(F.col("text")).alias("content_id"), F.coalesce("identifiers", F.lit(0)).alias("identifiers"))
+    w = _workspace(spark, d)
+    path = w.modules.filter("addr like '%::n4'").first()["path"]
+    return workspace.preview(w.files, w.facts, path).select("path", "content_id", F.size("symbols").alias("declarations"), F.col("symbols")[0]["name"].alias("first"))
 
 
 @query(f"WITH {_DOCS} SELECT CAST(sum(CAST('0x' || substr(sha256(path || '|' || sha256(text)), 1, 15) AS HUGEINT)) AS VARCHAR) AS snapshot, count(*) AS files FROM docs")
@@ -195,7 +200,7 @@ def b18_scope_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang AS language, count(*) AS files, lang NOT IN ('en', 'de') AS skipped FROM documents GROUP BY lang")
 def b19_language_accept(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).groupBy("language").agg(F.count("*").alias("files")).withColumn("skipped", ~F.col("language").isin("en", "de"))
+    return search.language_report(_files(spark, d), ["en", "de"])
 
 
 @query(f"""WITH {_BOTH} SELECT t.path, t.start, l.ord AS line, CAST(length(decode(encode(l.line)[1:(t.start - l.start)])) AS INTEGER) AS col, l.line AS line_text, substr(sha256(t.path || '|' || t.start || '|' || t.stop || '|' || t.name), 1, 12) AS id
@@ -267,7 +272,8 @@ def b30_selection(spark: SparkSession, d: str) -> DataFrame:
 def b31_excerpt(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
     s = _symbols(files).join(files.select("path", "text"), "path")
-    return s.select("path", "ord", T.byte_slice(F.col("text"), F.col("name_start"), F.col("name_end") - F.col("name_start")).alias("cut"), T.span_length(F.col("name_start"), F.col("name_end")).alias("n"))
+    most = F.col("name_end") - F.col("name_start")
+    return s.select("path", "ord", context.excerpt(F.col("text"), F.col("start"), F.col("end"), most).alias("cut"), T.span_length(F.col("name_start"), F.col("name_end")).alias("n"))
 
 
 @query(f"WITH {_DOCS}, a AS (SELECT path, string_split(text, 'thing') AS a FROM docs WHERE contains(text, 'thing')), u AS (SELECT path, unnest(a) AS p, unnest(range(len(a))) AS k, len(a) AS n FROM a), w AS (SELECT path, k, n, sum(strlen(p)) OVER (PARTITION BY path ORDER BY k) + 5 * k AS start FROM u) SELECT path, CAST(start AS INTEGER) AS start FROM w WHERE k < n - 1")
@@ -275,17 +281,22 @@ def b32_find_in_file(spark: SparkSession, d: str) -> DataFrame:
     return search.find_in_file(_files(spark, d), "thing")
 
 
-@query(f"WITH {_DOCS} SELECT path, list_contains(string_split(path, '/'), 'fr') AS in_tests FROM docs")
+@query(f"WITH {_DOCS} SELECT path, language = 'fr' OR package = 'src1' AS in_tests FROM docs")
 def b33_test_path(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("path", F.array_contains(F.split("path", "/"), "fr").alias("in_tests"))
+    spelled = F.concat_ws("/", F.when(F.col("package") == "src1", "test").otherwise("latest"), F.when(F.col("language") == "fr", "tests").otherwise("mytests"), "path")
+    return _files(spark, d).select("path", context.is_test_path(spelled).alias("in_tests"))
 
 
-@query("SELECT o_orderkey AS id, 'unreachable item' AS kind FROM orders WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT l_orderkey, 'redundant import' FROM (SELECT l_orderkey, count(*) - count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) WHERE n > 0")
+@query("SELECT l_orderkey AS path, l_linenumber AS start, 'unrewritable import' AS kind FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_suppkey % 2 = 0")
 def b34_notices(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "lineitem")
-    lone = _t(spark, d, "orders").filter("o_orderstatus = 'F'").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("id"), F.lit("unreachable item").alias("kind"))
-    again = lines.groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") - F.countDistinct("l_suppkey")).alias("n")).filter("n > 0").select("id", F.lit("redundant import").alias("kind"))
-    return lone.unionByName(again)
+    """Moving a module whose importers name it in groups that cannot be respelled."""
+    flag = F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b")
+    edge = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("ord"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.lit("x").alias("raw"), F.lit("crate").alias("head"), F.lit(0).alias("ups"), F.lit("p").alias("from_addr"),
+        (F.col("l_linestatus") == "O").alias("glob"), F.lit(None).cast("string").alias("alias"), (F.col("l_returnflag") == "R").alias("grouped"), F.lit("p").alias("package"), F.array(flag, F.lit("T")).alias("apath"),
+    )
+    mods = _t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.lit("p").alias("own"), F.array(F.lit("m")).alias("mpath"))
+    return edits.respelled(edits.rebased(edge.filter("not glob"), ["a"], ["z"], "p").join(mods, "path"), "p")[1].select("path", "start", "kind")
 
 
 # Joins over urls: hosts as packages, path segments as addresses
@@ -319,10 +330,17 @@ def c3_probe_resolve(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("c_custkey").join(hit, "c_custkey", "left")
 
 
-@query("SELECT c_custkey, coalesce('member_' || s, 'external_' || c_nationkey) AS package FROM customer LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) ON s_nationkey = c_nationkey")
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'real_' || c_nationkey WHEN c_nationkey % 5 = 1 THEN 'm' || c_nationkey WHEN c_nationkey % 5 = 2 THEN 'std' END AS package FROM customer")
 def c4_package_referent(spark: SparkSession, d: str) -> DataFrame:
-    member = _t(spark, d, "supplier").filter("s_acctbal > 8000").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("s"))
-    return _t(spark, d, "customer").join(member, "c_nationkey", "left").select("c_custkey", F.coalesce(F.concat(F.lit("member_"), F.col("s").cast("string")), F.concat(F.lit("external_"), F.col("c_nationkey").cast("string"))).alias("package"))
+    """First segments that a dependency renames, that name a member, a system package, nothing, or the package itself."""
+    k = F.col("c_nationkey") % 5
+    own, name = F.concat(F.lit("own"), F.col("c_mktsegment")), F.concat(F.lit("m"), F.col("c_nationkey").cast("string"))
+    rows = _t(spark, d, "customer").select("c_custkey", own.alias("own"), F.when(k == 2, "std").when(k == 3, "nothing").when(k == 4, own).otherwise(name).alias("first"))
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    segments = _t(spark, d, "customer").select(F.concat(F.lit("own"), F.col("c_mktsegment")).alias("package")).distinct()
+    member = n.filter("k % 5 < 2").select(F.concat(F.lit("m"), F.col("k").cast("string")).alias("name")).union(segments)
+    deps = rows.filter("first like 'm%'").join(n.filter("k % 5 = 0").select(F.concat(F.lit("m"), F.col("k").cast("string")).alias("first"), F.concat(F.lit("real_"), F.col("k").cast("string")).alias("dep_name")), "first").select(F.col("own").alias("package"), F.col("first").alias("used_as"), "dep_name").distinct()
+    return graph.package_referent(rows, member, deps).select("c_custkey", F.col("referent").alias("package"))
 
 
 @query(f"WITH {_URLS}, known AS (SELECT DISTINCT package || '/' || apath[1] AS p FROM urls WHERE len(apath) = 2) SELECT page_id, coalesce((SELECT p FROM known WHERE p = package || '/' || apath[1]), package) AS file FROM urls WHERE len(apath) > 0")
@@ -355,14 +373,17 @@ def c10_prefix_join(spark: SparkSession, d: str) -> DataFrame:
     return graph.importers(edge, targets).groupBy("target").agg(F.count("*").alias("importers"))
 
 
-@query("SELECT o_orderkey, count(DISTINCT l_suppkey) AS imported_by FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey GROUP BY 1")
+@query("SELECT 'o' || o_orderkey AS addr, count(DISTINCT l_suppkey) AS imported_by FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey GROUP BY 1")
 def c13_importer_count(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).filter("l_suppkey <> o_custkey").groupBy("o_orderkey").agg(F.countDistinct("l_suppkey").alias("imported_by"))
+    key = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    decls = _t(spark, d, "orders").select(key("o_orderkey").alias("addr"), F.col("o_custkey").alias("path"))
+    edge = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), key("l_orderkey").alias("addr"), F.lit(True).alias("declares"), F.lit(False).alias("is_prefix"))
+    return graph.imported_by(decls, decls.select(F.col("addr").alias("target"), F.col("addr").alias("alias")), edge)
 
 
-@query(f"WITH {_LINES} SELECT name, count(*) AS declarations, count(*) > 1 AS ambiguous FROM symbols GROUP BY name")
+@query(f"WITH {_LINES} SELECT name, count(DISTINCT package || '::' || language) AS declarations, count(DISTINCT package || '::' || language) > 1 AS ambiguous FROM symbols GROUP BY name")
 def c14_targets(spark: SparkSession, d: str) -> DataFrame:
-    return _symbols(_files(spark, d)).groupBy("name").agg(F.count("*").alias("declarations")).withColumn("ambiguous", F.col("declarations") > 1)
+    return graph.targets(_symbols(_files(spark, d)).withColumn("addr", graph.addr(F.col("package"), F.array("language", "name"))))
 
 
 @query(f"WITH {_TOKENS} SELECT path, start, 'by-name' AS reason FROM tokens WHERE name = 'moron'")
@@ -378,6 +399,20 @@ def c20_lexical(spark: SparkSession, d: str) -> DataFrame:
     return graph.visible_bindings(t, b).groupBy("path").agg(F.count("*").alias("peers"), F.min(F.col("b_kind").cast("int")).alias("visible_from"))
 
 
+@query(f"""WITH {_CUST}, home AS (SELECT n_regionkey AS r FROM nation WHERE n_nationkey = 4), hits AS (SELECT ck, CASE WHEN (ck % 3 = 0 AND nk = 4) OR (ck % 3 = 1 AND onk = 4) THEN 1 ELSE 2 END AS depth FROM cust, home WHERE (ck % 3 = 1 AND ork = r) OR (ck % 3 <> 1 AND rk = r)
+UNION ALL SELECT -1, 1) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS modules, count(*) AS files FROM hits GROUP BY 1""")
+def d8_impact_summary(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact_summary(_workspace(spark, d).impact("Nation4"))
+
+
+@query(f"""WITH {_CUST} SELECT 'r' || rk || '::n' || nk || '::Nation' || nk AS target, 'r' || rk || '/src/c' || ck || '.rs' AS path, 'use crate::n' || nk || '::Nation' || nk || ';' AS statement FROM cust WHERE ck % 3 = 0
+UNION ALL SELECT 'r' || ork || '::n' || onk || '::Nation' || onk, 'r' || rk || '/src/c' || ck || '.rs', 'use r' || ork || '::n' || onk || '::Nation' || onk || ';' FROM cust WHERE ck % 3 = 1 AND onk % 2 = 1
+UNION ALL SELECT 'r' || n_regionkey || '::n' || n_nationkey || '::Nation' || n_nationkey, 'r' || n_regionkey || '/src/lib.rs', 'pub use n' || n_nationkey || '::Nation' || n_nationkey || ' as N' || n_nationkey || ';' FROM nation WHERE n_nationkey % 2 = 0""")
+def d11_importer_statements(spark: SparkSession, d: str) -> DataFrame:
+    w = _workspace(spark, d)
+    return graph.importer_statements(w.edges, w.files, w.declared.filter("kind = 'struct'"))
+
+
 @query("SELECT l_partkey AS key, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, count(DISTINCT l_suppkey) AS candidates FROM lineitem GROUP BY 1")
 def c27_merge(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), "l_suppkey")
@@ -407,9 +442,9 @@ def d2_group_by_file(spark: SparkSession, d: str) -> DataFrame:
     return search.by_file(_judged(spark, d)).withColumn("starts", F.array_join(F.col("starts").cast("array<string>"), " "))
 
 
-@query("SELECT l_suppkey % 50 AS file, l_returnflag AS confidence, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_suppkey % 50 AS path, l_returnflag AS confidence, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def d3_verdict_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("file"), F.col("l_returnflag").alias("confidence")).agg(F.count("*").alias("n"))
+    return graph.verdict_counts(_t(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("path"), F.col("l_returnflag").alias("confidence")))
 
 
 @query("SELECT 'o' || o_orderkey AS name, CAST(0 AS BIGINT) AS unsure FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') UNION ALL SELECT 'o' || o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N')")
@@ -420,15 +455,19 @@ def d4_dead(spark: SparkSession, d: str) -> DataFrame:
     return graph.dead(occ, decls).select("name", "unsure")
 
 
-@query("SELECT count(*) AS items, CAST(sum(n) AS BIGINT) AS importers FROM (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)")
+@query("""SELECT (SELECT count(*) FROM nation) * 2 + (SELECT count(*) FROM supplier) AS items, CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS BIGINT) AS importers""")
 def d7_surface_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("n")).agg(F.count("*").alias("items"), F.sum("n").alias("importers"))
+    return graph.surface_summary(_workspace(spark, d).surface())
+
 
+def _import_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as imports: the order is the file, the supplier the address."""
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_suppkey").cast("string").alias("addr"), (F.col("l_returnflag") == "A").alias("glob"), F.col("l_linenumber").alias("ord"))
 
-@query("SELECT l_orderkey AS path, l_linenumber AS ord FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r > 1")
+
+@query("SELECT l_orderkey AS path, l_linenumber AS ord FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_returnflag = 'A' ORDER BY l_linenumber) AS r FROM lineitem) WHERE r > 1")
 def d9_redundant(spark: SparkSession, d: str) -> DataFrame:
-    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber"))
-    return _t(spark, d, "lineitem").withColumn("r", again).filter("r > 1").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("ord"))
+    return graph.same_target(_import_rows(spark, d)).filter("nth > 1").select("path", "ord")
 
 
 @query("SELECT l_orderkey AS path, CASE WHEN l_suppkey % 3 = 1 THEN 'p1' WHEN l_suppkey % 3 = 2 THEN 'p2' ELSE '?' END AS package, string_agg('s' || l_suppkey, ', ' ORDER BY 's' || l_suppkey) AS entries FROM lineitem GROUP BY 1, 2")
@@ -448,8 +487,8 @@ def d13_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_URLS} SELECT package, CASE WHEN count(DISTINCT apath[1]) = 1 AND count(*) = count(apath[1]) THEN CASE WHEN count(DISTINCT apath) = 1 THEN array_to_string(min(apath), '/') ELSE min(apath[1]) END ELSE '' END AS common FROM urls GROUP BY package")
 def d14_common_ancestor(spark: SparkSession, d: str) -> DataFrame:
-    meet = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), P.common_ancestor)
-    return _urls(spark, d).groupBy("package").agg(F.collect_set("apath").alias("all")).select("package", F.array_join(meet, "/").alias("common"))
+    at = graph.narrowest(_urls(spark, d).select(F.col("package").alias("target"), "package", "apath"))
+    return at.select(F.col("target").alias("package"), F.array_join("path", "/").alias("common"))
 
 
 @query("SELECT count(*) AS edits, count(DISTINCT l_orderkey) AS files, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS removed, CAST(sum(strlen(l_returnflag)) AS BIGINT) AS added, CAST(0 AS INTEGER) AS notices FROM lineitem")
@@ -458,9 +497,9 @@ def d15_review_totals(spark: SparkSession, d: str) -> DataFrame:
     return edits.review(e)
 
 
-@query(f"WITH {_TOKENS} SELECT path, count(DISTINCT name) AS names FROM tokens WHERE start < 200 GROUP BY path")
+@query(f"WITH {_TOKENS}, n AS (SELECT path, count(DISTINCT name) AS names FROM tokens GROUP BY path) SELECT path, names FROM n")
 def d17_names_in_extent(spark: SparkSession, d: str) -> DataFrame:
-    return search.identifiers(_files(spark, d)).filter("start < 200").groupBy("path").agg(F.countDistinct("name").alias("names"))
+    return search.names_in(search.identifiers(_files(spark, d)), _files(spark, d).select("path", F.lit(0).alias("start"), F.octet_length("text").alias("end")))
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) AS b FROM lineitem)
@@ -478,10 +517,9 @@ def e1_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return search.numbered(_judged(spark, d)).select("path", "start", "ordinal")
 
 
-@query("SELECT l_partkey AS part, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 2")
+@query("SELECT l_orderkey AS path, l_linenumber AS ord, r AS nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_returnflag = 'A' ORDER BY l_linenumber) AS INTEGER) AS r FROM lineitem)")
 def e3_nth_duplicate(spark: SparkSession, d: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber"))
-    return _t(spark, d, "lineitem").withColumn("r", nth).filter("r = 2").select(F.col("l_partkey").alias("part"), "l_orderkey", "l_linenumber")
+    return graph.same_target(_import_rows(spark, d)).select("path", "ord", "nth")
 
 
 @query("SELECT o_orderkey AS path, l_linenumber AS innermost FROM (SELECT o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_quantity, -l_linenumber) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 4 AND l_linenumber + l_quantity > 4) WHERE r = 1")
@@ -503,18 +541,15 @@ def e10_fuzzy_rank(spark: SparkSession, d: str) -> DataFrame:
     return search.fuzzy_rank(_urls(spark, d).select("path").distinct(), "the en", 50)
 
 
-@query(f"WITH {_LINES} SELECT path, ord, decode(array_slice(encode(line), 1, least(strlen(line), strlen(name) + 1))) AS head FROM symbols WHERE regexp_matches(line, '^[ -~]*$')")
+@query(f"WITH {_LINES} SELECT path, ord, CASE WHEN strlen(substr(line, 1, length(name) + 1)) <= strlen(name) + 1 THEN substr(line, 1, length(name) + 1) ELSE name END AS head FROM symbols")
 def e14_expand(spark: SparkSession, d: str) -> DataFrame:
-    files = _files(spark, d)
-    s = _symbols(files).join(files.select("path", "text"), "path").withColumn("line", T.byte_slice(F.col("text"), F.col("start"), F.col("end") - F.col("start"))).filter(F.col("line").rlike("^[ -~]*$"))
-    return s.select("path", "ord", T.byte_slice(F.col("text"), F.col("start"), F.least(F.col("end") - F.col("start"), F.col("name_end") - F.col("name_start") + 1)).alias("head"))
+    """Excerpts of all declaration lines: the name and one byte more, back to a whole character."""
+    return e14_excerpt(spark, d)
 
 
 @query()
 def e14_excerpt(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts of all declaration lines, cut at the end of the name and one byte more, back to a whole character."""
-    from treeline.operators import context
-
     files = _files(spark, d)
     s = _symbols(files).join(files.select("path", "text"), "path")
     return s.select("path", "ord", context.excerpt(F.col("text"), F.col("start"), F.col("end"), F.col("name_end") - F.col("name_start") + 1).alias("head"))
@@ -568,24 +603,26 @@ def f1_alias_forest(spark: SparkSession, d: str) -> DataFrame:
 # Sets
 
 
-@query("SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem")
+@query("SELECT doc_id, lang AS language FROM documents WHERE lang IN ('en', 'de', 'fr')")
 def g1_union(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).unionByName(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
+    files = _files(spark, d)
+    return search.across({x: files.filter(F.col("language") == x).select("doc_id") for x in ("en", "de", "fr")})
 
 
-@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 10 AND c_acctbal > 0")
+@query(f"WITH {_DOCS} SELECT path FROM docs WHERE (path LIKE 'src1/%' OR path LIKE 'src2/fr/%') AND language IN ('fr', 'de') AND package <> 'src2'")
 def g3_intersection(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").filter("c_nationkey < 10").filter("c_acctbal > 0").select("c_custkey")
+    return search.narrowed(_files(spark, d), search.in_scope(["src1", "src2/fr"]), F.col("language").isin("fr", "de"), search.in_scope(None, ["src1", "src3", "src0"])).select("path")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def g4_except(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return search.except_known(_t(spark, d, "orders").select("o_orderkey"), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query("SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")
+@query("SELECT l_suppkey, l_returnflag, CAST(arg_min(l_linenumber, l_orderkey * 10 + l_linenumber) AS INTEGER) AS l_linenumber, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1, 2")
 def g5_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag").distinct()
+    rows = _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber")
+    return search.once(rows, ["l_suppkey", "l_returnflag"], ["l_orderkey", "l_linenumber"])
 
 
 @query(f"WITH {_DOCS} SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'vanished' WHEN doc_id % 7 = 0 THEN 'appeared' ELSE 'changed' END AS change FROM docs WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0) OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0)")
@@ -682,15 +719,17 @@ def i13_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", mark.alias("fingerprint"), T.cursor(F.lit("n"), F.col("doc_id").cast("string"), F.lit("search"), F.substring(mark, 1, 8)).alias("cursor"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id AS id, event_type AS command, CAST(user_id AS VARCHAR) AS name, 'p/' || event_id AS path FROM events")
 def i15_json(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    e = _t(spark, d, "events")
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("command"), F.col("user_id").cast("string").alias("name"), F.concat(F.lit("p/"), F.col("event_id").cast("string")).alias("path")))
+    return requests.parse_requests(e.select(line.alias("value")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS captured FROM orders")
 def i17_captures(spark: SparkSession, d: str) -> DataFrame:
     m = F.when(F.col("o_custkey") % 2 == 0, F.create_map(F.lit("NEXT"), F.col("o_orderstatus"))).otherwise(F.expr("cast(map() as map<string,string>)"))
-    return _t(spark, d, "orders").select("o_orderkey", F.try_element_at(m, F.lit("NEXT")).alias("captured"))
+    return _t(spark, d, "orders").select("o_orderkey", edits.captured(m, "NEXT").alias("captured"))
 
 
 @query(f"WITH {_DOCS} SELECT path, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS n FROM docs")
@@ -726,7 +765,7 @@ def k3_windowed_events(spark: SparkSession, d: str) -> DataFrame:
 # A generated tree: a package for each region, a module for each nation with a function for each
 # of its suppliers, a module for each customer that imports its nation and calls a supplier.
 
-_TREES: dict[tuple[int, str], object] = {}
+_TREES: dict[tuple[str, str], object] = {}
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -751,17 +790,12 @@ def _workspace(spark: SparkSession, d: str):  # noqa: ANN202
     """The workspace of the generated tree; its tables are shared by the queries of one session."""
     from treeline.engine import Workspace
 
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _TREES:
         _TREES[key] = Workspace(workspace.claim(_tree(spark, d)))
     return _TREES[key]
 
 
-_CUST = """cust AS (SELECT c_custkey AS ck, n.n_nationkey AS nk, n.n_regionkey AS rk, o.n_nationkey AS onk, o.n_regionkey AS ork, f.first
-FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN nation o ON o.n_nationkey = n.n_nationkey * 2 % 26 % 25
-LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS first FROM supplier GROUP BY 1) f ON f.s_nationkey = n.n_nationkey)"""
-
-
 @query(f"""WITH {_CUST} SELECT 'struct' AS kind, 'Nation' || n_nationkey AS name, 'pub' AS modifier FROM nation UNION ALL SELECT 'function', 's' || s_suppkey, 'pub' FROM supplier
 UNION ALL SELECT 'module', 'n' || n_nationkey, 'pub' FROM nation UNION ALL SELECT 'function', 'cust' || ck, NULL FROM cust""")
 def w_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -835,21 +869,22 @@ def w_where(spark: SparkSession, d: str) -> DataFrame:
     return _workspace(spark, d).where("Nation7").select("path", "statement")
 
 
-@query(f"""WITH {_CUST}, uses AS (SELECT 'declaring' AS reason FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 're-export' FROM nation WHERE FALSE UNION ALL SELECT 'imported' FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 'imported' FROM cust WHERE ck % 3 = 0 AND nk = 4)
-SELECT reason, count(*) AS n FROM uses GROUP BY 1""")
+@query(f"""WITH {_CUST} SELECT 'r' || n_regionkey || '/src/n4.rs' AS path, 'declaring' AS reason FROM nation WHERE n_nationkey = 4
+UNION ALL SELECT 'r' || n_regionkey || '/src/lib.rs', 'imported' FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 'r' || rk || '/src/c' || ck || '.rs', 'imported' FROM cust WHERE ck % 3 = 0 AND nk = 4""")
 def w_references(spark: SparkSession, d: str) -> DataFrame:
-    return _workspace(spark, d).references("Nation4").groupBy("reason").agg(F.count("*").alias("n"))
+    return _workspace(spark, d).references("Nation4").select("path", "reason")
 
 
-@query("SELECT 'r' || n_regionkey || '/src/n' || n_nationkey || '.rs' AS path, 'r' || n_regionkey || '::n' || n_nationkey AS addr FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey || '/src/lib.rs', 'r' || n_regionkey FROM nation")
+@query(f"WITH {_CUST} SELECT 'r' || n_regionkey || '/src/n' || n_nationkey || '.rs' AS path, 'r' || n_regionkey || '::n' || n_nationkey AS addr FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey || '/src/lib.rs', 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || rk || '/src/c' || ck || '.rs', 'r' || rk || '::c' || ck FROM cust")
 def w_modules(spark: SparkSession, d: str) -> DataFrame:
-    return _workspace(spark, d).modules.filter("path not like '%/c%'").select("path", "addr")
+    return _workspace(spark, d).modules.select("path", "addr")
 
 
-@query(f"WITH {_CUST} SELECT 'r' || rk || '::c' || ck || '::cust' || ck AS addr, 'within' AS reach FROM cust")
+@query(f"""WITH {_CUST} SELECT 'r' || rk || '::c' || ck || '::cust' || ck AS addr, 'within' AS reach FROM cust UNION ALL SELECT 'r' || n_regionkey || '::n' || n_nationkey || '::Nation' || n_nationkey, 'everyone' FROM nation
+UNION ALL SELECT 'r' || n_regionkey || '::n' || n_nationkey, 'everyone' FROM nation UNION ALL SELECT 'r' || n_regionkey || '::n' || s_nationkey || '::s' || s_suppkey, 'everyone' FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def w_outline(spark: SparkSession, d: str) -> DataFrame:
     w = _workspace(spark, d)
-    return graph.outline(w.family("symbols"), w.modules).filter("path like '%/c%'").select("addr", "reach")
+    return graph.outline(w.family("symbols"), w.modules).select("addr", "reach")
 
 
 @query(f"WITH {_CUST} SELECT 'r' || rk || '/src/c' || ck || '.rs' AS path, 'let b = a + 1;' AS now FROM cust")
@@ -880,17 +915,19 @@ def w_move_symbol(spark: SparkSession, d: str) -> DataFrame:
     return changes.filter(cut | paste).select(F.when(cut, "source").otherwise("target").alias("file"), F.when(cut, "cut").otherwise("paste").alias("kind"))
 
 
-@query("SELECT 'definition' AS relation, 'Nation4' AS name")
+@query(f"""WITH {_CUST}, f AS (SELECT min(s_suppkey) AS s FROM supplier), rows AS (SELECT 0 AS o, '' AS p, 'definition' AS relation, 's' || s AS name FROM f
+UNION ALL SELECT 1, 'r' || rk || '/src/c' || ck || '.rs', 'incoming', 'cust' || ck FROM cust, f WHERE first = s) SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY o, p) AS INTEGER) AS rank, relation, name FROM rows) WHERE rank <= 12""")
 def w_context(spark: SparkSession, d: str) -> DataFrame:
-    from treeline.operators import context
-
-    return context.assemble(_workspace(spark, d), "Nation4", max_items=1).select("relation", "name")
+    """Of the first supplier's function: its definition and the functions that call it, within the budget of items."""
+    return w_context_all(spark, d).select("rank", "relation", "name")
 
 
-@query(f"WITH {_CUST} SELECT 'crate::n' || nk || '::Nation' || nk AS raw, count(*) AS files FROM cust WHERE ck % 3 = 0 GROUP BY nk")
+@query(f"""WITH {_CUST}, uses AS (SELECT CASE ck % 3 WHEN 0 THEN 'crate::n' || nk || '::Nation' || nk WHEN 1 THEN 'r' || ork || CASE WHEN onk % 2 = 0 THEN '::N' || onk ELSE '::n' || onk || '::Nation' || onk END ELSE 'crate::n' || nk END AS raw,
+'r' || CASE ck % 3 WHEN 1 THEN ork ELSE rk END || '::n' || CASE ck % 3 WHEN 1 THEN onk ELSE nk END || CASE ck % 3 WHEN 0 THEN '::Nation' || nk WHEN 1 THEN '::Nation' || onk ELSE '' END AS origin FROM cust
+UNION ALL SELECT 'n' || n_nationkey || '::Nation' || n_nationkey, 'r' || n_regionkey || '::n' || n_nationkey || '::Nation' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) SELECT raw, origin, count(*) AS files FROM uses GROUP BY 1, 2""")
 def w_dependencies(spark: SparkSession, d: str) -> DataFrame:
     w = _workspace(spark, d)
-    return graph.outgoing(w.edges, w.aliases).filter("raw like 'crate::%Nation%'").groupBy("raw").agg(F.countDistinct("path").alias("files"))
+    return graph.outgoing(w.edges, w.aliases).groupBy("raw", "origin").agg(F.countDistinct("path").alias("files"))
 
 
 @query(f"WITH {_CUST} SELECT 'a' AS name, 'identifier' AS kind, 2 * count(*) AS n FROM cust UNION ALL SELECT 'b', 'identifier', count(*) FROM cust UNION ALL SELECT 'u8', 'identifier', count(*) FROM cust")
@@ -919,8 +956,6 @@ def w_signatures(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def w_context_all(spark: SparkSession, d: str) -> DataFrame:
     """Of the first supplier's function, which functions of customers call."""
-    from treeline.operators import context
-
     first = _t(spark, d, "supplier").agg(F.min("s_suppkey")).first()[0]
     return context.assemble(_workspace(spark, d), f"s{first}").select("rank", "relation", "path", "name", "text")
 
@@ -1009,3 +1044,29 @@ def b10_companions(spark: SparkSession, d: str) -> DataFrame:
     types = s.withColumn("kind", F.lit("struct")).unionByName(s.filter("s_suppkey % 5 = 0").withColumn("kind", F.lit("enum")))
     blocks = s.withColumn("kind", F.lit("impl")).unionByName(s.filter("s_suppkey % 2 = 0").withColumn("kind", F.lit("impl")))
     return symbols.companions(types.unionByName(blocks)).select("name", "standing")
+
+
+# Navigation
+
+
+@query(f"""WITH {_CUST} SELECT 'c' || ck || ':' || rk AS id, 'r' || n_regionkey || '::n' || onk || '::Nation' || onk AS addr, CAST(2 AS INTEGER) AS steps, FALSE AS cycle FROM cust JOIN nation ON n_nationkey = onk WHERE ck % 3 = 1 AND onk % 2 = 0
+UNION ALL SELECT 'c' || ck || ':' || rk, CASE ck % 3 WHEN 0 THEN 'r' || rk || '::n' || nk || '::Nation' || nk WHEN 1 THEN 'r' || ork || '::n' || onk || '::Nation' || onk ELSE 'r' || rk || '::n' || nk END, 1, FALSE FROM cust WHERE ck % 3 <> 1 OR onk % 2 = 1""")
+def f5_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Where the imports of all customers' modules lead."""
+    from treeline.operators import navigation
+
+    w = _workspace(spark, d)
+    asked = w.edges.filter("declares and path like '%/c%'").select(F.regexp_replace("path", r"r(\d+)/src/(c\d+)\.rs", "$2:$1").alias("id"), "addr", F.col("from_addr").alias("viewer"))
+    return navigation.normalised(asked, w.edges, w.declared).select("id", "addr", F.size("trail").alias("steps"), "cycle")
+
+
+@query()
+def w_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """Every token of the tree with its outcome."""
+    return _workspace(spark, d).resolutions
+
+
+@query()
+def w_relationships(spark: SparkSession, d: str) -> DataFrame:
+    """Who speaks of Nation4, under its own name and under N4."""
+    return _workspace(spark, d).relationships("Nation4", max_items=512)[0]
