@@ -241,3 +241,35 @@ def test_relationships_under_all_names_within_a_budget(ws):
     assert tuple(coverage.first()) == (7, 0, 13, 0, None)
     assert tuple(ws.relationships("Level", max_files=2)[1].first()) == (2, 5, 3, 10, "files")
     assert tuple(ws.relationships("Level", max_items=4)[1].first()) == (7, 0, 4, 9, "items")
+
+
+def _moved(ws, source, target):
+    changes, moves, notices = edits.move_file(ws, source, target)
+    assert edits.conflicts(changes).count() == 0
+    return dict(rows(edits.after(ws.files, changes, moves))), rows(notices.select("kind"))
+
+
+def test_moved_files_take_their_mod_line_and_leave_groups(ws):
+    after, notices = _moved(ws, "tide/src/gauge/clock.rs", "tide/src/clock.rs")
+    want = dict(TREE)
+    want["tide/src/clock.rs"] = want.pop("tide/src/gauge/clock.rs")
+    want["tide/src/gauge/mod.rs"] = want["tide/src/gauge/mod.rs"].replace("pub mod clock;\n", "").replace("clock::turns(at)", "crate::clock::turns(at)")
+    want["tide/src/lib.rs"] = "pub mod gauge;\npub mod clock;\npub use gauge::Level;\n"
+    want["berth/src/quay/mod.rs"] = want["berth/src/quay/mod.rs"].replace("{clock::turns, level};", "{level};\nuse tide::clock::turns;")
+    assert after == want and notices == []
+
+
+def test_moved_folders_go_as_a_whole(ws):
+    after, notices = _moved(ws, "berth/src/quay/mod.rs", "berth/src/dock/mod.rs")
+    assert {"berth/src/dock/mod.rs", "berth/src/dock/quay.rs"} <= set(after) and not any(p.startswith("berth/src/quay") for p in after) and notices == []
+    assert after["berth/src/lib.rs"].startswith("pub mod dock;\n")
+    assert after["desk/src/main.rs"].startswith("mod board;\n\nuse plan::{Water};\nuse plan::dock::*;\n")
+    assert after["desk/src/board.rs"].startswith("use plan::dock::Slot;\nuse plan::dock::quay::quay;\n")
+
+
+def test_moves_that_cannot_be_made(ws):
+    assert _moved(ws, "tide/src/gauge/clock.rs", "tide/src/no/clock.rs")[1] == [("no parent module",)]
+    with pytest.raises(ValueError, match="taken"):
+        edits.move_file(ws, "tide/src/gauge/clock.rs", "tide/src/gauge/level.rs")
+    with pytest.raises(ValueError, match="root"):
+        edits.move_file(ws, "tide/src/lib.rs", "tide/src/x.rs")

@@ -179,30 +179,103 @@ def rebased(edge: DataFrame, old: list[str], new: list[str], package: str) -> Da
     return edge.filter(F.col("package") == package).withColumn("to", moved).filter("to is not null").select("path", "ord", "start", "end", "raw", "head", "ups", "from_addr", "glob", "alias", "grouped", F.col("to").alias("apath"))
 
 
-def render(head: Column, package: Column, apath: Column, own_package: Column, mpath: Column) -> Column:
-    """A Rust path for an address in the style it had: super and self where they still reach, crate inside the package, else its name."""
+def render(head: Column, package: Column, apath: Column, own_package: Column, mpath: Column, known_as: Column | None = None) -> Column:
+    """A Rust path for an address in the style it had: super and self where they still reach, crate inside the package, else the package as the importer knows it."""
     ups = F.size(mpath) - F.size(P.common_ancestor(apath, mpath))
     within = own_package == package
     by_super = F.when(within & (head == "super") & (ups >= 1) & (F.size(P.common_ancestor(apath, mpath)) + ups == F.size(mpath)), F.concat(F.repeat(F.lit("super::"), ups), F.array_join(F.slice(apath, F.size(mpath) - ups + 1, F.size(apath)), "::")))
     by_self = F.when(within & (head == "self") & P.starts_with(apath, mpath), F.concat(F.lit("self::"), F.array_join(P.strip_prefix(apath, mpath), "::")))
-    return F.coalesce(by_super, by_self, F.when(within, F.concat_ws("::", F.lit("crate"), apath)), F.concat_ws("::", package, apath))
+    return F.coalesce(by_super, by_self, F.when(within, F.concat_ws("::", F.lit("crate"), apath)), F.concat_ws("::", package if known_as is None else known_as, apath))
 
 
 def move_module(edge: DataFrame, mods: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edits, moves, notices) for moving a module file: imports below it are respelled; entries of groups become notices."""
+    old, new, package = _addresses(mods, source, target)
+    hit = rebased(edge.filter("not is_prefix"), old, new, package).join(mods.select("path", F.col("package").alias("own"), "mpath"), "path")
+    edits, notices = respelled(hit, package)
+    return edits, edge.sparkSession.createDataFrame([(source, target)], "source string, target string"), notices
+
+
+def _addresses(mods: DataFrame, source: str, target: str) -> tuple[list[str], list[str], str]:
+    """The module paths of a file before and after a move, and its package."""
     at = mods.filter(F.col("path") == source).select("package", "mpath").first()
     if at is None:
         raise LookupError(f"not a module: {source}")
     inside = re.sub(r"^.*?/?src/|\.rs$", "", target).split("/")
-    new = inside[:-1] if inside[-1] == "mod" else inside
-    hit = rebased(edge.filter("not is_prefix"), at["mpath"], new, at["package"]).join(mods.select("path", F.col("package").alias("own"), "mpath"), "path")
-    edits, notices = respelled(hit, at["package"])
-    return edits, edge.sparkSession.createDataFrame([(source, target)], "source string, target string"), notices
+    return list(at["mpath"]), inside[:-1] if inside[-1] == "mod" else inside, at["package"]
+
+
+def move_file(ws, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001 - a Workspace
+    """(edits, moves, notices) for moving a Rust module with its folder so that the tree still builds.
+
+    Every import and path below the old address is respelled, an entry of a group is taken out of it and
+    stands as a statement of its own after it; what the moved files reach by `super` outside them is
+    spelled from the crate; the `mod` line goes from the old parent to the new one, in place if they are one, and
+    is widened if a user lies outside the new parent. Without a new parent the line stays and a notice says so.
+    """
+    mods, files, edge = ws.modules, ws.files.select("path", "text"), ws.edges
+    spark = files.sparkSession
+    old, new, package = _addresses(mods, source, target)
+    if not old or not new:
+        raise ValueError("the root of a package cannot be moved")
+    folder = lambda p: re.sub(r"/mod\.rs$|\.rs$", "", p) + "/"
+    below = files.filter(F.col("path").startswith(folder(source)) & (F.col("path") != source)).select("path")
+    inside = F.concat(F.lit(folder(target)), F.expr(f"substring(path, {len(folder(source)) + 1})"))
+    moves = spark.createDataFrame([(source, target)], "source string, target string").unionByName(below.select(F.col("path").alias("source"), inside.alias("target")))
+    if not move_conflicts(moves, files).isEmpty():
+        raise ValueError("the target is taken")
+
+    hit = rebased(edge.filter("not is_prefix"), old, new, package).join(mods.select("path", F.col("package").alias("own"), "mpath"), "path")
+    known = ws.dependencies.filter(F.col("dep_name") == package).groupBy(F.col("package").alias("own")).agg(F.min("used_as").alias("known_as"))
+    hit = hit.join(known, "own", "left").withColumn("known_as", F.coalesce("known_as", F.lit(package)))
+    changes, _ = respelled(hit, package)
+    out = _regrouped(hit, edge, files, package)
+    own = edge.filter("head = 'super' and not is_prefix and not grouped and addr is not null").join(moves.select(F.col("source").alias("path")), "path", "left_semi")
+    outside = own.filter(~P.starts_with(F.col("apath"), F.array(*[F.lit(x) for x in old])))
+    changes = changes.unionByName(out).unionByName(outside.select("path", "start", "end", F.concat_ws("::", F.lit("crate"), "apath").alias("replacement"), F.col("ord").alias("seq")))
+
+    parents = {tuple(r["mpath"]): r["path"] for r in mods.filter((F.col("package") == package) & F.array_join("mpath", "::").isin("::".join(old[:-1]), "::".join(new[:-1]))).select("mpath", "path").collect()}
+    line = ws.family("symbols").filter((F.col("path") == parents.get(tuple(old[:-1]))) & (F.col("kind") == "module") & (F.col("name") == old[-1]) & (F.col("depth") == 0)).select("name_start", "name_end", "start", "ext_start", "ext_end", "modifier").first()
+    lines: list[tuple] = []
+    notices: list[tuple] = []
+    if tuple(new[:-1]) not in parents or line is None:
+        notices.append((target, 0, "no parent module" if line else "no mod line", "::".join(["crate", *new])))
+    elif old[:-1] == new[:-1]:
+        lines.append((parents[tuple(old[:-1])], line["name_start"], line["name_end"], new[-1], 0))
+    else:
+        home, away = parents[tuple(old[:-1])], parents[tuple(new[:-1])]
+        texts = {r["path"]: r["text"].encode() for r in files.filter(F.col("path").isin(home, away)).collect()}
+        end = line["ext_end"] + texts[home][line["ext_end"] : line["ext_end"] + 1].count(b"\n")
+        lines.append((home, line["ext_start"], end, "", 0))
+        modifier = line["modifier"]
+        if modifier != "pub":
+            far = hit.filter(~P.starts_with(F.col("mpath"), F.array(*[F.lit(x) for x in new[:-1]]) if new[:-1] else F.expr("cast(array() as array<string>)")))
+            modifier = modifier if far.isEmpty() else "pub(crate)"
+        last = ws.family("symbols").filter((F.col("path") == away) & (F.col("kind") == "module") & (F.col("depth") == 0) & (F.col("name") != old[-1])).agg(F.max("ext_end")).first()[0] or 0
+        last += texts[away][last : last + 1].count(b"\n") if last else 0
+        lines.append((away, last, last, f"{modifier + ' ' if modifier else ''}mod {new[-1]};\n", 1))
+    changes = changes.unionByName(spark.createDataFrame(lines, "path string, start int, end int, replacement string, seq int"))
+    return changes, moves, spark.createDataFrame(notices, "path string, start int, kind string, raw string")
+
+
+def _regrouped(hit: DataFrame, edge: DataFrame, files: DataFrame, package: str) -> DataFrame:
+    """Edits that take entries out of their groups: the entry goes with its alias and the comma after it, a statement with its new path comes after the group's."""
+    spelled = hit.withColumn("now", render(F.col("head"), F.lit(package), F.col("apath"), F.col("own"), F.col("mpath"), F.col("known_as"))).filter("grouped")
+    whole = edge.select("path", "ord", "stmt_start", "stmt_end")
+    at = spelled.join(whole, ["path", "ord"]).join(files, "path").withColumn("raw_text", F.encode("text", "UTF-8"))
+    rest = T.byte_slice(F.col("text"), F.col("end"), F.col("stmt_end") - F.col("end"))
+    tail = F.regexp_extract(rest, r"^(?:\s*::\s*\*)?(?:\s+as\s+[A-Za-z_][A-Za-z0-9_]*)?\s*(?:,\s*)?", 0)
+    head = F.regexp_extract(T.byte_slice(F.col("text"), F.col("stmt_start"), F.col("stmt_end") - F.col("stmt_start")), r"^(?:pub(?:\([^)]*\))?\s+)?use", 0)
+    line = F.concat(F.lit("\n"), head, F.lit(" "), F.col("now"), F.when(F.col("glob"), F.lit("::*")).otherwise(""), F.coalesce(F.concat(F.lit(" as "), F.col("alias")), F.lit("")), F.lit(";"))
+    cut = at.select("path", "start", (F.col("end") + F.octet_length(tail)).cast("int").alias("end"), F.lit("").alias("replacement"), F.col("ord").alias("seq"))
+    ends = F.col("stmt_end") + F.when(T.byte_slice(F.col("text"), F.col("stmt_end"), F.lit(1)) == ";", 1).otherwise(0)
+    return cut.unionByName(at.select("path", ends.cast("int").alias("start"), ends.cast("int").alias("end"), line.alias("replacement"), F.col("ord").alias("seq")))
 
 
 def respelled(hit: DataFrame, package: str) -> tuple[DataFrame, DataFrame]:
     """(edits, notices) for imports of rebased() with own and mpath of their module: entries of groups become notices."""
-    spelled = hit.withColumn("replacement", render(F.col("head"), F.lit(package), F.col("apath"), F.col("own"), F.col("mpath")))
+    known_as = F.col("known_as") if "known_as" in hit.columns else None
+    spelled = hit.withColumn("replacement", render(F.col("head"), F.lit(package), F.col("apath"), F.col("own"), F.col("mpath"), known_as))
     edits = spelled.filter("not grouped and replacement <> raw").select("path", "start", "end", "replacement", F.col("ord").alias("seq"))
     return edits, spelled.filter("grouped").select("path", "start", F.lit("unrewritable import").alias("kind"), "raw")
 

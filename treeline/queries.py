@@ -1070,3 +1070,19 @@ def w_resolutions(spark: SparkSession, d: str) -> DataFrame:
 def w_relationships(spark: SparkSession, d: str) -> DataFrame:
     """Who speaks of Nation4, under its own name and under N4."""
     return _workspace(spark, d).relationships("Nation4", max_items=512)[0]
+
+
+@query(f"""WITH {_CUST}, old AS (SELECT n_regionkey AS r, 'pub struct Nation4;' || chr(10) || coalesce((SELECT string_agg('pub fn s' || s_suppkey || '() {{}}' || chr(10), '' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = 4), '') AS text FROM nation WHERE n_nationkey = 4)
+SELECT 'r' || r || '/src/x4.rs' AS path, sha256(text) AS content FROM old
+UNION ALL SELECT 'r' || rk || '/src/c' || ck || '.rs', sha256(CASE ck % 3 WHEN 0 THEN 'use crate::x4::Nation4;' WHEN 2 THEN 'use crate::x4::*;' WHEN 1 THEN 'use r' || ork || CASE WHEN onk % 2 = 0 THEN '::N' || onk ELSE '::n' || onk || '::Nation' || onk END || ';' END || chr(10) || chr(10) || 'fn cust' || ck || '(a: u8) {{' || chr(10)
+  || CASE WHEN first IS NULL THEN '' WHEN ck % 3 = 2 THEN '    s' || first || '();' || chr(10) ELSE '    crate::x4::s' || first || '();' || chr(10) END || '    let b = a;' || chr(10) || '}}' || chr(10)) FROM cust WHERE nk = 4 AND (ck % 3 <> 1 OR first IS NOT NULL)
+UNION ALL SELECT 'r' || r || '/src/lib.rs', sha256((SELECT string_agg(CASE WHEN n_nationkey = 4 THEN 'pub mod x4;' || chr(10) || 'pub use crate::x4::Nation4 as N4;' || chr(10) ELSE 'pub mod n' || n_nationkey || ';' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'pub use n' || n_nationkey || '::Nation' || n_nationkey || ' as N' || n_nationkey || ';' || chr(10) ELSE '' END END, ''
+  ORDER BY 'pub mod n' || n_nationkey || ';' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'pub use n' || n_nationkey || '::Nation' || n_nationkey || ' as N' || n_nationkey || ';' || chr(10) ELSE '' END) FROM nation WHERE n_regionkey = r)) FROM old""")
+def h4_move_file(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of all files that a module's move changes or places."""
+    w = _workspace(spark, d)
+    home = w.modules.filter("addr like '%::n4'").first()["path"]
+    changes, moves, _ = edits.move_file(w, home, home.replace("/n4.rs", "/x4.rs"))
+    after = edits.after(w.files, changes, moves)
+    same = w.files.select("path", F.col("text").alias("was"))
+    return after.join(same, "path", "left").filter("was is null or was <> text").select("path", F.sha2("text", 256).alias("content"))
