@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import graph, navigation, search
+from treeline.operators import context, graph, navigation, search
+from treeline.plans import edits
 from treeline.session import settle
-from treeline.sources import workspace
+from treeline.sources import requests, workspace
 
 
 class Workspace:
@@ -71,18 +72,63 @@ class Workspace:
             raise LookupError(f"ambiguous symbol, say the file that declares it: {name}")
         return rows[0][0]
 
-    def search(self, name: str | None = None, kind: str | None = None) -> DataFrame:
-        if not name and not kind:
+    def search(self, name: str | None = None, kind: str | None = None, pattern: str | None = None, language: str | None = None) -> DataFrame:
+        """Numbered, located hits. A pattern is matched by structure; with a name or kind as well, matches that hold such a declaration's name stay."""
+        if not name and not kind and not pattern:
             raise ValueError("an empty query finds nothing")
         symbols = self.family("symbols")
-        if name and not kind:
+        if pattern:
+            files = self.files if language is None else self.files.filter(F.col("language") == language)
+            hits = edits.pattern_matches(files, pattern)
+            hits = search.holding(hits, symbols, kind, name) if name or kind else hits
+            hits = hits.select("path", "start", "end", F.lit(pattern).alias("name"), F.lit(None).cast("string").alias("symbol_kind"))
+        elif name and not kind:
             hits = search.attach(search.named(self.family("tokens"), name), symbols)
         else:
             found = search.declarations(symbols, kind, name)
             hits = found.select("path", F.col("name_start").alias("start"), F.col("name_end").alias("end"), "name", F.col("kind").alias("symbol_kind"))
+        if language and not pattern:
+            hits = hits.join(self.files.filter(F.col("language") == language).select("path"), "path", "left_semi")
         judged = search.roles(hits, self.family("imports"))
         return search.numbered(search.locate(judged, self.files))
 
+    def skipped(self, language: str | None = None) -> DataFrame:
+        """Files that a search leaves out, by language: those that no parser reads, and other languages than the one asked for."""
+        known = list(workspace.PARSERS) if language is None else [language]
+        return search.language_report(self.files, known).filter("skipped")
+
+    def workspace_files(self) -> DataFrame:
+        return workspace.inventory(self.files)
+
+    def file(self, path: str) -> DataFrame:
+        return workspace.preview(self.files, self.facts, path)
+
+    def context(self, name: str, declared_in: str | None = None, max_items: int = 12, max_bytes: int = 16384) -> DataFrame:
+        return context.assemble(self, name, declared_in, max_items, max_bytes)
+
+    def search_page(self, name: str, after: int = 0, max_items: int = 20, max_bytes: int = 16384) -> DataFrame:
+        return search.page(self.search(name), after, max_items, max_bytes)
+
+    def commands(self) -> dict:
+        """What serve() answers by: the reading commands of the catalogue."""
+        related = lambda name, declared_in=None, max_files=64, max_items=64: self.relationships(name, declared_in, max_files, max_items)[0]
+        names = ("search", "search_page", "outline", "references", "where", "deps", "explain", "surface", "impact", "dead", "imports", "navigate", "resolve", "context", "workspace_files", "file", "skipped")
+        discover = lambda: requests.catalogue(self.files.sparkSession)
+        return {n: getattr(self, n) for n in names} | {"relationships": related, "discover": discover, "schema": self.schema}
+
+    def schema(self, command: str) -> DataFrame:
+        """The columns of a command's answer as JSON, from a plan that is not run beyond what the tables need."""
+        sample = {"name": "x", "path": "x", "offset": 0}
+        if command not in requests.COMMANDS or command in ("schema", "discover"):
+            raise LookupError(f"no schema of {command}")
+        wanted = {p: sample[p] for p in requests.COMMANDS[command][1].split() if p in sample}
+        try:
+            found = self.commands()[command](**wanted).schema.json()
+        except LookupError:  # the command needs a declaration that there is
+            one = self.declared.groupBy("name").agg(F.count("*").alias("n")).filter("n = 1").first()
+            found = self.commands()[command](**(wanted | ({"name": one["name"]} if one else {}))).schema.json()
+        return self.files.sparkSession.createDataFrame([(command, found)], "command string, schema string")
+
     def outline(self, path: str) -> DataFrame:
         return graph.outline(self.family("symbols").filter(F.col("path") == path), self.modules)
 
@@ -122,11 +168,15 @@ class Workspace:
         return graph.callees(self.family("calls"), self.family("symbols")).filter(F.col("caller") == name)
 
     def explain(self, path: str, offset: int) -> DataFrame:
-        """The innermost declaration around an offset, the import there, and the module's address."""
+        """The innermost declaration around an offset, its address, reach, aliases and importers, the import there, and the module's address."""
         one = self.files.sparkSession.createDataFrame([(path, offset)], "path string, start int")
         inside = search.enclosing(one, self.family("symbols"))
         at = self.edges.filter((F.col("start") <= offset) & (F.col("end") > offset)).select("path", F.col("raw").alias("import"), F.col("addr").alias("import_addr"))
-        return inside.join(at, "path", "left").join(self.modules.select("path", F.col("addr").alias("module_addr")), "path", "left")
+        decl = self.declared.filter(F.col("path") == path).select("path", F.col("ext_start").alias("in_start"), F.col("addr").alias("declared_addr"), F.col("reach.kind").alias("reach"))
+        offered = self.aliases.groupBy(F.col("target").alias("declared_addr")).agg(F.sort_array(F.collect_set(F.when(F.col("alias") != F.col("target"), F.col("alias")))).alias("aliases"))
+        used = graph.imported_by(self.declared, self.aliases, self.edges).withColumnRenamed("addr", "declared_addr")
+        out = inside.join(decl, ["path", "in_start"], "left").join(offered, "declared_addr", "left").join(used, "declared_addr", "left")
+        return out.join(at, "path", "left").join(self.modules.select("path", F.col("addr").alias("module_addr")), "path", "left")
 
     @cached_property
     def resolutions(self) -> DataFrame:

@@ -16,6 +16,20 @@ def byte_slice(text: Column, start: Column, length: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, length), "UTF-8")
 
 
+def checked_slice(text: Column, start: Column, length: Column) -> Column:
+    """byte_slice that is an error if the range lies outside the text or begins or ends inside a character."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda at: F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int").between(128, 191)
+    bad = (start < 0) | (length < 0) | (start + length > F.octet_length(text))
+    split = F.coalesce(inside(start), F.lit(False)) | F.coalesce(inside(start + length), F.lit(False))
+    return F.when(bad, F.raise_error(F.lit("the range is outside the text")).cast("string")).when(split, F.raise_error(F.lit("the range splits a character")).cast("string")).otherwise(byte_slice(text, start, length))
+
+
+def chunks(text: Column, size: int) -> Column:
+    """The text in parts of `size` characters; the empty text is one empty part."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / size).cast("int")), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+
+
 def whole_word(text: Column, word: str) -> Column:
     """Whether the word stands in the text with no word byte on either side."""
     return text.rlike(f"(?<!{WORD_CLASS}){re.escape(word)}(?!{WORD_CLASS})")

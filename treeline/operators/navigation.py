@@ -50,6 +50,22 @@ def resolved(tokens: DataFrame, lexical: DataFrame, occurrences: DataFrame, site
     return out.select("path", "name", "start", F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unavailable").alias("outcome"), F.when(n > 0, tier).alias("tier"), "targets", F.when(n < 1, why).alias("why"))
 
 
+def provided(resolutions: DataFrame, answers: DataFrame, files: DataFrame, decls: DataFrame) -> DataFrame:
+    """resolutions, completed by a semantic provider's answers(path, start, target, provider, version, content_id).
+
+    An answer counts only for the content it was made for and if its target is declared; of one provider the
+    newest version counts, with all its candidates. Tokens that are resolved already keep their targets.
+    """
+    fresh = answers.join(files.select("path", "content_id"), ["path", "content_id"], "left_semi").join(decls.select(F.col("addr").alias("target")).distinct(), "target", "left_semi")
+    newest = fresh.groupBy("provider", "path", "start").agg(F.max("version").alias("version"))
+    said = fresh.join(newest, ["provider", "path", "start", "version"]).groupBy("path", "start").agg(F.sort_array(F.collect_set("target")).alias("said"))
+    take = (F.col("outcome") != "resolved") & F.col("said").isNotNull()
+    out = resolutions.join(said, ["path", "start"], "left")
+    found = F.when(take, F.col("said")).otherwise(F.col("targets"))
+    outcome = F.when(take, F.when(F.size("said") == 1, "resolved").otherwise("ambiguous")).otherwise(F.col("outcome"))
+    return out.select("path", "name", "start", outcome.alias("outcome"), F.when(take, "provided").otherwise(F.col("tier")).alias("tier"), found.alias("targets"), F.when(~take, F.col("why")).alias("why"))
+
+
 def normalised(asked: DataFrame, edge: DataFrame, decls: DataFrame) -> DataFrame:
     """id, addr, trail, cycle for asked(id, addr, viewer): where an address leads when re-bindings on its way are followed.
 

@@ -188,6 +188,22 @@ def find_in_file(files: DataFrame, needle: str) -> DataFrame:
     return files.filter(F.col("text").contains(needle)).select(F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "path string, start int")
 
 
+def bounded(rows: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """rows, if their serialised size is at most `most_bytes`; else an error, before any of them is brought anywhere."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise OverflowError(f"the answer holds {size} bytes, more than {most_bytes}; narrow the search")
+    return rows
+
+
+def holding(matches: DataFrame, symbols: DataFrame, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """Structural matches that hold the name of a declaration of the kind and name: structural and symbolic at once."""
+    wanted = declarations(symbols, kind, name).select("path", F.col("name_start").alias("at")).distinct()
+    rest = [c for c in matches.columns if c != "captures"]
+    held = matches.select(*rest).join(wanted, "path").filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).select("path", "start", "end").distinct()
+    return matches.join(held, ["path", "start", "end"], "left_semi")
+
+
 def language_report(files: DataFrame, accepted: list[str]) -> DataFrame:
     """Files of each language, and whether a search leaves them out: language null stands for files that none claims."""
     taken = F.coalesce(F.col("language").isin(*accepted), F.lit(False))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,18 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started inside can be stopped by cancel(spark, tag) from another thread; they end with an error."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop all running jobs that carry the tag."""
+    spark.sparkContext.cancelJobsWithTag(tag)
