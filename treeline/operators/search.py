@@ -24,35 +24,62 @@ def with_literals(files: DataFrame, words: list[str]) -> DataFrame:
     return files
 
 
+#: Bytes of text whose identifiers make one batch of rows.
+TEXT_BYTES = 1 << 18
+
+
+def _identifiers_of(raw: bytes) -> tuple[np.ndarray, ...] | None:
+    """(bytes of all identifiers, lengths, starts, lines, columns) of a text."""
+    data = np.frombuffer(raw, np.uint8)
+    kind = _PIECE[data]
+    word = kind > 0
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    keep = kind[starts] == 1
+    starts, ends = starts[keep], ends[keep]
+    if not len(starts):
+        return None
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    first = np.concatenate(([0], breaks + 1))[line]
+    return data[np.cumsum(inside[:-1]) > 0], ends - starts, starts, line, chars[starts] - chars[first]
+
+
 def identifiers(files: DataFrame) -> DataFrame:
-    """path, ord, name, start, end, line, col of every ASCII identifier of any text. No shuffle: a file is read in its task."""
+    """path, ord, name, start, end, line, col of every ASCII identifier of any text. No shuffle: a file is read in its task, names are cut without a loop over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            paths = pa.array([p for p, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(x[1]) for _, x in held])))
+            raw, lengths, starts, lines, cols = (np.concatenate([x[k] for _, x in held]) for k in range(5))
+            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            names = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            order = np.concatenate([np.arange(len(x[1])) for _, x in held])
+            numbers = (order, starts, starts + lengths, lines, cols)
+            number, start, end, line, col = (pa.array(x.astype(np.int32)) for x in numbers)
+            held.clear()
+            return pa.RecordBatch.from_arrays([paths, number, names, start, end, line, col], ["path", "ord", "name", "start", "end", "line", "col"])
+
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not text:
-                    continue
-                raw = text.encode()
-                data = np.frombuffer(raw, np.uint8)
-                kind = _PIECE[data]
-                word = kind > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
-                starts, ends = edge[0::2], edge[1::2]
-                keep = kind[starts] == 1 if len(starts) else np.zeros(0, bool)
-                starts, ends = starts[keep], ends[keep]
-                if not len(starts):
-                    continue
-                breaks = np.flatnonzero(data == 10)
-                line = np.searchsorted(breaks, starts)
-                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                first = np.concatenate(([0], breaks + 1))[line]
-                names = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(names)), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(names), *(pa.array(x.astype(np.int32)) for x in (starts, ends, line, chars[starts] - chars[first]))],
-                    ["path", "ord", "name", "start", "end", "line", "col"],
-                )
-
-    return files.select("path", "text").mapInArrow(run, "path string, ord int, name string, start int, end int, line int, col int")
+                raw = (text or "").encode()
+                if (found := _identifiers_of(raw)) is not None:
+                    held.append((path, found))
+                    size += len(raw)
+                if size >= TEXT_BYTES:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return files.select(F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "path string, ord int, name string, start int, end int, line int, col int")
 
 
 def named(tokens: DataFrame, name: str) -> DataFrame:

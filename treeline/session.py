@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = known.get() if known.isDefined() else None
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # one machine, one process
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, named, True)
@@ -27,9 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may already be gone at exit
+        pass
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a loop's lineage stays short and survives lost executors."""
+    """Write df to the shared folder and read it back, so that a loop's lineage stays short and survives lost executors. The table goes when the interpreter ends."""
     path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    atexit.register(_delete, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
