@@ -103,6 +103,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
 """
 
+_OP5 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[pos : pos + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y, c = a.n AND c = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), k AS (
+  SELECT x, count(*) AS n_links, min(CASE WHEN same THEN y END) AS least FROM l GROUP BY x
+), m AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT doc_id, least(doc_id, coalesce(k.least, doc_id)) AS class_id, component_id, coalesce(n_links, 0) AS n_links, doc_id = component_id AS kept
+FROM d JOIN m ON m.x = doc_id LEFT JOIN k ON k.x = doc_id
+"""
+
 _OP9 = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
@@ -121,4 +143,4 @@ FROM e JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) ON x = vec_id L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9}
+    return {"op2_decontaminate": _OP2, "op5_ngram_join": _OP5, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9}
