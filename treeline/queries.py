@@ -902,8 +902,15 @@ def w_move_module(spark: SparkSession, d: str) -> DataFrame:
     return edits.move_module(w.edges, w.modules, home, home.replace("/n4.rs", "/geo/n4.rs"))[0].select("path", "replacement")
 
 
-@query("SELECT 'source' AS file, 'cut' AS kind UNION ALL SELECT 'target', 'paste'")
+@query(f"""WITH {_CUST}, home AS (SELECT n_regionkey AS r FROM nation WHERE n_nationkey = 4), t AS (SELECT arg_min(n_nationkey, 'r' || n_regionkey || '/src/n' || n_nationkey || '.rs') AS k FROM nation, home WHERE n_regionkey = r AND n_nationkey <> 4),
+fns AS (SELECT n_nationkey AS k, coalesce(string_agg('pub fn s' || s_suppkey || '() {{}}' || chr(10), '' ORDER BY s_suppkey), '') AS text FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT 'r' || r || '/src/n4.rs' AS path, sha256((SELECT text FROM fns WHERE k = 4)) AS content FROM home
+UNION ALL SELECT 'r' || r || '/src/n' || k || '.rs', sha256('pub struct Nation' || k || ';' || chr(10) || (SELECT text FROM fns WHERE fns.k = t.k) || chr(10) || 'pub struct Nation4;' || chr(10)) FROM home, t
+UNION ALL SELECT 'r' || rk || '/src/c' || ck || '.rs', sha256('use crate::n' || k || '::Nation4;' || chr(10) || chr(10) || 'fn cust' || ck || '(a: u8) {{' || chr(10) || CASE WHEN first IS NULL THEN '' ELSE '    crate::n4::s' || first || '();' || chr(10) END || '    let b = a;' || chr(10) || '}}' || chr(10)) FROM cust, t WHERE nk = 4 AND ck % 3 = 0
+UNION ALL SELECT 'r' || r || '/src/lib.rs', sha256((SELECT string_agg('pub mod n' || n_nationkey || ';' || chr(10) || CASE WHEN n_nationkey = 4 THEN 'pub use crate::n' || k || '::Nation4 as N4;' || chr(10) WHEN n_nationkey % 2 = 0 THEN 'pub use n' || n_nationkey || '::Nation' || n_nationkey || ' as N' || n_nationkey || ';' || chr(10) ELSE '' END, ''
+  ORDER BY 'pub mod n' || n_nationkey || ';' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'pub use n' || n_nationkey || '::Nation' || n_nationkey || ' as N' || n_nationkey || ';' || chr(10) ELSE '' END) FROM nation WHERE n_regionkey = r)) FROM home, t""")
 def w_move_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of all files that change when Nation4 goes to the first other module of its package."""
     from treeline.plans import symbols
 
     w = _workspace(spark, d)
@@ -911,8 +918,7 @@ def w_move_symbol(spark: SparkSession, d: str) -> DataFrame:
     region = homes["n4"].split("/")[0]
     target = sorted(p for p in homes.values() if p.startswith(region + "/") and p != homes["n4"])[0]
     changes, _ = symbols.move_symbol(w, "Nation4", homes["n4"], target)
-    cut, paste = (F.col("replacement") == "") & (F.col("path") == homes["n4"]), (F.col("path") == target) & F.col("replacement").contains("Nation4;")
-    return changes.filter(cut | paste).select(F.when(cut, "source").otherwise("target").alias("file"), F.when(cut, "cut").otherwise("paste").alias("kind"))
+    return edits.splice(w.files, changes).select("path", F.sha2("text", 256).alias("content"))
 
 
 @query(f"""WITH {_CUST}, f AS (SELECT min(s_suppkey) AS s FROM supplier), rows AS (SELECT 0 AS o, '' AS p, 'definition' AS relation, 's' || s AS name FROM f
