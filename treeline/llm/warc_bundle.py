@@ -25,8 +25,8 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -200,20 +200,26 @@ _READ_DDL = "page_id long, url string, payload binary, payload_bytes long, paylo
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Read the indexed records through the seek tables; a bundle's frames are spread over tasks, each opened once a task."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
-        for frame in frames:
-            for bundle, rows in frame.groupby("bundle"):
+        for batch in batches:
+            wanted = sorted(zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length")), strict=True))
+            for bundle, places in groupby(wanted, key=lambda x: x[0]):
                 with files.open_input_file(f"{root}/{bundle}") as source:
-                    reader = BundleReader(source)
-                    ordered = rows.sort_values(["frame", "offset"])
-                    for at in range(0, len(ordered), 256):
-                        yield pd.DataFrame([_row(reader, x, payloads) for x in ordered.iloc[at : at + 256].itertuples()], columns=_READ)
+                    reader, rows, held = BundleReader(source), [], 0
+                    for place in places:
+                        rows.append(_row(reader, *place, payloads))
+                        held += rows[-1][3] if payloads else 1024
+                        if held >= FRAME_BYTES:
+                            yield _read_batch(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield _read_batch(rows)
 
     # The index is small against what it points to, so tasks are counted by the bytes to be read, not left to be merged.
     held = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-held // READ_BYTES))
-    return index.repartition(tasks, "bundle", "frame").mapInPandas(read, _READ_DDL)
+    return index.repartition(tasks, "bundle", "frame").mapInArrow(read, _READ_DDL)
 
 
 def find_records(index: DataFrame, folder: str, page_ids: list[int]) -> DataFrame:
@@ -221,15 +227,19 @@ def find_records(index: DataFrame, folder: str, page_ids: list[int]) -> DataFram
     return read_bundles(index.filter(F.col("page_id").isin(*page_ids)), folder)
 
 
-_READ = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _row(reader: BundleReader, at, payloads: bool) -> tuple:  # noqa: ANN001
-    fields, payload = reader.record(at.frame, at.offset, at.length)
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
+
+
+def _row(reader: BundleReader, bundle: str, frame: int, offset: int, length: int, payloads: bool) -> tuple:
+    fields, payload = reader.record(frame, offset, length)
     kind = fields["WARC-Type"]
     digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["WARC-Payload-Length"])
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"damaged record in {at.bundle}: {fields['WARC-Record-ID']}")
+        raise ValueError(f"damaged record in {bundle}: {fields['WARC-Record-ID']}")
     number = lambda k: None if k not in fields or fields[k].endswith(":null>") else int(fields[k].rpartition(":")[2].rstrip(">"))
     return number("WARC-Record-ID"), fields["WARC-Target-URI"], payload if payloads else None, size, digest, kind, number("WARC-Refers-To")
 
