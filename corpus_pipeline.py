@@ -3,6 +3,12 @@
 Documents scored toxic go; one document of each group of near copies stays; documents that
 hold benchmark passages beyond the contamination limit go; secrets in the texts that
 remain are masked; at last every text becomes a sampled sequence of pieces.
+
+Defined cases: null and empty texts are no copies of anything, are clean, and have no pieces; rows with a
+null doc_id go through all stages as others do and are never copies; rows that share a doc_id are judged by their own
+texts, equal ones become one; texts of any length are read whole; without labels of both classes nothing is toxic; an
+empty benchmark contaminates nothing; an empty documents table gives an empty result; extra columns go
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
