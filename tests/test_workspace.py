@@ -1,4 +1,4 @@
-"""Commands on a small tree of three packages and a few script modules. All expected rows were worked out from the sources by hand."""
+"""Commands on a small tree of three packages and a few script modules. Expected rows were checked against the sources by hand."""
 
 import pytest
 from pyspark.sql import functions as F
