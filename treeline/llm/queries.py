@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, html_wrapper, ngram_join, piece_sampling, quality_rank, secrets, sharding, toxicity_gru, vector_neardup, warc_bundle
+from treeline.llm import decontaminate, html_wrapper, merkle_manifest, ngram_join, piece_sampling, quality_rank, secrets, sharding, source_divergence, toxicity_gru, vector_neardup, warc_bundle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,19 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode_rows(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
-            op1_html_wrapper, op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup, op10_piece_sampling,
+            op1_html_wrapper, op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup, op10_piece_sampling, op11_merkle_manifest,
+            op12_source_divergence,
         )
     }
 
@@ -142,5 +151,82 @@ FROM e JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) ON x = vec_id L
 """
 
 
+def _op11(levels: int = 6, tops: int = 4) -> str:
+    """Level by level; 16 ** levels rows a source and 16 ** tops sources fit."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))}, {field(text)}))"
+    # crc32 by bytes of the decimal id, as SQL has no function for it.
+    step = "list_reduce([xor(c, ascii(d)), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    rounds = "".join(f", k{i} AS (SELECT * REPLACE (CASE WHEN length(s) >= {i} THEN {step.replace('ascii(d)', f'ascii(substr(s, {i}, 1))::BIGINT')} ELSE c END AS c) FROM k{i - 1})" for i in range(1, 21))
+    out = f"""
+WITH k0 AS (
+  SELECT row_number() OVER () AS r, *, CAST(doc_id AS VARCHAR) AS s, 4294967295::BIGINT AS c FROM documents
+){rounds}, l AS (
+  SELECT r, doc_id, source, {leaf('text')} AS leaf,
+         CASE WHEN xor(c, 4294967295) % 5 = 0 THEN {leaf(_LOWER)} ELSE {leaf('text')} END AS other FROM k20
+), n0 AS (
+  SELECT source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS h, r FROM l
+), w0 AS (
+  SELECT l.r, doc_id, leaf, n0.tree, n0.p, '' AS sib, CASE WHEN doc_id IS NULL THEN leaf ELSE other END AS cur FROM l JOIN n0 USING (r)
+)"""
+
+    def climb(n: str, w: str, k: int, to: str, up: str) -> str:
+        return f""", g{to} AS (
+  SELECT tree, p // 16 AS run, list(h ORDER BY p) AS hs, count(*) OVER (PARTITION BY tree) AS runs FROM {n} GROUP BY tree, p // 16
+), {up} AS (
+  SELECT {w}.r, doc_id, leaf, {w}.tree, CASE WHEN one THEN {w}.p ELSE {w}.p // 16 END AS p,
+         CASE WHEN one THEN sib ELSE sib || array_to_string(list_concat(hs[1 : {w}.p % 16], hs[{w}.p % 16 + 2 :]), '') END AS sib,
+         CASE WHEN one THEN cur ELSE sha256(array_to_string(list_concat(hs[1 : {w}.p % 16], [cur], hs[{w}.p % 16 + 2 :]), '')) END AS cur
+  FROM (SELECT {w}.*, runs = 1 AND len(hs) = 1 AS one, hs FROM {w} JOIN g{to} ON {w}.tree IS NOT DISTINCT FROM g{to}.tree AND {w}.p // 16 = g{to}.run) AS {w}
+), {to} AS (
+  SELECT tree, run AS p, CASE WHEN runs = 1 AND len(hs) = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM g{to}
+)"""
+
+    for k in range(levels):
+        out += climb(f"n{k}", f"w{k}", k, f"n{k + 1}", f"w{k + 1}")
+    out += f""", t0 AS (
+  SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS p, h, tree AS source FROM n{levels}
+), v0 AS (
+  SELECT r, doc_id, leaf, 0 AS tree, t0.p, sib, cur, t0.h AS subroot FROM w{levels} AS w JOIN t0 ON w.tree IS NOT DISTINCT FROM t0.source
+)"""
+    for k in range(tops):
+        out += climb(f"t{k}", f"v{k}", k, f"t{k + 1}", f"v{k + 1}")
+    return out + f"""
+SELECT v.doc_id, v.leaf, v0.subroot, t.h AS root, sha256(v.sib) AS proof_sha256, v.cur AS folded_root, v.cur = t.h AS verified
+FROM v{tops} AS v JOIN v0 USING (r), t{tops} AS t
+"""
+
+
+_OP12 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), g AS (
+  SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), v AS (
+  SELECT lang, term, count(*) AS n FROM d GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), l AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM v GROUP BY lang
+), c AS (
+  SELECT g.lang, g.source, v.term, coalesce(x.n, 0) AS n, v.n AS nl
+  FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM d GROUP BY ALL) AS x ON x.lang = g.lang AND x.source = g.source AND x.term = v.term
+), s AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source
+), p AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (CAST(1000000000 AS HUGEINT) * (c.n + 5)) // CAST(total + 5 * v AS HUGEINT) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (nl + 5)) // CAST(l.n + 5 * v AS HUGEINT) AS q
+  FROM c JOIN s ON s.lang = c.lang AND s.source = c.source JOIN l ON l.lang = c.lang
+), a AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), b AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM b
+)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op5_ngram_join": _OP5, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9}
+    return {"op2_decontaminate": _OP2, "op5_ngram_join": _OP5, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9, "op11_merkle_manifest": _op11(), "op12_source_divergence": _OP12}
