@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, html_wrapper, merkle_manifest, ngram_join, piece_sampling, quality_rank, secrets, sharding, source_divergence, toxicity_gru, vector_neardup, warc_bundle
+from treeline.llm import decontaminate, html_wrapper, merkle_manifest, ngram_join, piece_sampling, quality_rank, repeat_groups, secrets, sharding, source_divergence, toxicity_gru, vector_neardup, warc_bundle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_groups.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_html_wrapper, op2_decontaminate, op3_quality_rank, op4_secrets, op5_ngram_join, op6_warc_bundle, op7_toxicity_gru, op8_sharding, op9_vector_neardup, op10_piece_sampling, op11_merkle_manifest,
-            op12_source_divergence,
+            op12_source_divergence, op13_repeat_groups,
         )
     }
 
@@ -228,5 +232,28 @@ SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank
 """
 
 
+_OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, strlen(x) // 2 - 199)) AS i FROM d WHERE strlen(x) >= 400)
+), s AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1
+), o AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i > 200 + lag(i) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM s)
+), m AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM o GROUP BY r, run
+), k AS (
+  SELECT r, b AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), 1000000000) AS b FROM (SELECT r, a, b FROM m UNION ALL SELECT r, -1, 0 FROM d)
+), t AS (
+  SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (r) GROUP BY r
+), c AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM m GROUP BY r
+)
+SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (r) LEFT JOIN c USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op5_ngram_join": _OP5, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9, "op11_merkle_manifest": _op11(), "op12_source_divergence": _OP12}
+    return {"op2_decontaminate": _OP2, "op5_ngram_join": _OP5, "op6_warc_bundle": _OP6, "op9_vector_neardup": _OP9, "op11_merkle_manifest": _op11(), "op12_source_divergence": _OP12, "op13_repeat_groups": _OP13}
