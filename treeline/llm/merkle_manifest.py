@@ -105,13 +105,14 @@ class NodeStore:
         return out
 
     def paths(self, upper: DataFrame) -> DataFrame:
-        """tree, run, path: for the runs of the lowest level, the runs met on the way up, `upper` (tree, path) at its end. A lone leaf has run 0.
+        """tree, run, path and the further columns of `upper` (tree, path, ...): for the runs of the lowest level, the runs met on the way up, upper's path at its end. A lone leaf has run 0.
 
         path is an array of (at, hashes): the place of the node on the way inside its run, and the whole run; the place in the
         first run is left to the leaf.
         """
         kind = "array<struct<at:int,hashes:array<string>>>"
-        above = self.roots.select("tree").join(upper, "tree", "left").select("tree", F.lit(0).cast("long").alias("run"), F.coalesce("path", F.expr(f"cast(array() as {kind})")).alias("path"))
+        more = [c for c in upper.columns if c not in ("tree", "path")]  # carried along, so no source's rows are joined by their source
+        above = self.roots.select("tree").join(upper, "tree", "left").select("tree", F.lit(0).cast("long").alias("run"), F.coalesce("path", F.expr(f"cast(array() as {kind})")).alias("path"), *more)
         if not self.heights:
             return above
         # `open`: paths of the nodes of a level, by (tree, place); a tree joins at the level of its root.
@@ -119,16 +120,16 @@ class NodeStore:
         open_ = None
         for k in range(len(self.heights) - 1, -1, -1):
             runs = self.heights[k]
-            tops = sizes.filter((F.ceil(F.col("size") / ARITY ** (k + 1)) == 1) & (F.ceil(F.col("size") / ARITY**k) > 1)).select("tree").join(above.drop("run"), "tree").withColumn("run", F.lit(0).cast("long"))
-            parents = tops.select("tree", "run", "path") if open_ is None else open_.unionByName(tops.select("tree", "run", "path"))
-            met = runs.join(parents, ["tree", "run"]).select("tree", "run", F.concat(F.array(F.struct(F.lit(None).cast("int").alias("at"), F.col("hashes"))), "path").alias("path"))
+            tops = sizes.filter((F.ceil(F.col("size") / ARITY ** (k + 1)) == 1) & (F.ceil(F.col("size") / ARITY**k) > 1)).select("tree").join(above, "tree")
+            parents = tops if open_ is None else open_.unionByName(tops)
+            met = runs.join(parents, ["tree", "run"]).select("tree", "run", F.concat(F.array(F.struct(F.lit(None).cast("int").alias("at"), F.col("hashes"))), "path").alias("path"), *more)
             if not k:
                 done = met
                 break
-            below = met.select("tree", F.posexplode(F.col("path")[0]["hashes"]).alias("at", "hash"), "run", "path")
+            below = met.select("tree", F.posexplode(F.col("path")[0]["hashes"]).alias("at", "hash"), "run", "path", *more)
             here = F.transform("path", lambda x, i: F.when(i == 0, F.struct(F.col("at").cast("int").alias("at"), x["hashes"].alias("hashes"))).otherwise(x))
-            open_ = settle(below.select("tree", (F.col("run") * ARITY + F.col("at")).alias("run"), here.alias("path")), f"merkle-paths-{k}")
-        lone = sizes.filter("size = 1").select("tree").join(above, "tree").select("tree", "run", "path")
+            open_ = settle(below.select("tree", (F.col("run") * ARITY + F.col("at")).alias("run"), here.alias("path"), *more), f"merkle-paths-{k}")
+        lone = sizes.filter("size = 1").select("tree").join(above, "tree")
         return done.unionByName(lone)
 
 
@@ -159,7 +160,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     first = lambda path, place: F.transform(path, lambda x, i: F.when((i == 0) & x["at"].isNull(), F.struct(F.pmod(place, F.lit(ARITY)).cast("int").alias("at"), x["hashes"].alias("hashes"))).otherwise(x))
     upper = subs.withColumn("run", F.floor(F.col("place") / ARITY)).join(over, ["tree", "run"]).select(F.col("source").alias("tree"), first("path", F.col("place")).alias("path"), F.col("hash").alias("subroot"))
     upper = settle(upper.crossJoin(F.broadcast(top.roots.select(F.col("hash").alias("root")))), "merkle-upper")  # the one root
-    ways = own.paths(upper.select("tree", "path")).join(upper.select("tree", "subroot", "root"), "tree")
+    ways = own.paths(upper)
     # A run of siblings has sixteen leaves at most, and they are neighbours in the sorted runs.
     met = rows.withColumn("run", F.floor(F.col("place") / ARITY)).join(ways, ["tree", "run"]).withColumn("path", first("path", F.col("place")))
     out = met.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), folded(F.coalesce("other", "leaf"), F.col("path")).alias("folded_root"))
