@@ -78,3 +78,22 @@ def test_splice_is_the_plain_splice(kept, put):
         files = spark.createDataFrame([("p", text)], "path string, text string")
         changes = spark.createDataFrame(rows, "path string, start int, end int, replacement string, seq int")
         assert edits.splice(files, changes).first()["text"] == want
+
+
+def test_sites_of_patterns():
+    f = rust.facts("fn f((a, P(b, _)): T, mut c: u8) {\n match a { x => 1, O | S::D if a > 0 => { let k = 1; } R(n @ 1..=9) | S::B { side: n } => if n { 1 } else { 2 } S::B { side } => match side { 0 => w, v => v }, 0..=MAX => 4, Q((ref y, I | z)) => 5, vec!(q) => 0, _ => 6 };\n if let Some(u) | None = q {}\n}\n")
+    seen = [("::".join(r["segments"]), r["role"], r["shape"], r["explicit"]) for r in f.patterns]
+    assert seen == [
+        ("a", "identifier", None, False), ("P", "constructor", "tuple", False), ("b", "identifier", None, False), ("c", "identifier", None, True), ("x", "identifier", None, False), ("O", "identifier", None, False),
+        ("S::D", "identifier", None, False), ("k", "identifier", None, False), ("R", "constructor", "tuple", False), ("n", "identifier", None, True), ("S::B", "constructor", "record", False), ("n", "identifier", None, True),
+        ("S::B", "constructor", "record", False), ("side", "identifier", None, True), ("v", "identifier", None, False), ("MAX", "constant", None, False), ("Q", "constructor", "tuple", False), ("y", "identifier", None, True),
+        ("I", "identifier", None, False), ("z", "identifier", None, False), ("Some", "constructor", "tuple", False), ("u", "identifier", None, False), ("None", "identifier", None, False),
+    ]
+    branches = {r["name"]: [(b["branch"], b["of"]) for b in r["branches"]] for r in f.patterns if r["branches"]}
+    assert branches["O"] == branches["R"] == branches["Some"] == [(0, 2)] and branches["z"] == branches["None"] == [(1, 2)] and "Q" not in branches
+    assert {r["name"]: r["by_ref"] for r in f.patterns}["y"] and {r["name"]: r["mutable"] for r in f.patterns}["c"]
+
+
+def test_items_of_blocks_are_seen_in_their_blocks():
+    f = rust.facts("fn f() { g(); { const K: u8 = 1; struct S; } fn g() {} }\n")
+    assert [(x["name"], x["kind"], x["namespace"], x["scope_start"]) for x in f.lexical] == [("K", "const", "value", 14), ("S", "struct", "value", 14), ("S", "struct", "type", 14), ("g", "function", "value", 7)]

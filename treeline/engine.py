@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import context, graph, navigation, search
+from treeline.operators import context, graph, navigation, patterns, search
 from treeline.plans import edits
 from treeline.session import settle
 from treeline.sources import requests, workspace
@@ -181,7 +181,7 @@ class Workspace:
     @cached_property
     def resolutions(self) -> DataFrame:
         """Every token with what it means."""
-        return settle(navigation.resolved(self.family("tokens"), self.bindings(), self.occurrences, self._sites(self.declared), self.family("uncertain")))
+        return settle(navigation.resolved(self.family("tokens"), self.bindings(), self.occurrences, self._sites(self.declared), self.family("uncertain"), self.patterns))
 
     def _sites(self, of: DataFrame) -> DataFrame:
         wanted = of.select(F.col("addr").alias("target")).distinct()
@@ -205,5 +205,13 @@ class Workspace:
         one = self.files.sparkSession.createDataFrame([(0, addr, viewer)], "id long, addr string, viewer string")
         return navigation.normalised(one, self.edges, self.declared)
 
+    @cached_property
+    def patterns(self) -> DataFrame:
+        """Every name in a pattern with what it means."""
+        constructors = self.family("constructors")
+        targets = patterns.pattern_targets(self.family("symbols"), constructors, self.modules)
+        return settle(patterns.outcomes(self.family("patterns"), self.family("lexical"), constructors, self.edges, self.aliases, targets, self.modules))
+
     def bindings(self) -> DataFrame:
-        return graph.visible_bindings(self.family("tokens"), self.family("lexical"), self.family("uncertain"))
+        lexical = patterns.without_references(self.family("lexical"), self.patterns)
+        return graph.visible_bindings(self.family("tokens"), lexical, self.family("uncertain"))

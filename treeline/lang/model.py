@@ -20,9 +20,11 @@ IMPORT = "ord int, start int, end int, syntax string, head string, ups int, segm
 CALL = "start int, end int, callee_start int, callee_end int, callee string, kind string, owner_start int, owner_end int"
 LEXICAL = "name string, kind string, name_start int, name_end int, scope_start int, scope_end int, visible_from int, namespace string"
 SPAN = "start int, end int"
+PATTERN = "pattern int, start int, end int, name string, segments array<string>, role string, shape string, bare boolean, explicit boolean, by_ref boolean, mutable boolean, branches array<struct<alt:int,branch:int,of:int>>"
 FACTS = {
     "symbols": SYMBOL, "tokens": TOKEN, "imports": IMPORT, "calls": CALL, "lexical": LEXICAL,
     "highlights": SPAN + ", kind string", "signatures": SPAN + ", name_start int", "modules": SPAN + ", name string, modifier string", "uncertain": SPAN + ", name string",
+    "patterns": PATTERN, "constructors": "name_start int, name string, owner string, shape string",
     "named_imports": "local string, imported string, module string, name_start int, name_end int, reexport boolean, type_only boolean",
 }
 
@@ -40,6 +42,8 @@ class Facts:
     signatures: list[dict] = field(default_factory=list)
     modules: list[dict] = field(default_factory=list)
     uncertain: list[dict] = field(default_factory=list)
+    patterns: list[dict] = field(default_factory=list)
+    constructors: list[dict] = field(default_factory=list)
     named_imports: list[dict] = field(default_factory=list)
 
 

@@ -11,6 +11,7 @@ import re
 from bisect import bisect_right
 
 from treeline.lang.model import Facts, Lexeme, Lexemes, Lines, brackets, named
+from treeline.lang.patterns import references
 
 _LEX = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*)|(?P<string>b?r(?P<hash>\#*)".*?"(?P=hash)|[bc]?"(?:\\.|[^"\\])*")|(?P<char>b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\])')"""
@@ -20,6 +21,8 @@ _LEX = re.compile(
 # Words of the language.
 KEYWORDS = frozenset("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type union unsafe use where while".split()) - {"union"}
 _QUALIFIERS = frozenset("async unsafe default const extern".split())
+_LOCAL = frozenset("function struct enum trait type-alias const static".split())
+_BLOCKS = frozenset(("{", "if", "match", "loop", "while", "for", "unsafe"))
 _HEADS = {"crate": "crate", "self": "self", "super": "super", "Self": "Self"}
 
 
@@ -58,6 +61,7 @@ class Parser:
         self.pair = brackets(self.t)
         self.lines = Lines(raw)
         self.statements: list[tuple[int, int]] = []
+        self.arms: dict[int, tuple[int, int, int]] = {}
 
     # Small helpers over lexemes
 
@@ -179,6 +183,9 @@ class Parser:
             if self.text(i + 2) == "<":
                 self.generics(i + 2, last)
             name = named(self.text(i + 1))
+            if word in ("struct", "union"):
+                after = self.over_angles(i + 2) if self.text(i + 2) == "<" else i + 2
+                self.out.constructors.append({"name_start": self.t[i + 1].start, "name": name, "owner": None, "shape": "record" if self.text(stop) == "{" else "tuple" if self.text(after) == "(" else "unit"})
             if self.text(stop) == "{":
                 if word == "trait":
                     self.items(stop + 1, last, name, depth + 1, False)
@@ -259,6 +266,8 @@ class Parser:
                 stop = (self.over_angles(stop) if self.text(stop) == "<" else self.pair[stop] + 1 if self.text(stop) in ("(", "[", "{") and self.pair[stop] > stop else stop + 1)
             if self.is_word(i) and (kind == "variant" or self.text(i + 1) == ":"):
                 self.symbol(kind, i, start, stop - 1, first, modifier, depth, container)
+                if kind == "variant":
+                    self.out.constructors.append({"name_start": self.t[i].start, "name": named(self.text(i)), "owner": container, "shape": {"(": "tuple", "{": "record"}.get(self.text(i + 1), "unit")})
                 if kind == "variant" and self.text(i + 1) == "{":
                     self.members("field", i + 2, self.pair[i + 1], depth + 1, named(self.text(i)))
             i = stop + 1
@@ -350,11 +359,12 @@ class Parser:
             at += 1
 
     def bind(self, i: int, end: int, scope: tuple[int, int], visible: int, kind: str) -> None:
-        """Names that a pattern binds: words that begin in lower case and name no path, call, field or record. A colon at its end begins a type."""
-        for k in range(i, end):
-            x = self.t[k]
-            if x.kind == "word" and x.text not in KEYWORDS and (x.text[0].islower() or x.text[0] == "_" and len(x.text) > 1) and self.text(k + 1) not in ("::", "(", "!", "{") and (self.text(k + 1) != ":" or k + 1 >= end) and self.text(k - 1) not in ("::", "."):
-                self.out.lexical.append({"name": named(x.text), "kind": kind, "name_start": x.start, "name_end": x.end, "scope_start": scope[0], "scope_end": scope[1], "visible_from": visible, "namespace": "value"})
+        """Sites of a pattern; those that may bind are bindings, until tables find a constant or a constructor of that name."""
+        number = self.out.patterns[-1]["pattern"] + 1 if self.out.patterns else 0
+        for site in references(self, i, end):
+            self.out.patterns.append({"pattern": number} | site)
+            if site["bare"] and site["role"] == "identifier":
+                self.out.lexical.append({"name": site["name"], "kind": kind, "name_start": site["start"], "name_end": site["end"], "scope_start": scope[0], "scope_end": scope[1], "visible_from": visible, "namespace": "value"})
 
     def parameters(self, i: int, stop: int, last: int) -> None:
         if self.text(i) == "<":
@@ -370,10 +380,7 @@ class Parser:
                 end = self.over_angles(end) if self.text(end) == "<" else self.pair[end] + 1 if self.text(end) in ("(", "[", "{") and self.pair[end] > end else end + 1
             colon = next((k for k in range(at, min(end, close)) if self.text(k) == ":"), None)
             if colon is not None:
-                for k in range(at, colon):
-                    if self.is_word(k) and self.text(k) not in KEYWORDS:
-                        n = self.t[k]
-                        self.out.lexical.append({"name": named(n.text), "kind": "parameter", "name_start": n.start, "name_end": n.end, "scope_start": scope[0], "scope_end": scope[1], "visible_from": scope[0], "namespace": "value"})
+                self.bind(at, colon, scope, scope[0], "parameter")
             at = end + 1
 
     def body(self, open_: int, close: int, owner: int | None, depth: int) -> None:
@@ -386,7 +393,13 @@ class Parser:
         while i < close:
             x = self.text(i)
             if x in ("fn", "struct", "enum", "trait", "impl", "mod", "use", "static", "type", "macro_rules") and self.text(i - 1) in ("{", "}", ";", "]", "pub", ")", "unsafe", "async") or x == "const" and self.text(i - 1) in ("{", "}", ";"):
+                known = len(self.out.symbols)
                 i = max(self.item(i, close, "", depth, False), i + 1)
+                for item in self.out.symbols[known:]:  # items of a block are seen in all of it
+                    if item["depth"] == depth and item["container"] is None and item["kind"] in _LOCAL:
+                        spaces = ("value", "type") if item["kind"] == "struct" else ("type",) if item["kind"] in ("enum", "trait", "type-alias") else ("value",)
+                        for space in spaces:
+                            self.out.lexical.append({"name": item["name"], "kind": item["kind"], "name_start": item["name_start"], "name_end": item["name_end"], "scope_start": scope[0], "scope_end": scope[1], "visible_from": scope[0], "namespace": space})
                 continue
             if x == "let":
                 stop = self.upto(i + 1, "=;:{", close)
@@ -408,14 +421,13 @@ class Parser:
                     last = self.pair[brace] if self.pair[brace] > 0 else close
                     self.bind(i + 1, into, (self.t[brace].start, self.t[last].end), self.t[brace].start, "variable")
                     i = into
-            elif x == "=>":
-                back = i - 1
-                while back > open_ and self.text(back) not in (",", "{", "}") :
-                    back -= 1
-                guard = next((k for k in range(back + 1, i) if self.text(k) == "if"), i)
-                brace = self.text(i + 1) == "{"
-                stop = self.pair[i + 1] if brace and self.pair[i + 1] > 0 else self.upto(i + 1, ",", close)
-                self.bind(back + 1, guard, (self.t[back].end, self.t[stop].end), self.t[guard].start, "variable")
+            elif x == "match":
+                brace = self.upto(i + 1, "{", close)
+                if self.text(brace) == "{" and self.pair[brace] > brace:
+                    self.match_arms(brace, self.pair[brace])
+            elif x == "=>" and i in self.arms:
+                first, guard, stop = self.arms[i]
+                self.bind(first, guard, (self.t[first - 1].end, self.t[stop].end), self.t[guard].start, "variable")
             elif x == "{" and self.pair[i] > i:
                 self.block(i, self.pair[i], depth + 1)
                 i = self.pair[i]
@@ -423,6 +435,31 @@ class Parser:
                 self.out.uncertain.append({"start": self.t[i + 1].start, "end": self.t[self.pair[i + 1]].end, "name": named(self.text(i - 1))})
             i += 1
 
+    def match_arms(self, open_: int, close: int) -> None:
+        """For the arrow of every arm: first lexeme of the pattern, its guard or the arrow, last lexeme of the body."""
+        at = open_ + 1
+        while at < close:
+            arrow = at
+            while arrow < close and self.text(arrow) != "=>":
+                arrow = self.pair[arrow] + 1 if self.text(arrow) in ("(", "[", "{") and self.pair[arrow] > arrow else arrow + 1
+            if arrow >= close:
+                return
+            while self.text(at) == "#" and self.pair[at + 1] > at:  # attributes of the arm
+                at = self.pair[at + 1] + 1
+            guard = at
+            while guard < arrow and self.text(guard) != "if":
+                guard = self.pair[guard] + 1 if self.text(guard) in ("(", "[", "{") and self.pair[guard] > guard else guard + 1
+            stop, blocks = arrow + 1, self.text(arrow + 1) in _BLOCKS
+            while stop < close and self.text(stop) != ",":
+                if self.text(stop) in ("(", "[", "{") and self.pair[stop] > stop:
+                    stop = self.pair[stop]
+                    # A body that is a block needs no comma after it.
+                    if blocks and self.text(stop) == "}" and (self.text(stop + 1) not in ("else", ".", "?", ",", "as") or stop + 1 >= close):
+                        break
+                stop += 1
+            self.arms[arrow] = (at, min(guard, arrow), min(stop, close))
+            at = stop + 1 + (self.text(stop) == "}" and self.text(stop + 1) == ",")
+
     def calls(self, i: int, end: int, owner: int | None) -> None:
         o = self.t[owner] if owner is not None else None
         k = i

@@ -765,7 +765,7 @@ def k3_windowed_events(spark: SparkSession, d: str) -> DataFrame:
 # A generated tree: a package for each region, a module for each nation with a function for each
 # of its suppliers, a module for each customer that imports its nation and calls a supplier.
 
-_TREES: dict[tuple[str, str], object] = {}
+_TREES: dict[tuple[str, ...], object] = {}
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -786,13 +786,13 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return nations.unionByName(regions).unionByName(manifests).unionByName(customers)
 
 
-def _workspace(spark: SparkSession, d: str):  # noqa: ANN202
-    """The workspace of the generated tree; its tables are shared by the queries of one session."""
+def _workspace(spark: SparkSession, d: str, tree: Callable[[SparkSession, str], DataFrame] = _tree):  # noqa: ANN202
+    """The workspace of a generated tree; its tables are shared by the queries of one session."""
     from treeline.engine import Workspace
 
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, tree.__name__)
     if key not in _TREES:
-        _TREES[key] = Workspace(workspace.claim(_tree(spark, d)))
+        _TREES[key] = Workspace(workspace.claim(tree(spark, d)))
     return _TREES[key]
 
 
@@ -1092,3 +1092,56 @@ def h4_move_file(spark: SparkSession, d: str) -> DataFrame:
     after = edits.after(w.files, changes, moves)
     same = w.files.select("path", F.col("text").alias("was"))
     return after.join(same, "path", "left").filter("was is null or was <> text").select("path", F.sha2("text", 256).alias("content"))
+
+
+# Patterns: a module for each nation with constants and constructors, a module for each customer that matches on them.
+
+
+def _pattern_tree(spark: SparkSession, d: str) -> DataFrame:
+    """path and text: constants in lower and in upper case, an enum and structs of each shape; customers name them bare, by path, by glob, in alternatives and in wrong shapes."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, ck = F.col("n_nationkey"), F.col("c_custkey")
+    n = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    manifest = spark.createDataFrame([("q/Cargo.toml", '[package]\nname = "q"\n')], "path string, text string")
+    root = n.agg(F.array_join(F.sort_array(F.collect_list(text("pub mod n", k, ";\n"))), "").alias("text")).select(F.lit("q/src/lib.rs").alias("path"), "text")
+    nations = n.select(text("q/src/n", k, ".rs").alias("path"), text(
+        "pub const lim", k, ": u8 = 1;\npub const LIM", k, ": u8 = 2;\nconst shut", k, ": u8 = 3;\npub enum Kind", k, " { Dot, Ring(u8), Box { side: u8 } }\npub struct Unit", k, ";\npub struct Pair", k, "(pub u8, pub u8);\n").alias("text"))
+    arms = lambda head, *lines: text(*head, "fn go(v: u8) { match v {\n", *[x for line in lines for x in (*line, " => {}\n")], "_ => {} } }\n")
+    use = lambda what: ("use crate::n", k, "::", what, *([k] if what != "*" else []), ";\n")
+    kinds = [
+        arms(use("lim"), ("lim", k), ("other",)),
+        arms((), ("lim", k), ("Other", k), ("crate::n", k, "::LIM", k)),
+        arms(use("Kind"), ("crate::n", k, "::Kind", k, "::Dot | Kind", k, "::Ring(_)"), ("Kind", k, "::Box { side } | Kind", k, "::Ring(side)")),
+        arms(use("*"), ("Unit", k), ("Pair", k, "(a, LIM", k, ")"), ("shut", k), ("w @ 1..=lim", k)),
+        arms(use("Kind"), ("Kind", k, "::Ring(a) | Kind", k, "::Dot"), ("Kind", k, "::Ring(ref b) | Kind", k, "::Box { side: b }"), ("z",)),
+        arms(use("Pair"), ("Pair", k, " { .. }"), ("Pair", k, "(lim", k, ", (c, 0) | (0, c))"), ("0..=lim", k)),
+        arms((*use("Kind"), "use std::other", k, ";\n"), ("other", k), ("Kind", k, "::Dot(d)"), ("lost", k, "::X")),
+    ]
+    body = kinds[0]
+    for i, kind in enumerate(kinds[1:], 1):
+        body = F.when(ck % 7 == i, kind).otherwise(body)
+    customers = _t(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == k).select(text("q/src/c", ck, ".rs").alias("path"), body.alias("text"))
+    return nations.unionByName(root).unionByName(manifest).unionByName(customers)
+
+
+def _patterns_of(kind: int, *sites: tuple[str, str, str]) -> str:
+    """SQL for the customers of a kind: name, outcome, and the address of what is meant or why nothing is. ~ stands for the nation."""
+    return "\nUNION ALL ".join(f"SELECT 'q/src/c' || c_custkey || '.rs' AS path, replace('{name}', '~', CAST(c_nationkey AS VARCHAR)) AS name, '{outcome}' AS outcome, replace('{what}', '~', CAST(c_nationkey AS VARCHAR)) AS meant FROM customer WHERE c_custkey % 7 = {kind}" for name, outcome, what in sites)
+
+
+_TORN = "unsupported-context"
+
+
+@query("\nUNION ALL ".join(("SELECT 'q/src/c' || c_custkey || '.rs' AS path, 'v' AS name, 'binding' AS outcome, '' AS meant FROM customer", *[_patterns_of(*x) for x in (
+    (0, ("lim~", "resolved", "q::n~::lim~"), ("other", "binding", "")),
+    (1, ("lim~", "binding", ""), ("Other~", "binding", ""), ("LIM~", "resolved", "q::n~::LIM~")),
+    (2, ("Dot", "resolved", "q::n~::Kind~::Dot"), ("Ring", "resolved", "q::n~::Kind~::Ring"), ("Box", "resolved", "q::n~::Kind~::Box"), ("side", "binding", ""), ("Ring", "resolved", "q::n~::Kind~::Ring"), ("side", "binding", "")),
+    (3, ("Unit~", "resolved", "q::n~::Unit~"), ("Pair~", "resolved", "q::n~::Pair~"), ("a", "binding", ""), ("LIM~", "resolved", "q::n~::LIM~"), ("shut~", "binding", ""), ("w", "binding", ""), ("lim~", "resolved", "q::n~::lim~")),
+    (4, ("Ring", "unavailable", _TORN), ("a", "unavailable", _TORN), ("Dot", "unavailable", _TORN), ("Ring", "unavailable", _TORN), ("b", "unavailable", _TORN), ("Box", "unavailable", _TORN), ("b", "unavailable", _TORN), ("z", "binding", "")),
+    (5, ("Pair~", "unavailable", _TORN), ("Pair~", "resolved", "q::n~::Pair~"), ("lim~", "binding", ""), ("c", "binding", ""), ("c", "binding", ""), ("lim~", "unavailable", "unresolved")),
+    (6, ("other~", "unavailable", _TORN), ("Dot", "unavailable", _TORN), ("d", "binding", ""), ("X", "unavailable", "unresolved")),
+)])))
+def w_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """What every name in every pattern means."""
+    w = _workspace(spark, d, _pattern_tree)
+    return w.patterns.select("path", "name", "outcome", F.coalesce(F.array_join("targets", ","), "why", F.lit("")).alias("meant"))
