@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import settle, small_side, text_slices
+from treeline.llm.shared import settle, small_side, text_slices, with_plain_names
 from treeline.llm.text import word_spans, words
 
 WINDOW = 13
@@ -267,8 +267,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents whose hit words pass the coverage limit; all others stay as they are."""
-    plain = _plain(docs)
-    return judge(find_hits(plain, items)).filter(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
+    return with_plain_names(docs, ("text",), lambda plain: judge(find_hits(plain, items)).filter(~F.col("contaminated")))
 
 
 def cut_hits(docs: DataFrame, items: DataFrame) -> DataFrame:

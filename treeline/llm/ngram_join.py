@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from treeline.llm.components import connected_components, local_components
-from treeline.llm.shared import settle, small_side, text_slices
+from treeline.llm.shared import settle, small_side, text_slices, with_plain_names
 from treeline.llm.text import SHINGLE, mix, shingle_sets
 
 THRESHOLD, TARGET_RECALL, MOST_HASHES = 0.8, 0.994, 360
@@ -193,6 +193,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Where rows share a doc_id each is judged by its own text; equal rows of one doc_id become one.
     """
+    return with_plain_names(docs, ("doc_id", "text"), lambda plain: _keep_one(plain, threshold))
+
+
+def _keep_one(docs: DataFrame, threshold: float) -> DataFrame:
     known = docs.filter("doc_id is not null")
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
         result = settle(ngram_join(docs, threshold).select("doc_id", "kept"), "join-result")

@@ -263,7 +263,11 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "cell", "weight", "inside", "body"])
 
     lists = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "cell", "weight", "inside", "first", "size")).alias("wants"))  # fewer bytes than the text
-    once = _keyed(docs).groupBy("h1", "h2").agg(F.first("text").alias("text"))  # equal rows meet before the shuffle
+    holders = settle(wanted.select("h1", "h2").distinct(), "repeat-holders")
+    rows = _keyed(docs)
+    if holders.count() * 64 <= BROADCAST_BYTES:  # else the join below leaves the other texts out
+        rows = rows.join(F.broadcast(holders), ["h1", "h2"], "left_semi")
+    once = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))  # equal rows meet before the shuffle
     return once.join(lists, ["h1", "h2"]).mapInArrow(run, "anchor long, cell long, weight long, inside int, body binary")
 
 
@@ -349,7 +353,7 @@ class Repeats:
             occurrences = scanned.filter("cell is not null").select("anchor", "cell", "place", "length", "repeat")
             groups.append(scanned.filter("cell is null").select("repeat", "length", "parent"))
             for link in reversed(links):  # places in the cells of the texts
-                occurrences = _join_busy(link, occurrences.groupBy("anchor", "cell").agg(F.collect_list(F.struct("place", "length", "repeat")).alias("hits"), F.first("anchor").alias("_")).drop("_").join(link.groupBy("anchor", "cell").agg(F.count("*").alias("weight")), ["anchor", "cell"]), ["anchor", "cell"], 4096)
+                occurrences = _join_busy(link, occurrences.groupBy("anchor", "cell").agg(F.collect_list(F.struct("place", "length", "repeat")).alias("hits"), F.first("anchor").alias("_")).drop("_").join(link.groupBy("anchor", "cell").agg(F.count("*").alias("weight")), ["anchor", "cell"]), ["anchor", "cell"], 256)
                 occurrences = occurrences.select(F.col("from_anchor").alias("anchor"), F.col("from_cell").alias("cell"), "shift", F.explode("hits").alias("hit"))
                 occurrences = settle(occurrences.select("anchor", "cell", (F.col("hit.place") + F.col("shift")).alias("place"), "hit.length", "hit.repeat"), "repeat-lifted")
             found.append(occurrences)
@@ -371,7 +375,7 @@ class Repeats:
         hits = self._found.groupBy("anchor", "cell").agg(F.collect_list(F.struct("place", "length", "repeat")).alias("hits"))  # as many as the cell has windows, at most
         weighed = hits.join(self.kinds.select("anchor", "cell", "weight"), ["anchor", "cell"])
         total = self.cells.count()
-        return _join_busy(self.cells.select("anchor", "cell", "h1", "h2", "first"), settle(weighed, "repeat-hits"), ["anchor", "cell"], max(4096, total // 4096))
+        return _join_busy(self.cells.select("anchor", "cell", "h1", "h2", "first"), settle(weighed, "repeat-hits"), ["anchor", "cell"], max(256, total // 4096))
 
     def occurrences(self) -> DataFrame:
         """repeat, length, doc_id, at (byte): all occurrences, each under the longest group it belongs to."""
@@ -380,15 +384,21 @@ class Repeats:
         return rows.join(ids, ["h1", "h2"]).select("hit.repeat", "hit.length", "doc_id", (F.col("first") + F.col("hit.place")).alias("at"))
 
     def spans(self) -> DataFrame:
-        """h1, h2, spans: for each text, by its key, the stretches that occurrences cover in each cell."""
+        """h1, h2, spans: for each text, by its key, the stretches that occurrences cover, those that touch as one."""
         covers = F.transform("hits", lambda h: F.struct((F.col("first") + h["place"]).alias("a"), (F.col("first") + h["place"] + h["length"]).alias("b")))
-        # The stretches of a cell that touch become one.
+        # The stretches of a cell that touch become one; rows that repeat have the same key and the same spans.
         joined = F.aggregate(
             F.array_sort(covers), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
             lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))),
         )
-        flat = self._placed().select("h1", "h2", F.explode(joined).alias("s")).distinct()  # rows that repeat have the same key and the same spans
-        return flat.groupBy("h1", "h2").agg(F.collect_list("s").alias("spans"))
+        met = self._placed().select("h1", "h2", F.explode(joined).alias("s")).groupBy("h1", "h2").agg(F.collect_set("s").alias("spans"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = [[{"a": a, "b": b} for a, b in _merged(s)] for s in batch.column("spans").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["h1", "h2", "spans"])
+
+        return met.mapInArrow(run, "h1 long, h2 long, spans array<struct<a:bigint,b:bigint>>")
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 A value that follows a credential word may be a real secret or a plain word. Its cost is
 log10 of the guesses an attacker needs: the least sum, over all segmentations into words, dates,
-repeats, keyboard walks and brute-force spans, of the costs of the segments, with JOIN for each
+repeats, keyboard walks, separators and brute-force spans, of the costs of the segments, with JOIN for each
 segment after the first. best[j] is the least, over the segments that end at j, of best[start] +
 cost; brute-force spans of every length are covered by one running minimum. A repeat is a
 whole run of two or more equal parts (as many as there are), a walk a whole run along a row of keys or of code points, of three characters at
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from treeline.llm.ranked_words import WORDS
-from treeline.llm.shared import text_slices
+from treeline.llm.shared import text_slices, with_plain_names
 
 # The base patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -62,6 +63,9 @@ _LOG2 = math.log10(2)
 
 #: log10 of the choices that each segment after the first adds.
 JOIN = math.log10(3)
+#: What stands between words as a segment of its own.
+SEPARATORS = " -_./:"
+_SEPARATOR = math.log10(len(SEPARATORS))
 _LONGEST = max(map(len, RANK))
 _STARTS = {w[:k] for w in RANK for k in range(1, len(w) + 1)}
 
@@ -112,6 +116,13 @@ def _walks(low: str) -> Iterator[tuple[int, int, float]]:
                 i = j
 
 
+def _separators(value: str) -> Iterator[tuple[int, int, float]]:
+    """Blanks and marks between words: one of the few that people use."""
+    for i, c in enumerate(value):
+        if c in SEPARATORS:
+            yield i, i + 1, _SEPARATOR
+
+
 def runs(value: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, period) of all maximal runs: stretches of two or more periods, the least period of each.
 
@@ -156,7 +167,7 @@ def _repeats(value: str, brute: list[float]) -> Iterator[tuple[int, int, float]]
 def segments(value: str) -> list[tuple[int, int, float]]:
     """(start, end, cost) of all segments but brute-force spans."""
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    return [*_words(value, low, low.translate(_LEET)), *_dates(value), *_walks(low), *_repeats(value, _brute(value))]
+    return [*_words(value, low, low.translate(_LEET)), *_dates(value), *_walks(low), *_separators(value), *_repeats(value, _brute(value))]
 
 
 @lru_cache(maxsize=4096)
@@ -196,11 +207,13 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
         base += [(m.start(), m.end(), "hex", guess_cost(m[0])) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
     out = list(base)
     if keyed or any(k in low for k in _MORE):
+        base.sort()
+        starts, ends = [x for x, *_ in base], list(accumulate((y for _, y, *_ in base), max))
         for m in CONTEXT.finditer(text):
             k = next(g for g in (1, 2, 3) if m[g] is not None)
             a, b = m.span(k)
-            inside = any(x <= a and b <= y for x, y, _, _ in base)
-            if not inside and (cost := guess_cost(m[k])) >= LEAST_COST:
+            before = bisect_right(starts, a)  # of the base spans that begin by then, does one end no sooner?
+            if not (before and ends[before - 1] >= b) and (cost := guess_cost(m[k])) >= LEAST_COST:
                 out.append((a, b, "guess", cost))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -254,5 +267,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([len(b) if b != a else n for a, b, n in zip(texts, new, old, strict=True)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_plain_names(docs, ("text", "n_chars"), lambda plain: plain.mapInArrow(run, plain.schema))
 

@@ -11,7 +11,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,6 +68,12 @@ def unsettle(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def with_plain_names(docs: DataFrame, kept: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage over docs with all columns but the kept ones numbered, and the names put back: no name can clash, hold a dot or differ by case alone."""
+    plain = docs.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(docs.columns)])
+    return stage(plain).select(*plain.columns).toDF(*docs.columns)
+
+
 def small_side(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit, else df as it is (a shuffled join follows)."""
     return F.broadcast(df) if df.count() * bytes_per_row <= limit else df

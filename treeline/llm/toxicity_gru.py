@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import labelled_sample, settle, text_slices
+from treeline.llm.shared import labelled_sample, settle, text_slices, with_plain_names
 from treeline.llm.text import words
 
 WINDOW, STRIDE = 32, 16
@@ -442,4 +442,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(run(batch.column("text").to_pylist()) < 0.5, pa.bool_()))
         run([])  # lets go of the task's word table
 
-    return docs.mapInArrow(scan, docs.schema)
+    return with_plain_names(docs, ("text",), lambda plain: plain.mapInArrow(scan, plain.schema))
