@@ -16,12 +16,16 @@ def byte_slice(text: Column, start: Column, length: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, length), "UTF-8")
 
 
+def inside_character(text: Column, at: Column) -> Column:
+    """Whether a byte offset lies inside a character: the byte there goes on with one. False at and beyond the ends."""
+    byte = F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), at + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce((at >= 0) & byte.between(128, 191), F.lit(False))
+
+
 def checked_slice(text: Column, start: Column, length: Column) -> Column:
     """byte_slice that is an error if the range lies outside the text or begins or ends inside a character."""
-    raw = F.encode(text, "UTF-8")
-    inside = lambda at: F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int").between(128, 191)
     bad = (start < 0) | (length < 0) | (start + length > F.octet_length(text))
-    split = F.coalesce(inside(start), F.lit(False)) | F.coalesce(inside(start + length), F.lit(False))
+    split = inside_character(text, start) | inside_character(text, start + length)
     return F.when(bad, F.raise_error(F.lit("the range is outside the text")).cast("string")).when(split, F.raise_error(F.lit("the range splits a character")).cast("string")).otherwise(byte_slice(text, start, length))
 
 

@@ -27,7 +27,7 @@ def facts(text: str) -> Facts:
             path = m[2].strip("{}").removesuffix("/*")
             parts = path.split("/")
             start = m.start(2) + grouped
-            out.imports.append({"ord": len(out.imports), "start": start, "end": start + len(path), "syntax": "posix", "head": "named", "ups": 0, "segments": parts, "raw": path, "glob": glob, "declares": True, "reexport": False, "alias": None, "binding": None if glob else parts[-1], "stmt_start": m.start(), "stmt_end": m.end(), "grouped": grouped, "top_level": True, "is_prefix": False})
+            out.imports.append({"ord": len(out.imports), "start": start, "end": start + len(path), "syntax": "posix", "head": "named", "ups": 0, "segments": parts, "raw": path, "glob": glob, "declares": True, "reexport": False, "alias": None, "binding": None if glob else parts[-1], "stmt_start": m.start(), "stmt_end": m.end(), "grouped": grouped, "top_level": True, "is_prefix": False, "visibility": None})
     for m in _WORD.finditer(raw):
         if m.start() in skip:
             continue

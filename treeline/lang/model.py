@@ -16,7 +16,7 @@ KINDS = (
 
 SYMBOL = "kind string, name string, name_start int, name_end int, start int, end int, ext_start int, ext_end int, modifier string, depth int, ord int, container string"
 TOKEN = "ord int, name string, node_kind string, start int, end int, line int, col int"
-IMPORT = "ord int, start int, end int, syntax string, head string, ups int, segments array<string>, raw string, glob boolean, declares boolean, reexport boolean, alias string, binding string, stmt_start int, stmt_end int, grouped boolean, top_level boolean, is_prefix boolean"
+IMPORT = "ord int, start int, end int, syntax string, head string, ups int, segments array<string>, raw string, glob boolean, declares boolean, reexport boolean, alias string, binding string, stmt_start int, stmt_end int, grouped boolean, top_level boolean, is_prefix boolean, visibility string"
 CALL = "start int, end int, callee_start int, callee_end int, callee string, kind string, owner_start int, owner_end int"
 LEXICAL = "name string, kind string, name_start int, name_end int, scope_start int, scope_end int, visible_from int, namespace string"
 SPAN = "start int, end int"

@@ -62,6 +62,7 @@ class Parser:
         self.lines = Lines(raw)
         self.statements: list[tuple[int, int]] = []
         self.arms: dict[int, tuple[int, int, int]] = {}
+        self.visibility: str | None = None
 
     # Small helpers over lexemes
 
@@ -228,12 +229,14 @@ class Parser:
         if word == "use":
             stop = self.upto(i + 1, ";", end)
             self.statements.append((self.t[start].start, self.t[stop].end))
+            self.visibility = modifier or None
             self.use_tree(i + 1, stop, [], (self.t[start].start, self.t[stop].end), bool(modifier), top, False)
             return stop + 1
         if word == "extern" and self.text(i + 1) == "crate":
             stop = self.upto(i + 1, ";", end)
             self.statements.append((self.t[start].start, self.t[stop].end))
             alias = named(self.text(i + 4)) if self.text(i + 3) == "as" else None
+            self.visibility = modifier or None
             self.add_import(i + 2, i + 2, [named(self.text(i + 2))], (self.t[start].start, self.t[stop].end), bool(modifier), top, False, False, alias, True)
             return stop + 1
         if word == "macro_rules" and self.text(i + 1) == "!" and self.is_word(i + 2):
@@ -321,7 +324,7 @@ class Parser:
         span = (self.t[first].start, self.t[last].end)
         self.out.imports.append(
             {"ord": 0, "start": span[0], "end": span[1], "syntax": "scoped", "head": head, "ups": ups, "segments": rest, "raw": named("::".join(segments).replace("::::", "::")), "glob": glob, "declares": declares, "reexport": reexport, "alias": alias,
-             "binding": None if glob or is_prefix else alias or (segments[-1] if segments else None), "stmt_start": stmt[0] if stmt else None, "stmt_end": stmt[1] if stmt else None, "grouped": grouped, "top_level": top, "is_prefix": is_prefix}
+             "binding": None if glob or is_prefix else alias or (segments[-1] if segments else None), "stmt_start": stmt[0] if stmt else None, "stmt_end": stmt[1] if stmt else None, "grouped": grouped, "top_level": top, "is_prefix": is_prefix, "visibility": self.visibility if declares else None}
         )
 
     def paths(self, i: int, end: int) -> None:

@@ -368,7 +368,7 @@ class Parser:
             ups += parts[0] == ".."
             parts.pop(0)
         self.out.imports.append(
-            {"ord": 0, "start": x.start + 1, "end": x.end - 1, "syntax": "posix", "head": head, "ups": ups, "segments": parts, "raw": raw, "glob": glob, "declares": declares, "reexport": reexport, "alias": alias, "binding": binding, "stmt_start": span[0], "stmt_end": span[1], "grouped": False, "top_level": top, "is_prefix": False}
+            {"ord": 0, "start": x.start + 1, "end": x.end - 1, "syntax": "posix", "head": head, "ups": ups, "segments": parts, "raw": raw, "glob": glob, "declares": declares, "reexport": reexport, "alias": alias, "binding": binding, "stmt_start": span[0], "stmt_end": span[1], "grouped": False, "top_level": top, "is_prefix": False, "visibility": "export" if reexport else None}
         )
 
     def import_(self, i: int, end: int, top: bool) -> int:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
+from treeline.operators.graph import admits, reach
 from treeline.operators.search import except_known
 from treeline.session import settle
 
@@ -78,28 +79,41 @@ def provided(resolutions: DataFrame, answers: DataFrame, files: DataFrame, decls
     return out.select("path", "name", "start", outcome.alias("outcome"), F.when(take, "provided").otherwise(F.col("tier")).alias("tier"), found.alias("targets"), F.when(~take, F.col("why")).alias("why"))
 
 
-def normalised(asked: DataFrame, edge: DataFrame, decls: DataFrame) -> DataFrame:
-    """id, addr, trail, cycle for asked(id, addr, viewer): where an address leads when re-bindings on its way are followed.
+#: Steps that a walk over re-bindings may take; one that takes them all ends with the outcome `limit`.
+MOST_STEPS = 1024
 
-    The longest prefix that an import binds, and that the viewer may use (a re-export, or an import of
-    a module at or above the viewer), is replaced by what it names, until nothing changes. A declared
-    prefix is left as it is; an address that comes again ends the walk as a cycle.
+
+def normalised(asked: DataFrame, edge: DataFrame, decls: DataFrame, most: int = MOST_STEPS) -> DataFrame:
+    """id, addr, trail, cycle, outcome for asked(id, addr, viewer): where an address leads when re-bindings on its way are followed.
+
+    The longest prefix that an import binds, and whose visibility admits the viewer, is replaced by what it names, until nothing
+    changes (`settled`). A declared prefix is left as it is. A walk ends as a `cycle` when an address comes again, and as `growth`
+    when a binding comes again after what stood behind it was never touched: it would come for ever, longer each time.
+    One of the two comes to every walk without an end. `limit` says that a walk took `most` steps. The address is the last one.
     """
     bound = edge.filter("declares and addr is not null and from_addr is not null and binding is not null and not is_prefix")
-    binds = bound.select(F.concat_ws("::", "from_addr", "binding").alias("prefix"), "from_addr", "reexport", F.col("addr").alias("to")).filter("prefix <> to").distinct()
+    place = F.split("from_addr", "::")
+    seen_by = reach(F.col("visibility"), F.element_at(place, 1), F.slice(place, 2, F.size(place)), F.col("language"))
+    binds = bound.select(F.concat_ws("::", "from_addr", "binding").alias("prefix"), seen_by.alias("reach"), F.col("addr").alias("to")).filter("prefix <> to").distinct()
     binds = settle(except_known(binds, decls.select(F.col("addr").alias("prefix")).distinct(), ["prefix"]))
-    state = settle(asked.select("id", "addr", "viewer", F.array("addr").alias("trail"), F.lit(False).alias("cycle")))
+    # Of each step the prefix that was replaced, and the length of what stood behind it.
+    state = settle(asked.select("id", "addr", "viewer", F.array("addr").alias("trail"), F.expr("cast(array() as array<struct<prefix:string,rest:int>>)").alias("steps")))
     done = None
-    for _ in count():
+    for k in count(1):
         parts = F.split("addr", "::")
-        steps = state.withColumn("prefix", F.explode(F.transform(P.prefixes(parts), lambda p: F.array_join(p, "::")))).join(binds, "prefix")
-        below = (F.col("viewer") == F.col("from_addr")) | F.col("viewer").startswith(F.concat("from_addr", F.lit("::")))
-        best = steps.filter(F.col("reexport") | below).groupBy("id").agg(F.max_by(F.struct("prefix", "to"), F.struct(F.length("prefix"), "to")).alias("s"))
-        moved = state.join(best, "id", "left").withColumn("next", F.concat(F.col("s.to"), F.expr("substring(addr, length(s.prefix) + 1)")))
-        moved = settle(moved.withColumns({"stop": F.col("next").isNull() | F.array_contains("trail", F.col("next")), "again": F.coalesce(F.array_contains("trail", F.col("next")), F.lit(False))}))
-        ended = moved.filter("stop").select("id", "addr", "trail", F.col("again").alias("cycle"))
+        met = state.withColumn("prefix", F.explode(F.transform(P.prefixes(parts), lambda p: F.array_join(p, "::")))).join(binds, "prefix")
+        viewer = F.split("viewer", "::")
+        usable = met.filter(admits(F.col("reach"), F.element_at(viewer, 1), F.slice(viewer, 2, F.size(viewer))))
+        best = usable.groupBy("id").agg(F.max_by(F.struct("prefix", "to"), F.struct(F.length("prefix"), "to")).alias("s"))
+        moved = state.join(best, "id", "left").withColumn("rest", F.expr("length(addr) - length(s.prefix)")).withColumn("next", F.concat(F.col("s.to"), F.expr("substring(addr, length(s.prefix) + 1)")))
+        untouched = lambda x, i: (x["prefix"] == F.col("s.prefix")) & (x["rest"] <= F.col("rest")) & F.forall(F.slice("steps", i + 1, F.size("steps")), lambda y: y["rest"] >= x["rest"])
+        grows = F.exists(F.transform("steps", lambda x, i: F.coalesce(untouched(x, i), F.lit(False))), lambda x: x)
+        outcome = F.when(F.col("next").isNull(), "settled").when(F.array_contains("trail", F.col("next")), "cycle").when(grows, "growth").when(F.lit(k > most), "limit")
+        moved = settle(moved.withColumn("outcome", outcome))
+        ended = moved.filter("outcome is not null").select("id", "addr", "trail", (F.col("outcome") == "cycle").alias("cycle"), "outcome")
         done = ended if done is None else done.unionByName(ended)
-        state = settle(moved.filter("not stop").select("id", F.col("next").alias("addr"), "viewer", F.concat("trail", F.array("next")).alias("trail"), F.lit(False).alias("cycle")))
+        step = F.struct(F.col("s.prefix").alias("prefix"), F.col("rest").cast("int").alias("rest"))
+        state = settle(moved.filter("outcome is null").select("id", F.col("next").alias("addr"), "viewer", F.concat("trail", F.array("next")).alias("trail"), F.concat("steps", F.array(step)).alias("steps")))
         if state.isEmpty():
             return done
 

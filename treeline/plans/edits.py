@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 from treeline.functions import text as T
+from treeline.operators import graph
+from treeline.session import settle
 
 _NAME = re.compile(r"(\$\$\$|\$)([A-Z_][A-Z0-9_]*)")
 
@@ -198,15 +201,63 @@ def move_module(edge: DataFrame, mods: DataFrame, source: str, target: str) -> t
 
 def _addresses(mods: DataFrame, source: str, target: str) -> tuple[list[str], list[str], str]:
     """The module paths of a file before and after a move, and its package."""
-    at = mods.filter(F.col("path") == source).select("package", "mpath").first()
+    at = mods.filter((F.col("path") == source) & (F.col("language") == "rust")).select("package", "mpath").first()
     if at is None:
         raise LookupError(f"not a module: {source}")
     inside = re.sub(r"^.*?/?src/|\.rs$", "", target).split("/")
     return list(at["mpath"]), inside[:-1] if inside[-1] == "mod" else inside, at["package"]
 
 
+def specifier(raw: str, file: str, target: str) -> str:
+    """How a script file names another one, relative, in the style of `raw`: an extension stays as it was written, a folder stays for its index."""
+    ending, own = (next((e for e in ("d.ts", *P.PROBES) if name.endswith(f".{e}")), None) for name in (raw, target))
+    stem = target.removesuffix(f".{own}") if own else target
+    if own and ending:
+        stem += f".{ending}"
+    elif own and posixpath.basename(stem) == "index" and posixpath.basename(raw) != "index":
+        stem = posixpath.dirname(stem)
+    found = posixpath.relpath(f"/{stem}", f"/{posixpath.dirname(file)}")
+    return found if found.startswith(".") and (found in (".", "..") or found.startswith(("../", "./"))) else f"./{found}"
+
+
+def _respecified(raw: Column, file: Column, target: Column) -> Column:
+    """specifier() for the few imports that a move touches."""
+    def run(raws: pd.Series, files: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or f is None else specifier(r, f, t) for r, f, t in zip(raws, files, targets, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(raw, file, target)
+
+
+def move_scripts(ws, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001 - a Workspace
+    """(edits, moves, notices) for moving script files as a set, moves(source, target): every relative specifier of a moved file or to one is written anew, in its style.
+
+    Specifiers that name no file of the workspace keep the place they point at; paths by alias or package are left, with a
+    notice if a moved file is named so. A taken target or a change of language is an error.
+    """
+    files = ws.files.select("path", "language", "text")
+    if not move_conflicts(moves, files.select("path", "text")).isEmpty():
+        raise ValueError("the target is taken")
+    moved = moves.withColumns({"from_ext": P.known_extension(F.col("source")), "to_ext": P.known_extension(F.col("target"))})
+    if not moved.filter("to_ext is null or from_ext <> to_ext").isEmpty():
+        raise ValueError("a script module stays a script of its kind")
+    edge = ws.edges.filter("language in ('typescript', 'tsx')")
+    own = moves.select(F.col("source").alias("path"), F.col("target").alias("now_at"))
+    there = moves.select(F.col("source").alias("addr"), F.col("target").alias("now_named"))
+    hit = edge.join(own, "path", "left").join(there, "addr", "left").filter("now_at is not null or now_named is not null")
+    relative = hit.filter("head in ('here', 'up')")
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
+    loose = P.normalise(F.concat_ws("/", folder, F.col("raw")))  # what is no file of the workspace
+    named = F.coalesce("now_named", "addr")
+    relative = settle(relative.withColumn("now", _respecified(F.col("raw"), F.coalesce("now_at", "path"), F.coalesce(named, loose))))
+    edits = relative.withColumnRenamed("now", "replacement").filter("replacement <> raw").groupBy("path", "start", "end", "replacement").agg(F.min("ord").alias("seq"))
+    left = relative.filter("now is null").unionByName(hit.filter("head not in ('here', 'up') and now_named is not null").withColumn("now", F.lit(None).cast("string")))
+    return edits.select("path", "start", "end", "replacement", "seq"), moves, left.select("path", "start", F.lit("unrewritable import").alias("kind"), "raw").distinct()
+
+
 def move_file(ws, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001 - a Workspace
-    """(edits, moves, notices) for moving a Rust module with its folder so that the tree still builds.
+    """(edits, moves, notices) for moving a module so that the tree still builds: a script file, or a Rust module with its folder.
+
+    A Rust module moves inside its package; another package, a target that is no module or another language is an error.
 
     Every import and path below the old address is respelled, an entry of a group is taken out of it and
     stands as a statement of its own after it; what the moved files reach by `super` outside them is
@@ -215,7 +266,15 @@ def move_file(ws, source: str, target: str) -> tuple[DataFrame, DataFrame, DataF
     """
     mods, files, edge = ws.modules, ws.files.select("path", "text"), ws.edges
     spark = files.sparkSession
+    language = ws.files.filter(F.col("path") == source).select("language").first()
+    if language and language["language"] in ("typescript", "tsx"):
+        return move_scripts(ws, spark.createDataFrame([(source, target)], "source string, target string"))
     old, new, package = _addresses(mods, source, target)
+    at = graph.modules(spark.createDataFrame([(target, "rust")], "path string, language string"), ws.packages).select("package").first() if target.endswith(".rs") else None
+    if at is None:
+        raise ValueError("the target is no module of a package")
+    if at["package"] != package:
+        raise ValueError("a module moves inside its package")
     if not old or not new:
         raise ValueError("the root of a package cannot be moved")
     folder = lambda p: re.sub(r"/mod\.rs$|\.rs$", "", p) + "/"

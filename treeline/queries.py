@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 from treeline.functions import text as T
+from treeline.lang.model import FACTS
 from treeline.operators import context, graph, search
 from treeline.plans import edits
 from treeline.sources import requests, workspace
@@ -255,6 +256,21 @@ def b27_validate(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").groupBy(T.span_violation(start, end, F.lit(40)).alias("problem")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
+s AS (SELECT path, text, strlen(text) AS n, 0 AS a, CAST(strlen(text) // 2 AS INTEGER) AS b FROM t UNION ALL SELECT path, text, strlen(text), CAST(strlen(text) // 3 AS INTEGER), CAST(strlen(text) AS INTEGER) FROM t UNION ALL SELECT path, text, strlen(text), 7, CAST(strlen(text) + 1 AS INTEGER) FROM t),
+h AS (SELECT *, hex(encode(text)) AS x FROM s)
+SELECT path, a AS start, b AS "end", problem FROM (SELECT *, CASE WHEN a > b THEN 'unordered' WHEN b > n THEN 'out of bounds' WHEN substr(x, 2 * a + 1, 1) IN ('8', '9', 'A', 'B') OR substr(x, 2 * b + 1, 1) IN ('8', '9', 'A', 'B') THEN 'inside a character' END AS problem FROM h) WHERE problem IS NOT NULL""")
+def b27_invalid_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Spans by which no document can be cut: the middle, a third, and one byte too many."""
+    files = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    n = F.octet_length("text")
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    none = {name: F.expr("cast(array() as array<struct<start:int,end:int>>)").alias(name) for name, ddl in FACTS.items() if "start int, end int" in ddl}
+    spans = F.array(span(F.lit(0), F.floor(n / 2)), span(F.floor(n / 3), n), span(F.lit(7), n + 1)).alias("calls")
+    parsed = files.select("path", F.lit("text").alias("language"), *[c for name, c in none.items() if name != "calls"], spans)
+    return workspace.invalid_facts(files, parsed).select("path", "start", "end", "problem")
+
+
 @query(f"WITH {_BOTH}, {_HITS} SELECT path, start FROM judged WHERE role = 'declaration'")
 def b28_category(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).filter("role = 'declaration'").select("path", "start")
@@ -1066,6 +1082,31 @@ def f5_normalise(spark: SparkSession, d: str) -> DataFrame:
     return navigation.normalised(asked, w.edges, w.declared).select("id", "addr", F.size("trail").alias("steps"), "cycle")
 
 
+@query("""WITH RECURSIVE b AS (
+  SELECT s_suppkey AS k, CASE WHEN s_suppkey % 6 < 5 THEN s_suppkey + 1 WHEN s_suppkey // 6 % 4 = 0 THEN s_suppkey - 5 END AS nxt, s_suppkey % 6 = 5 AND s_suppkey // 6 % 4 = 1 AS grows FROM supplier
+), walk(id, k, addr, trail, outcome) AS (
+  SELECT s_suppkey, s_suppkey, 'm::c' || s_suppkey || '::x', ['m::c' || s_suppkey || '::x'], CAST(NULL AS VARCHAR) FROM supplier
+  UNION ALL
+  SELECT id, coalesce(nxt, w.k),
+    CASE WHEN b.k IS NULL OR nxt IS NULL AND NOT grows OR list_contains(trail, 'm::c' || nxt || '::x') OR grows AND addr LIKE '%::x::x' THEN addr WHEN grows THEN addr || '::x' ELSE 'm::c' || nxt || '::x' END,
+    CASE WHEN b.k IS NULL OR nxt IS NULL AND NOT grows OR list_contains(trail, 'm::c' || nxt || '::x') OR grows AND addr LIKE '%::x::x' THEN trail WHEN grows THEN list_append(trail, addr || '::x') ELSE list_append(trail, 'm::c' || nxt || '::x') END,
+    CASE WHEN b.k IS NULL OR nxt IS NULL AND NOT grows THEN 'settled' WHEN list_contains(trail, 'm::c' || nxt || '::x') THEN 'cycle' WHEN grows AND addr LIKE '%::x::x' THEN 'growth' END
+  FROM walk AS w LEFT JOIN b ON b.k = w.k WHERE outcome IS NULL
+) SELECT CAST(id AS VARCHAR) AS id, addr, CAST(len(trail) AS INTEGER) AS steps, outcome FROM walk WHERE outcome IS NOT NULL""")
+def f5_endless(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of re-bindings that settle, come round, or grow for ever; a module for each supplier."""
+    from treeline.operators import navigation
+
+    k = F.col("s_suppkey")
+    place = lambda n: F.concat(F.lit("m::c"), n.cast("string"), F.lit("::x"))
+    last, block = k % 6 == 5, F.floor(k / 6) % 4
+    to = F.when(~last, place(k + 1)).when(block == 0, place(k - 5)).when(block == 1, F.concat(place(k), F.lit("::x")))
+    s = _t(spark, d, "supplier").select(k.cast("string").alias("id"), place(k).alias("addr"), to.alias("to"), F.concat(F.lit("m::c"), k.cast("string")).alias("from_addr"))
+    edge = s.select("from_addr", F.lit("x").alias("binding"), F.col("to").alias("addr"), F.lit(True).alias("declares"), F.lit(False).alias("is_prefix"), F.lit("pub").alias("visibility"), F.lit("rust").alias("language"))
+    none = s.select("addr").limit(0)
+    return navigation.normalised(s.select("id", "addr", F.lit("m").alias("viewer")), edge, none).select("id", "addr", F.size("trail").alias("steps"), "outcome")
+
+
 @query()
 def w_resolutions(spark: SparkSession, d: str) -> DataFrame:
     """Every token of the tree with its outcome."""

@@ -224,6 +224,5 @@ def invalid_facts(files: DataFrame, parsed: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    inner = F.length(F.decode(F.substring(F.encode("text", "UTF-8"), 1, F.col("start")), "UTF-8"))
-    problem = F.coalesce(T.span_violation(F.col("start"), F.col("end"), F.col("n_bytes")), F.when(inner < 0, "inside a character"))
+    problem = F.coalesce(T.span_violation(F.col("start"), F.col("end"), F.col("n_bytes")), F.when(T.inside_character(F.col("text"), F.col("start")) | T.inside_character(F.col("text"), F.col("end")), "inside a character"))
     return out.join(sizes, "path").withColumn("problem", problem).filter("problem is not null").select("path", "family", "start", "end", "problem")
