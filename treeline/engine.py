@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import context, graph, navigation, patterns, search
+from treeline.operators import context, graph, navigation, patterns, search, structure
 from treeline.plans import edits
 from treeline.session import settle
 from treeline.sources import requests, workspace
@@ -205,6 +205,15 @@ class Workspace:
         one = self.files.sparkSession.createDataFrame([(0, addr, viewer)], "id long, addr string, viewer string")
         return navigation.normalised(one, self.edges, self.declared)
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        """The nodes of all files."""
+        return settle(structure.tree_nodes(self.files))
+
+    def structural(self, pattern: str, kind: str | None = None, language: str = "rust") -> DataFrame:
+        """Nodes that match a pattern, of one kind if one is given."""
+        return structure.structural(self.files, self.tree, pattern, language, kind)
+
     @cached_property
     def patterns(self) -> DataFrame:
         """Every name in a pattern with what it means."""

@@ -1186,3 +1186,29 @@ def w_patterns(spark: SparkSession, d: str) -> DataFrame:
     """What every name in every pattern means."""
     w = _workspace(spark, d, _pattern_tree)
     return w.patterns.select("path", "name", "outcome", F.coalesce(F.array_join("targets", ","), "why", F.lit("")).alias("meant"))
+
+
+# The syntax tree as a table.
+
+
+@query(f"""WITH {_CUST} SELECT 'r' || rk || '/src/c' || ck || '.rs' AS path, 'cust' || ck AS name, 'a' AS bound, CASE WHEN first IS NULL THEN '' WHEN ck % 3 = 2 THEN 's' || first || '();' ELSE 'crate::n' || nk || '::s' || first || '();' END AS before FROM cust""")
+def w_tree_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that end by binding b: a pattern with a run before its last statement."""
+    found = _workspace(spark, d).structural("fn $NAME(a: u8) { $$$BEFORE let b = $X; }", kind="function_item")
+    return found.select("path", F.col("captures")["NAME"].alias("name"), F.col("captures")["X"].alias("bound"), F.col("captures")["BEFORE"].alias("before"))
+
+
+@query(f"""WITH {_CUST}, kinds AS (
+  SELECT 'function_item' AS kind, 'source_file' AS above, count(*) AS n FROM (SELECT ck FROM cust UNION ALL SELECT s_suppkey FROM supplier) UNION ALL SELECT 'parameter', 'parameters', count(*) FROM cust
+  UNION ALL SELECT 'let_declaration', 'block', count(*) FROM cust UNION ALL SELECT 'call_expression', 'expression_statement', count(*) FROM cust WHERE first IS NOT NULL
+  UNION ALL SELECT 'scoped_identifier', 'call_expression', count(*) FROM cust WHERE first IS NOT NULL AND ck % 3 <> 2 UNION ALL SELECT 'struct_item', 'source_file', count(*) FROM nation
+  UNION ALL SELECT 'mod_item', 'source_file', count(*) FROM nation UNION ALL SELECT 'use_declaration', 'source_file', (SELECT count(*) FROM cust) + count(*) FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT 'expression_statement', 'block', count(*) FROM cust WHERE first IS NOT NULL
+) SELECT * FROM kinds WHERE n > 0""")
+def w_tree_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How often a kind of node stands directly in another one."""
+    t = _workspace(spark, d).tree
+    up = t.select("path", F.col("pre").alias("parent"), F.col("kind").alias("above"))
+    wanted = ("function_item", "parameter", "let_declaration", "call_expression", "struct_item", "mod_item", "use_declaration", "expression_statement")
+    inner = t.filter(F.col("kind").isin(*wanted) | (F.col("kind") == "scoped_identifier")).join(up, ["path", "parent"])
+    return inner.filter("kind <> 'scoped_identifier' or above = 'call_expression'").groupBy("kind", "above").agg(F.count("*").alias("n"))
