@@ -16,6 +16,7 @@ from treeline.functions import text as T
 from treeline.lang.model import FACTS
 from treeline.operators import context, graph, search
 from treeline.plans import edits
+from treeline.session import settle
 from treeline.sources import requests, workspace
 from treeline.streaming import refresh
 
@@ -808,7 +809,9 @@ def _workspace(spark: SparkSession, d: str, tree: Callable[[SparkSession, str],
 
     key = (spark.sparkContext.applicationId, d, tree.__name__)
     if key not in _TREES:
-        _TREES[key] = Workspace(workspace.claim(tree(spark, d)))
+        # Written once, in parts enough for all cores: a parser's work is in the files, not in their bytes.
+        parts = 4 * spark.sparkContext.defaultParallelism
+        _TREES[key] = Workspace(settle(workspace.claim(tree(spark, d)).repartition(parts, "path")))
     return _TREES[key]
 
 
