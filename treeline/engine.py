@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import context, graph, navigation, patterns, search, structure
+from treeline.operators import context, graph, namespaces, navigation, patterns, search, structure
 from treeline.plans import edits
 from treeline.session import settle
 from treeline.sources import requests, workspace
@@ -181,7 +181,7 @@ class Workspace:
     @cached_property
     def resolutions(self) -> DataFrame:
         """Every token with what it means."""
-        return settle(navigation.resolved(self.family("tokens"), self.bindings(), self.occurrences, self._sites(self.declared), self.family("uncertain"), self.patterns))
+        return settle(navigation.resolved(self.family("tokens"), self.bindings(), self.occurrences, self._sites(self.declared), self.family("uncertain"), self.patterns, self.members))
 
     def _sites(self, of: DataFrame) -> DataFrame:
         wanted = of.select(F.col("addr").alias("target")).distinct()
@@ -221,6 +221,16 @@ class Workspace:
         targets = patterns.pattern_targets(self.family("symbols"), constructors, self.modules)
         return settle(patterns.outcomes(self.family("patterns"), self.family("lexical"), constructors, self.edges, self.aliases, targets, self.modules))
 
+    @cached_property
+    def exports(self) -> DataFrame:
+        """What script modules offer, by name."""
+        return namespaces.exports(self.declared, self.family("named_imports"), self.edges)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Members of script namespaces with what they mean."""
+        return settle(namespaces.member_targets(self.family("members"), self.family("named_imports"), self.edges, self.exports, self.bindings().select("path", "start").distinct()))
+
     def bindings(self) -> DataFrame:
         lexical = patterns.without_references(self.family("lexical"), self.patterns)
         return graph.visible_bindings(self.family("tokens"), lexical, self.family("uncertain"))

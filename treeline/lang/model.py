@@ -25,6 +25,7 @@ FACTS = {
     "symbols": SYMBOL, "tokens": TOKEN, "imports": IMPORT, "calls": CALL, "lexical": LEXICAL,
     "highlights": SPAN + ", kind string", "signatures": SPAN + ", name_start int", "modules": SPAN + ", name string, modifier string", "uncertain": SPAN + ", name string",
     "patterns": PATTERN, "constructors": "name_start int, name string, owner string, shape string",
+    "members": "object string, object_start int, name string, start int, end int, nested boolean",
     "named_imports": "local string, imported string, module string, name_start int, name_end int, reexport boolean, type_only boolean",
 }
 
@@ -44,6 +45,7 @@ class Facts:
     uncertain: list[dict] = field(default_factory=list)
     patterns: list[dict] = field(default_factory=list)
     constructors: list[dict] = field(default_factory=list)
+    members: list[dict] = field(default_factory=list)
     named_imports: list[dict] = field(default_factory=list)
 
 

@@ -87,6 +87,7 @@ class Parser:
     def parse(self) -> Facts:
         self.block(0, len(self.t), "", 0, True, (0, len(self.raw)), None)
         self.dynamic_imports()
+        self.member_names()
         kept = [x for x in self.t if x.kind == "word" and x.text not in KEYWORDS]
         for k, x in enumerate(kept):
             line, col = self.lines.at(x.start)
@@ -405,10 +406,20 @@ class Parser:
         last = self.statement_end(i, end)
         at = next((k for k in range(i + 1, last + 1) if self.t[k].kind == "string"), None)
         if at is not None:
-            self.add(at, (self.t[i].start, self.t[last].end), True, top, self.text(i + 1) == "*", None, None)
+            under = named(self.text(i + 3)) if self.text(i + 1) == "*" and self.text(i + 2) == "as" else None  # the module under a name, not what it offers
+            self.add(at, (self.t[i].start, self.t[last].end), True, top, self.text(i + 1) == "*" and under is None, under, under)
             self.names(i + 1, at, at, True)
         return last + 1
 
+    def member_names(self) -> None:
+        """Members of plain names and of other members: `a.b` and the `c` of `a.b.c`."""
+        for k in range(len(self.t) - 2):
+            if self.is_word(k) and self.text(k + 1) in (".", "?.") and self.is_word(k + 2):
+                nested = self.text(k - 1) in (".", "?.") if k else False
+                a, b = self.t[k], self.t[k + 2]
+                if not nested or self.is_word(k - 2):
+                    self.out.members.append({"object": named(a.text), "object_start": a.start, "name": named(b.text), "start": b.start, "end": b.end, "nested": nested})
+
     def dynamic_imports(self) -> None:
         for k in range(len(self.t) - 3):
             if self.text(k) in ("import", "require") and self.text(k + 1) == "(" and self.t[k + 2].kind == "string" and self.text(k + 3) == ")":

@@ -19,8 +19,8 @@ from treeline.session import settle
 # Tiers in order, and why a token has no target.
 TIERS = ("local", "direct", "opened")
 UNAVAILABLE = ("macro", "unresolved", "external", "other-declaration", "unknown-name")
-#: Tier of a name in a pattern that is a constant or a constructor.
-PATTERN = "pattern"
+#: Tiers of a name in a pattern that is a constant or a constructor, and of a member of a namespace.
+PATTERN, MEMBER = "pattern", "member"
 
 
 def candidates(lexical: DataFrame, occurrences: DataFrame, sites: DataFrame) -> DataFrame:
@@ -31,10 +31,10 @@ def candidates(lexical: DataFrame, occurrences: DataFrame, sites: DataFrame) ->
     return local.unionByName(occurrences.filter("confidence = 'resolved'").select("path", "start", tier.alias("tier"), "target")).unionByName(renamed)
 
 
-def resolved(tokens: DataFrame, lexical: DataFrame, occurrences: DataFrame, sites: DataFrame, uncertain: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
+def resolved(tokens: DataFrame, lexical: DataFrame, occurrences: DataFrame, sites: DataFrame, uncertain: DataFrame | None = None, patterns: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """path, name, start, outcome, tier, targets, why of every token: resolved, ambiguous, or unavailable and why.
 
-    A name in a pattern is what its pattern makes it; those that bind are local.
+    A name in a pattern is what its pattern makes it; those that bind are local. A member of a namespace is what the module exports.
     """
     found = candidates(lexical, occurrences, sites)
     first = found.groupBy("path", "start").agg(F.min("tier").alias("tier"))
@@ -54,12 +54,14 @@ def resolved(tokens: DataFrame, lexical: DataFrame, occurrences: DataFrame, site
         why = F.when(F.col(reason), reason).otherwise(why)
     tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1)
     out = out.select("path", "name", "start", "end", F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unavailable").alias("outcome"), F.when(n > 0, tier).alias("tier"), "targets", F.when(n < 1, why).alias("why"))
-    if patterns is not None:
-        # A path ends with its name, so the ends tell the token.
-        said = patterns.filter("outcome <> 'binding'").select("path", "end", "name", F.col("outcome").alias("p_outcome"), F.col("targets").alias("p_targets"), F.col("why").alias("p_why"))
-        took = F.col("p_outcome").isNotNull()
-        pick = lambda p, own: F.when(took, F.col(p)).otherwise(F.col(own)).alias(own)
-        out = out.join(said, ["path", "end", "name"], "left").select("path", "name", "start", pick("p_outcome", "outcome"), F.when(took, F.when(F.col("p_targets").isNotNull(), PATTERN)).otherwise(F.col("tier")).alias("tier"), pick("p_targets", "targets"), pick("p_why", "why"))
+    # A path in a pattern ends with its name, so the ends tell the token.
+    for said, tier_of in ((patterns, PATTERN), (members, MEMBER)):
+        if said is not None:
+            said = said.filter("outcome <> 'binding'").select("path", "end", "name", F.col("outcome").alias("p_outcome"), F.col("targets").alias("p_targets"), F.col("why").alias("p_why"))
+            took = F.col("p_outcome").isNotNull()
+            pick = lambda p, own, took=took: F.when(took, F.col(p)).otherwise(F.col(own)).alias(own)
+            tier = F.when(took, F.when(F.col("p_targets").isNotNull(), tier_of)).otherwise(F.col("tier")).alias("tier")
+            out = out.join(said, ["path", "end", "name"], "left").select("path", "name", "start", "end", pick("p_outcome", "outcome"), tier, pick("p_targets", "targets"), pick("p_why", "why"))
     return out.select("path", "name", "start", "outcome", "tier", "targets", "why")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -339,7 +340,9 @@ def fuzzy_score(path: str, terms: list[str]) -> int | None:
 
 
 def fuzzy_rank(paths: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """The best paths for a query of one or more terms."""
+    """The best paths for a query of one or more terms. Paths that do not hold every term's characters in order are left out before any is scored."""
     terms = query.split()
+    for term in terms:
+        paths = paths.filter(F.lower("path").rlike("(?s)" + ".*".join(re.escape(c) for c in term.lower())))
     scored = F.pandas_udf(lambda p: pd.Series([fuzzy_score(x, terms) for x in p], dtype="Int64"), "long")
     return paths.withColumn("score", scored("path")).filter("score is not null").orderBy(F.desc("score"), "path").limit(limit)

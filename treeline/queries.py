@@ -1215,3 +1215,32 @@ def w_tree_kinds(spark: SparkSession, d: str) -> DataFrame:
     wanted = ("function_item", "parameter", "let_declaration", "call_expression", "struct_item", "mod_item", "use_declaration", "expression_statement")
     inner = t.filter(F.col("kind").isin(*wanted) | (F.col("kind") == "scoped_identifier")).join(up, ["path", "parent"])
     return inner.filter("kind <> 'scoped_identifier' or above = 'call_expression'").groupBy("kind", "above").agg(F.count("*").alias("n"))
+
+
+# Namespaces of script modules: a module for each nation, one for each region that opens and names its nations, one for each customer that uses them.
+
+
+def _script_tree(spark: SparkSession, d: str) -> DataFrame:
+    """path and text: members of opened and of named modules, of chains, of modules outside, and of names that a parameter hides."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, r, ck = F.col("n_nationkey"), F.col("n_regionkey"), F.col("c_custkey")
+    n = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    nations = n.select(text("s/n", k, ".ts").alias("path"), text("export const v", k, " = 1;\nexport interface I", k, " { x: number }\nexport default function d", k, "() {}\nexport const same = 1;\nconst own", k, " = 2;\n").alias("text"))
+    line = text('export * from "./n', k, '";\nexport * as ns', k, ' from "./n', k, '";\nexport { v', k, " as w", k, ' } from "./n', k, '";\n')
+    regions = n.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("text")).select(text("s/r", r, ".ts").alias("path"), "text")
+    used = text('import * as R from "./r', r, '";\nimport { ns', k, ' as N } from "./r', r, '";\nimport * as X from "ext";\nexport const a', ck, " = R.v", k, " + N.v", k, " + R.ns", k, ".v", k, " + R.gone + X.q + R.w", k, " + R.same + R.default + N.default + R.own", k,
+                ";\nlet t: R.I", k, ";\nfunction g(N) { return N.v", k, "; }\n")
+    customers = _t(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == k).select(text("s/c", ck, ".ts").alias("path"), used.alias("text"))
+    return nations.unionByName(regions).unionByName(customers)
+
+
+@query("""WITH c AS (SELECT c_custkey AS ck, n_nationkey AS k, n_regionkey AS r, (SELECT count(*) FROM nation AS o WHERE o.n_regionkey = n.n_regionkey) AS many,
+  (SELECT string_agg('s/n' || n_nationkey || '.ts::same', ',' ORDER BY 's/n' || n_nationkey || '.ts::same') FROM nation AS o WHERE o.n_regionkey = n.n_regionkey) AS all_same FROM customer JOIN nation AS n ON n_nationkey = c_nationkey),
+m AS (SELECT ck, 'v' || k AS name, 's/n' || k || '.ts::v' || k AS meant FROM c UNION ALL SELECT ck, 'v' || k, 's/n' || k || '.ts::v' || k FROM c UNION ALL SELECT ck, 'ns' || k, 's/n' || k || '.ts' FROM c UNION ALL SELECT ck, 'v' || k, 's/n' || k || '.ts::v' || k FROM c
+  UNION ALL SELECT ck, 'w' || k, 's/n' || k || '.ts::v' || k FROM c UNION ALL SELECT ck, 'I' || k, 's/n' || k || '.ts::I' || k FROM c UNION ALL SELECT ck, 'default', 's/n' || k || '.ts::d' || k FROM c)
+SELECT 's/c' || ck || '.ts' AS path, name, 'resolved' AS outcome, meant FROM m UNION ALL SELECT 's/c' || ck || '.ts', 'same', CASE WHEN many > 1 THEN 'ambiguous' ELSE 'resolved' END, all_same FROM c
+UNION ALL SELECT 's/c' || ck || '.ts', 'gone', 'unavailable', 'unknown-name' FROM c UNION ALL SELECT 's/c' || ck || '.ts', 'q', 'unavailable', 'external' FROM c
+UNION ALL SELECT 's/c' || ck || '.ts', 'default', 'unavailable', 'unknown-name' FROM c UNION ALL SELECT 's/c' || ck || '.ts', 'own' || k, 'unavailable', 'unknown-name' FROM c""")
+def w_members(spark: SparkSession, d: str) -> DataFrame:
+    """What every member of a namespace means."""
+    return _workspace(spark, d, _script_tree).members.select("path", "name", "outcome", F.coalesce(F.array_join("targets", ","), "why").alias("meant"))
