@@ -96,4 +96,14 @@ def test_sites_of_patterns():
 
 def test_items_of_blocks_are_seen_in_their_blocks():
     f = rust.facts("fn f() { g(); { const K: u8 = 1; struct S; } fn g() {} }\n")
-    assert [(x["name"], x["kind"], x["namespace"], x["scope_start"]) for x in f.lexical] == [("K", "const", "value", 14), ("S", "struct", "value", 14), ("S", "struct", "type", 14), ("g", "function", "value", 7)]
+    assert [(x["name"], x["kind"], x["namespace"], x["scope_start"]) for x in sorted(f.lexical, key=lambda x: (x["name_start"], x["namespace"] == "type"))] == [("K", "const", "value", 14), ("S", "struct", "value", 14), ("S", "struct", "type", 14), ("g", "function", "value", 7)]
+
+
+def test_sources_of_any_depth():
+    n = 20_000
+    for text in ("fn f() {" + "{" * n + "}" * n + "}", "".join(f"mod m{i % 7} {{" for i in range(n)) + "}" * n, "fn f() { " + "if a { match b { x => { " * (n // 10) + "} } } " * (n // 10) + "}"):
+        found = rust.facts(text)
+        assert found.tokens and found.symbols
+    assert len(rust.facts("use a::{b::" * 2000 + "c" + "}" * 2000 + ";").imports) > 2000
+    for text in ("function f() {" + "{" * n + "}" * n + "}", "class A { m() { " * 2000 + "} }" * 2000, "if (a) { " * n + "}" * n, "f(() => {" * 3000 + "})" * 3000):
+        assert typescript.facts(text).tokens

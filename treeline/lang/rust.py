@@ -61,9 +61,14 @@ class Parser:
         self.pair = brackets(self.t)
         self.lines = Lines(raw)
         self.statements: list[tuple[int, int]] = []
+        self.work: list[tuple] = []
+        self.count = 0  # of patterns
         self.arms: dict[int, tuple[int, int, int]] = {}
         self.visibility: str | None = None
 
+    def later(self, step, *args) -> None:  # noqa: ANN001, ANN002
+        self.work.append((step, args))
+
     # Small helpers over lexemes
 
     def text(self, i: int) -> str:
@@ -103,6 +108,9 @@ class Parser:
 
     def parse(self) -> Facts:
         self.items(0, len(self.t), "", 0, True)
+        while self.work:  # what lies inside is read after what is around it, so no depth of nesting is a depth of calls
+            step, args = self.work.pop()
+            step(*args)
         self.paths(0, len(self.t))
         self.tokens()
         self.colours()
@@ -112,6 +120,7 @@ class Parser:
         self.out.imports.sort(key=lambda x: (x["start"], x["end"]))
         for k, x in enumerate(self.out.imports):
             x["ord"] = k
+        self.out.patterns.sort(key=lambda x: x["start"])
         self.out.calls.sort(key=lambda c: (c["callee_start"], c["start"]))
         return self.out
 
@@ -189,9 +198,9 @@ class Parser:
                 self.out.constructors.append({"name_start": self.t[i + 1].start, "name": name, "owner": None, "shape": "record" if self.text(stop) == "{" else "tuple" if self.text(after) == "(" else "unit"})
             if self.text(stop) == "{":
                 if word == "trait":
-                    self.items(stop + 1, last, name, depth + 1, False)
+                    self.later(self.items, stop + 1, last, name, depth + 1, False)
                 else:
-                    self.members("variant" if word == "enum" else "field", stop + 1, last, depth + 1, name)
+                    self.later(self.members, "variant" if word == "enum" else "field", stop + 1, last, depth + 1, name)
             return last + 1
         if word == "impl":
             stop = self.upto(i + 1, "{;", end)
@@ -209,7 +218,7 @@ class Parser:
             if self.text(i + 1) == "<":
                 self.generics(i + 1, last)
             if self.text(stop) == "{":
-                self.items(stop + 1, last, named(self.text(name)) if name is not None else "?", depth + 1, False)
+                self.later(self.items, stop + 1, last, named(self.text(name)) if name is not None else "?", depth + 1, False)
             return last + 1
         if word == "mod" and self.is_word(i + 1):
             stop = i + 2
@@ -217,7 +226,7 @@ class Parser:
             self.symbol("module", i + 1, start, last, first, modifier, depth, container)
             if self.text(stop) == "{":
                 self.out.modules.append({"start": self.t[stop].start, "end": self.t[last].end, "name": named(self.text(i + 1)), "modifier": modifier or None})
-                self.items(stop + 1, last, "", depth + 1, False)
+                self.later(self.items, stop + 1, last, "", depth + 1, False)
             return last + 1
         if word in ("const", "static", "type"):
             at = i + 1 + (self.text(i + 1) == "mut")
@@ -272,7 +281,7 @@ class Parser:
                 if kind == "variant":
                     self.out.constructors.append({"name_start": self.t[i].start, "name": named(self.text(i)), "owner": container, "shape": {"(": "tuple", "{": "record"}.get(self.text(i + 1), "unit")})
                 if kind == "variant" and self.text(i + 1) == "{":
-                    self.members("field", i + 2, self.pair[i + 1], depth + 1, named(self.text(i)))
+                    self.later(self.members, "field", i + 2, self.pair[i + 1], depth + 1, named(self.text(i)))
             i = stop + 1
 
     def use_tree(self, i: int, end: int, prefix: list[str], stmt: tuple[int, int], reexport: bool, top: bool, grouped: bool) -> None:
@@ -291,7 +300,7 @@ class Parser:
                     stop = self.upto(at, ",", close)
                     stop = min(stop, close)
                     if stop > at:
-                        self.use_tree(at, stop, segments, stmt, reexport, top, True)
+                        self.later(self.use_group, self.visibility, at, stop, list(segments), stmt, reexport, top)
                     at = stop + 1
                 return
             if x == "*":
@@ -308,6 +317,10 @@ class Parser:
                 segments.pop()
             self.add_import(first, end - 1, segments, stmt, reexport, top, False, grouped, None, True)
 
+    def use_group(self, visibility: str | None, i: int, end: int, prefix: list[str], stmt: tuple[int, int], reexport: bool, top: bool) -> None:
+        self.visibility = visibility
+        self.use_tree(i, end, prefix, stmt, reexport, top, True)
+
     def add_import(self, first: int, last: int, segments: list[str], stmt, reexport: bool, top: bool, glob: bool, grouped: bool, alias, declares: bool, is_prefix: bool = False) -> None:  # noqa: ANN001
         head, ups, rest = "named", 0, list(segments)
         if rest and rest[0] == "::":
@@ -363,7 +376,7 @@ class Parser:
 
     def bind(self, i: int, end: int, scope: tuple[int, int], visible: int, kind: str) -> None:
         """Sites of a pattern; those that may bind are bindings, until tables find a constant or a constructor of that name."""
-        number = self.out.patterns[-1]["pattern"] + 1 if self.out.patterns else 0
+        number, self.count = self.count, self.count + 1
         for site in references(self, i, end):
             self.out.patterns.append({"pattern": number} | site)
             if site["bare"] and site["role"] == "identifier":
@@ -388,7 +401,7 @@ class Parser:
 
     def body(self, open_: int, close: int, owner: int | None, depth: int) -> None:
         self.calls(open_ + 1, close, owner)
-        self.block(open_, close, depth)
+        self.later(self.block, open_, close, depth)
 
     def block(self, open_: int, close: int, depth: int) -> None:
         """Bindings and items of a block and of the blocks inside."""
@@ -432,7 +445,7 @@ class Parser:
                 first, guard, stop = self.arms[i]
                 self.bind(first, guard, (self.t[first - 1].end, self.t[stop].end), self.t[guard].start, "variable")
             elif x == "{" and self.pair[i] > i:
-                self.block(i, self.pair[i], depth + 1)
+                self.later(self.block, i, self.pair[i], depth + 1)
                 i = self.pair[i]
             elif x == "!" and self.is_word(i - 1) and self.text(i + 1) in ("(", "[", "{") and self.pair[i + 1] > i:
                 self.out.uncertain.append({"start": self.t[i + 1].start, "end": self.t[self.pair[i + 1]].end, "name": named(self.text(i - 1))})

@@ -55,6 +55,7 @@ class Parser:
         self.t = Lexemes([x for x in everything if x.kind != "comment"], len(raw))
         self.pair = [*brackets(self.t), -1, -1, -1, -1]
         self.lines = Lines(raw)
+        self.work: list[tuple] = []
 
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
@@ -86,6 +87,9 @@ class Parser:
 
     def parse(self) -> Facts:
         self.block(0, len(self.t), "", 0, True, (0, len(self.raw)), None)
+        while self.work:  # blocks inside are read after those around them, so no depth of nesting is a depth of calls
+            step, args = self.work.pop()
+            step(*args)
         self.dynamic_imports()
         self.member_names()
         kept = [x for x in self.t if x.kind == "word" and x.text not in KEYWORDS]
@@ -180,7 +184,7 @@ class Parser:
                     self.lexical(i + 1, word, scope, scope[0], "type" if word == "interface" else "value")
             if self.text(i + 2) == "<":
                 self.generics(i + 2, last)
-            self.members(brace + 1, last, depth + 1, name)
+            self.work.append((self.members, (brace + 1, last, depth + 1, name)))
             return last + 1
         if word == "enum" and self.is_word(i + 1) or word == "const" and self.text(i + 1) == "enum":
             i += word == "const"
@@ -230,10 +234,10 @@ class Parser:
             brace = self.pair[i + 1] + 1
             last = self.pair[brace] if self.pair[brace] > 0 else brace
             self.pattern(i + 2, self.pair[i + 1], "variable", (self.t[brace].start, self.t[last].end), self.t[brace].start)
-            self.block(brace + 1, last, "", depth + 1, False, (self.t[brace].start, self.t[last].end), owner)
+            self.work.append((self.block, (brace + 1, last, "", depth + 1, False, (self.t[brace].start, self.t[last].end), owner)))
             return last + 1
         if word == "{" and self.pair[i] > i:
-            self.block(i + 1, self.pair[i], container if top else "", depth + 1, False, (self.t[i].start, self.t[self.pair[i]].end), owner)
+            self.work.append((self.block, (i + 1, self.pair[i], container if top else "", depth + 1, False, (self.t[i].start, self.t[self.pair[i]].end), owner)))
             return self.pair[i] + 1
         if word in ("if", "while", "switch", "with") and self.text(i + 1) == "(":
             self.expression(i + 1, self.pair[i + 1] + 1, scope, owner)
@@ -270,7 +274,7 @@ class Parser:
         inner = (self.t[stop].start, self.t[last].end) if body else (self.t[at].start, self.t[min(last, len(self.t) - 1)].end)
         self.parameters(at, close, inner)
         if body:
-            self.block(stop + 1, last, "", depth + 1, False, inner, name if has else None)
+            self.work.append((self.block, (stop + 1, last, "", depth + 1, False, inner, name if has else None)))
         return last + 1
 
     def generics(self, i: int, last: int) -> None:
@@ -344,7 +348,7 @@ class Parser:
                 elif self.is_word(k - 1):
                     self.lexical(k - 1, "parameter", inner, inner[0])
                 if self.text(k + 1) == "{" and self.pair[k + 1] > k:
-                    self.block(k + 2, self.pair[k + 1], "", 1, False, inner, owner)
+                    self.work.append((self.block, (k + 2, self.pair[k + 1], "", 1, False, inner, owner)))
                     k = self.pair[k + 1] + 1
                     continue
             if x == "(" and self.pair[k] > k and k > 0:
