@@ -273,3 +273,15 @@ def test_moves_that_cannot_be_made(ws):
         edits.move_file(ws, "tide/src/gauge/clock.rs", "tide/src/gauge/level.rs")
     with pytest.raises(ValueError, match="root"):
         edits.move_file(ws, "tide/src/lib.rs", "tide/src/x.rs")
+
+
+def test_scopes_say_what_the_judge_says(ws):
+    from treeline.operators import graph
+
+    assert rows(graph.dead(ws.occurrences, ws.declared)) == rows(ws.dead())
+    defaults, hits = ws.scoped
+    sure = ws.occurrences.filter("confidence = 'resolved'").select("target", "path", "start", "reason")
+    assert sorted(rows(sure.distinct())) == sorted(rows(hits.select("target", "path", "start", "reason")))
+    rest = ws.occurrences.join(hits, ["target", "path", "start"], "left_anti").select("path", "start", "confidence").distinct()
+    told = {(r["path"], r["start"]): r["confidence"] for r in defaults.collect()}
+    assert all(told[r["path"], r["start"]] == r["confidence"] for r in rest.collect()) and rest.count() > 0

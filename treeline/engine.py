@@ -59,6 +59,12 @@ class Workspace:
         """Every token judged against every declaration of its name."""
         return settle(graph.judge(self.family("tokens"), self.declared, self.edges, self.aliases, self.modules))
 
+    @cached_property
+    def scoped(self) -> tuple[DataFrame, DataFrame]:
+        """What tokens are by themselves, and the declarations that their scopes lead to."""
+        defaults, hits = graph.scoped(self.family("tokens"), self.declared, self.edges, self.aliases, self.modules)
+        return defaults, settle(hits)
+
     # Commands
 
     def target(self, name: str, declared_in: str | None = None) -> str:
@@ -145,7 +151,7 @@ class Workspace:
         return graph.impact(self.edges, self.modules, starts, at.rpartition("::")[0])
 
     def dead(self) -> DataFrame:
-        return graph.dead(self.occurrences, self.declared)
+        return graph.dead_scoped(*self.scoped, self.declared)
 
     def surface(self, package: str | None = None) -> DataFrame:
         return graph.surface(self.declared, self.aliases, self.edges, package)

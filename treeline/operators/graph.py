@@ -321,6 +321,80 @@ def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFra
     return out.select("target", "name", "path", "start", "end", "reason", rank[F.col("reason")].alias("reason_ord"), sure[F.col("reason")].alias("confidence"))
 
 
+def scoped(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFrame, mods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(defaults, hits): what judge() says, without a row for each token and declaration of one name.
+
+    defaults: path, name, grp, start, confidence of every token that some declaration shares its name with: what it is to a declaration that its scope does not lead to.
+    hits: target, path, start, reason of the pairs where it does lead there: by the address of its path, the module it
+    stands in, the import that binds it, or a module that the file opens. All joins are by module or file and name.
+    """
+    group = F.when(F.col("language") == "rust", "rust").otherwise("script")
+    named = decls.select("name", F.col("addr").alias("target"), F.col("module_addr").alias("home"), group.alias("grp")).distinct()
+    known = named.select("name", "grp").distinct()
+    t = tokens.withColumn("grp", group).select("path", "name", "grp", "start", "end").join(known, ["name", "grp"], "left_semi").join(mods.select("path", F.col("addr").alias("m")), "path", "left")
+    t = settle(t)
+    spelled = edge.filter("addr is not null and language = 'rust'").select("path", F.col("start").alias("a"), F.col("end").alias("b"), "segments", "raw", "package", "apath", "declares")
+    inside = t.select("path", "name", "start", "end").join(spelled, "path").filter((F.col("a") <= F.col("start")) & (F.col("end") <= F.col("b")))
+    parts = F.split("raw", "::")
+    number = P.segment_at(parts, F.octet_length("raw") - (F.col("b") - F.col("start")))
+    after = F.when(F.try_element_at(parts, number + 1) == F.col("name"), F.size(parts) - number - 1)
+    place = F.array_position("segments", F.col("name"))
+    after = F.coalesce(after, F.when(place > 0, F.size("segments") - place.cast("int")))
+    cut = addr(F.col("package"), F.slice("apath", 1, F.greatest(F.size("apath") - after, F.lit(0))))
+    key = ["path", "start"]
+    at = inside.filter(after.isNotNull()).groupBy(*key).agg(F.min(cut).alias("at"), F.max(cut).alias("at_too"), F.max("declares").alias("in_import"))
+    loose = edge.filter("addr is null and language = 'rust' and not declares and head <> 'Self'").select("path", F.col("start").alias("a"), F.col("end").alias("b"))
+    tail = t.select("path", "start", "end").join(loose, "path").filter("a < start and end <= b").select(*key).distinct().withColumn("tail", F.lit(True))
+    names = decls.select(F.col("module_addr").alias("m"), "name").distinct()
+    bound = edge.filter("declares and addr is not null and binding is not null and not is_prefix").groupBy("path", F.col("binding").alias("name")).agg(F.min("addr").alias("bound"), F.max("addr").alias("bound_too"))
+    opens = edge.filter("declares and addr is not null").filter("glob or language <> 'rust'").select("path", F.col("addr").alias("opened")).distinct()
+    other = opens.join(names.select(F.col("m").alias("opened"), "name"), "opened").select("path", "name").distinct().withColumn("opens_other", F.lit(True))
+    j = t.join(at, key, "left").join(tail, key, "left").join(names.withColumn("homonym", F.lit(True)), ["m", "name"], "left").join(bound, ["path", "name"], "left").join(other, ["path", "name"], "left")
+    j = settle(j)
+    # Another declaration, in the workspace or not, is sure not to be the one asked for.
+    default = (
+        F.when(F.col("at").isNotNull(), F.when(F.col("at") != F.col("at_too"), "unresolved").otherwise("other")).when(F.col("tail"), "unresolved").when(F.col("homonym"), "other")
+        .when(F.col("bound").isNotNull(), F.when(F.col("bound") != F.col("bound_too"), "unresolved").otherwise("other")).when(F.col("opens_other"), "other").otherwise("unresolved")
+    )
+    defaults = j.select("path", "name", "grp", "start", default.alias("confidence"))
+
+    named_as = aliases.select("alias", "target").join(named, "target")
+
+    def led(rows: DataFrame, column: str, base: Column) -> DataFrame:
+        """Rows whose one address is a declaration of the token's name, or an alias of one."""
+        found = rows.select(*key, "name", "grp", F.col(column).alias("alias"), base.alias("base")).join(named_as, ["alias", "name", "grp"])
+        return found.select("target", *key, F.when(F.col("alias") == F.col("target"), F.col("base")).otherwise("re-export").alias("reason"))
+
+    free = j.filter("at is null and tail is null")
+    imported = free.filter("homonym is null and bound is not null")
+    open_ = free.filter("homonym is null and bound is null").join(opens, "path")
+    offers = aliases.filter("alias <> target").select("target", F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)").alias("opened")).distinct().join(named, "target")
+    by_home = open_.join(named.withColumnRenamed("home", "opened"), ["opened", "name", "grp"]).select("target", *key, F.lit("opened").alias("reason"))
+    by_offer = open_.join(offers, ["opened", "name", "grp"]).select("target", *key, F.lit("re-export").alias("reason"))
+    hits = (
+        led(j.filter("at = at_too"), "at", F.when(F.col("in_import"), "imported").otherwise("path"))
+        .unionByName(free.join(named.withColumnRenamed("home", "m"), ["m", "name", "grp"]).select("target", *key, F.lit("declaring").alias("reason")))
+        .unionByName(led(imported.filter("bound = bound_too"), "bound", F.lit("imported"))).unionByName(by_home).unionByName(by_offer)
+    )
+    rank = F.create_map(*[F.lit(x) for k, (o, _) in REASONS.items() for x in (k, o)])
+    # A module that is opened comes before what another opened one offers again.
+    first = F.when(F.col("reason") == "opened", 0).otherwise(rank[F.col("reason")])
+    return defaults, hits.groupBy("target", *key).agg(F.min_by("reason", first).alias("reason"))
+
+
+def dead_scoped(defaults: DataFrame, hits: DataFrame, decls: DataFrame) -> DataFrame:
+    """dead(), from scoped(): a token is unsure to all declarations of its name, less those that its scope leads to."""
+    group = F.when(F.col("language") == "rust", "rust").otherwise("script")
+    own = decls.select(F.col("addr").alias("target"), "path", F.col("name_start").alias("start")).withColumn("own", F.lit(True))
+    used = hits.join(own, ["target", "path", "start"], "left").groupBy("target").agg(F.bool_or(F.col("own").isNull()).alias("used"))
+    open_ = defaults.filter("confidence = 'unresolved'")
+    all_unsure = open_.groupBy("name", "grp").agg(F.count("*").alias("all_unsure"))
+    sure = hits.join(open_.select("path", "start"), ["path", "start"]).groupBy("target").agg(F.count("*").alias("sure"))
+    rows = decls.select("path", "name", "kind", F.col("name_start").alias("start"), F.col("addr").alias("target"), group.alias("grp")).join(used, "target", "left").filter("used is null or not used")
+    rows = rows.join(all_unsure, ["name", "grp"], "left").join(sure, "target", "left")
+    return rows.select("path", "name", "kind", "start", (F.coalesce("all_unsure", F.lit(0)) - F.coalesce("sure", F.lit(0))).alias("unsure")).orderBy("path", "start")
+
+
 def targets(decls: DataFrame) -> DataFrame:
     """name, declarations, ambiguous: how many addresses a bare name may mean."""
     return decls.groupBy("name").agg(F.countDistinct("addr").alias("declarations")).withColumn("ambiguous", F.col("declarations") > 1)
