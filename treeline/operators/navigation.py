@@ -95,7 +95,9 @@ def normalised(asked: DataFrame, edge: DataFrame, decls: DataFrame, most: int =
     """
     bound = edge.filter("declares and addr is not null and from_addr is not null and binding is not null and not is_prefix")
     place = F.split("from_addr", "::")
-    seen_by = reach(F.col("visibility"), F.element_at(place, 1), F.slice(place, 2, F.size(place)), F.col("language"))
+    # Edges of a caller's own may say no more than that they re-export.
+    visible = F.col("visibility") if "visibility" in edge.columns else F.when(F.col("reexport"), "pub")
+    seen_by = reach(visible, F.element_at(place, 1), F.slice(place, 2, F.size(place)), F.col("language") if "language" in edge.columns else F.lit("rust"))
     binds = bound.select(F.concat_ws("::", "from_addr", "binding").alias("prefix"), seen_by.alias("reach"), F.col("addr").alias("to")).filter("prefix <> to").distinct()
     binds = settle(except_known(binds, decls.select(F.col("addr").alias("prefix")).distinct(), ["prefix"]))
     # Of each step the prefix that was replaced, and the length of what stood behind it.
