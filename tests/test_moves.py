@@ -72,3 +72,21 @@ def test_spans_inside_characters_are_reported(spark):
     torn = ws.facts.withColumn("tokens", F.transform("tokens", lambda t: t.withField("end", t["end"] - 1).withField("start", t["start"] - 1)))
     found = [tuple(r) for r in workspace.invalid_facts(ws.files, torn).collect()]
     assert found == [("a/é.rs", "tokens", 2, 4, "inside a character")]
+
+
+def test_a_symbol_moves_out_of_groups_and_stays_in_sight(spark):
+    from treeline.plans import symbols
+
+    tree = {
+        "c/Cargo.toml": '[package]\nname = "c"\n', "c/src/lib.rs": "pub mod a;\npub mod b;\npub mod u;\n", "c/src/b.rs": "",
+        "c/src/a.rs": "fn helper() {}\n\n/// Told.\nstruct Alpha;\n\nimpl Alpha {\n    fn go(&self) { helper(); }\n}\n\npub struct Keep(Alpha);\npub struct Shown;\n",
+        "c/src/u.rs": "use crate::a::{Keep, Shown as S};\npub use crate::a::{Shown};\n",
+    }
+    ws = Workspace(workspace.memory_tree(spark, tree))
+    changes, notices = symbols.move_symbol(ws, "Shown", "c/src/a.rs", "c/src/b.rs")
+    now = {r["path"]: r["text"] for r in edits.splice(ws.files, changes).collect()}
+    assert now["c/src/u.rs"] == "use crate::a::{Keep, };\nuse crate::b::Shown as S;\npub use crate::a::{};\npub use crate::b::Shown;\n" and notices.count() == 0
+    changes, _ = symbols.move_symbol(ws, "Alpha", "c/src/a.rs", "c/src/b.rs", widen=True)
+    now = {r["path"]: r["text"] for r in edits.splice(ws.files, changes).collect()}
+    assert now["c/src/b.rs"].replace("\n\n", "\n").strip() == "use crate::a::helper;\n\n/// Told.\npub(super) struct Alpha;\nimpl Alpha {\n    fn go(&self) { helper(); }\n}"
+    assert now["c/src/a.rs"].startswith("use crate::b::Alpha;\npub(super) fn helper() {}\n") and "struct Alpha" not in now["c/src/a.rs"]

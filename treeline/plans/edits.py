@@ -319,7 +319,11 @@ def move_file(ws, source: str, target: str) -> tuple[DataFrame, DataFrame, DataF
 
 def _regrouped(hit: DataFrame, edge: DataFrame, files: DataFrame, package: str) -> DataFrame:
     """Edits that take entries out of their groups: the entry goes with its alias and the comma after it, a statement with its new path comes after the group's."""
-    spelled = hit.withColumn("now", render(F.col("head"), F.lit(package), F.col("apath"), F.col("own"), F.col("mpath"), F.col("known_as"))).filter("grouped")
+    return ungrouped(hit.withColumn("now", render(F.col("head"), F.lit(package), F.col("apath"), F.col("own"), F.col("mpath"), F.col("known_as"))).filter("grouped"), edge, files)
+
+
+def ungrouped(spelled: DataFrame, edge: DataFrame, files: DataFrame) -> DataFrame:
+    """The same for entries(path, ord, start, end, glob, alias, now) whose new path is known."""
     whole = edge.select("path", "ord", "stmt_start", "stmt_end")
     at = spelled.join(whole, ["path", "ord"]).join(files, "path").withColumn("raw_text", F.encode("text", "UTF-8"))
     rest = T.byte_slice(F.col("text"), F.col("end"), F.col("stmt_end") - F.col("end"))

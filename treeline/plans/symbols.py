@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.operators.graph import ADDRESSABLE
+from treeline.plans.edits import ungrouped
 
 
 def companions(symbols: DataFrame) -> DataFrame:
@@ -40,12 +41,13 @@ def cuts(symbols: DataFrame, files: DataFrame, path: str, name: str) -> DataFram
     return at.select("path", "start", (F.col("end") + F.when(rest.startswith("\n"), 1).otherwise(0)).alias("end")).orderBy("start")
 
 
-def move_symbol(ws, name: str, source: str, target: str) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001 - a Workspace
+def move_symbol(ws, name: str, source: str, target: str, widen: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001 - a Workspace
     """(edits, notices) for moving a top-level declaration of a Rust file to another module of its package.
 
     In this order: imports that the moved text needs are added at the target; every import of the
-    old address is respelled; the old file imports the new address if it still uses the name;
-    the pieces are cut and pasted at the target's end. Entries of groups are left and noted.
+    old address is respelled, an entry of a group is taken out of it and stands as a statement of its own after it; the old file
+    imports the new address if it still uses the name; the pieces are cut and pasted at the target's end. With `widen`, what was private
+    and is used from another module afterwards is widened as far as it must be, to the parent or to the package: the declaration, and those of the old file that it needs.
     """
     symbols = ws.family("symbols")
     found = candidates(symbols, source, name).collect()
@@ -73,7 +75,8 @@ def move_symbol(ws, name: str, source: str, target: str) -> tuple[DataFrame, Dat
     imports = ws.edges.filter((F.col("path") == source) & F.col("declares") & F.col("binding").isNotNull() & F.col("addr").isNotNull()).select("binding", "package", "apath", "alias").collect()
     spelled = lambda p, a: "::".join(["crate" if p == package else p, *a])
     lines = [f"use {spelled(r['package'], r['apath'])}{' as ' + r['alias'] if r['alias'] else ''};\n" for r in imports if r["binding"] in within and r["binding"] != name]
-    siblings = ws.declared.filter((F.col("path") == source) & F.col("name").isin(*within) & (F.col("name") != name)).select("name", "apath").collect()
+    siblings = ws.declared.filter((F.col("path") == source) & F.col("name").isin(*within) & (F.col("name") != name)).select("name", "apath", "modifier", "start").collect()
+    below = list(modules[target]["mpath"])[: len(modules[source]["mpath"])] == list(modules[source]["mpath"])  # private names are seen there
     lines += [f"use {spelled(package, r['apath'])};\n" for r in siblings]
     known = {r[0] for r in ws.edges.filter((F.col("path") == target) & F.col("declares") & F.col("binding").isNotNull()).select("binding").collect()}
     lines = sorted(set(x for x in lines if x.rstrip(";\n").rpartition("::")[2] not in known))
@@ -85,8 +88,20 @@ def move_symbol(ws, name: str, source: str, target: str) -> tuple[DataFrame, Dat
     respelled = users.filter(~((F.col("path") == source) & inside("start"))).withColumn("replacement", F.concat(F.when(other, F.lit(package + new.removeprefix("crate"))).otherwise(F.lit(new)), tail))
     respelled = respelled.filter(F.element_at("segments", 1) != name)  # paths that begin with the name follow its import
     edits = respelled.filter("not grouped").select("path", "start", "end", "replacement", F.col("ord").alias("seq"))
-    notices = respelled.filter("grouped").select("path", "start", F.lit("unrewritable import").alias("kind"), "raw")
+    entries = respelled.filter("grouped").select("path", "ord", "start", "end", "glob", "alias", F.col("replacement").alias("now"))
+    edits = edits.unionByName(ungrouped(entries, ws.edges, ws.files.select("path", "text")))
+    notices = respelled.filter("grouped and addr is null").select("path", "start", F.lit("unrewritable import").alias("kind"), "raw")
     extra = [(source, a, b, "", 100 + k) for k, (a, b) in enumerate(pieces)]
+    homes = {p: list(m["mpath"]) for p, m in modules.items()}
+    seen_from = lambda home, user: "pub(super) " if user[: len(home) - 1] == home[:-1] else "pub(crate) "
+    if widen and not below:
+        extra += [(source, r["start"], r["start"], seen_from(homes[source], homes[target]), 50) for r in siblings if r["modifier"] is None]
+    own = symbols.filter((F.col("path") == source) & (F.col("name") == name) & (F.col("depth") == 0) & (F.col("kind") != "impl")).select("start", "ext_start", "modifier").first()
+    up = homes[source][: len(homes[target])] == homes[target]
+    if widen and own["modifier"] is None and outside and not up:
+        at = sum(b - a for a, b in pieces if a < own["ext_start"]) + own["start"] - own["ext_start"]
+        told = moved.encode()
+        moved = (told[:at] + seen_from(homes[target], homes[source]).encode() + told[at:]).decode()
     end = len(texts[target].encode())
     after_imports = max([r["stmt_end"] for r in ws.edges.filter((F.col("path") == target) & F.col("top_level")).select("stmt_end").collect()], default=0)
     after_imports += bool(after_imports) and texts[target].encode()[after_imports : after_imports + 1] == b"\n"
