@@ -168,7 +168,7 @@ class Workspace:
 
     def callers(self, name: str, declared_in: str | None = None) -> DataFrame:
         at = self.target(name, declared_in)
-        return graph.callers(self.family("calls"), self.family("symbols"), self.occurrences.filter(F.col("target") == at))
+        return graph.callers(self.family("calls"), self.family("symbols"), self.scoped[1].filter(F.col("target") == at))
 
     def callees(self, name: str) -> DataFrame:
         return graph.callees(self.family("calls"), self.family("symbols")).filter(F.col("caller") == name)
@@ -192,7 +192,7 @@ class Workspace:
     def _sites(self, of: DataFrame) -> DataFrame:
         wanted = of.select(F.col("addr").alias("target")).distinct()
         names = navigation.incoming_names(self.edges, self.aliases, self.declared).join(wanted, "target")
-        return navigation.reference_sites(self.family("tokens"), names, self.occurrences.join(wanted, "target"), self.bindings(), of, self.edges, self.aliases.join(wanted, "target"))
+        return navigation.reference_sites(self.family("tokens"), names, self.scoped[1].join(wanted, "target"), self.bindings(), of, self.edges, self.aliases.join(wanted, "target"))
 
     def navigate(self, path: str, offset: int) -> DataFrame:
         """What the token at an offset means: outcome, tier, targets, why. No row where no token is."""

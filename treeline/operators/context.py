@@ -39,7 +39,7 @@ def assemble(ws, name: str, declared_in: str | None = None, max_items: int = 12,
     rows = one.select(F.lit(0).alias("order"), F.lit("definition").alias("relation"), "path", "name", "ext_start", "ext_end")
     around = symbols.filter((F.col("path") == home["path"]) & (F.col("ext_start") <= home["ext_start"]) & (F.col("ext_end") >= home["ext_end"]) & ~((F.col("ext_start") == home["ext_start"]) & (F.col("ext_end") == home["ext_end"])))
     rows = rows.unionByName(around.select(F.lit(1).alias("order"), F.lit("enclosing").alias("relation"), "path", "name", "ext_start", "ext_end"))
-    sure = ws.occurrences.filter("confidence = 'resolved'")
+    sure = ws.scoped[1]
     named = sure.filter((F.col("path") == home["path"]) & (F.col("start") >= home["ext_start"]) & (F.col("end") <= home["ext_end"]) & (F.col("target") != at)).select(F.col("target").alias("addr")).distinct()
     rows = rows.unionByName(decls.join(named, "addr").select(F.lit(2).alias("order"), F.lit("outgoing").alias("relation"), "path", "name", "ext_start", "ext_end"))
     tests = is_test_path(F.col("path"))

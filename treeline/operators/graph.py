@@ -325,7 +325,7 @@ def scoped(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFr
     """(defaults, hits): what judge() says, without a row for each token and declaration of one name.
 
     defaults: path, name, grp, start, confidence of every token that some declaration shares its name with: what it is to a declaration that its scope does not lead to.
-    hits: target, path, start, reason of the pairs where it does lead there: by the address of its path, the module it
+    hits: target, name, path, start, end, reason, reason_ord, confidence of the pairs where it does lead there: by the address of its path, the module it
     stands in, the import that binds it, or a module that the file opens. All joins are by module or file and name.
     """
     group = F.when(F.col("language") == "rust", "rust").otherwise("script")
@@ -358,28 +358,30 @@ def scoped(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFr
     )
     defaults = j.select("path", "name", "grp", "start", default.alias("confidence"))
 
+    token = ["name", *key, "end"]
     named_as = aliases.select("alias", "target").join(named, "target")
 
     def led(rows: DataFrame, column: str, base: Column) -> DataFrame:
         """Rows whose one address is a declaration of the token's name, or an alias of one."""
-        found = rows.select(*key, "name", "grp", F.col(column).alias("alias"), base.alias("base")).join(named_as, ["alias", "name", "grp"])
-        return found.select("target", *key, F.when(F.col("alias") == F.col("target"), F.col("base")).otherwise("re-export").alias("reason"))
+        found = rows.select(*token, "grp", F.col(column).alias("alias"), base.alias("base")).join(named_as, ["alias", "name", "grp"])
+        return found.select("target", *token, F.when(F.col("alias") == F.col("target"), F.col("base")).otherwise("re-export").alias("reason"))
 
     free = j.filter("at is null and tail is null")
     imported = free.filter("homonym is null and bound is not null")
     open_ = free.filter("homonym is null and bound is null").join(opens, "path")
     offers = aliases.filter("alias <> target").select("target", F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)").alias("opened")).distinct().join(named, "target")
-    by_home = open_.join(named.withColumnRenamed("home", "opened"), ["opened", "name", "grp"]).select("target", *key, F.lit("opened").alias("reason"))
-    by_offer = open_.join(offers, ["opened", "name", "grp"]).select("target", *key, F.lit("re-export").alias("reason"))
+    by_home = open_.join(named.withColumnRenamed("home", "opened"), ["opened", "name", "grp"]).select("target", *token, F.lit("opened").alias("reason"))
+    by_offer = open_.join(offers, ["opened", "name", "grp"]).select("target", *token, F.lit("re-export").alias("reason"))
     hits = (
         led(j.filter("at = at_too"), "at", F.when(F.col("in_import"), "imported").otherwise("path"))
-        .unionByName(free.join(named.withColumnRenamed("home", "m"), ["m", "name", "grp"]).select("target", *key, F.lit("declaring").alias("reason")))
+        .unionByName(free.join(named.withColumnRenamed("home", "m"), ["m", "name", "grp"]).select("target", *token, F.lit("declaring").alias("reason")))
         .unionByName(led(imported.filter("bound = bound_too"), "bound", F.lit("imported"))).unionByName(by_home).unionByName(by_offer)
     )
     rank = F.create_map(*[F.lit(x) for k, (o, _) in REASONS.items() for x in (k, o)])
     # A module that is opened comes before what another opened one offers again.
     first = F.when(F.col("reason") == "opened", 0).otherwise(rank[F.col("reason")])
-    return defaults, hits.groupBy("target", *key).agg(F.min_by("reason", first).alias("reason"))
+    best = hits.groupBy("target", *token).agg(F.min_by("reason", first).alias("reason"))
+    return defaults, best.select("target", *token, "reason", rank[F.col("reason")].alias("reason_ord"), F.lit("resolved").alias("confidence"))
 
 
 def dead_scoped(defaults: DataFrame, hits: DataFrame, decls: DataFrame) -> DataFrame:

@@ -837,7 +837,7 @@ def w_calls(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CUST} SELECT 'r' || rk || '::n' || nk || '::s' || first AS target, 'cust' || ck AS caller FROM cust WHERE first IS NOT NULL")
 def w_callers(spark: SparkSession, d: str) -> DataFrame:
     w = _workspace(spark, d)
-    return graph.callers(w.family("calls"), w.family("symbols"), w.occurrences).select("target", "caller")
+    return graph.callers(w.family("calls"), w.family("symbols"), w.scoped[1]).select("target", "caller")
 
 
 @query(f"WITH {_CUST} SELECT 'c' || ck AS file, 'a' AS name, 'parameter' AS b_kind FROM cust UNION ALL SELECT 'c' || ck, 'a', 'parameter' FROM cust UNION ALL SELECT 'c' || ck, 'b', 'variable' FROM cust")
