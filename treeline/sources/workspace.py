@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tomllib
 from collections.abc import Iterator
 from dataclasses import asdict
@@ -16,27 +15,14 @@ from treeline.functions.paths import language_of
 from treeline.lang import fake, rust, typescript
 from treeline.lang.model import FACTS
 from treeline.session import settle
+from treeline.sources import listing
 
 PARSERS = {"rust": rust.facts, "typescript": typescript.facts, "tsx": typescript.facts, "fake": fake.facts}
 
 
 def ignore_regex(pattern: str) -> str:
     """A line of an ignore file as a regular expression over workspace paths."""
-    body = pattern.strip().rstrip("/")
-    anchored = "/" in body
-    body = body.lstrip("/")
-    out, i = "", 0
-    while i < len(body):
-        c = body[i]
-        if body[i : i + 3] == "**/":
-            out, i = out + "(.*/)?", i + 3
-            continue
-        if body[i : i + 2] == "**":
-            out, i = out + ".*", i + 2
-            continue
-        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in ".+()[]{}^$|\\" else c
-        i += 1
-    return ("^" if anchored else "(^|/)") + out + "(/|$)"
+    return listing.pattern_body(pattern)[0] + "(/|$)"
 
 
 def with_ignores(files: DataFrame, patterns: list[str], hidden: bool = False) -> DataFrame:
@@ -49,48 +35,15 @@ def with_ignores(files: DataFrame, patterns: list[str], hidden: bool = False) ->
     return out if hidden else out.filter(~F.col("path").rlike(r"(^|/)[.]"))
 
 
-def scoped(folder: str, line: str) -> str | None:
-    """A line of the ignore file of a folder as a pattern from the root; null for blank lines and remarks."""
-    line = line.rstrip()
-    if not line or line.startswith("#"):
-        return None
-    sign, body = ("!", line[1:]) if line.startswith("!") else ("", line)
-    if not folder:
-        return sign + body
-    anchored = "/" in body.rstrip("/")
-    return f"{sign}/{folder}/{body.lstrip('/')}" if anchored else f"{sign}/{folder}/**/{body}"
-
-
-def ignore_lines(spark: SparkSession, root: str, folders: list[str]) -> list[str]:
-    """The patterns of the ignore files in these folders of a tree, the outer folders' first. Spark's readers pass over hidden files, so the driver reads them, one look a folder."""
-    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for folder in sorted(folders, key=lambda f: (f.count("/") + bool(f), f)):
-        at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{folder}/.gitignore" if folder else f"{root.rstrip('/')}/.gitignore")
-        fs = at.getFileSystem(conf)
-        if fs.exists(at):
-            stream = fs.open(at)
-            try:
-                text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
-            finally:
-                stream.close()
-            out += [p for line in text.splitlines() if (p := scoped(folder, line))]
-    return out
-
-
 def scan_tree(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """path, text, stamp_ms, n_bytes of the files under a folder that any Hadoop file system can read, without those that the tree's ignore files, then `patterns`, leave out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    read = raw.select("path", F.decode("content", "UTF-8").alias("text"), F.unix_millis("modificationTime").alias("stamp_ms"), F.col("length").alias("n_bytes"))
-    # Spark's readers pass over files without bytes; its listing, which the driver holds anyway, has them. They have no stamp.
-    one = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(one("path").alias("path"))
-    empty = listed.join(raw.select(one("path").alias("path")), "path", "left_anti").select("path", F.lit("").alias("text"), F.lit(None).cast("long").alias("stamp_ms"), F.lit(0).cast("long").alias("n_bytes"))
-    read = read.withColumn("path", one("path")).unionByName(empty)
-    files = read.withColumn("path", F.expr(f"substring(path, {len(re.sub('^file:/+', 'file:/', full)) + 1})"))
-    parts = files.select(F.split("path", "/").alias("p")).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda n: F.array_join(F.slice("p", 1, n), "/"))).alias("f")).distinct()
-    return claim(with_ignores(files, [*ignore_lines(spark, root, [r[0] for r in parts.collect()]), *(patterns or [])]))
+    """path, text, stamp_ms, n_bytes, language, content_id of the files under a folder, without those that the tree's ignore files or `patterns` leave out.
+
+    Folders are listed and files read in tasks. The listing is written once; texts are read from the tree whenever a table of them is computed.
+    A file that is no UTF-8 has a null text, and its stamp for a content_id.
+    """
+    files = listing.contents(listing.listed(spark, root, patterns), root).select("path", "text", "stamp_ms", "n_bytes")
+    stamp = F.concat_ws("-", F.lit("stamp"), F.col("stamp_ms").cast("string"), F.col("n_bytes").cast("string"))
+    return claim(files).withColumn("content_id", F.coalesce("content_id", stamp))
 
 
 def memory_tree(spark: SparkSession, files: dict[str, str]) -> DataFrame:
