@@ -117,7 +117,7 @@ class Workspace:
 
     def commands(self) -> dict:
         """What serve() answers by: the reading commands of the catalogue."""
-        related = lambda name, declared_in=None, max_files=64, max_items=64: self.relationships(name, declared_in, max_files, max_items)[0]
+        related = lambda name, declared_in=None, **budget: self.related(name, declared_in, **budget)[0]
         names = ("search", "search_page", "outline", "references", "where", "deps", "explain", "surface", "impact", "dead", "imports", "navigate", "resolve", "context", "workspace_files", "file", "skipped")
         discover = lambda: requests.catalogue(self.files.sparkSession)
         return {n: getattr(self, n) for n in names} | {"relationships": related, "discover": discover, "schema": self.schema}
@@ -195,9 +195,10 @@ class Workspace:
         return navigation.reference_sites(self.family("tokens"), names, self.scoped[1].join(wanted, "target"), self.bindings(), of, self.edges, self.aliases.join(wanted, "target"))
 
     def navigate(self, path: str, offset: int) -> DataFrame:
-        """What the token at an offset means: outcome, tier, targets, why. No row where no token is."""
-        token = self.family("tokens").filter((F.col("path") == path) & (F.col("start") <= offset) & (F.col("end") > offset)).select("path", "start")
-        return self.resolutions.join(token, ["path", "start"], "left_semi")
+        """What the token at an offset means: outcome, tier, targets, why. No row where no token is. Only tokens of the file are judged."""
+        part = self.over([path])
+        token = part.family("tokens").filter((F.col("start") <= offset) & (F.col("end") > offset)).select("path", "start")
+        return part.resolutions.join(token, ["path", "start"], "left_semi")
 
     resolve = navigate
 
@@ -206,6 +207,16 @@ class Workspace:
         at = self.target(name, declared_in)
         return navigation.within_budget(self._sites(self.declared.filter(F.col("addr") == at)), max_files, max_items)
 
+    def related(self, name: str, declared_in: str | None = None, max_files: int = 128, max_items: int = 64, max_lookups: int = 1024) -> tuple[DataFrame, DataFrame]:
+        """relationships() in stages: tokens of files that may speak of the declaration are judged by path until a budget is spent, those of no other file."""
+        wanted = self.declared.filter(F.col("addr") == self.target(name, declared_in))
+        candidates = navigation.candidate_files(self.edges, self.aliases, wanted, self.modules)
+        return navigation.staged(lambda paths: self.over(paths)._sites(wanted), candidates, max_files, max_items, max_lookups)
+
+    def over(self, paths: list[str]) -> Part:
+        """The workspace as some files of it see it."""
+        return Part(self, paths)
+
     def normalise(self, addr: str, viewer: str) -> DataFrame:
         """Where an address leads, seen from a module."""
         one = self.files.sparkSession.createDataFrame([(0, addr, viewer)], "id long, addr string, viewer string")
@@ -240,3 +251,38 @@ class Workspace:
     def bindings(self) -> DataFrame:
         lexical = patterns.without_references(self.family("lexical"), self.patterns)
         return graph.visible_bindings(self.family("tokens"), lexical, self.family("uncertain"))
+
+
+#: Families that are read of all files, as names of any of them may lead there.
+SHARED = ("symbols", "constructors")
+
+
+class Part(Workspace):
+    """Some files of a workspace: only their tokens, and what hangs on tokens, are read; the graph is that of the whole."""
+
+    def __init__(self, whole: Workspace, paths: list[str]) -> None:
+        super().__init__(whole.files)
+        self.whole, self.paths = whole, paths
+
+    facts = property(lambda self: self.whole.facts)
+    manifests = property(lambda self: self.whole.manifests)
+    modules = property(lambda self: self.whole.modules)
+    declared = property(lambda self: self.whole.declared)
+    aliases = property(lambda self: self.whole.aliases)
+    exports = property(lambda self: self.whole.exports)
+
+    def family(self, name: str) -> DataFrame:
+        found = self.whole.family(name)
+        return found if name in SHARED else self._mine(found)
+
+    def _mine(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("path").isin(*self.paths))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._mine(self.whole.edges)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        # Whether a name stands for a module is told by the imports of all files.
+        return settle(namespaces.member_targets(self.family("members"), self.family("named_imports"), self.whole.edges, self.exports, self.bindings().select("path", "start").distinct()))

@@ -6,12 +6,14 @@ what a path or an import names, that before what a glob opens; the first tier wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
+from treeline.operators.graph import addr as address
 from treeline.operators.graph import admits, reach
 from treeline.operators.search import except_known
 from treeline.session import settle
@@ -160,3 +162,47 @@ def within_budget(rows: DataFrame, max_files: int = 64, max_items: int = 64) ->
     limit = F.when(F.col("found") > max_items, "items").when(F.col("files") > F.col("files_scanned"), "files")
     both = whole.withColumn("k", F.lit(0)).join(part.withColumn("k", F.lit(0)), "k")  # one row each
     return kept, both.select("files_scanned", (F.col("files") - F.col("files_scanned")).alias("files_remaining"), shown.alias("items"), (F.col("items") - shown).alias("items_omitted"), limit.alias("limit_hit"))
+
+
+def candidate_files(edge: DataFrame, aliases: DataFrame, decls: DataFrame, mods: DataFrame) -> DataFrame:
+    """path: files that may speak of decls at all: their own, those of their module, those with a path through one of their addresses, and those
+    that open what holds one. It is told from the graph, so no token is read; every site of reference_sites() lies in one of them."""
+    mine = decls.select(F.col("addr").alias("target"), "path", "module_addr")
+    offered = aliases.join(mine.select("target").distinct(), "target").select("alias").distinct()
+    known = edge.filter("addr is not null")
+    through = known.select("path", "addr", F.explode(F.transform(P.prefixes(F.col("apath")), lambda p: address(F.col("package"), p))).alias("alias"))
+    holders = offered.select(F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)").alias("addr")).unionByName(mine.select(F.col("module_addr").alias("addr"))).distinct()
+    openers = known.filter("declares and (glob or language <> 'rust')").select("path", "addr").join(holders, "addr")
+    homes = mods.select("path", "addr").join(mine.select(F.col("module_addr").alias("addr")).distinct(), "addr")
+    return mine.select("path").unionByName(through.join(offered, "alias").select("path")).unionByName(openers.select("path")).unionByName(homes.select("path")).distinct()
+
+
+#: Files of the first stage; each stage reads twice as many as the one before.
+FIRST_FILES = 8
+# Budgets and the range of each.
+BUDGETS = {"max_files": (1, 4096), "max_items": (1, 1024), "max_lookups": (1, 16384)}
+
+
+def staged(read: Callable[[list[str]], DataFrame], candidates: DataFrame, max_files: int = 128, max_items: int = 64, max_lookups: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(rows, coverage): read(paths) over candidates(path) by path, stage after stage, until a budget is spent; files beyond it are never read.
+
+    A lookup asks one candidate; candidates beyond max_lookups are not even counted. coverage: files_scanned, files_remaining among the candidates looked
+    up, lookups, items, items_omitted among those found in the files scanned, limit_hit (items, files, lookups, or null where all was read).
+    """
+    for name, value in (("max_files", max_files), ("max_items", max_items), ("max_lookups", max_lookups)):
+        low, high = BUDGETS[name]
+        if not low <= value <= high:
+            raise ValueError(f"{name} goes from {low} to {high}")
+    paths = [r["path"] for r in candidates.select("path").orderBy("path").limit(max_lookups + 1).collect()]  # bounded by the budget
+    more, paths = len(paths) > max_lookups, paths[:max_lookups]
+    out, found, at, size = None, 0, 0, FIRST_FILES
+    while out is None or (at < min(len(paths), max_files) and found < max_items):
+        stage = paths[at : min(at + size, max_files)]
+        part = settle(read(stage))
+        found += part.count()
+        out = part if out is None else out.unionByName(part)
+        at, size = at + len(stage), 2 * size
+    left, shown = len(paths) - at, min(found, max_items)
+    limit = "items" if found > max_items or (found == max_items and (left or more)) else "files" if left else "lookups" if more else None
+    told = out.sparkSession.createDataFrame([(at, left, len(paths), shown, found - shown, limit)], "files_scanned int, files_remaining int, lookups int, items int, items_omitted int, limit_hit string")
+    return out.orderBy("path", "start").limit(max_items), told

@@ -1116,6 +1116,26 @@ def w_resolutions(spark: SparkSession, d: str) -> DataFrame:
     return _workspace(spark, d).resolutions
 
 
+_SITES = f"""WITH {_CUST}, sites AS (
+  SELECT 'r' || rk || '/src/c' || ck || '.rs' AS path, nk AS k, 'Nation' || nk AS name FROM cust WHERE ck % 3 = 0
+  UNION ALL SELECT 'r' || rk || '/src/c' || ck || '.rs', onk, CASE WHEN onk % 2 = 0 THEN 'N' ELSE 'Nation' END || onk FROM cust WHERE ck % 3 = 1
+  UNION ALL SELECT 'r' || n_regionkey || '/src/lib.rs', n_nationkey, 'Nation' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT 'r' || n_regionkey || '/src/lib.rs', n_nationkey, 'N' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)"""
+
+
+@query(f"{_SITES} SELECT 'r' || n_regionkey || '::n' || k || '::Nation' || k AS target, path, name FROM sites JOIN nation ON n_nationkey = k")
+def w_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Every place that speaks of a struct of the tree, under its own name or under one that an import gives it."""
+    w = _workspace(spark, d)
+    return w._sites(w.declared.filter("kind = 'struct'")).select("target", "path", "name")
+
+
+@query(f"{_SITES} SELECT path, name FROM sites WHERE k = 4 ORDER BY path LIMIT 1024")
+def w_related(spark: SparkSession, d: str) -> DataFrame:
+    """Who speaks of Nation4, file after file until the largest budget is spent."""
+    return _workspace(spark, d).related("Nation4", max_files=4096, max_items=1024, max_lookups=16384)[0].select("path", "name")
+
+
 @query()
 def w_relationships(spark: SparkSession, d: str) -> DataFrame:
     """Who speaks of Nation4, under its own name and under N4."""

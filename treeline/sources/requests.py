@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 COMMANDS: dict[str, tuple[bool, str]] = {
     "search": (True, "name kind pattern language"), "search_page": (True, "name after max_items max_bytes"), "outline": (True, "path"), "references": (True, "name declared_in"), "where": (True, "name"),
     "deps": (True, "path"), "explain": (True, "path offset"), "surface": (True, "package"), "impact": (True, "name declared_in"), "dead": (True, ""), "imports": (True, ""), "skipped": (True, "language"),
-    "relationships": (True, "name declared_in max_files max_items"), "navigate": (True, "path offset"), "resolve": (True, "path offset"), "context": (True, "name declared_in max_items max_bytes"), "workspace_files": (True, ""), "file": (True, "path"),
+    "relationships": (True, "name declared_in max_files max_items max_lookups"), "navigate": (True, "path offset"), "resolve": (True, "path offset"), "context": (True, "name declared_in max_items max_bytes"), "workspace_files": (True, ""), "file": (True, "path"),
     "discover": (True, ""), "schema": (True, "command"),
 }
 BUDGETS = {"max_items": (20, 64), "max_bytes": (16384, 1 << 20), "max_lookups": (64, 512), "max_files": (64, 1024)}
