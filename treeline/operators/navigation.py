@@ -177,8 +177,8 @@ def candidate_files(edge: DataFrame, aliases: DataFrame, decls: DataFrame, mods:
     return mine.select("path").unionByName(through.join(offered, "alias").select("path")).unionByName(openers.select("path")).unionByName(homes.select("path")).distinct()
 
 
-#: Files of the first stage; each stage reads twice as many as the one before.
-FIRST_FILES = 8
+#: Files of the first stage; each stage reads four times as many as the one before, so stages stay few.
+FIRST_FILES = 32
 # Budgets and the range of each.
 BUDGETS = {"max_files": (1, 4096), "max_items": (1, 1024), "max_lookups": (1, 16384)}
 
@@ -201,7 +201,7 @@ def staged(read: Callable[[list[str]], DataFrame], candidates: DataFrame, max_fi
         part = settle(read(stage))
         found += part.count()
         out = part if out is None else out.unionByName(part)
-        at, size = at + len(stage), 2 * size
+        at, size = at + len(stage), 4 * size
     left, shown = len(paths) - at, min(found, max_items)
     limit = "items" if found > max_items or (found == max_items and (left or more)) else "files" if left else "lookups" if more else None
     told = out.sparkSession.createDataFrame([(at, left, len(paths), shown, found - shown, limit)], "files_scanned int, files_remaining int, lookups int, items int, items_omitted int, limit_hit string")

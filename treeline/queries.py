@@ -1264,3 +1264,22 @@ UNION ALL SELECT 's/c' || ck || '.ts', 'default', 'unavailable', 'unknown-name'
 def w_members(spark: SparkSession, d: str) -> DataFrame:
     """What every member of a namespace means."""
     return _workspace(spark, d, _script_tree).members.select("path", "name", "outcome", F.coalesce(F.array_join("targets", ","), "why").alias("meant"))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, CASE n_nationkey % 4 WHEN 1 THEN 's/n' || n_nationkey || '/index.ts' WHEN 3 THEN NULL ELSE 's/n' || n_nationkey || '.ts' END AS file FROM nation), three AS (SELECT unnest([1, 2, 3])), two AS (SELECT unnest([1, 2]))
+SELECT 's/r' || r || '.ts' AS path, './n' || k AS raw, file AS addr FROM n, three UNION ALL SELECT 's/c' || c_custkey || '.ts', './r' || r, 's/r' || r || '.ts' FROM customer JOIN n ON k = c_nationkey, two WHERE c_custkey % 10 <> 0
+UNION ALL SELECT 's/c' || c_custkey || '.ts', 'ext', NULL FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT 's/c' || c_custkey || '.ts', './r0', CASE WHEN EXISTS (SELECT * FROM n WHERE r = 0) THEN 's/r0.ts' END FROM customer WHERE c_custkey % 10 = 0""")
+def k2_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of a script tree after two change sets: modules that go or move into folders, and customers with another text."""
+    from treeline.streaming.maintain import Maintained
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k = F.col("n_nationkey")
+    n = _t(spark, d, "nation").select("n_nationkey").filter(k % 2 == 1)
+    gone = n.select(text("s/n", k, ".ts").alias("path"), F.lit(None).cast("string").alias("text"))
+    came = n.filter(k % 4 == 1).select(text("s/n", k, "/index.ts").alias("path"), text("export const v", k, " = 2;\n").alias("text"))
+    other = _t(spark, d, "customer").filter("c_custkey % 10 = 0").select(text("s/c", F.col("c_custkey"), ".ts").alias("path"), F.lit('import { a } from "./r0";\n').alias("text"))
+    held = Maintained(_workspace(spark, d, _script_tree).files)
+    held.apply(gone.unionByName(came))
+    held.apply(other)
+    return held.workspace.edges.select("path", "raw", "addr")
