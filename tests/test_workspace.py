@@ -285,3 +285,14 @@ def test_scopes_say_what_the_judge_says(ws):
     rest = ws.occurrences.join(hits, ["target", "path", "start"], "left_anti").select("path", "start", "confidence").distinct()
     told = {(r["path"], r["start"]): r["confidence"] for r in defaults.collect()}
     assert all(told[r["path"], r["start"]] == r["confidence"] for r in rest.collect()) and rest.count() > 0
+
+
+def test_narrow_paths_say_what_the_judge_says(ws):
+    from treeline.operators import navigation
+
+    for name, where in (("quay", "berth/src/quay/quay.rs"), ("Level", None)):
+        want = ws.occurrences.filter(F.col("target") == ws.target(name, where))
+        found = ws.references(name, where)
+        assert want.count() > 5 and sorted(rows(found.select(want.columns))) == sorted(rows(want))
+    judged = navigation.resolved(ws.family("tokens"), ws.bindings(), ws.occurrences, ws._sites(ws.declared), ws.family("uncertain"), ws.patterns, ws.members)
+    assert sorted(map(str, judged.collect())) == sorted(map(str, ws.resolutions.select(judged.columns).collect()))

@@ -142,8 +142,11 @@ class Workspace:
         return graph.where(self.declared, name)
 
     def references(self, name: str, declared_in: str | None = None) -> DataFrame:
-        at = self.target(name, declared_in)
-        return self.occurrences.filter(F.col("target") == at).orderBy("reason_ord", "path", "start")
+        """Every token of the name, judged against the one declaration: a row a token, whatever else has the name."""
+        one, named = F.col("addr") == self.target(name, declared_in), F.col("name") == name
+        mine = self.aliases.join(self.declared.filter(one).select(F.col("addr").alias("target")).distinct(), "target", "left_semi")
+        found = graph.judge(self.family("tokens").filter(named), self.declared.filter(named), self.edges, mine, self.modules, self.declared.filter(one))
+        return found.orderBy("reason_ord", "path", "start")
 
     def impact(self, name: str, declared_in: str | None = None) -> DataFrame:
         at = self.target(name, declared_in)
@@ -187,7 +190,8 @@ class Workspace:
     @cached_property
     def resolutions(self) -> DataFrame:
         """Every token with what it means."""
-        return settle(navigation.resolved(self.family("tokens"), self.bindings(), self.occurrences, self._sites(self.declared), self.family("uncertain"), self.patterns, self.members))
+        defaults, hits = self.scoped
+        return settle(navigation.resolved(self.family("tokens"), self.bindings(), hits, self._sites(self.declared), self.family("uncertain"), self.patterns, self.members, defaults))
 
     def _sites(self, of: DataFrame) -> DataFrame:
         wanted = of.select(F.col("addr").alias("target")).distinct()

@@ -260,15 +260,15 @@ def import_problems(edge: DataFrame, tokens: DataFrame, mods: DataFrame) -> Data
     return out.unionByName(unplaced).orderBy("path", "ord")
 
 
-def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFrame, mods: DataFrame) -> DataFrame:
-    """Every token against every declaration of its name and language group: target, path, start, reason, reason_ord, confidence.
+def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFrame, mods: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Every token against every declaration of its name and language group, or those in `of` alone: target, path, start, reason, reason_ord, confidence.
 
     All declarations are judged in one set of joins; the first rule that applies decides:
     qualified path, declaring module, other declaration in the module, imported name, opened
     module, unresolved.
     """
     group = F.when(F.col("language") == "rust", "rust").otherwise("script")
-    target = decls.select("name", F.col("addr").alias("target"), F.col("module_addr").alias("home"), group.alias("grp")).distinct()
+    target = (decls if of is None else of).select("name", F.col("addr").alias("target"), F.col("module_addr").alias("home"), group.alias("grp")).distinct()
     t = tokens.withColumn("grp", group).select("path", "name", "grp", "start", "end").join(mods.select("path", F.col("addr").alias("m")), "path", "left").join(target, ["name", "grp"])
     t = settle(t)
     # Addresses of tokens inside paths: the path's address cut after the token's segment.
@@ -324,7 +324,7 @@ def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFra
 def scoped(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFrame, mods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(defaults, hits): what judge() says, without a row for each token and declaration of one name.
 
-    defaults: path, name, grp, start, confidence of every token that some declaration shares its name with: what it is to a declaration that its scope does not lead to.
+    defaults: path, name, grp, start, reason, confidence of every token that some declaration shares its name with: what it is to a declaration that its scope does not lead to.
     hits: target, name, path, start, end, reason, reason_ord, confidence of the pairs where it does lead there: by the address of its path, the module it
     stands in, the import that binds it, or a module that the file opens. All joins are by module or file and name.
     """
@@ -350,13 +350,19 @@ def scoped(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFr
     opens = edge.filter("declares and addr is not null").filter("glob or language <> 'rust'").select("path", F.col("addr").alias("opened")).distinct()
     other = opens.join(names.select(F.col("m").alias("opened"), "name"), "opened").select("path", "name").distinct().withColumn("opens_other", F.lit(True))
     j = t.join(at, key, "left").join(tail, key, "left").join(names.withColumn("homonym", F.lit(True)), ["m", "name"], "left").join(bound, ["path", "name"], "left").join(other, ["path", "name"], "left")
-    j = settle(j)
-    # Another declaration, in the workspace or not, is sure not to be the one asked for.
+    members = mods.select(F.col("package").alias("of")).distinct().withColumn("member", F.lit(True))
+    j = settle(j.withColumn("of", F.substring_index(F.coalesce("at", "bound"), "::", 1)).join(members, "of", "left").drop("of"))
+
+    def elsewhere(column: str) -> Column:
+        """What an address says that is not the declaration's: nothing where there are several, else another declaration, in the workspace or not."""
+        return F.when(F.col(column) != F.col(f"{column}_too"), "unresolved").when(F.col("member"), "other-declaration").otherwise("external")
+
     default = (
-        F.when(F.col("at").isNotNull(), F.when(F.col("at") != F.col("at_too"), "unresolved").otherwise("other")).when(F.col("tail"), "unresolved").when(F.col("homonym"), "other")
-        .when(F.col("bound").isNotNull(), F.when(F.col("bound") != F.col("bound_too"), "unresolved").otherwise("other")).when(F.col("opens_other"), "other").otherwise("unresolved")
+        F.when(F.col("at").isNotNull(), elsewhere("at")).when(F.col("tail"), "unresolved").when(F.col("homonym"), "other-declaration")
+        .when(F.col("bound").isNotNull(), elsewhere("bound")).when(F.col("opens_other"), "other-declaration").otherwise("unresolved")
     )
-    defaults = j.select("path", "name", "grp", "start", default.alias("confidence"))
+    sure = F.create_map(*[F.lit(x) for k, (_, c) in REASONS.items() for x in (k, c)])
+    defaults = j.select("path", "name", "grp", "start", default.alias("reason"), sure[default].alias("confidence"))
 
     token = ["name", *key, "end"]
     named_as = aliases.select("alias", "target").join(named, "target")

@@ -33,15 +33,15 @@ def candidates(lexical: DataFrame, occurrences: DataFrame, sites: DataFrame) ->
     return local.unionByName(occurrences.filter("confidence = 'resolved'").select("path", "start", tier.alias("tier"), "target")).unionByName(renamed)
 
 
-def resolved(tokens: DataFrame, lexical: DataFrame, occurrences: DataFrame, sites: DataFrame, uncertain: DataFrame | None = None, patterns: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+def resolved(tokens: DataFrame, lexical: DataFrame, occurrences: DataFrame, sites: DataFrame, uncertain: DataFrame | None = None, patterns: DataFrame | None = None, members: DataFrame | None = None, defaults: DataFrame | None = None) -> DataFrame:
     """path, name, start, outcome, tier, targets, why of every token: resolved, ambiguous, or unavailable and why.
 
-    A name in a pattern is what its pattern makes it; those that bind are local. A member of a namespace is what the module exports.
+    occurrences: pairs of judge(), or those of scoped() with its defaults, which say why a token without candidates has none. A name in a pattern is what its pattern makes it; those that bind are local. A member of a namespace is what the module exports.
     """
     found = candidates(lexical, occurrences, sites)
     first = found.groupBy("path", "start").agg(F.min("tier").alias("tier"))
     kept = found.join(first, ["path", "start", "tier"]).groupBy("path", "start", "tier").agg(F.sort_array(F.collect_set("target")).alias("targets"))
-    seen = occurrences.groupBy("path", "start").agg(*[F.bool_or(F.col("reason") == r).alias(r) for r in ("unresolved", "external", "other-declaration")])
+    seen = (occurrences if defaults is None else defaults).groupBy("path", "start").agg(*[F.bool_or(F.col("reason") == r).alias(r) for r in ("unresolved", "external", "other-declaration")])
     out = tokens.select("path", "name", "start", "end").join(kept, ["path", "start"], "left").join(seen, ["path", "start"], "left")
     if uncertain is not None:  # the running end of the regions before a token tells whether one holds it
         regions = uncertain.select("path", F.col("start"), F.col("end").alias("__end")).withColumn("__token", F.lit(0))
