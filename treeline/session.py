@@ -37,11 +37,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a loop's lineage stays short and survives lost executors. The table goes when the interpreter ends."""
+    """Write df to the shared folder and read it back, so that a loop's lineage stays short and survives lost executors. The table goes when the interpreter ends.
+
+    Its joins are shuffled, as lists of facts pack so well that Spark, which goes by the size of files, would send a large table through the driver.
+    """
     path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     atexit.register(_delete, df.sparkSession, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 @contextmanager
