@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from treeline.functions import text as T
 from treeline.session import settle
 
 
@@ -13,3 +14,13 @@ def test_settled_tables_meet_in_shuffled_joins(spark):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert facts.join(F.broadcast(b.filter("id < 5")), "id").count() == 250  # what is known to be small still goes to all tasks
+
+
+def test_line_starts_of_empty_null_and_sliced_texts(spark):
+    texts = [None, "", "\n", "a\nb", "é\n\n€x\n", "no break", None, "\n\n"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    found = {r["k"]: r["at"] for r in rows.select("k", T.line_starts(F.col("t")).alias("at")).collect()}
+    for k, t in enumerate(texts):
+        assert found[k] == (None if t is None else [0, *[i + 1 for i, c in enumerate(t.encode()) if c == 10]])
+    plan = rows.select(T.line_starts(F.col("t")).alias("at"))._jdf.queryExecution().executedPlan().toString()
+    assert "SQL_SCALAR_PANDAS_UDF" not in plan and "pandas" not in plan.lower()
