@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from treeline import queries
 from treeline.functions import text as T
+from treeline.operators import graph
 from treeline.session import settle
 
 
@@ -24,3 +26,15 @@ def test_line_starts_of_empty_null_and_sliced_texts(spark):
         assert found[k] == (None if t is None else [0, *[i + 1 for i, c in enumerate(t.encode()) if c == 10]])
     plan = rows.select(T.line_starts(F.col("t")).alias("at"))._jdf.queryExecution().executedPlan().toString()
     assert "SQL_SCALAR_PANDAS_UDF" not in plan and "pandas" not in plan.lower()
+
+
+def test_the_forest_of_aliases_is_joined_by_shuffles(spark, monkeypatch):
+    plans, real = [], graph.settle
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(graph, "settle", spy)
+    assert queries.f1_alias_forest(spark, "/root/testdata/sf0.001").count() > 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
