@@ -43,6 +43,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     atexit.register(_delete, df.sparkSession, path)
+    # Spark 4.1 plans joins by the partitions of a union and then merges those of its parts one by one, so that the sides no longer match.
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
