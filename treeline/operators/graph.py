@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treeline.functions import paths as P
 from treeline.functions import text as T
 from treeline.operators.search import except_known
-from treeline.session import settle
+from treeline.session import few, settle
 
 # Kinds that an address can name, packages outside every workspace, the visibility words, the order of reasons.
 ADDRESSABLE = ("function", "struct", "enum", "trait", "type-alias", "const", "static", "module", "macro", "class", "interface", "variable")
@@ -35,7 +35,7 @@ def containing_package(files: DataFrame, packages: DataFrame) -> DataFrame:
     """path and the package (name, root) with the deepest root above it."""
     parts = F.split("path", "/")
     above = files.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("root"))
-    return above.join(packages.select("root", "name"), "root").groupBy("path").agg(F.max_by(F.struct("name", "root"), F.length("root")).alias("p")).select("path", "p.name", "p.root")
+    return above.join(few(packages.select("root", "name")), "root").groupBy("path").agg(F.max_by(F.struct("name", "root"), F.length("root")).alias("p")).select("path", "p.name", "p.root")
 
 
 def modules(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def package_referent(rows: DataFrame, packages: DataFrame, dependencies: DataFra
     known = packages.select(F.col("name").alias("first"), F.col("name").alias("member")).distinct()
     deps = dependencies.select(F.col("package").alias("own"), F.col("used_as").alias("first"), "dep_name").distinct()
     meant = F.coalesce("dep_name", F.when(F.col("member") != F.col("own"), F.col("member")), F.when(F.col("first").isin(*SYSTEM_PACKAGES), F.col("first")))
-    return rows.join(deps, ["own", "first"], "left").join(known, "first", "left").withColumn("referent", meant).drop("dep_name", "member")
+    return rows.join(few(deps), ["own", "first"], "left").join(few(known), "first", "left").withColumn("referent", meant).drop("dep_name", "member")
 
 
 def edges(imports: DataFrame, mods: DataFrame, packages: DataFrame, dependencies: DataFrame, decls: DataFrame, files: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def edges(imports: DataFrame, mods: DataFrame, packages: DataFrame, dependencies
     ts = ts.join(hit, ["path", "ord"], "left").select(*imports.columns, "from_addr", F.when(F.col("file").isNotNull(), F.lit("")).alias("package"), F.when(F.col("file").isNotNull(), F.array("file")).alias("apath"), F.col("file").alias("addr"))
     fake = base.filter("language = 'fake'").select(*imports.columns, "from_addr", F.lit("fake").alias("package"), F.col("segments").alias("apath"), F.concat_ws("::", F.lit("fake"), F.array_join("segments", "::")).alias("addr"))
     members = packages.select(F.col("name").alias("package")).distinct().withColumn("inside", F.lit(True))
-    return rust.unionByName(ts).unionByName(fake).join(members, "package", "left").withColumn("external", F.col("inside").isNull() & (F.col("package") != "") & (F.col("package") != "fake")).drop("inside")
+    return rust.unionByName(ts).unionByName(fake).join(few(members), "package", "left").withColumn("external", F.col("inside").isNull() & (F.col("package") != "") & (F.col("package") != "fake")).drop("inside")
 
 
 def alias_closure(targets: DataFrame, edge: DataFrame) -> DataFrame:
@@ -260,6 +260,12 @@ def import_problems(edge: DataFrame, tokens: DataFrame, mods: DataFrame) -> Data
     return out.unionByName(unplaced).orderBy("path", "ord")
 
 
+def _declared_in_opened(tokens: DataFrame, opens: DataFrame, names: DataFrame) -> DataFrame:
+    """(path, name) of tokens that share their name with a declaration(m, name) of a module that their file opens. It starts from the tokens, as files times declarations of a module are many."""
+    asked = tokens.select("path", "name").distinct().join(opens, "path")
+    return asked.join(names.select(F.col("m").alias("opened"), "name"), ["opened", "name"], "left_semi").select("path", "name").distinct()
+
+
 def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFrame, mods: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Every token against every declaration of its name and language group, or those in `of` alone: target, path, start, reason, reason_ord, confidence.
 
@@ -295,8 +301,8 @@ def judge(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFra
     opens = edge.filter("declares and addr is not null").filter("glob or language <> 'rust'").select("path", F.col("addr").alias("opened")).distinct()
     offers = aliases.filter("alias <> target").select("target", F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)").alias("opened")).distinct()
     open_home = opens.withColumnRenamed("opened", "home").withColumn("opens_home", F.lit(True))
-    open_offer = offers.join(opens, "opened").select("target", "path").distinct().withColumn("opens_offer", F.lit(True))
-    open_other = opens.join(names.select(F.col("m").alias("opened"), "name"), "opened").select("path", "name").distinct().withColumn("opens_other", F.lit(True))
+    open_offer = t.select("target", "path").distinct().join(opens, "path").join(offers, ["target", "opened"], "left_semi").select("target", "path").distinct().withColumn("opens_offer", F.lit(True))
+    open_other = _declared_in_opened(t, opens, names).withColumn("opens_other", F.lit(True))
     mine = aliases.groupBy("target").agg(F.collect_set("alias").alias("offered"))
     j = t.join(at, ["path", "start"], "left").join(tail, ["path", "start"], "left").join(names, ["m", "name"], "left").join(bound, ["path", "name"], "left").join(open_home, ["path", "home"], "left").join(open_offer, ["path", "target"], "left").join(open_other, ["path", "name"], "left").join(mine, "target", "left")
 
@@ -348,10 +354,10 @@ def scoped(tokens: DataFrame, decls: DataFrame, edge: DataFrame, aliases: DataFr
     names = decls.select(F.col("module_addr").alias("m"), "name").distinct()
     bound = edge.filter("declares and addr is not null and binding is not null and not is_prefix").groupBy("path", F.col("binding").alias("name")).agg(F.min("addr").alias("bound"), F.max("addr").alias("bound_too"))
     opens = edge.filter("declares and addr is not null").filter("glob or language <> 'rust'").select("path", F.col("addr").alias("opened")).distinct()
-    other = opens.join(names.select(F.col("m").alias("opened"), "name"), "opened").select("path", "name").distinct().withColumn("opens_other", F.lit(True))
+    other = _declared_in_opened(t, opens, names).withColumn("opens_other", F.lit(True))
     j = t.join(at, key, "left").join(tail, key, "left").join(names.withColumn("homonym", F.lit(True)), ["m", "name"], "left").join(bound, ["path", "name"], "left").join(other, ["path", "name"], "left")
     members = mods.select(F.col("package").alias("of")).distinct().withColumn("member", F.lit(True))
-    j = settle(j.withColumn("of", F.substring_index(F.coalesce("at", "bound"), "::", 1)).join(members, "of", "left").drop("of"))
+    j = settle(j.withColumn("of", F.substring_index(F.coalesce("at", "bound"), "::", 1)).join(few(members), "of", "left").drop("of"))
 
     def elsewhere(column: str) -> Column:
         """What an address says that is not the declaration's: nothing where there are several, else another declaration, in the workspace or not."""

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,10 +46,18 @@ def settle(df: DataFrame) -> DataFrame:
     atexit.register(_delete, df.sparkSession, path)
     # Spark 4.1 plans joins by the partitions of a union and then merges those of its parts one by one, so that the sides no longer match.
     df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # What joins, groups and filters make of such tables carries no hint, so sizes that were measured in a shuffle decide there, none that were guessed from files.
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df.sparkSession.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, sent to all tasks of a join if its rows are counted and at most `most`; for narrow rows whose keys are few, as packages are."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
     """Jobs started inside can be stopped by cancel(spark, tag) from another thread; they end with an error."""
