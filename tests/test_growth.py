@@ -38,3 +38,12 @@ def test_opened_modules_are_not_multiplied_with_their_names(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert 0 < max(most) < 50 * 60 / 2  # 50 files that open a module of 60 names
     assert hits.filter("reason = 'opened'").count() == 50 and defaults.filter("name = 's7'").agg(F.countDistinct("path")).first()[0] == 2
+
+
+def test_kinds_of_parents_need_no_join(spark):
+    plan = queries.w_tree_kinds(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_patterns_over_trees_send_no_guessed_table(spark):
+    assert "BroadcastHashJoin" not in queries.w_tree_functions(spark, SMALL)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]

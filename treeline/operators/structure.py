@@ -12,31 +12,51 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
 from treeline.lang import tree
+from treeline.session import settle
 
-NODE = "pre int, post int, parent int, ord int, rord int, n int, kind string, text string, start int, end int"
+NODE = "pre int, post int, parent int, ord int, rord int, n int, kind string, text string, start int, end int, above string"
+#: Characters of text whose nodes make one batch of rows.
+NODES_OF = 1 << 16
 _HOLE = re.compile(r"\$\$\$(\w*)|\$(\w+)")
 _ONE, _RUN = re.compile(r"__one_(\w+)"), re.compile(r"__run_(\w+)")
 _KEY = ["path", "pre"]
 
 
 def tree_nodes(files: DataFrame) -> DataFrame:
-    """path, language and the nodes of every file, one task a file; pre and post number a node before and after what it holds."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODE.split(", ")]
-        for frame in frames:
-            for path, language, text in zip(frame["path"], frame["language"], frame["text"], strict=True):
-                rows = pd.DataFrame.from_records(tree.nodes(text or "", language), columns=names)
-                rows.insert(0, "language", language)
-                rows.insert(0, "path", path)
-                yield rows
-
-    return files.filter("language in ('rust', 'typescript', 'tsx')").select("path", "language", "text").mapInPandas(run, f"path string, language string, {NODE}")
+    """path, language and the nodes of every file, one task a file; pre and post number a node before and after what it holds, above is the kind of its parent."""
+    fields = [("path", pa.string()), ("language", pa.string()), *((c.split()[0], pa.int32() if c.split()[1] == "int" else pa.string()) for c in NODE.split(", "))]
+    schema = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str, list[dict]]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            spread = pa.array(np.repeat(np.arange(len(held)), [len(rows) for _, _, rows in held]))
+            columns = [pa.array([x[k] for x in held], pa.string()).take(spread) for k in (0, 1)]
+            columns += [pa.array([r[f.name] for _, _, rows in held for r in rows], f.type) for f in list(schema)[2:]]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            for path, language, text in zip(*(batch.column(c) for c in ("path", "language", "text")), strict=True):
+                source = text.as_py() or ""
+                held.append((path.as_py(), language.as_py(), tree.nodes(source, language.as_py())))
+                size += len(source)
+                if size >= NODES_OF:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return files.filter("language in ('rust', 'typescript', 'tsx')").select(F.col("path").cast("string").alias("path"), "language", "text").mapInArrow(run, f"path string, language string, {NODE}")
 
 
 def inside(nodes: DataFrame, outer: DataFrame) -> DataFrame:
@@ -170,7 +190,7 @@ def structural(files: DataFrame, nodes: DataFrame, pattern: str, language: str =
     for w in T.pattern_words(pattern):
         near = near.filter(T.whole_word(F.col("text"), w))
     near = near.select("path", "text")
-    some = nodes.join(near.select("path"), "path", "left_semi")
+    some = settle(nodes.join(near.select("path"), "path", "left_semi"))  # every node of the pattern reads it
     hits = _matched(some, asked).drop("parent", "ord", "rord").join(some.select(*_KEY, "start", "end", "kind"), _KEY)
     hits = hits.filter(F.col("kind") == kind) if kind else hits
     hits = hits.join(near, "path")
