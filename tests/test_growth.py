@@ -47,3 +47,15 @@ def test_kinds_of_parents_need_no_join(spark):
 
 def test_patterns_over_trees_send_no_guessed_table(spark):
     assert "BroadcastHashJoin" not in queries.w_tree_functions(spark, SMALL)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_parts_and_relationships_read_the_files_that_matter(spark, monkeypatch):
+    files = {"p/Cargo.toml": '[package]\nname = "p"\n', "p/src/lib.rs": "pub mod a;\nmod b;\nmod c;\n", "p/src/a.rs": "pub struct X;\n", "p/src/b.rs": "use crate::a::X as Y;\nfn f(_: Y) {}\n", "p/src/c.rs": "fn g() { h(); }\n"}
+    ws, read, real = Workspace(workspace.memory_tree(spark, files)), [], graph.scoped
+    part = ws.over(["p/src/b.rs"])
+    assert set(part.facts.inputFiles()).isdisjoint(ws.facts.inputFiles()) and part.facts.count() == 1
+    monkeypatch.setattr(graph, "scoped", lambda tokens, *rest: read.append({r[0] for r in tokens.select("path").distinct().collect()}) or real(tokens, *rest))
+    rows, coverage = ws.relationships("X")
+    assert "p/src/c.rs" not in set().union(*read)
+    want = ws._sites(ws.declared.filter("name = 'X'")).select("path", "start").collect()
+    assert {tuple(r) for r in rows.select("path", "start").collect()} == {tuple(r) for r in want} and coverage.first()["files_remaining"] == 0

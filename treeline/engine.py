@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import context, graph, namespaces, navigation, patterns, search, structure
 from treeline.plans import edits
-from treeline.session import settle
+from treeline.session import few, settle
 from treeline.sources import requests, workspace
 
 
@@ -194,9 +194,10 @@ class Workspace:
         return settle(navigation.resolved(self.family("tokens"), self.bindings(), hits, self._sites(self.declared), self.family("uncertain"), self.patterns, self.members, defaults))
 
     def _sites(self, of: DataFrame) -> DataFrame:
-        wanted = of.select(F.col("addr").alias("target")).distinct()
-        names = navigation.incoming_names(self.edges, self.aliases, self.declared).join(wanted, "target")
-        return navigation.reference_sites(self.family("tokens"), names, self.scoped[1].join(wanted, "target"), self.bindings(), of, self.edges, self.aliases.join(wanted, "target"))
+        wanted = few(of.select(F.col("addr").alias("target")).distinct())
+        mine = self.aliases.join(wanted, "target")
+        names = navigation.incoming_names(self.edges, mine, self.declared.join(wanted.withColumnRenamed("target", "addr"), "addr", "left_semi"))
+        return navigation.reference_sites(self.family("tokens"), names, self.scoped[1].join(wanted, "target"), self.bindings(), of, self.edges, mine)
 
     def navigate(self, path: str, offset: int) -> DataFrame:
         """What the token at an offset means: outcome, tier, targets, why. No row where no token is. Only tokens of the file are judged."""
@@ -207,9 +208,10 @@ class Workspace:
     resolve = navigate
 
     def relationships(self, name: str, declared_in: str | None = None, max_files: int = 64, max_items: int = 64) -> tuple[DataFrame, DataFrame]:
-        """(sites, coverage): references to a declaration under its own name and under names that imports give it."""
-        at = self.target(name, declared_in)
-        return navigation.within_budget(self._sites(self.declared.filter(F.col("addr") == at)), max_files, max_items)
+        """(sites, coverage): references to a declaration under its own name and under names that imports give it. All sites are counted; tokens of files that cannot speak of it are not read."""
+        wanted = self.declared.filter(F.col("addr") == self.target(name, declared_in))
+        paths = settle(navigation.candidate_files(self.edges, self.aliases, wanted, self.modules))
+        return navigation.within_budget(settle(self.over(paths)._sites(wanted)), max_files, max_items)
 
     def related(self, name: str, declared_in: str | None = None, max_files: int = 128, max_items: int = 64, max_lookups: int = 1024) -> tuple[DataFrame, DataFrame]:
         """relationships() in stages: tokens of files that may speak of the declaration are judged by path until a budget is spent, those of no other file."""
@@ -217,7 +219,7 @@ class Workspace:
         candidates = navigation.candidate_files(self.edges, self.aliases, wanted, self.modules)
         return navigation.staged(lambda paths: self.over(paths)._sites(wanted), candidates, max_files, max_items, max_lookups)
 
-    def over(self, paths: list[str]) -> Part:
+    def over(self, paths: list[str] | DataFrame) -> Part:
         """The workspace as some files of it see it."""
         return Part(self, paths)
 
@@ -238,9 +240,12 @@ class Workspace:
     @cached_property
     def patterns(self) -> DataFrame:
         """Every name in a pattern with what it means."""
-        constructors = self.family("constructors")
-        targets = patterns.pattern_targets(self.family("symbols"), constructors, self.modules)
-        return settle(patterns.outcomes(self.family("patterns"), self.family("lexical"), constructors, self.edges, self.aliases, targets, self.modules))
+        return settle(patterns.outcomes(self.family("patterns"), self.family("lexical"), self.family("constructors"), self.edges, self.aliases, self.pattern_targets, self.modules))
+
+    @cached_property
+    def pattern_targets(self) -> DataFrame:
+        """What a name in a pattern may mean."""
+        return settle(patterns.pattern_targets(self.family("symbols"), self.family("constructors"), self.modules))
 
     @cached_property
     def exports(self) -> DataFrame:
@@ -264,27 +269,33 @@ SHARED = ("symbols", "constructors")
 class Part(Workspace):
     """Some files of a workspace: only their tokens, and what hangs on tokens, are read; the graph is that of the whole."""
 
-    def __init__(self, whole: Workspace, paths: list[str]) -> None:
+    def __init__(self, whole: Workspace, paths: list[str] | DataFrame) -> None:
         super().__init__(whole.files)
-        self.whole, self.paths = whole, paths
+        self.whole, self.paths = whole, few(paths.select("path")) if isinstance(paths, DataFrame) else paths
 
-    facts = property(lambda self: self.whole.facts)
     manifests = property(lambda self: self.whole.manifests)
     modules = property(lambda self: self.whole.modules)
     declared = property(lambda self: self.whole.declared)
     aliases = property(lambda self: self.whole.aliases)
     exports = property(lambda self: self.whole.exports)
+    pattern_targets = property(lambda self: self.whole.pattern_targets)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        # The files' facts are taken out once, so that the whole is not read again for each family.
+        return settle(self._mine(self.whole.facts))
 
     def family(self, name: str) -> DataFrame:
-        found = self.whole.family(name)
-        return found if name in SHARED else self._mine(found)
+        return self.whole.family(name) if name in SHARED else super().family(name)
 
     def _mine(self, rows: DataFrame) -> DataFrame:
+        if isinstance(self.paths, DataFrame):
+            return rows.join(self.paths, "path", "left_semi")
         return rows.filter(F.col("path").isin(*self.paths))
 
-    @property
+    @cached_property
     def edges(self) -> DataFrame:
-        return self._mine(self.whole.edges)
+        return settle(self._mine(self.whole.edges))
 
     @cached_property
     def members(self) -> DataFrame:

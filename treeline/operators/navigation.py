@@ -16,7 +16,7 @@ from treeline.functions import paths as P
 from treeline.operators.graph import addr as address
 from treeline.operators.graph import admits, reach
 from treeline.operators.search import except_known
-from treeline.session import settle
+from treeline.session import few, settle
 
 # Tiers in order, and why a token has no target.
 TIERS = ("local", "direct", "opened")
@@ -168,12 +168,12 @@ def candidate_files(edge: DataFrame, aliases: DataFrame, decls: DataFrame, mods:
     """path: files that may speak of decls at all: their own, those of their module, those with a path through one of their addresses, and those
     that open what holds one. It is told from the graph, so no token is read; every site of reference_sites() lies in one of them."""
     mine = decls.select(F.col("addr").alias("target"), "path", "module_addr")
-    offered = aliases.join(mine.select("target").distinct(), "target").select("alias").distinct()
+    offered = few(aliases.join(few(mine.select("target").distinct()), "target").select("alias").distinct())
     known = edge.filter("addr is not null")
     through = known.select("path", "addr", F.explode(F.transform(P.prefixes(F.col("apath")), lambda p: address(F.col("package"), p))).alias("alias"))
     holders = offered.select(F.expr("substring(alias, 1, length(alias) - length(element_at(split(alias, '::'), -1)) - 2)").alias("addr")).unionByName(mine.select(F.col("module_addr").alias("addr"))).distinct()
-    openers = known.filter("declares and (glob or language <> 'rust')").select("path", "addr").join(holders, "addr")
-    homes = mods.select("path", "addr").join(mine.select(F.col("module_addr").alias("addr")).distinct(), "addr")
+    openers = known.filter("declares and (glob or language <> 'rust')").select("path", "addr").join(few(holders), "addr")
+    homes = mods.select("path", "addr").join(few(mine.select(F.col("module_addr").alias("addr")).distinct()), "addr")
     return mine.select("path").unionByName(through.join(offered, "alias").select("path")).unionByName(openers.select("path")).unionByName(homes.select("path")).distinct()
 
 
