@@ -59,3 +59,21 @@ def test_parts_and_relationships_read_the_files_that_matter(spark, monkeypatch):
     assert "p/src/c.rs" not in set().union(*read)
     want = ws._sites(ws.declared.filter("name = 'X'")).select("path", "start").collect()
     assert {tuple(r) for r in rows.select("path", "start").collect()} == {tuple(r) for r in want} and coverage.first()["files_remaining"] == 0
+
+
+def test_words_of_one_text_are_not_shuffled_by_name(spark):
+    rows = [("a", "x y x é_z 9 x1"), ("a", "y q"), ("b", "one two one"), ("c", None), ("d", ""), ("e", "1 2")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: tuple(r)[1:] for r in search.word_counts(files).collect()}
+    plain = search.identifiers(files).groupBy("path").agg(F.count("*"), F.sum("start"), F.sum("end"), F.countDistinct("name"))
+    assert got == {r["path"]: tuple(r)[1:] for r in plain.collect()} and got["a"][3] == 5
+    once = files.filter("path <> 'a'")
+    plan = search.word_counts(once)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and search.identifiers(once, fresh=True).filter("fresh").count() == 2
+
+
+def test_identifiers_make_no_object_of_a_text(spark):
+    texts = [None, "", "é a_1 bb", "x\ny", "a" * 5000]
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, text string").coalesce(1)
+    rows = {(r["path"], r["ord"]): (r["name"], r["start"], r["end"], r["line"], r["col"]) for r in search.identifiers(files).collect()}
+    assert rows[("2", 0)] == ("a_1", 3, 6, 0, 2) and rows[("3", 1)] == ("y", 2, 3, 1, 0) and rows[("4", 0)][2] == 5000 and len(rows) == 5

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
-from treeline.session import settle
+from treeline.session import few, settle
 
 ROLES = ("declaration", "import", "use")
 _PIECE = np.array([1 if chr(c).isalpha() and c < 128 or c == 95 else 2 if 48 <= c < 58 else 0 for c in range(256)], np.uint8)
@@ -29,7 +29,7 @@ def with_literals(files: DataFrame, words: list[str]) -> DataFrame:
 TEXT_BYTES = 1 << 18
 
 
-def _identifiers_of(raw: bytes) -> tuple[np.ndarray, ...] | None:
+def _identifiers_of(raw: pa.Buffer) -> tuple[np.ndarray, ...] | None:
     """(bytes of all identifiers, lengths, starts, lines, columns) of a text."""
     data = np.frombuffer(raw, np.uint8)
     kind = _PIECE[data]
@@ -50,8 +50,11 @@ def _identifiers_of(raw: bytes) -> tuple[np.ndarray, ...] | None:
     return data[np.cumsum(inside[:-1]) > 0], ends - starts, starts, line, chars[starts] - chars[first]
 
 
-def identifiers(files: DataFrame) -> DataFrame:
-    """path, ord, name, start, end, line, col of every ASCII identifier of any text. No shuffle: a file is read in its task, names are cut without a loop over them."""
+def identifiers(files: DataFrame, fresh: bool = False) -> DataFrame:
+    """path, ord, name, start, end, line, col of every ASCII identifier of any text. No shuffle: a file is read in its task, names are cut without a loop over them, and no text becomes an object of Python.
+
+    fresh adds a column of that name: whether the file's text holds the name here for the first time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -65,22 +68,36 @@ def identifiers(files: DataFrame) -> DataFrame:
             order = np.concatenate([np.arange(len(x[1])) for _, x in held])
             numbers = (order, starts, starts + lengths, lines, cols)
             number, start, end, line, col = (pa.array(x.astype(np.int32)) for x in numbers)
+            columns = [paths, number, names, start, end, line, col]
+            if fresh:
+                code = names.dictionary_encode().indices.to_numpy().astype(np.int64)
+                first = np.zeros(len(code), bool)
+                first[np.unique(np.repeat(np.arange(len(held)), [len(x[1]) for _, x in held]) * len(code) + code, return_index=True)[1]] = True
+                columns.append(pa.array(first))
             held.clear()
-            return pa.RecordBatch.from_arrays([paths, number, names, start, end, line, col], ["path", "ord", "name", "start", "end", "line", "col"])
+            return pa.RecordBatch.from_arrays(columns, ["path", "ord", "name", "start", "end", "line", "col", *(["fresh"] if fresh else [])])
 
         for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                if (found := _identifiers_of(raw)) is not None:
-                    held.append((path, found))
-                    size += len(raw)
+            for path, text in zip(batch.column("path"), batch.column("text"), strict=True):
+                raw = text.as_buffer() if text.is_valid else None
+                if raw is not None and raw.size and (found := _identifiers_of(raw)) is not None:
+                    held.append((path.as_py(), found))
+                    size += raw.size
                 if size >= TEXT_BYTES:
                     yield out()
                     size = 0
         if held:
             yield out()
 
-    return files.select(F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "path string, ord int, name string, start int, end int, line int, col int")
+    return files.select(F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "path string, ord int, name string, start int, end int, line int, col int" + (", fresh boolean" if fresh else ""))
+
+
+def word_counts(files: DataFrame) -> DataFrame:
+    """path, n, starts, ends, names: identifiers of each path, sums of their places, and distinct names. Names of one text are told apart in its task; only those of paths with several texts are shuffled."""
+    sums = [F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends")]
+    again = few(files.groupBy("path").agg(F.count("*").alias("texts")).filter("texts > 1").select("path"))
+    once_only = identifiers(files.join(again, "path", "left_anti"), fresh=True).groupBy("path").agg(*sums, F.count_if("fresh").alias("names"))
+    return once_only.unionByName(identifiers(files.join(again, "path", "left_semi")).groupBy("path").agg(*sums, F.countDistinct("name").alias("names")))
 
 
 def named(tokens: DataFrame, name: str) -> DataFrame:
