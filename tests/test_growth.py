@@ -77,3 +77,13 @@ def test_identifiers_make_no_object_of_a_text(spark):
     files = spark.createDataFrame(list(enumerate(texts)), "path int, text string").coalesce(1)
     rows = {(r["path"], r["ord"]): (r["name"], r["start"], r["end"], r["line"], r["col"]) for r in search.identifiers(files).collect()}
     assert rows[("2", 0)] == ("a_1", 3, 6, 0, 2) and rows[("3", 1)] == ("y", 2, 3, 1, 0) and rows[("4", 0)][2] == 5000 and len(rows) == 5
+
+
+def test_importers_are_counted_by_one_join_of_uses(spark):
+    decls = spark.createDataFrame([("t", "h1"), ("t", "h2"), ("u", "h1")], "addr string, path string")
+    aliases = spark.createDataFrame([("t", "t"), ("t", "v"), ("u", "u")], "target string, alias string")
+    edge = spark.createDataFrame([(p, a, True, False) for p, a in (("h1", "t"), ("x", "t"), ("x", "v"), ("x", "t"), ("h1", "u"), ("y", None))], "path string, addr string, declares boolean, is_prefix boolean")
+    found = graph.imported_by(decls, aliases, edge)
+    assert {tuple(r) for r in found.collect()} == {("t", 2)}  # h1 is another file than h2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("LogicalRDD") == 3 and "Aggregate [user" not in plan

@@ -205,9 +205,11 @@ def impact(edge: DataFrame, mods: DataFrame, starts: DataFrame, declaring: str,
 
 def imported_by(decls: DataFrame, aliases: DataFrame, edge: DataFrame) -> DataFrame:
     """addr, imported_by: the number of other files that import a declaration under any of its aliases."""
-    uses = edge.filter("declares and addr is not null and not is_prefix").select(F.col("path").alias("user"), F.col("addr").alias("alias")).distinct()
-    homes = decls.select(F.col("addr").alias("target"), F.col("path").alias("home")).distinct()
-    return aliases.join(uses, "alias").join(homes, "target").filter("user <> home").groupBy(F.col("target").alias("addr")).agg(F.countDistinct("user").alias("imported_by"))
+    uses = edge.filter("declares and addr is not null and not is_prefix").select(F.col("path").alias("user"), F.col("addr").alias("alias"))
+    # A file is another one if it is not the least or not the greatest home. Homes meet the aliases first, so that uses are sorted for one join alone.
+    homes = decls.groupBy(F.col("addr").alias("target")).agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    known = aliases.select("target", "alias").join(homes, "target")
+    return uses.join(known, "alias").filter("user <> low or user <> high").groupBy(F.col("target").alias("addr")).agg(F.countDistinct("user").alias("imported_by"))
 
 
 def surface(decls: DataFrame, aliases: DataFrame, edge: DataFrame, package: str | None = None) -> DataFrame:
