@@ -87,3 +87,16 @@ def test_importers_are_counted_by_one_join_of_uses(spark):
     assert {tuple(r) for r in found.collect()} == {("t", 2)}  # h1 is another file than h2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2 and plan.count("LogicalRDD") == 3 and "Aggregate [user" not in plan
+
+
+def test_facts_go_from_lists_to_arrow_without_frames(spark):
+    texts = {"a.rs": "use x::{y, z as w};\nfn f(a: u8) { match a { K | (L, 1) => g(), _ => {} } }\n", "b.ts": 'import { a as b } from "./x";\nb.c;\n', "c.fake": "def E\n", "d.rs": "", "e.rs": "struct É;\n"}
+    files = workspace.memory_tree(spark, texts)
+    found = workspace.facts(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    rows = {r["path"]: r for r in found.collect()}
+    for path, row in rows.items():
+        plain = workspace.PARSERS[row["language"]](texts[path])
+        assert all([x.asDict(True) for x in row[k]] == [{c: x.get(c) for c in found.schema[k].dataType.elementType.names} for x in getattr(plain, k)] for k in workspace.FACTS)
+    assert rows["a.rs"]["patterns"][1]["branches"][0]["of"] == 2 and rows["d.rs"]["tokens"] == [] and rows["e.rs"]["symbols"][0]["name"] == "É"

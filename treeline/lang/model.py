@@ -7,6 +7,7 @@ are decoded as UTF-8 at the end.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 # The kinds of declarations.
 KINDS = (
@@ -49,8 +50,10 @@ class Facts:
     named_imports: list[dict] = field(default_factory=list)
 
 
-@dataclass(frozen=True)
-class Lexeme:
+_item = list.__getitem__
+
+
+class Lexeme(NamedTuple):
     kind: str  # word, number, string, life, mark, comment
     text: str
     start: int
@@ -65,14 +68,24 @@ class Lexemes(list):
         self.end = Lexeme("end", "", size, size)
 
     def __getitem__(self, i):  # noqa: ANN001, ANN204
-        return self.end if isinstance(i, int) and i >= len(self) else super().__getitem__(i)
+        try:
+            return _item(self, i)
+        except IndexError:
+            if i < 0:
+                raise
+            return self.end
 
 
 class Partners(list):
     """Partners of brackets; a place beyond the last has none."""
 
     def __getitem__(self, i):  # noqa: ANN001, ANN204
-        return -1 if isinstance(i, int) and i >= len(self) else super().__getitem__(i)
+        try:
+            return _item(self, i)
+        except IndexError:
+            if i < 0:
+                raise
+            return -1
 
 
 def named(raw: str) -> str:

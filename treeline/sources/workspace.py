@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tomllib
 from collections.abc import Iterator
-from dataclasses import asdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,15 +102,34 @@ def revalidated(snapshot: DataFrame, files: DataFrame) -> DataFrame:
 
 def facts(files: DataFrame) -> DataFrame:
     """path, language and one array column for each family of facts: every file is parsed once."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 64):
-                part = frame.iloc[at : at + 64]
-                rows = [asdict(PARSERS[lang](text or "")) for lang, text in zip(part["language"], part["text"], strict=True)]
-                yield pd.DataFrame({"path": part["path"].to_numpy(), "language": part["language"].to_numpy()} | {k: [r[k] for r in rows] for k in FACTS})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {k: pa.list_(pa.struct([_arrow_field(c) for c in _columns(v)])) for k, v in FACTS.items()}
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                rows = [PARSERS[lang](text or "") for lang, text in zip(part["language"].to_pylist(), part["text"].to_pylist(), strict=True)]
+                lists = {k: pa.array([getattr(r, k) for r in rows], kind) for k, kind in kinds.items()}
+                yield pa.RecordBatch.from_pydict({"path": part["path"], "language": part["language"]} | lists)
 
     schema = "path string, language string, " + ", ".join(f"{k} array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in _columns(v))}>>" for k, v in FACTS.items())
-    return files.filter(F.col("language").isin(*PARSERS)).select("path", "language", "text").mapInPandas(run, schema)
+    return files.filter(F.col("language").isin(*PARSERS)).select("path", "language", "text").mapInArrow(run, schema)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of a column of facts: a plain one, a list, or a struct of plain ones."""
+    if kind.startswith("array<"):
+        return pa.list_(_arrow_type(kind[6:-1]))
+    if kind.startswith("struct<"):
+        return pa.struct([(name, _ARROW[of]) for name, of in (c.split(":") for c in kind[7:-1].split(","))])
+    return _ARROW[kind]
+
+
+def _arrow_field(column: str) -> tuple[str, pa.DataType]:
+    name, kind = column.strip().split(" ", 1)
+    return name, _arrow_type(kind)
 
 
 def _columns(ddl: str) -> list[str]:
