@@ -1,5 +1,9 @@
 """Tables of the workspace may be large whatever the size of their files, so none is sent through the driver."""
 
+import tracemalloc
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from treeline import queries
@@ -28,6 +32,23 @@ def test_line_starts_of_empty_null_and_sliced_texts(spark):
     assert "SQL_SCALAR_PANDAS_UDF" not in plan and "pandas" not in plan.lower()
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_line_starts_take_no_memory_in_proportion_to_a_batch(monkeypatch, kind):
+    made = []
+    monkeypatch.setattr(T.F, "arrow_udf", lambda f, _: made.append(f) or (lambda c: c))
+    T.line_starts(None)
+    texts = ["x" * 1000 + "\n" + "é" * 500, None, "", "\n" * 3, "y" * 3_000_000 + "\nz"] + ["w" * 16_000 + "\n"] * 2000
+    held = pa.array(texts, kind)
+    for batch in (held, held.slice(1, 900), held.slice(0, 0)):
+        tracemalloc.start()
+        found = made[0](batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.type == pa.list_(pa.int32()) and len(found) == len(batch)
+        assert found.to_pylist() == [None if t is None else [0, *[i + 1 for i, c in enumerate(t.encode()) if c == 10]] for t in batch.to_pylist()]
+        assert peak < 8 << 20, f"{peak} bytes for {batch.nbytes}"
+
+
 def test_the_forest_of_aliases_is_joined_by_shuffles(spark, monkeypatch):
     plans, real = [], graph.settle
 

@@ -41,12 +41,14 @@ def whole_word(text: Column, word: str) -> Column:
     return text.rlike(f"(?<!{WORD_CLASS}){re.escape(word)}(?!{WORD_CLASS})")
 
 
+#: Bytes of text whose line breaks are sought at once, so that what that takes does not grow with a batch.
+SLICE_BYTES = 1 << 20
+
+
 def line_starts(text: Column) -> Column:
     """Byte offsets at which lines begin, in one pass over the bytes of a batch; no text becomes an object of Python."""
-    def run(texts: pa.Array) -> pa.Array:
-        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-        _, offsets, held = texts.buffers()
-        offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    def some(texts: pa.Array, offsets: np.ndarray) -> pa.Array:
+        held = texts.buffers()[2]
         data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
         breaks = np.flatnonzero(data == 10) + offsets[0]
         row = np.searchsorted(offsets, breaks, side="right") - 1
@@ -57,6 +59,15 @@ def line_starts(text: Column) -> Column:
         out[later] = breaks + 1 - offsets[row]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=texts.is_null() if texts.null_count else None)
 
+    def run(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.list_(pa.int32()))
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        cuts = np.searchsorted(offsets, np.arange(offsets[0] + SLICE_BYTES, offsets[-1], SLICE_BYTES))
+        cuts = np.unique(np.concatenate(([0], cuts, [len(texts)])))
+        return pa.concat_arrays([some(texts.slice(a, b - a), offsets[a : b + 1]) for a, b in zip(cuts[:-1], cuts[1:])])
+
     return F.arrow_udf(run, "array<int>")(text)
 
 
