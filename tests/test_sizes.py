@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeline import queries
 from treeline.functions import text as T
-from treeline.operators import graph
+from treeline.operators import graph, namespaces
 from treeline.session import settle
 
 
@@ -59,3 +59,15 @@ def test_the_forest_of_aliases_is_joined_by_shuffles(spark, monkeypatch):
     monkeypatch.setattr(graph, "settle", spy)
     assert queries.f1_alias_forest(spark, "/root/testdata/sf0.001").count() > 0
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_members_of_namespaces_are_joined_by_shuffles(spark, monkeypatch):
+    plans, real = [], namespaces.settle
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(namespaces, "settle", spy)
+    assert queries.w_members(spark, "/root/testdata/sf0.001").count() > 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
