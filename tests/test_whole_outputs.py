@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline import queries
+from treeline.engine import Workspace
 from treeline.operators import graph
+from treeline.sources import workspace
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
@@ -50,3 +52,16 @@ def test_long_chains_of_re_exports_are_followed_to_the_end(spark):
     everyone = graph.reach(F.lit("pub"), F.lit("g"), F.expr("cast(array() as array<string>)"), F.lit("rust"))
     targets = spark.createDataFrame([("g::m0::X",)], "addr string").withColumn("reach", everyone)
     assert {(r["alias"], r["step"]) for r in graph.alias_closure(targets, chain).collect()} == {(f"g::m{k}::X", k) for k in range(n + 1)}
+
+
+def test_relationships_are_not_cut(spark, monkeypatch):
+    files = {"p/Cargo.toml": '[package]\nname = "p"\n', "p/src/lib.rs": "pub mod n4;\n", "p/src/n4.rs": "pub struct Nation4;\n"}
+    files |= {f"p/src/c{i}.rs": "use crate::n4::Nation4;\n" + "".join(f"fn f{k}(_: Nation4) {{}}\n" for k in range(8)) for i in range(70)}
+    ws = Workspace(workspace.memory_tree(spark, files))
+    monkeypatch.setattr(queries, "_workspace", lambda *_: ws)
+    want = sorted((p, m.start()) for p, t in files.items() if "/c" in p for m in re.finditer("Nation4", t))
+    assert len(want) == 630  # in 70 files: more than 64 files and 512 rows
+    assert [(r["path"], r["start"]) for r in queries.w_relationships(spark, "").collect()] == want
+    assert tuple(ws.relationships("Nation4")[1].first()) == (70, 0, 630, 0, None)
+    rows, told = ws.relationships("Nation4", max_files=65, max_items=600)
+    assert rows.count() == 585 and tuple(told.first()) == (65, 5, 585, 45, "files")

@@ -207,8 +207,8 @@ class Workspace:
 
     resolve = navigate
 
-    def relationships(self, name: str, declared_in: str | None = None, max_files: int = 64, max_items: int = 64) -> tuple[DataFrame, DataFrame]:
-        """(sites, coverage): references to a declaration under its own name and under names that imports give it. All sites are counted; tokens of files that cannot speak of it are not read."""
+    def relationships(self, name: str, declared_in: str | None = None, max_files: int | None = None, max_items: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(sites, coverage): all references to a declaration under its own name and under names that imports give it, unless a budget is given. All sites are counted; tokens of files that cannot speak of it are not read."""
         wanted = self.declared.filter(F.col("addr") == self.target(name, declared_in))
         paths = settle(navigation.candidate_files(self.edges, self.aliases, wanted, self.modules))
         return navigation.within_budget(settle(self.over(paths)._sites(wanted)), max_files, max_items)

@@ -148,18 +148,22 @@ def reference_sites(tokens: DataFrame, names: DataFrame, occurrences: DataFrame,
     return except_known(sites, decls.select(F.col("addr").alias("target"), "path", F.col("name_start").alias("start")), ["target", "path", "start"])
 
 
-def within_budget(rows: DataFrame, max_files: int = 64, max_items: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(rows, coverage): rows of the first max_files files by path, max_items of them at most, and one row that says what was left out.
+def within_budget(rows: DataFrame, max_files: int | None = None, max_items: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, coverage): rows by path and start, and one row that says what was left out. All rows stay, unless a budget is given: then those of the first max_files files by path, max_items of them at most.
 
-    Files are numbered over one row a file, taken from a top-k of max_files, so the budget bounds the work.
+    Files are numbered over one row a file, taken from a top-k of max_files, so a budget bounds the work.
     """
     files = rows.groupBy("path").agg(F.count("*").alias("n"))
-    taken = files.orderBy("path").limit(max_files)
-    kept = rows.join(F.broadcast(taken.select("path")), "path").orderBy("path", "start").limit(max_items)  # max_files rows at most
+    taken, kept = files, rows.select("path", *[c for c in rows.columns if c != "path"])
+    if max_files is not None:
+        taken = files.orderBy("path").limit(max_files)
+        kept = kept.join(F.broadcast(taken.select("path")), "path")  # max_files rows at most
+    kept = kept.orderBy("path", "start")
+    kept = kept if max_items is None else kept.limit(max_items)
     whole = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"))
     part = taken.agg(F.count("*").alias("files_scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
-    shown = F.least("found", F.lit(max_items))
-    limit = F.when(F.col("found") > max_items, "items").when(F.col("files") > F.col("files_scanned"), "files")
+    shown = F.col("found") if max_items is None else F.least("found", F.lit(max_items))
+    limit = F.when(F.col("found") > shown, "items").when(F.col("files") > F.col("files_scanned"), "files")
     both = whole.withColumn("k", F.lit(0)).join(part.withColumn("k", F.lit(0)), "k")  # one row each
     return kept, both.select("files_scanned", (F.col("files") - F.col("files_scanned")).alias("files_remaining"), shown.alias("items"), (F.col("items") - shown).alias("items_omitted"), limit.alias("limit_hit"))
 
